@@ -2,12 +2,12 @@
 
 A source's target is a share of the whole mix, so each of its documents is wanted ``target /
 source_size`` times, a whole number of copies plus one fraction. Fractions become whole by
-pivotal rounding: two fractional documents meet, and words move from one to the other, in either
-direction by chance, until one of the two fractions is 0 or 1. The words of the pair stay the same,
-and so do the expected copies of each. Blocks of about ``BLOCK`` documents fold this way in
-parallel and leave one fractional document each; those form the next level's blocks, until one
-is left per source, which takes the nearer whole number. A source therefore misses its target by at
-most half of one document's words.
+pivotal rounding in blocks of about ``BLOCK`` documents: the largest document meets the pool of the
+smaller ones, and words move from one to the other, in either direction by chance, until
+the document's fraction is 0 or 1 (or the pool's are). The words of the block stay the same, and so do
+the expected copies of each document. A block leaves one fractional document at most, nearly always
+a small one; those form the next level's blocks, until one is left per source, which takes the
+nearer whole number. A source misses its target by half of that document's words at most.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, documents, uniform
 
 #: Fractional documents that a block holds on average; a reduction level shrinks by this factor.
-BLOCK = 32
+BLOCK = 64
 
 _EPS = 1e-9
 
@@ -44,42 +44,52 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_share: fl
     return own.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap"))).select("source", "source_size", "target")
 
 
-def _settled(unit: Column, extra: Column) -> Column:
-    return F.struct(unit["uid"].alias("uid"), extra.cast("int").alias("extra"))
+def _meet(s: Column, unit: Column, level: int, seed: int) -> Column:
+    """One pivotal step: the largest unit left meets the pool of the smaller ones in its block.
 
-
-def _meet(state: Column, other: Column, level: int, seed: int) -> Column:
-    """One pivotal step between the block's fractional document and the next one."""
-    i, j = state["open"], other
-    a, b = i["size"], j["size"]
-    up = F.least((1 - i["p"]) * a, j["p"] * b)
-    down = F.least(i["p"] * a, (1 - j["p"]) * b)
-    gain = uniform(i["uid"], j["uid"], F.lit(level), F.lit(seed)) * (up + down) < down
-    words = F.when(gain, up).otherwise(-down)
-    pi, pj = i["p"] + words / a, j["p"] - words / b
-    # One of the two is whole now, but for the last bits of the division.
-    first = F.least(F.abs(pi), F.abs(1 - pi)) <= F.least(F.abs(pj), F.abs(1 - pj))
-    whole = F.when(first, _settled(i, F.round(pi))).otherwise(_settled(j, F.round(pj)))
-
-    def left(u: Column, p: Column) -> Column:
-        return F.struct(u["uid"].alias("uid"), u["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
-
-    return F.struct(F.when(first, left(j, pj)).otherwise(left(i, pi)).alias("open"), F.concat(state["done"], F.array(whole)).alias("done"))
+    The state holds the pool's wanted words (mass) and size, and the map p -> a p + b that the
+    transfers so far put on every fraction in the pool. A unit that stays fractional (open) has left
+    the pool with fractions 0 or 1 alone.
+    """
+    size = unit["size"]
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["a"] * unit["p"] + s["b"]))
+    mass = F.greatest(F.lit(0.0), s["mass"] - p * size)
+    room = F.greatest(F.lit(0.0), s["size"] - size - mass)
+    up, down = F.least((1 - p) * size, mass), F.least(p * size, room)
+    gain = uniform(unit["uid"], F.lit(level), F.lit(seed)) * (up + down) < down
+    kept = F.when(gain, F.when(mass > 0, 1 - up / mass).otherwise(1.0)).otherwise(F.when(room > 0, 1 - down / room).otherwise(1.0))
+    after = F.when(gain, p + up / size).otherwise(p - down / size)
+    whole = F.least(F.abs(after), F.abs(1 - after)) < _EPS
+    stays = s["open"].isNull() & ~whole
+    done = F.array(F.struct(unit["uid"].alias("uid"), F.round(after).cast("int").alias("extra")))
+    left = F.struct(unit["uid"].alias("uid"), size.alias("size"), after.alias("p"))
+    return F.struct(
+        F.when(gain, mass - up).otherwise(mass + down).alias("mass"),
+        (s["size"] - size).alias("size"),
+        (kept * s["a"]).alias("a"),
+        (kept * s["b"] + F.when(gain, 0.0).otherwise(1 - kept)).alias("b"),
+        F.when(stays, left).otherwise(s["open"]).alias("open"),
+        F.when(stays, s["done"]).otherwise(F.concat(s["done"], done)).alias("done"),
+    )
 
 
 def _fold(units: DataFrame, level: int, seed: int) -> DataFrame:
     """Blocks of (source, block, uid, size, p) to (source, open, done)."""
-    unit = F.struct("uid", "size", "p")
-    empty = F.array().cast("array<struct<uid:bigint,extra:int>>")
-    blocks = units.groupBy("source", "block").agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    return blocks.select(
-        "source",
-        F.aggregate(
-            F.slice("units", 2, F.greatest(F.size("units") - 1, F.lit(0))),
-            F.struct(F.element_at("units", 1).alias("open"), empty.alias("done")),
-            lambda s, x: _meet(s, x, level, seed),
-        ).alias("r"),
-    ).select("source", "r.open", "r.done")
+    unit = F.struct("size", "uid", "p")
+    blocks = units.groupBy("source", "block").agg(
+        F.sort_array(F.collect_list(unit), asc=False).alias("units"),
+        F.sum(F.col("size") * F.col("p")).alias("mass"),
+        F.sum("size").alias("total"),
+    )
+    start = F.struct(
+        F.col("mass"),
+        F.col("total").alias("size"),
+        F.lit(1.0).alias("a"),
+        F.lit(0.0).alias("b"),
+        F.lit(None).cast("struct<uid:bigint,size:double,p:double>").alias("open"),
+        F.array().cast("array<struct<uid:bigint,extra:int>>").alias("done"),
+    )
+    return blocks.select("source", F.aggregate("units", start, lambda s, x: _meet(s, x, level, seed)).alias("r")).select("source", "r.open", "r.done")
 
 
 def pivotal_extras(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
@@ -96,10 +106,10 @@ def pivotal_extras(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataF
         folded = cut(_fold(dealt, level, seed))
         new = folded.select(F.explode("done").alias("d")).select("d.*")
         done = new if done is None else done.unionByName(new)
-        left = folded.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        units, level = folded.where("open IS NOT NULL").select("source", "open.*"), level + 1
+        left = units.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if not left or left == 1:
-            return done.unionByName(folded.select("open.uid", F.round("open.p").cast("int").alias("extra")))
-        units, level = folded.select("source", "open.*"), level + 1
+            return done.unionByName(units.select("uid", F.round("p").cast("int").alias("extra")))
 
 
 def mix(
