@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .mixing import op3_pivotal_mix
+from .packing import op10_martello_toth
 from .sharding import op7_hash_tree
 
 QUERIES = {
+    "op10_martello_toth": op10_martello_toth,
     "op3_pivotal_mix": op3_pivotal_mix,
     "op7_hash_tree": op7_hash_tree,
 }
