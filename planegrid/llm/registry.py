@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .mixing import op3_pivotal_mix
 from .packing import op10_martello_toth
+from .flac import op6_flac
 from .sharding import op7_hash_tree
 
 QUERIES = {
+    "op6_flac": op6_flac,
     "op10_martello_toth": op10_martello_toth,
     "op3_pivotal_mix": op3_pivotal_mix,
     "op7_hash_tree": op7_hash_tree,
