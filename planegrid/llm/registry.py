@@ -5,9 +5,11 @@ from __future__ import annotations
 from .mixing import op3_pivotal_mix
 from .packing import op10_martello_toth
 from .flac import op6_flac
+from .licenses import op8_rare_token_index
 from .sharding import op7_hash_tree
 
 QUERIES = {
+    "op8_rare_token_index": op8_rare_token_index,
     "op6_flac": op6_flac,
     "op10_martello_toth": op10_martello_toth,
     "op3_pivotal_mix": op3_pivotal_mix,
