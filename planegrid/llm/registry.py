@@ -6,9 +6,11 @@ from .mixing import op3_pivotal_mix
 from .packing import op10_martello_toth
 from .flac import op6_flac
 from .licenses import op8_rare_token_index
+from .token_counts import op1_trie_tokens
 from .sharding import op7_hash_tree
 
 QUERIES = {
+    "op1_trie_tokens": op1_trie_tokens,
     "op8_rare_token_index": op8_rare_token_index,
     "op6_flac": op6_flac,
     "op10_martello_toth": op10_martello_toth,
