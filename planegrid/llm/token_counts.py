@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents
 
-#: Nodes of a task's trie, some 300 bytes each.
+#: Nodes of a task's trie, some 200 bytes each.
 NODES = 600_000
 
 #: The mark that stands for the blank before a word.
@@ -46,7 +46,11 @@ def vocabulary(model: str) -> tuple[dict[str, float], float]:
 
 
 class Trie:
-    """Forward scores of prefixes. A node is (children, score, tokens, prefix)."""
+    """Forward scores of prefixes.
+
+    Nodes are numbers; ``child`` has the node below a node by a character, ``best`` each node's score
+    and ``tokens`` its segmentation's tokens.
+    """
 
     def __init__(self, scores: dict[str, float], byte_score: float, nodes: int = NODES):
         self.scores, self.byte_score, self.limit = scores, byte_score, nodes
@@ -55,45 +59,48 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.size = 1
-        self.root: dict = {}
+        self.child: dict[int, int] = {}
+        self.best: list[float] = [0.0]
+        self.tokens: list[int] = [0]
         self.counts: dict[str, tuple[int, float]] = {}
 
     def count(self, word: str) -> tuple[int, float]:
         """(tokens, score) of the best segmentation; of equal scores the one of fewer tokens."""
         found = self.counts.get(word)
         if found is None:
-            if self.size >= self.limit:
+            if len(self.best) >= self.limit:
                 self.clear()
             found = self.counts[word] = self._insert(word)
         return found
 
     def _insert(self, word: str) -> tuple[int, float]:
-        scores, ends, children = self.scores, self.ends, self.root
-        path = [(0.0, 0)]  # score and tokens of each prefix
+        scores, ends, child, all_best, all_tokens = self.scores, self.ends, self.child, self.best, self.tokens
+        path = [0]  # the node of each prefix
+        node = 0
         for j, c in enumerate(word, 1):
-            node = children.get(c)
-            if node is None:
+            key = node * 0x110000 + ord(c)
+            node = child.get(key, 0)
+            if not node:
                 one = scores.get(c)
                 if one is None:
                     n = len(c.encode("utf-8", "surrogatepass"))
-                    best, tokens = path[-1][0] + n * self.byte_score, path[-1][1] + n
+                    best, tokens = all_best[path[-1]] + n * self.byte_score, all_tokens[path[-1]] + n
                 else:
-                    best, tokens = path[-1][0] + one, path[-1][1] + 1
+                    best, tokens = all_best[path[-1]] + one, all_tokens[path[-1]] + 1
                 for i in range(j - 2, -1, -1):
                     piece = word[i:j]
                     if piece not in ends:
                         break
                     s = scores.get(piece)
                     if s is not None:
-                        s += path[i][0]
-                        if s > best or (s == best and path[i][1] + 1 < tokens):
-                            best, tokens = s, path[i][1] + 1
-                node = children[c] = ({}, (best, tokens))
-                self.size += 1
-            children = node[0]
-            path.append(node[1])
-        return path[-1][1], path[-1][0]
+                        s += all_best[path[i]]
+                        if s > best or (s == best and all_tokens[path[i]] + 1 < tokens):
+                            best, tokens = s, all_tokens[path[i]] + 1
+                node = child[key] = len(all_best)
+                all_best.append(best)
+                all_tokens.append(tokens)
+            path.append(node)
+        return all_tokens[node], all_best[node]
 
 
 def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
