@@ -7,9 +7,11 @@ from .packing import op10_martello_toth
 from .flac import op6_flac
 from .licenses import op8_rare_token_index
 from .token_counts import op1_trie_tokens
+from .toxicity import op5_cumulative_link
 from .sharding import op7_hash_tree
 
 QUERIES = {
+    "op5_cumulative_link": op5_cumulative_link,
     "op1_trie_tokens": op1_trie_tokens,
     "op8_rare_token_index": op8_rare_token_index,
     "op6_flac": op6_flac,

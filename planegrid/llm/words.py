@@ -88,8 +88,9 @@ class Texts:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first ``most`` bytes."""
+        stops = self.ends if most is None else np.minimum(self.ends, self.starts + most)
         out = np.empty(len(self.starts), np.uint64)
         i = 0
         while i < len(out):
@@ -102,7 +103,7 @@ class Texts:
             sums = np.empty(len(piece) + 1, np.uint64)
             sums[0] = 0
             np.cumsum(piece, out=sums[1:])
-            a, b = self.starts[i:j] - s0, self.ends[i:j] - s0
+            a, b = self.starts[i:j] - s0, stops[i:j] - s0
             out[i:j] = mixed((sums[b] - sums[a]) * _bytes.down[a])
             i = j
         return out
