@@ -8,9 +8,11 @@ from .flac import op6_flac
 from .licenses import op8_rare_token_index
 from .token_counts import op1_trie_tokens
 from .toxicity import op5_cumulative_link
+from .quality import op4_mcd_outliers
 from .sharding import op7_hash_tree
 
 QUERIES = {
+    "op4_mcd_outliers": op4_mcd_outliers,
     "op5_cumulative_link": op5_cumulative_link,
     "op1_trie_tokens": op1_trie_tokens,
     "op8_rare_token_index": op8_rare_token_index,
