@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,3 +54,13 @@ def number_within(df: DataFrame, groups: list[str], identity: list[str], name: s
         .withColumn(name, F.col("__start") + F.row_number().over(inside) - 1)
         .drop("__bucket", "__start")
     )
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a compressed table in the checkpoint folder: for rows that hold texts."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/planegrid")
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

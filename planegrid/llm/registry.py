@@ -9,9 +9,11 @@ from .licenses import op8_rare_token_index
 from .token_counts import op1_trie_tokens
 from .toxicity import op5_cumulative_link
 from .quality import op4_mcd_outliers
+from .jaccard import op9_token_group_matrix
 from .sharding import op7_hash_tree
 
 QUERIES = {
+    "op9_token_group_matrix": op9_token_group_matrix,
     "op4_mcd_outliers": op4_mcd_outliers,
     "op5_cumulative_link": op5_cumulative_link,
     "op1_trie_tokens": op1_trie_tokens,
