@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents
 from .licenses import BLANK
 from .words import Texts, grouped, mixed
 
 #: Labelled rows that the fit reads at most: those of the smallest hash of doc_id.
-SAMPLE = 8000
+SAMPLE = 6000
 #: Sampled texts that must have a word for it to be a feature.
 LEAST = 5
 #: Bytes of the beginnings of words that are features beside the whole words.
@@ -53,42 +53,53 @@ def _features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], h[at], np.diff(np.r_[at, len(h)])
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> list:
-    """(label, words, times) of up to ``rows`` labelled documents; documents without text have no words."""
-    drawn = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+class Sample(NamedTuple):
+    """Labelled texts: label of each, and (row, feature, times) of the features that enough of them have."""
+
+    label: np.ndarray
+    row: np.ndarray
+    feature: np.ndarray
+    times: np.ndarray
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, least: int = LEAST) -> Sample:
+    """Up to ``rows`` labelled documents; labels or documents without an id, and null labels, are left out.
+
+    Features are counted by Spark; those of fewer than ``least`` sampled texts do not reach the driver.
+    """
+    drawn = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in grouped(batches):
             doc, h, times = _features(Texts(b.column(1), lower=True, blank=BLANK))
-            cuts = np.searchsorted(doc, np.arange(len(b) + 1))
-            parts = [(h[i:j].tobytes(), times[i:j].astype(np.int32).tobytes()) for i, j in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["toxic", "words", "times"])
+            ids = np.array(b.column(0))[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.view(np.int64)), pa.array(times, pa.int64())], ["doc_id", "feature", "times"])
 
-    own = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")  # at most SAMPLE rows
-    return [(r["toxic"], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["times"], np.int32)) for r in own.mapInArrow(run, "toxic int, words binary, times binary").collect()]
+    own = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id")  # at most SAMPLE rows
+    found = cut(own.mapInArrow(run, "doc_id bigint, feature bigint, times bigint").groupBy("doc_id", "feature").agg(F.max("times").cast("int").alias("times")))
+    common = found.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("feature")
+    ids = drawn.toPandas()
+    table = found.join(common, "feature").toArrow()
+    order = np.argsort(ids["doc_id"].to_numpy())
+    row = np.searchsorted(ids["doc_id"].to_numpy()[order], table.column("doc_id").to_numpy())
+    return Sample(ids["toxic"].to_numpy()[order], row, table.column("feature").to_numpy().view(np.uint64), table.column("times").to_numpy())
 
 
-def severity(rows: list, grades: int = 3) -> np.ndarray:
+def severity(s: Sample, grades: int = 3) -> np.ndarray:
     """Grades for rows that are only labelled toxic or not: 0 if not, else 1 to ``grades``.
 
-    Toxic rows are ranked by the share of their words that the sample has mostly in toxic rows, and split
+    Toxic rows are ranked by the share of their features that the sample has mostly in toxic rows, and split
     into equal parts.
     """
-    y = np.array([r[0] > 0 for r in rows])
-    if not y.any():
-        return np.zeros(len(rows), int)
-    h = np.concatenate([r[1] for r in rows])
-    toxic = np.repeat(y, [len(r[1]) for r in rows])
-    words, at = np.unique(h, return_inverse=True)
-    n, bad = np.bincount(at), np.bincount(at, toxic)
-    telling = (n >= LEAST) & (bad >= 0.9 * n)
-    cuts = np.cumsum([0, *(len(r[1]) for r in rows)])
-    share = np.array([r[2][telling[at[i:j]]].sum() / max(1, r[2].sum()) for r, i, j in zip(rows, cuts, cuts[1:])])
-    out = np.zeros(len(rows), int)
-    own = np.flatnonzero(y)
+    out = np.zeros(len(s.label), int)
+    own = np.flatnonzero(s.label > 0)
+    _, at = np.unique(s.feature, return_inverse=True)
+    n, bad = np.bincount(at), np.bincount(at, s.label[s.row] > 0)
+    telling = bad >= 0.9 * n
+    share = np.bincount(s.row, telling[at] * s.times, len(out)) / np.maximum(1, np.bincount(s.row, s.times, len(out)))
     rank = np.argsort(np.argsort(share[own], kind="stable"), kind="stable")
-    out[own] = 1 + rank * grades // len(own)
+    out[own] = 1 + rank * grades // max(1, len(own))
     return out
 
 
@@ -96,7 +107,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list, grade: np.ndarray, penalty: float = PENALTY) -> Model:
+def fit(s: Sample, grade: np.ndarray, penalty: float = PENALTY) -> Model:
     """The cumulative-link model of the rows' grades.
 
     A first fit under the L1 penalty picks the features, a second one under a thirtieth of it weighs them.
@@ -107,11 +118,9 @@ def fit(rows: list, grade: np.ndarray, penalty: float = PENALTY) -> Model:
     if len(levels) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     y = np.searchsorted(levels, grade)
-    h = np.concatenate([r[1] for r in rows])
-    value = 1 + np.log(np.concatenate([r[2] for r in rows]))
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    words, column, n = np.unique(h, return_inverse=True, return_counts=True)
-    kept = n >= LEAST
+    row, value = s.row, 1 + np.log(s.times)
+    words, column = np.unique(s.feature, return_inverse=True)
+    kept = np.ones(len(words), bool)
     for share in (1.0, 1 / 30):
         use = kept[column]
         words, column, row, value = words[kept], (np.cumsum(kept) - 1)[column[use]], row[use], value[use]
