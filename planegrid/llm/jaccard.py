@@ -7,12 +7,12 @@ Documents with equal shingle sets are one class. Three steps find what connects
    travel in packed blocks by hash range, and what comes back to each block of documents is a count per
    document. Most documents end here.
 2. The rest is partitioned into groups: classes that share the smallest of several permuted hashes. Inside
-   blocks of a group, classes attach to a leader that they link with, and leaders of a group's blocks meet
-   again until it is one block. A leader with its classes is a unit: connected, whatever else links inside.
-3. The token-group matrix holds the union of each unit's halves. A class stays open if all but n // 4 of
-   its half occur in other units; its rarest shingles there find the units to look at, the overlap with
-   a unit's union bounds the overlap with its members, and only units that reach the bound are opened and
-   compared member by member, shingle by shingle.
+   blocks of a group, classes join the leaders that they link with, and the leaders of a group's blocks meet
+   again in others. Classes joined are a unit: connected, whatever else links inside.
+3. The token-group matrix holds the union of each unit's halves. The overlap of a class with what the
+   other units hold bounds its overlap with any class there; only units with classes that reach the bound are
+   opened, and of these those classes. Ordered from the rarest shingle on, two that link share one of their
+   first shingles, whose places bound the overlap once more; what passes is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ SHARE, PARTS = 75, 100
 #: Permuted hashes that vote for a class's group.
 VOTES = 8
 #: Classes, and bytes of text, of a block that meets in one task.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Times that leaders meet.
+LEVELS = 3
 #: Bytes of text whose shingles make one hash range.
 RANGE_BYTES = 8 << 20
 BATCH = 12 << 20
@@ -188,6 +190,7 @@ _UNIT = T.StructType(
     [
         T.StructField("cls", T.LongType()),
         T.StructField("lead", T.LongType()),
+        T.StructField("leads", T.BooleanType()),
         T.StructField("n", T.LongType()),
         T.StructField("text", T.StringType()),
         T.StructField("need", T.LongType()),
@@ -197,9 +200,9 @@ _UNIT = T.StructType(
 
 
 def _attach(table: pa.Table) -> pa.Table:
-    """One block of a group: each class attached to the first leader that it links with, or a leader itself.
+    """One block of a group: each class joins the leaders that it links with, or is a leader itself.
 
-    A leader's row holds the union of its classes' halves.
+    Classes joined are one unit, named by its first leader (lead), whose row holds the union of their halves.
     """
     table = table.combine_chunks()
     order = np.argsort(np.array(table.column("cls")), kind="stable")
@@ -207,21 +210,32 @@ def _attach(table: pa.Table) -> pa.Table:
     sets = shingle_sets(table.column("text").combine_chunks() if isinstance(table.column("text"), pa.ChunkedArray) else table.column("text"))
     cls = table.column("cls").to_pylist()
     leaders: list[int] = []
-    of = []
+    root = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
     for i, s in enumerate(sets):
-        lead = next((j for j in leaders if cls[j] == cls[i] or linked(s, sets[j])), None)
-        if lead is None:
+        for j in leaders:
+            if top(j) != top(i) and (cls[j] == cls[i] or linked(s, sets[j])):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+        if top(i) == i:
             leaders.append(i)
-            lead = i
-        of.append(lead)
-    members: dict[int, list[int]] = {j: [] for j in leaders}
+    of = [top(i) for i in range(len(sets))]
+    members: dict[int, list[int]] = {}
     for i, j in enumerate(of):
-        members[j].append(i)
+        members.setdefault(j, []).append(i)
     tokens = [np.unique(np.concatenate([half(sets[k]) for k in members[i]])).view(np.int64) if i == j else None for i, j in enumerate(of)]
+    leads = set(leaders)
     return pa.table(
         [
             pa.array(cls, pa.int64()),
             pa.array([cls[j] for j in of], pa.int64()),
+            pa.array([i in leads for i in range(len(sets))], pa.bool_()),
             pa.array([len(s) for s in sets], pa.int64()),
             table.column("text"),
             pa.array([len(half(s)) - lacking(len(s)) for s in sets], pa.int64()),
@@ -245,21 +259,24 @@ def _units(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = vote.join(best, ["k", "v"]).groupBy("cls", "g").agg(F.count(F.lit(1)).alias("times"))
     group = group.groupBy("cls").agg(F.max_by("g", F.struct("times", -F.col("g"))).alias("g"))
     rows = classes.select("cls", "text", F.octet_length("text").alias("bytes")).join(group, "cls")
-    found, links, level = None, None, 0
-    while True:
+    found, links = None, None
+    for level in range(LEVELS):
         size = rows.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
         dealt = rows.join(size, "g").withColumn("sub", F.pmod(F.xxhash64("cls", F.lit(level)), F.col("blocks")))
-        own = dealt.groupBy("g", "sub").applyInArrow(_with_group, T.StructType([*_UNIT, T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())]))
-        own = saved(own)
+        own = saved(dealt.groupBy("g", "sub").applyInArrow(_with_group, T.StructType([*_UNIT, T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())])))
         if found is None:
             found = own.drop("g", "again")
         else:
-            links = own.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).unionByName(links) if links is not None else own.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-        rows = own.where("again AND cls = lead").select("cls", "text", F.octet_length("text").alias("bytes"), "g")
-        level += 1
-        # leaders of one block do not link; they meet those of other blocks until no group has several
-        if level > 12 or rows.isEmpty():
-            return found, links
+            new = own.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
+            links = new if links is None else links.unionByName(new)
+        # the leaders of a group of several blocks meet in other blocks; what no level joins is left to the matrix
+        rows = own.where("again AND leads").select("cls", "text", F.octet_length("text").alias("bytes"), "g")
+        if rows.isEmpty():
+            break
+    if links is not None:
+        lead = found.select("cls", "lead")
+        links = links.join(lead.toDF("a", "la"), "a").join(lead.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    return found, links
 
 
 def _with_group(key: tuple, table: pa.Table) -> pa.Table:
@@ -270,66 +287,50 @@ def _with_group(key: tuple, table: pa.Table) -> pa.Table:
 
 def _crossing(rows: DataFrame, unit: DataFrame) -> DataFrame:
     """Links between classes of different units, by the token-group matrix. rows: classes by leader, unit: lead to unit."""
-    tokens = rows.where("tokens IS NOT NULL").select("lead", F.explode("tokens").alias("token")).join(unit, "lead")
-    matrix = tokens.select("token", "unit").distinct()
-    shared = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = cut(shared)
-    matrix = matrix.join(shared, "token")
-    flags = tokens.join(shared, "token").groupBy("lead").agg(F.collect_list(F.struct("token", "df")).alias("flags"))  # at most a block's union
+    matrix = rows.where("tokens IS NOT NULL").select("lead", "tokens").join(unit, "lead").select("lead", "unit", F.explode("tokens").alias("token"))
+    shared = matrix.groupBy("token").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).where("u < v").select("token")
+    flags = matrix.join(shared, "token").groupBy("lead").agg(F.collect_list("token").alias("flags"))  # at most a block's union
     least = rows.groupBy("lead").agg(F.min("need").alias("least"))
-    flags = flags.join(least, "lead").where(F.size("flags") >= F.col("least")).drop("least")
-    own = rows.select("cls", "lead", "n", "text").groupBy("lead").cogroup(flags.select(F.col("lead").alias("lead"), "flags").groupBy("lead"))
-    open_ = saved(own.applyInArrow(_open, "cls bigint, lead bigint, need bigint, token bigint, first boolean"))
-    queries = open_.join(unit, "lead").drop("lead")
-    at = (
-        queries.where("first")
-        .join(matrix.withColumnRenamed("unit", "other"), "token")
-        .where("unit <> other")
-        .select("cls", "other")
-        .distinct()
-    )
-    overlap = at.join(queries.select("cls", "need", "token"), "cls").join(matrix.select("token", F.col("unit").alias("other")), ["token", "other"])
-    bound = overlap.groupBy("cls", "other").agg(F.count(F.lit(1)).alias("both"), F.first("need").alias("need")).where("both >= need").select("cls", "other")
-    sized = rows.select("cls", "lead", "n").join(unit, "lead")
-    pairs = (
-        bound.join(sized.select("cls", F.col("n").alias("n_a")), "cls")
-        .join(sized.select(F.col("cls").alias("c2"), F.col("unit").alias("other"), F.col("n").alias("n_b")), "other")
-        .where(f"{PARTS} * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)")
-        .select(F.least("cls", "c2").alias("a"), F.greatest("cls", "c2").alias("b"))
-        .distinct()
-    )
-    texts = rows.select("cls", "text")
+    flags = flags.join(least, "lead").where(F.size("flags") >= F.col("least")).select(F.col("lead").alias("l"), "flags")
+    members = rows.select("cls", "lead", "n", "text").groupBy("lead")
+    open_ = saved(members.cogroup(flags.groupBy("l")).applyInArrow(lambda x, y: _open(x, y), "cls bigint, lead bigint, n bigint, text string"))
+    # A link joins two open classes, so these alone go on, with all their shingles.
+    placed = open_.join(unit, "lead").select("cls", "unit", "n", "text")
+    tokens = saved(placed.mapInArrow(_shingles, "cls bigint, unit bigint, n bigint, token bigint"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("unit").alias("u"), F.max("unit").alias("v")).where("u < v").select("token", "df")
+    common = tokens.join(often, "token")
+    # Rarest first, a class's own shingles stand before those; a pair that links shares one of the first n - ceil(3 n / 4) + 1.
+    order = Window.partitionBy("cls").orderBy("df", "token")
+    ranked = common.withColumn("at", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cls")) + F.row_number().over(order) - 1)
+    first = cut(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * SHARE / PARTS)).select("token", "cls", "unit", "n", "at"))
+    other = first.toDF("token", "b", "unit_b", "n_b", "at_b")
+    # of the first shared shingle, what is left on either side bounds the intersection
+    fits = f"unit <> unit_b AND cls < b AND {PARTS + SHARE} * least(n - at, n_b - at_b) >= {SHARE} * (n + n_b)"
+    pairs = first.join(other, (first["token"] == other["token"]) & F.expr(fits)).select(F.col("cls").alias("a"), "b").distinct()
+    texts = open_.select("cls", "text")
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, "a bigint, b bigint")
 
 
 def _open(rows: pa.Table, flags: pa.Table) -> pa.Table:
-    """One leader's classes that may link with another unit, with their shingles that other units have.
-
-    first marks the rarest of them: a linked class has one of these, for a class can lack no more
-    than the shingles before them and these together, less one.
-    """
-    out: list[tuple] = []
-    if len(flags) and len(rows):
-        rows = rows.combine_chunks()
-        pairs = flags.column("flags")[0].as_py()
-        token = np.array([p["token"] for p in pairs], np.int64).view(np.uint64)
-        df = np.array([p["df"] for p in pairs], np.int64)
-        order = np.argsort(token)
-        token, df = token[order], df[order]
-        text = rows.column("text")
-        for cls, lead, n, s in zip(rows.column("cls").to_pylist(), rows.column("lead").to_pylist(), rows.column("n").to_pylist(), shingle_sets(text.combine_chunks())):
-            own = half(s)
-            at = np.minimum(np.searchsorted(token, own), len(token) - 1)
-            at = at[token[at] == own]
-            need = len(own) - lacking(n)
-            if len(at) < need:
-                continue
-            rare = lacking(n) + 1 - (len(own) - len(at))
-            by = np.lexsort((token[at], df[at]))
-            out += [(cls, lead, need, int(token[j].view(np.int64)), k < rare) for k, j in enumerate(at[by])]
-    columns = list(zip(*out)) or [()] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.bool_(),))], names=["cls", "lead", "need", "token", "first"])
+    """One leader's classes that have enough of their half in other units."""
+    if not len(flags) or not len(rows):
+        return rows.slice(0, 0)
+    rows = rows.combine_chunks()
+    token = np.sort(flags.column("flags").combine_chunks().values.to_numpy()).view(np.int64)
+    kept = []
+    for s in shingle_sets(rows.column("text").combine_chunks()):
+        own = half(s)
+        kept.append(int(np.isin(own.view(np.int64), token).sum()) >= len(own) - lacking(len(s)))
+    return rows.filter(pa.array(kept, pa.bool_()))
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes with texts to a row per shingle."""
+    for b in grouped(batches, "text", 1 << 20):
+        sets = shingle_sets(b.column(3))
+        times = [len(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.array(b.column(i)), times), pa.int64()) for i in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["cls", "unit", "n", "token"])
 
 
 def near_components(docs: DataFrame) -> DataFrame:
