@@ -10,9 +10,11 @@ from .token_counts import op1_trie_tokens
 from .toxicity import op5_cumulative_link
 from .quality import op4_mcd_outliers
 from .jaccard import op9_token_group_matrix
+from .substrings import op2_debruijn
 from .sharding import op7_hash_tree
 
 QUERIES = {
+    "op2_debruijn": op2_debruijn,
     "op9_token_group_matrix": op9_token_group_matrix,
     "op4_mcd_outliers": op4_mcd_outliers,
     "op5_cumulative_link": op5_cumulative_link,
