@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,14 +18,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _ready(spark: SparkSession) -> None:
+    """Name the checkpoint folder, and let Spark's cleaner drop the shuffle files of earlier cuts.
+
+    The cleaner works when the driver's garbage is collected, by default every half hour; what a
+    cut has written needs no shuffle files, so they are released before the next one adds its own.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/planegrid")
+    gc.collect()
+    sc._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the folder that spark.checkpoint.dir names.
 
     Only a session without that setting (a test) gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/planegrid")
+    _ready(df.sparkSession)
     return df.checkpoint()
 
 
@@ -59,8 +71,7 @@ def number_within(df: DataFrame, groups: list[str], identity: list[str], name: s
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage by a compressed table in the checkpoint folder: for rows that hold texts."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/planegrid")
+    _ready(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

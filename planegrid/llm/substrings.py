@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,17 +170,25 @@ def _nodes(table: pa.Table) -> pa.Table:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(node, next, gap) of each place to (node, path, away): the compacted paths' nodes behind their first one.
+    """(key, at, node, next, gap) of each place to (node, path, away): the compacted paths' nodes behind their first one.
 
     An edge is used if it repeats, no other repeated edge leaves its first node, and none enters its
-    second. Each round of pointer doubling halves the way to a path's first node; it ends when no
-    further node arrives, so nodes of a circle, which has no first node, stay by themselves.
+    second. A text that runs along such edges is a stretch of one path, so a node first takes the
+    longest stretch that leads to it in any text; stretches that begin inside a path are
+    joined to what leads there by pointer doubling. That ends when no further node arrives at a first
+    node; nodes of a circle, which has none, stay by themselves.
     """
     edges = nodes.where("next IS NOT NULL AND node <> next").groupBy("node", "next", "gap").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = cut(edges)
-    out = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("next").alias("next"), F.first("gap").alias("gap")).where("n = 1")
+    out = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("next").alias("next"), F.first("gap").alias("gap")).where("n = 1").drop("n")
     into = edges.groupBy("next").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("next")
-    behind = cut(out.join(into, "next").select(F.col("next").alias("node"), F.col("node").alias("path"), F.col("gap").cast("long").alias("away")))
+    single = out.join(into, "next").select("node", F.lit(True).alias("single"), F.col("next").alias("to"), F.col("gap").alias("by"))
+    text = Window.partitionBy("key").orderBy("at")
+    placed = nodes.join(single, "node", "left").select("key", "at", "node", F.coalesce(F.col("single") & (F.col("next") == F.col("to")) & (F.col("gap") == F.col("by")), F.lit(False)).alias("goes"))
+    begins = placed.select("key", "at", "node", F.when(F.coalesce(F.lag("goes").over(text), F.lit(False)), None).otherwise(F.struct("at", "node")).alias("b"))
+    stretch = begins.select("node", "at", F.last("b", ignorenulls=True).over(text).alias("b"))
+    behind = stretch.groupBy("node").agg(F.max(F.struct((F.col("at") - F.col("b.at")).cast("long").alias("away"), F.col("b.node").alias("path"))).alias("m"))
+    behind = cut(behind.where("m.away > 0").select("node", "m.path", "m.away"))
     arrived = -1
     while True:
         ahead = behind.toDF("path", "path2", "away2")
@@ -272,7 +280,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(size // RANGE_BYTES))
     own = spans(docs, parts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # at most a text's anchors
-    placed = docs.join(cut(own), "key").select("key", "text", "spans")
+    placed = docs.join(saved(own), "key").select("key", "text", "spans")
     packed = placed.mapInArrow(_scatter_windows(parts, window), _RANGE)
     covered = packed.groupBy("part").applyInArrow(_meet, _RANGE).groupBy("block").applyInArrow(_covered(window), f"key bigint, removed {REMOVED}")
     return covered.groupBy("key").agg(F.first("removed").alias("removed"))
@@ -322,7 +330,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False)
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "removed", "key")]
     keyed = docs.select(*rest, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     found = repeated_spans(keyed.select("key", F.coalesce("text", F.lit("")).alias("text")), window)
-    both = keyed.join(cut(found), "key", "left").select(*rest, "text", "removed")
+    both = keyed.join(saved(found), "key", "left").select(*rest, "text", "removed")
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return both.mapInArrow(_cut_out(rest, joined), schema)
 
