@@ -1,19 +1,75 @@
-"""The corpus pipeline: STAGES applied in turn to documents."""
+"""The corpus pipeline: STAGES applied in turn to documents.
+
+Quality rules drop the documents that they reject, the Jaccard join leaves one document of each group,
+substring dedup cuts repeated passages out of the texts, mixing repeats documents until sources
+meet their targets, and packing puts all that is left into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planegrid.llm.common import DOCUMENT, documents, saved
+from planegrid.llm.jaccard import near_components
+from planegrid.llm.mixing import mix, sized
+from planegrid.llm.packing import packed_documents
+from planegrid.llm.quality import judged
+from planegrid.llm.substrings import without_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the outlier estimate keep. Equal rows get one verdict."""
+    docs = docs.select(DOCUMENT)
+    own = F.xxhash64(F.coalesce("text", F.lit("")), F.col("lang").isNull(), "lang", F.col("source").isNull(), "source")
+    judged_rows = judged(docs.select("text", "lang", "source", own.alias("own")))
+    rejected = saved(judged_rows.where("NOT kept").select("own").distinct())
+    return docs.withColumn("own", own).join(rejected, "own", "left_anti").select(DOCUMENT)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of the smallest doc_id, once; rows without doc_id stay."""
+    docs = docs.select(DOCUMENT)
+    first = saved(near_components(docs).where("doc_id = component_id").select("doc_id").distinct())
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL")).select(DOCUMENT)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 35-word windows that occur twice; n_chars follows, emptied texts stay as rows."""
+    kept = without_repeats(docs.select(DOCUMENT))
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(DOCUMENT)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it. Equal rows count together."""
+    docs = docs.select(DOCUMENT)
+    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "h")
+    copies = saved(mix(sized(docs)).groupBy(own.alias("own")).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0"))
+    keyed = docs.withColumn("h", F.xxhash64("text")).withColumn("own", own)
+    taken = keyed.join(copies, "own").dropDuplicates(["own"])
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(DOCUMENT)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return packed_documents(docs)
 
-from planegrid.llm.common import documents
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources", mixture),
+    ("best-fit packing", packing),
+]
 
-#: No SQL form: the mixing stage draws by a hash that DuckDB lacks, and packing runs a tokenizer.
+#: No SQL form: draws use a hash that DuckDB lacks, and packing runs a tokenizer. tests/llm holds run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
