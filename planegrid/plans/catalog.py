@@ -1,6 +1,9 @@
-"""Every query of the library beside its SQL."""
+"""Every query of the library beside its SQL; importing a module registers what it has."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from planegrid.functions import scalar  # noqa: F401
+from planegrid.operators import digests, distortion, filters, pictures, ratecontrol, references, search, statistics  # noqa: F401
+from planegrid.plans.registry import ORACLES, QUERIES  # noqa: F401
+from planegrid.sources import annexb, rawvideo  # noqa: F401
+from planegrid.streaming import output  # noqa: F401
