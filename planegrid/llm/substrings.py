@@ -280,7 +280,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(size // RANGE_BYTES))
     own = spans(docs, parts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # at most a text's anchors
-    placed = docs.join(saved(own), "key").select("key", "text", "spans")
+    # both tables grow with the corpus, so neither is for a broadcast at any size
+    placed = docs.join(saved(own).hint("merge"), "key").select("key", "text", "spans")
     packed = placed.mapInArrow(_scatter_windows(parts, window), _RANGE)
     covered = packed.groupBy("part").applyInArrow(_meet, _RANGE).groupBy("block").applyInArrow(_covered(window), f"key bigint, removed {REMOVED}")
     return covered.groupBy("key").agg(F.first("removed").alias("removed"))
@@ -330,7 +331,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False)
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "removed", "key")]
     keyed = docs.select(*rest, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     found = repeated_spans(keyed.select("key", F.coalesce("text", F.lit("")).alias("text")), window)
-    both = keyed.join(saved(found), "key", "left").select(*rest, "text", "removed")
+    both = keyed.join(saved(found).hint("merge"), "key", "left").select(*rest, "text", "removed")
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return both.mapInArrow(_cut_out(rest, joined), schema)
 
