@@ -1 +1,79 @@
+"""Planes and pictures: fields, crops, frame ranges, neighbours, scans."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from planegrid.operators.filters import joined
+from planegrid.plans.registry import BLOCKS, SAMPLES, query
+from planegrid.sources.tables import blocks, samples, table
+
+
+def field(px: Column, parity: int, height: int = 8, padded: int = 8, width: int = 8) -> Column:
+    """Every second line from ``parity`` on, rows beyond the field filled with 0 up to the padded height."""
+    rows = [F.slice(px, 1 + width * (2 * y + parity), width) for y in range(height // 2)]
+    return F.flatten(F.array(*rows, F.array_repeat(F.lit(0), width * (padded - height // 2))))
+
+
+@query("field_split", f"WITH {SAMPLES} SELECT block, (y % 2)::INT AS parity, string_agg(v::INT, ',' ORDER BY y, x) || repeat(',0', 32) AS field FROM samples GROUP BY block, y % 2")
+def field_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.array(*[F.struct(F.lit(p).alias("parity"), joined(field(F.col("px"), p)).alias("field")) for p in (0, 1)])
+    return blocks(spark, sf_dir).select("block", F.explode(fields).alias("f")).select("block", "f.parity", "f.field")
+
+
+@query("field_interleave", f"WITH {BLOCKS} SELECT block, array_to_string(px, ',') AS frame FROM blocks")
+def field_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields put back: line y of parity p is line 2 y + p."""
+    fields = blocks(spark, sf_dir).select("block", F.posexplode(F.array(field(F.col("px"), 0), field(F.col("px"), 1))).alias("parity", "f"))
+    lines = fields.select("block", "parity", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("y"), "f").select("block", (F.col("y") * 2 + F.col("parity")).alias("y"), F.slice("f", F.col("y") * 8 + 1, 8).alias("line"))
+    whole = lines.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    return whole.select("block", joined(F.flatten(F.col("lines.line"))).alias("frame"))
+
+
+@query("conformance_crop", f"WITH {SAMPLES} SELECT block, (x - 2)::INT AS x, (y - 1)::INT AS y, v FROM samples WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 6")
+def conformance_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window two samples in from left and right, one from top and bottom, counted from its own corner."""
+    own = samples(blocks(spark, sf_dir)).where("x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 6")
+    return own.select("block", (F.col("x") - 2).alias("x"), (F.col("y") - 1).alias("y"), "v")
+
+
+@query("frame_range", "WITH f AS (SELECT o_custkey AS stream, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS frame FROM orders) SELECT stream, frame - 2 AS frame, o_orderkey FROM f WHERE frame >= 2 AND frame < 7")
+def frame_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each stream the five frames after the first two, as seek 2 and frames 5 give them."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream"), "o_orderkey", (F.row_number().over(order) - 1).cast("long").alias("frame"))
+    return own.where("frame >= 2 AND frame < 7").select("stream", (F.col("frame") - 2).alias("frame"), "o_orderkey")
+
+
+@query(
+    "neighbour_qp",
+    f"WITH {SAMPLES}, q AS (SELECT block, x, y, v % 52 AS qp FROM samples) SELECT a.block, a.x, a.y, ((coalesce(l.qp, p.qp, 26) + coalesce(u.qp, p.qp, 26) + 1) >> 1)::INT AS predicted FROM q a LEFT JOIN q l ON l.block = a.block AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN q u ON u.block = a.block AND u.x = a.x AND u.y = a.y - 1 LEFT JOIN q p ON p.block = a.block AND 8 * p.y + p.x = 8 * a.y + a.x - 1",
+)
+def neighbour_qp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounded mean of the QP to the left and above; where there is none, the QP coded before (26 at the start)."""
+    qp, i = F.transform("px", lambda v: v % 52), F.col("i")
+    own = blocks(spark, sf_dir).select("block", qp.alias("qp"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    before = F.coalesce(F.get("qp", i - 1), F.lit(26))
+    left = F.when(i % 8 == 0, before).otherwise(F.get("qp", i - 1))
+    above = F.when(i < 8, before).otherwise(F.get("qp", i - 8))
+    return own.select("block", (i % 8).alias("x"), F.floor(i / 8).cast("int").alias("y"), F.shiftright(left + above + 1, 1).alias("predicted"))
+
+
+def diagonal_scan(n: int) -> list[tuple[int, int]]:
+    """(x, y) along up-right diagonals."""
+    return sorted(((x, y) for x in range(n) for y in range(n)), key=lambda p: (p[0] + p[1], p[0]))
+
+
+@query("scan_order", f"WITH {SAMPLES} SELECT block, string_agg(v::INT, ',' ORDER BY x + y, x) AS diagonal, string_agg(v::INT, ',' ORDER BY x, y) AS vertical FROM samples GROUP BY block")
+def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda order: joined(F.transform(F.array(*[F.lit(8 * y + x) for x, y in order]), lambda i: F.get("px", i)))
+    return blocks(spark, sf_dir).select("block", pick(diagonal_scan(8)).alias("diagonal"), pick([(x, y) for x in range(8) for y in range(8)]).alias("vertical"))
+
+
+@query("tile_map", "WITH g AS (SELECT n, t, (t * n // 3)::BIGINT AS start, ((t + 1) * n // 3)::BIGINT AS stop FROM (SELECT DISTINCT p_size::BIGINT AS n FROM part) p, range(0, 3) r(t)) SELECT n, t::INT AS tile, start, stop - start AS width FROM g")
+def tile_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniform spacing: three tile columns of pictures of every width in use."""
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct()
+    own = sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("tile")).withColumn("start", F.expr("tile * n div 3"))
+    return own.select("n", "tile", "start", (F.expr("(tile + 1) * n div 3") - F.col("start")).alias("width"))

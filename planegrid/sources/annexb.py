@@ -1 +1,139 @@
+"""Annex-B byte streams: packets to streams and back, packet classes, access units, parameter sets.
 
+A stream is a binary column. For the expressions it is read as Latin-1 text, a character a byte, so
+that start codes and emulation bytes are plain patterns and no packet leaves the JVM.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from planegrid.plans.registry import query
+from planegrid.sources.tables import table
+
+START = "\u0000\u0000\u0000\u0001"
+
+
+def as_bytes_text(binary: Column) -> Column:
+    return F.decode(binary, "ISO-8859-1")
+
+
+def to_binary(text: Column) -> Column:
+    return F.encode(text, "ISO-8859-1")
+
+
+def protect(payload: Column) -> Column:
+    """A byte 3 behind two zero bytes that a byte of 3 or less follows."""
+    return F.regexp_replace(payload, "\\x00\\x00(?=[\\x00-\\x03])", "\u0000\u0000\u0003")
+
+
+def unprotect(payload: Column) -> Column:
+    return F.regexp_replace(payload, "\\x00\\x00\\x03", "\u0000\u0000")
+
+
+def write_stream(packets: DataFrame) -> DataFrame:
+    """(stream_id, seq, nal_type, payload) to (stream_id, stream): packets in order behind start codes, each with a two-byte header and the bit that ends a payload."""
+    header = F.concat(F.char(F.shiftleft("nal_type", 1)), F.lit("\u0001"))
+    packet = F.concat(F.lit(START), header, protect(F.concat(as_bytes_text(F.col("payload")), F.lit("\u0080"))))
+    own = packets.select("stream_id", F.struct("seq", packet.alias("p")).alias("s"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), "")
+    return own.groupBy("stream_id").agg(to_binary(whole).alias("stream"))
+
+
+def tokenize(streams: DataFrame) -> DataFrame:
+    """(stream_id, stream) to a row per packet: seq, pos of its header, nal_type, layer, tid, and payload without protection.
+
+    Zero bytes before a start code belong to no packet.
+    """
+    parts = F.split(as_bytes_text(F.col("stream")), "\\x00\\x00+\\x01")
+    own = streams.select("stream_id", F.posexplode(F.slice(parts, 2, F.size(parts))).alias("seq", "p"))
+    order = Window.partitionBy("stream_id").orderBy("seq")
+    size = F.char_length("p")
+    byte = lambda i: F.ascii(F.substring("p", i, 1))
+    return own.select(
+        "stream_id",
+        "seq",
+        (F.sum(size + len(START)).over(order) - size).alias("pos"),
+        size.alias("size"),
+        F.shiftright(byte(1), 1).bitwiseAND(F.lit(63)).alias("nal_type"),
+        (F.shiftleft(byte(1).bitwiseAND(F.lit(1)), 5) + F.shiftright(byte(2), 3)).alias("layer_id"),
+        (byte(2).bitwiseAND(F.lit(7)) - 1).alias("tid"),
+        to_binary(F.regexp_replace(unprotect(F.substr("p", F.lit(3), size)), "\\x80$", "")).alias("rbsp"),
+    )
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packet per line of a document; blanks become bytes 0 0 2, which need protection."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    payload = F.replace(F.decode(F.encode("line", "UTF-8"), "ISO-8859-1"), F.lit(" "), F.lit("\u0000\u0000\u0002"))
+    return lines.select("stream_id", "seq", (F.col("seq") % 64).alias("nal_type"), to_binary(payload).alias("payload"))
+
+
+_LINES = """lines AS (SELECT doc_id AS stream_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents)"""
+_HEX = _LINES + """, hexed AS (SELECT stream_id, seq, array_to_string(list_transform(string_split(line, ' '), lambda w: hex(encode(w))), '000002') AS h FROM lines)"""
+
+
+@query("nal_packets", f"WITH {_HEX} SELECT stream_id, seq::INT AS seq, (seq % 64)::INT AS nal_type, 0 AS layer_id, 0 AS tid, md5(unhex(h)) AS payload FROM hexed")
+def nal_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams written and taken apart again."""
+    found = tokenize(write_stream(packets(spark, sf_dir)))
+    return found.select("stream_id", "seq", "nal_type", "layer_id", "tid", F.md5("rbsp").alias("payload"))
+
+
+@query("nal_positions", f"WITH {_HEX}, sized AS (SELECT stream_id, seq, 3 + length(h) // 2 + (len(string_split(line, ' ')) - 1) AS size FROM hexed JOIN lines USING (stream_id, seq)) SELECT stream_id, seq::INT AS seq, size::INT AS size, (sum(size + 4) OVER (PARTITION BY stream_id ORDER BY seq) - size)::BIGINT AS pos FROM sized")
+def nal_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where packets begin and how long they are with their protection."""
+    return tokenize(write_stream(packets(spark, sf_dir))).select("stream_id", "seq", "size", "pos")
+
+
+def classes(t: Column) -> dict[str, Column]:
+    """Predicates on the packet type."""
+    return {
+        "is_vcl": t < 32,
+        "is_slice": (t <= 9) | t.between(16, 21),
+        "is_irap": t.between(16, 23),
+        "is_idr": t.isin(19, 20),
+        "is_bla": t.between(16, 18),
+        "is_cra": t == 21,
+        "is_leading": t.between(6, 9),
+        "is_sub_layer_non_ref": t.isin(0, 2, 4, 6, 8, 10, 12, 14),
+        "starts_au": t.between(32, 35) | (t == 39) | t.between(41, 44) | t.between(48, 55),
+    }
+
+
+@query(
+    "nal_classes",
+    """SELECT event_id, (event_id % 64)::INT AS t, t < 32 AS is_vcl, t <= 9 OR t BETWEEN 16 AND 21 AS is_slice, t BETWEEN 16 AND 23 AS is_irap, t IN (19, 20) AS is_idr, t BETWEEN 16 AND 18 AS is_bla, t = 21 AS is_cra, t BETWEEN 6 AND 9 AS is_leading, t IN (0, 2, 4, 6, 8, 10, 12, 14) AS is_sub_layer_non_ref,
+t BETWEEN 32 AND 35 OR t = 39 OR t BETWEEN 41 AND 44 OR t BETWEEN 48 AND 55 AS starts_au FROM events""",
+)
+def nal_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 64).cast("int").alias("t"))
+    return own.select("event_id", "t", *[c.alias(n) for n, c in classes(F.col("t")).items()])
+
+
+@query("au_segmentation", "WITH s AS (SELECT *, sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS au FROM conversations) SELECT conv_id, au::BIGINT AS au, count(*) AS packets, sum(length(text))::BIGINT AS size, min(turn) AS first FROM s GROUP BY ALL")
+def au_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access units of a conversation: one opens at every turn that is not an answer."""
+    own = table(spark, sf_dir, "conversations")
+    opens = F.when(F.col("role") != "assistant", 1).otherwise(0)
+    au = F.sum(opens).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return own.withColumn("au", au).groupBy("conv_id", "au").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.char_length("text")).alias("size"), F.min("turn").alias("first"))
+
+
+@query("active_parameter_set", "SELECT conv_id, turn, max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS active FROM conversations")
+def active_parameter_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every turn the last system turn up to it: the as-of join as one window."""
+    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "system", F.col("turn")), ignorenulls=True).over(order).alias("active"))
+
+
+@query("sei_messages", f"WITH {_LINES} SELECT stream_id, seq::INT AS seq, (seq * 7)::INT AS payload_type, strlen(line)::INT AS payload_size FROM lines")
+def sei_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message headers written and read: type and size, each as bytes 255 and a rest."""
+    ff = lambda v: F.concat(F.repeat(F.lit("FF"), F.floor(v / 255).cast("int")), F.lpad(F.hex(v % 255), 2, "0"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    coded = lines.select("stream_id", "seq", F.concat(ff(F.col("seq") * 7), ff(F.octet_length("line"))).alias("h"))
+    value = lambda part: (F.length(part) - 2) / 2 * 255 + F.conv(F.right(part, F.lit(2)), 16, 10).cast("int")
+    first, second = F.regexp_extract("h", "^((?:FF)*..)((?:FF)*..)$", 1), F.regexp_extract("h", "^((?:FF)*..)((?:FF)*..)$", 2)
+    return coded.select("stream_id", "seq", value(first).cast("int").alias("payload_type"), value(second).cast("int").alias("payload_size"))
