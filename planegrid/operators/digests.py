@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from planegrid.plans.registry import BLOCKS, SAMPLES, query
 from planegrid.sources.tables import blocks
@@ -36,7 +37,7 @@ def plane_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("block", F.md5(sample_bytes(F.col("px"))).alias("digest"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc16(data: pd.Series) -> pd.Series:
     """CRC-16 of polynomial 0x1021 from 0xFFFF, with 16 zero bits behind the data."""
     import binascii
