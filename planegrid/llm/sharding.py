@@ -9,6 +9,7 @@ and rack keep their weights keep their shard.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,11 @@ def _children(tree: list[Leaf]) -> list[dict[int, dict[int, float]]]:
     return levels
 
 
+def _draw(key: list[Column], salt: str, depth: int) -> Callable[[Column], Column]:
+    """A child's exponential draw over its weight; the smallest one wins."""
+    return lambda c: F.struct((-F.log(uniform(*key, F.lit(salt), F.lit(depth), c["id"])) / c["w"]).alias("s"), c["id"].alias("id"))
+
+
 def shard_of(key: list[Column], tree: list[Leaf], salt: str = "planegrid") -> Column:
     """The shard of a key under ``tree``. Null keys are a key like any other."""
     at = F.lit(0)
@@ -56,10 +62,7 @@ def shard_of(key: list[Column], tree: list[Leaf], salt: str = "planegrid") -> Co
             ]
         )
 
-        def draw(c: Column, depth: int = depth) -> Column:
-            return F.struct((-F.log(uniform(*key, F.lit(salt), F.lit(depth), c["id"])) / c["w"]).alias("s"), c["id"].alias("id"))
-
-        at = F.array_min(F.transform(F.element_at(table, at), draw))["id"]
+        at = F.array_min(F.transform(F.element_at(table, at), _draw(key, salt, depth)))["id"]
     return at
 
 
