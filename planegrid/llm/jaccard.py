@@ -40,7 +40,7 @@ BLOCK, BLOCK_BYTES = 2048, 8 << 20
 LEVELS = 3
 #: Bytes of text whose shingles make one hash range.
 RANGE_BYTES = 8 << 20
-BATCH = 12 << 20
+BATCH = 6 << 20
 _MANY = 0xFFFF
 
 

@@ -100,12 +100,12 @@ def _inverse_root(rows: DataFrame) -> DataFrame:
             for k in range(j, i):
                 total = total - F.col(f"l_{i}{k}") * F.col(f"r_{k}{j}")
             rows = rows.withColumn(f"r_{i}{j}", total / F.col(f"l_{i}{i}"))
-    return rows.select("g", *[f"m_{i}" for i in range(_P)], *[f"r_{i}{j}" for i, j in _PAIRS])
+    return rows.select("__g", *[f"m_{i}" for i in range(_P)], *[f"r_{i}{j}" for i, j in _PAIRS])
 
 
 def _with_distance(points: DataFrame, estimate: DataFrame) -> DataFrame:
     """``points`` with d2, the squared distance; groups without an estimate are left out."""
-    joined = points.join(estimate, "g")
+    joined = points.join(estimate, "__g")
     d2 = F.lit(0.0)
     for i in range(_P):
         y = F.lit(0.0)
@@ -120,12 +120,12 @@ def _floored(i: int, j: int, c: Column) -> Column:
 
 
 def _start(points: DataFrame) -> DataFrame:
-    quartiles = points.groupBy("g").agg(*[F.percentile_approx(s[0], [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, s in enumerate(STATISTICS)])
+    quartiles = points.groupBy("__g").agg(*[F.percentile_approx(s[0], [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, s in enumerate(STATISTICS)])
     moments = {f"m_{i}": F.col(f"q_{i}")[1] for i in range(_P)}
     for i, j in _PAIRS:
         spread = (F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349
         moments[f"c_{i}{j}"] = _floored(i, j, spread * spread) if i == j else F.lit(0.0)
-    return _inverse_root(quartiles.select("g", *[c.alias(n) for n, c in moments.items()]))
+    return _inverse_root(quartiles.select("__g", *[c.alias(n) for n, c in moments.items()]))
 
 
 def _step(points: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -133,20 +133,20 @@ def _step(points: DataFrame, estimate: DataFrame) -> DataFrame:
     near = _with_distance(points, estimate).withColumn("bin", F.floor(8 * F.ln(F.col("d2") + 1e-6)))
     sums = [F.count(F.lit(1)).alias("n")] + [F.sum(s[0]).alias(f"s_{i}") for i, s in enumerate(STATISTICS)]
     sums += [F.sum(F.col(STATISTICS[i][0]) * F.col(STATISTICS[j][0])).alias(f"s_{i}{j}") for i, j in _PAIRS]
-    bins = near.groupBy("g", "bin").agg(*sums, F.min("d2").alias("d2"))
-    group = Window.partitionBy("g")
+    bins = near.groupBy("__g", "bin").agg(*sums, F.min("d2").alias("d2"))
+    group = Window.partitionBy("__g")
     before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = bins.withColumn("before", before).withColumn("all", F.sum("n").over(group))
     middle = F.max(F.when(F.col("before") <= F.col("all") / 2, F.col("d2")))
     taken = bins.where(F.col("before") < F.ceil(F.col("all") * SHARE))
-    total = taken.groupBy("g").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s_{i}" for i in range(_P)], *[f"s_{i}{j}" for i, j in _PAIRS]]], middle.alias("middle"))
+    total = taken.groupBy("__g").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s_{i}" for i in range(_P)], *[f"s_{i}{j}" for i, j in _PAIRS]]], middle.alias("middle"))
     mean = {f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(_P)}
     moments = dict(mean)
     # the nearest have too small a covariance; the median distance tells by how much
     grow = F.greatest(F.lit(1.0), F.col("middle") / MEDIAN)
     for i, j in _PAIRS:
         moments[f"c_{i}{j}"] = _floored(i, j, grow * (F.col(f"s_{i}{j}") / F.col("n") - mean[f"m_{i}"] * mean[f"m_{j}"]))
-    return _inverse_root(total.select("g", *[c.alias(n) for n, c in moments.items()]))
+    return _inverse_root(total.select("__g", *[c.alias(n) for n, c in moments.items()]))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -157,21 +157,21 @@ def judged(docs: DataFrame) -> DataFrame:
     its language; where these are too few as well, the base rules decide alone (d2 is null). Repeated
     rows are judged alike. Columns with the names of the counts are replaced; an empty table stays empty.
     """
-    counted = base_counts(docs).withColumns({name: F.when(~F.col("base_failed"), F.expr(expression)) for name, expression, _ in STATISTICS})
+    counted = base_counts(docs.drop("d2", "kept")).withColumns({name: F.when(~F.col("base_failed"), F.expr(expression)) for name, expression, _ in STATISTICS})
     counted = cut(counted.drop("text"))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     points = counted.withColumn("__l", name("lang")).withColumn("__s", name("source"))
     sizes = points.where("NOT base_failed").groupBy("__l", "__s").agg(F.count(F.lit(1)).alias("__n"))
     small = F.sum(F.when(F.col("__n") < LEAST, F.col("__n"))).over(Window.partitionBy("__l"))
     own = F.when(F.col("__n") >= LEAST, F.concat_ws("\u0001", "__l", "__s")).when(small >= LEAST, F.col("__l"))
-    points = points.join(sizes.withColumn("g", own).drop("__n"), ["__l", "__s"], "left").drop("__l", "__s")
-    sample = points.where("NOT base_failed AND g IS NOT NULL").select("g", *[s[0] for s in STATISTICS])
+    points = points.join(sizes.withColumn("__g", own).drop("__n"), ["__l", "__s"], "left").drop("__l", "__s")
+    sample = points.where("NOT base_failed AND __g IS NOT NULL").select("__g", *[s[0] for s in STATISTICS])
     estimate = cut(_start(sample))
     for _ in range(STEPS):
         estimate = cut(_step(sample, estimate))
-    apart = points.where("base_failed OR g IS NULL").withColumn("d2", F.lit(None).cast("double"))
-    found = _with_distance(points.where("NOT base_failed AND g IS NOT NULL"), estimate).unionByName(apart)
-    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True)))
+    apart = points.where("base_failed OR __g IS NULL").withColumn("d2", F.lit(None).cast("double"))
+    found = _with_distance(points.where("NOT base_failed AND __g IS NOT NULL"), estimate).unionByName(apart)
+    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True))).drop("__g")
 
 
 def op4_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

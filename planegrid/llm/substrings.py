@@ -28,11 +28,11 @@ from .common import cut, documents, saved
 from .words import Texts, grouped, mixed, window_hashes
 
 WINDOW = 35
-#: Words of a k-mer.
+#: Words of a k-mer; half a window's at most.
 K = 10
 #: Bytes of text whose windows make one hash range.
 RANGE_BYTES = 8 << 20
-BATCH = 12 << 20
+BATCH = 6 << 20
 _MANY = 0xFFFFFFFF
 
 _RANGE = "part int, block bigint, a binary, b binary, c binary, d binary, e binary"
@@ -54,10 +54,15 @@ def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def kmer_words(window: int) -> int:
+    return min(K, max(1, window // 2))
+
+
+def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(word, hash) of the anchors: k-mers that are the smallest of a window inside one text."""
     if len(h) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    k = kmer_words(window)
     kmers = window_hashes(h, k)
     kmers |= np.uint64(1)  # 0 is below all
     width = window - k + 1
@@ -129,14 +134,14 @@ def _own_rows(table: pa.Table) -> list[dict]:
     return table.filter(pa.compute.less(table.column("part"), 0)).to_pylist()
 
 
-def _scatter_anchors(parts: int):  # noqa: ANN202
+def _scatter_anchors(parts: int, window: int):  # noqa: ANN202
     """(key, text) to packed rows of the texts' anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in grouped(batches, size=BATCH):
             keys = np.array(b.column(0), np.int64)
             t = Texts(b.column(1))
-            at, kmer = anchors(t.hashes(), t.first)
+            at, kmer = anchors(t.hashes(), t.first, window)
             block = _block_name(keys.view(np.uint64))
             rows, settled = _scattered(kmer, parts, block)
             doc = np.searchsorted(t.first, at, "right") - 1
@@ -200,9 +205,9 @@ def paths(nodes: DataFrame) -> DataFrame:
         behind, arrived = behind.drop("there"), now
 
 
-def spans(docs: DataFrame, parts: int) -> DataFrame:
+def spans(docs: DataFrame, parts: int, window: int) -> DataFrame:
     """(key, text) to (key, path, lo, hi): from the first to the last anchor that a text has in line with a path."""
-    packed = docs.mapInArrow(_scatter_anchors(parts), _RANGE)
+    packed = docs.mapInArrow(_scatter_anchors(parts, window), _RANGE)
     met = packed.groupBy("part").applyInArrow(_meet, _RANGE)
     nodes = saved(met.groupBy("block").applyInArrow(_nodes, NODES))
     placed = nodes.select("key", "at", "node").join(paths(nodes), "node", "left")
@@ -221,7 +226,7 @@ def _scatter_windows(parts: int, window: int):  # noqa: ANN202
             lists = b.column(2)
             doc = np.repeat(np.arange(len(t)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
             flat = lists.flatten()
-            lo = np.maximum(np.array(flat.field("lo"), np.int64) - (window - K), 0) + t.first[doc]
+            lo = np.maximum(np.array(flat.field("lo"), np.int64) - (window - kmer_words(window)), 0) + t.first[doc]
             hi = np.minimum(np.array(flat.field("hi"), np.int64) + t.first[doc], t.first[doc + 1] - window) + 1
             edge = np.zeros(len(h) + 1, np.int32)
             np.add.at(edge, lo[lo < hi], 1)
@@ -279,7 +284,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(size // RANGE_BYTES))
-    own = spans(docs, parts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # at most a text's anchors
+    own = spans(docs, parts, window).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # at most a text's anchors
     # both tables grow with the corpus, so neither is for a broadcast at any size
     placed = docs.join(saved(own).hint("merge"), "key").select("key", "text", "spans")
     packed = placed.mapInArrow(_scatter_windows(parts, window), _RANGE)

@@ -167,8 +167,8 @@ def _solve(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) to doc_id, expected_severity, p_toxic (the chance of a grade over 0), grade (the likeliest) and toxic.
 
-    Null and empty texts have no features and get the grade of a text without any; repeated rows
-    give repeated rows; other columns are left out.
+    Null texts and texts without words have severity 0; repeated rows give repeated rows; other columns
+    are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 pairs, times = np.unique(doc[found] * len(model.words) + at[found], return_counts=True)
                 eta = np.bincount(pairs // len(model.words), model.weights[pairs % len(model.words)] * (1 + np.log(times)), len(t))
             over = np.stack([1 - _logistic(x - eta) for x in model.thresholds], 1) if len(model.thresholds) else np.zeros((len(t), 0))
+            over[t.counts == 0] = 0
             share = np.diff(np.c_[np.zeros(len(t)), 1 - over, np.ones(len(t))], axis=1)
             p = over[:, 0] if over.shape[1] else np.zeros(len(t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(over.sum(1)), pa.array(p), pa.array(share.argmax(1), pa.int32()), pa.array(p >= 0.5)], ["doc_id", "expected_severity", "p_toxic", "grade", "toxic"])
