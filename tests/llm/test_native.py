@@ -125,10 +125,10 @@ def test_estimate_is_the_plain_one(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(size=(5, 5))
     cov, mean = a @ a.T + np.eye(5), rng.normal(size=5)
-    row = {"g": "x"} | {f"m_{i}": float(mean[i]) for i in range(5)} | {f"c_{i}{j}": float(cov[i, j]) for i in range(5) for j in range(i + 1)}
+    row = {"__g": "x"} | {f"m_{i}": float(mean[i]) for i in range(5)} | {f"c_{i}{j}": float(cov[i, j]) for i in range(5) for j in range(i + 1)}
     estimate = _inverse_root(spark.createDataFrame([row]))
     x = rng.normal(size=(20, 5))
-    points = spark.createDataFrame([("x", *map(float, v)) for v in x], "g string, " + ", ".join(f"{s[0]} double" for s in STATISTICS))
+    points = spark.createDataFrame([("x", *map(float, v)) for v in x], "__g string, " + ", ".join(f"{s[0]} double" for s in STATISTICS))
     got = sorted(r["d2"] for r in _with_distance(points, estimate).collect())
     want = sorted(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))
     assert np.allclose(got, want)
