@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from planegrid.functions.scalar import dequantize, quantize
 from planegrid.operators.digests import crc16
 from planegrid.operators.distortion import sad, satd, ssd
+from planegrid.operators.reports import read_ue, spaced
+from planegrid.operators.statistics import shot_changes
 from planegrid.sources.annexb import protect, tokenize, unprotect, write_stream
 from planegrid.sources.rawvideo import planes, written
 from planegrid.streaming.output import bumped, finished
@@ -98,3 +100,20 @@ def test_bumping_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("user_id long, seq long, poc long").parquet(str(tmp_path / "in"))
     got = finished(bumped(stream), "append").orderBy("user_id", "output").collect()
     assert [(r["user_id"], r["poc"]) for r in got] == [(u, p) for u in (1, 2) for p in range(9)]
+
+
+def test_changes_keep_their_distance(spark):
+    df = spark.createDataFrame([([3, 5, 8, 9, 15, 30, 36],), ([],)], "f array<bigint>")
+    assert [r[0] for r in df.select(spaced(F.col("f"), 5)).collect()] == [[3, 9, 15, 30, 36], []]
+
+
+def test_shot_change_stands_out(spark):
+    d = [10, 12, 9, 11, 10, 12, 300, 11, 10, 9, 12, 10, 11, 10]
+    df = spark.createDataFrame(list(enumerate(d, 2)), "frame long, difference long")
+    got = [(r["frame"], r["stands_out"]) for r in shot_changes(df).collect()]
+    assert (8, True) in got and sum(s for _, s in got) == 1
+
+
+def test_codes_are_read_in_turn(spark):
+    bits = spark.createDataFrame([("1" + "010" + "00111" + "0001000" + "1",)], "b string")
+    assert bits.select(read_ue(F.col("b"), 4)).first()[0] == [0, 1, 6, 7]
