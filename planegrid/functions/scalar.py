@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planegrid.plans.registry import BLOCKS, COEFFICIENTS, PAIRS, SAMPLES, query
+from planegrid.plans.registry import COEFFICIENTS, PAIRS, SAMPLES, query
 from planegrid.sources.tables import block_pairs, blocks, coefficients, samples, table
 
 

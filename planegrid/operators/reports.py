@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planegrid.functions.scalar import exp_golomb
-from planegrid.operators.distortion import hadamard, psnr, ssd
+from planegrid.operators.digests import checksum
+from planegrid.operators.distortion import hadamard, psnr, ssd, tile_satd
 from planegrid.operators.filters import LUMA, along_x
 from planegrid.operators.references import _DOCKETS, _EDGES, dockets, edges, stream
 from planegrid.operators.statistics import hist_difference, shot_changes
@@ -69,8 +70,6 @@ SELECT block, label, round(CASE WHEN sse = 0 THEN 999.0 ELSE 10 * log10(65025.0
 )
 def picture_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality, digest and header of each picture side by side."""
-    from planegrid.operators.digests import checksum
-
     quality = block_pairs(spark, sf_dir).select("block", F.round(psnr(ssd(F.col("src"), F.col("ref")), 64), 4).alias("psnr"))
     return blocks(spark, sf_dir).select("block", "label", checksum(F.col("px"), 8).alias("checksum")).join(quality, "block")
 
@@ -85,8 +84,6 @@ def output_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("satd_tiled", f"SELECT block, CASE block % 3 WHEN 0 THEN s8.satd WHEN 1 THEN s4.satd ELSE s2.satd END AS satd FROM ({ORACLES['satd8']}) s8 JOIN ({ORACLES['satd4']}) s4 USING (block) JOIN ({ORACLES['satd2']}) s2 USING (block)")
 def satd_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transform by the shape that is measured: 8, 4 or 2 samples wide."""
-    from planegrid.operators.distortion import tile_satd
-
     own = block_pairs(spark, sf_dir).withColumn("d", F.zip_with("src", "ref", lambda a, b: a - b))
     for n in (2, 4, 8):
         own = hadamard(own, "d", n, f"t{n}")
