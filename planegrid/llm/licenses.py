@@ -1,10 +1,10 @@
 """License scans with a positional index of rare words.
 
-The index holds, for each word of the licence templates, the templates and places where it stands.
-A file looks up the licence words that it has with the highest IDF over all files; each occurrence
-votes for a template laid over the file at one place. A place with votes of two different words is
-opened: the template's key phrase must stand there word for word, and the score is the share
-of the template's words that do.
+The index holds, for the two words of each template's key phrase with the highest IDF over all files,
+the templates and places where they stand. Every file looks up all of them; each occurrence votes for
+a template laid over the file at one place. A place with the votes of both words is opened: the key
+phrase must stand there word for word, and the score is the share of the template's words that do.
+Wherever a key phrase stands both words vote, so no place of one is missed, however many words a file has.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 from .common import documents
 from .words import Texts, grouped, word_hash
 
-#: Licence words that a file looks up, rarest first.
-RAREST = 16
-
 #: Bytes that no word has, after A-Z are lower-cased.
 BLANK = np.ones(256, bool)
 BLANK[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -104,7 +101,6 @@ def scan(
     idf: dict[str, float],
     templates: tuple[Template, ...] = TEMPLATES,
     phrases: tuple[tuple[str, str], ...] = PHRASES,
-    rarest: int = RAREST,
 ) -> DataFrame:
     """(doc_id, text) to doc_id, n_words, places (of the phrases) and hits (of the templates).
 
@@ -118,14 +114,17 @@ def scan(
         number = {w: i for i, w in enumerate(words)}
         weight = np.array([idf[w] for w in words])
         index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        laid = []
+        laid, voters = [], []
         for i, t in enumerate(templates):
             own = [number[w] for w in t.words.split()]
             key = [number[w] for w in t.key.split()]
             at = next(p for p in range(len(own)) if own[p : p + len(key)] == key)
             laid.append((np.array(own), at, len(key)))
-            for p, w in enumerate(own):
-                index[w].append((i, p))
+            rare = sorted(set(key), key=lambda w: (-weight[w], w))[:2]
+            voters.append(len(rare))
+            for w in rare:
+                index[w].append((i, at + key.index(w)))
+        rare = np.array(sorted(index))
         spoken = [([word_hash(w) for w in phrase.split()], label) for phrase, label in phrases]
         for b in grouped(batches):
             t = Texts(b.column(1), lower=True, blank=BLANK)
@@ -142,13 +141,12 @@ def scan(
                         places[doc[w]].append({"label": label, "first_word": int(w - t.first[doc[w]])})
             known = _known(h, vocabulary)
             hits: list[list[dict]] = [[] for _ in range(len(t))]
-            some = np.flatnonzero(known >= 0)
+            some = np.flatnonzero(np.isin(known, rare))
             cuts = np.searchsorted(doc[some], np.arange(len(t) + 1))
             for d in range(len(t)):
                 at = some[cuts[d] : cuts[d + 1]]
-                own = np.unique(known[at])
-                if len(own) > 1:
-                    hits[d] = _hits(at - t.first[d], known[t.first[d] : t.first[d + 1]], own[np.argsort(-weight[own], kind="stable")][:rarest], index, laid, templates)
+                if len(at):
+                    hits[d] = _hits(at - t.first[d], known[t.first[d] : t.first[d + 1]], index, laid, voters, templates)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -162,16 +160,15 @@ def scan(
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, {SCAN}")
 
 
-def _hits(at: np.ndarray, known: np.ndarray, rare: np.ndarray, index: dict, laid: list, templates: tuple[Template, ...]) -> list[dict]:
-    """Templates that stand in one file; known: its words' numbers, at: where these are not -1."""
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    looked = at[np.isin(known[at], rare)]
-    for p, w in zip(looked.tolist(), known[looked].tolist()):
+def _hits(at: np.ndarray, known: np.ndarray, index: dict, laid: list, voters: list[int], templates: tuple[Template, ...]) -> list[dict]:
+    """Templates that stand in one file; known: its words' numbers, at: where words of the index are."""
+    votes: dict[tuple[int, int], int] = defaultdict(int)
+    for p, w in zip(at.tolist(), known[at].tolist()):
         for i, q in index[w]:
-            votes[i, p - q].add(w)
+            votes[i, p - q] += 1
     out = []
-    for (i, first), voters in votes.items():
-        if len(voters) < 2:
+    for (i, first), n in votes.items():
+        if n < voters[i]:
             continue
         own, key, n = laid[i]
         if first + key < 0 or not np.array_equal(known[first + key : first + key + n], own[key : key + n]):
