@@ -291,7 +291,9 @@ def _crossing(rows: DataFrame, unit: DataFrame) -> DataFrame:
     shared = matrix.groupBy("token").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).where("u < v").select("token")
     flags = matrix.join(shared, "token").groupBy("lead").agg(F.collect_list("token").alias("flags"))  # at most a block's union
     least = rows.groupBy("lead").agg(F.min("need").alias("least"))
-    flags = flags.join(least, "lead").where(F.size("flags") >= F.col("least")).select(F.col("lead").alias("l"), "flags")
+    # a leader without shared tokens has no flags; its classes that may lack all of their half are opened nonetheless
+    flags = least.join(flags, "lead", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<bigint>")))
+    flags = flags.where(F.size("flags") >= F.col("least")).select(F.col("lead").alias("l"), "flags")
     members = rows.select("cls", "lead", "n", "text").groupBy("lead")
     open_ = saved(members.cogroup(flags.groupBy("l")).applyInArrow(lambda x, y: _open(x, y), "cls bigint, lead bigint, n bigint, text string"))
     # A link joins two open classes, so these alone go on, with all their shingles.
@@ -313,7 +315,7 @@ def _crossing(rows: DataFrame, unit: DataFrame) -> DataFrame:
 
 
 def _open(rows: pa.Table, flags: pa.Table) -> pa.Table:
-    """One leader's classes that have enough of their half in other units."""
+    """One leader's classes that have enough of their half in other units, or may lack all of it."""
     if not len(flags) or not len(rows):
         return rows.slice(0, 0)
     rows = rows.combine_chunks()
