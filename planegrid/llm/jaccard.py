@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import cut, documents, saved
 from .components import components
-from .words import Texts, grouped, mixed, window_hashes
+from .words import Texts, block_name, grouped, mixed, window_hashes
 
 WIDTH = 5
 #: Two sets link when PARTS * intersection >= SHARE * union.
@@ -101,7 +101,7 @@ def _scatter(parts: int):  # noqa: ANN202
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in grouped(batches, size=BATCH):
+        for ordinal, b in enumerate(grouped(batches, size=BATCH)):
             sets = shingle_sets(b.column(1))
             keys = np.array([_key(s) if len(s) else 0 for s in sets], np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -118,8 +118,7 @@ def _scatter(parts: int):  # noqa: ANN202
             times = np.diff(np.r_[new, len(h)])
             shared = np.bincount(of[np.repeat(times > 1, times)], minlength=len(sets))
             h, owner = h[new], np.where(times > 1, _MANY, of[new]).astype(np.uint16)
-            # the block's name is that of its contents, so that a block made again has the same one
-            block = int(mixed(np.array([np.bitwise_xor.reduce(mixed(keys.view(np.uint64) + np.arange(len(keys), dtype=np.uint64)))], np.uint64))[0].view(np.int64))
+            block = block_name(keys.view(np.uint64), ordinal)
             part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             low = mixed(h).astype(np.uint32)  # 32 bits tell enough inside a range; a chance match only keeps a document

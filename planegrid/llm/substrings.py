@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, documents, saved
-from .words import Texts, grouped, mixed, window_hashes
+from .words import Texts, block_name, grouped, window_hashes
 
 WINDOW = 35
 #: Words of a k-mer; half a window's at most.
@@ -75,12 +75,6 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.
     return at, kmers[at]
 
 
-def _block_name(h: np.ndarray) -> int:
-    """A block made again from the same rows has the same name."""
-    both = mixed(h ^ np.arange(len(h), dtype=np.uint64))
-    return int(mixed(np.array([np.bitwise_xor.reduce(both)], np.uint64))[0].view(np.int64)) if len(h) else 0
-
-
 def _scattered(h: np.ndarray, parts: int, block: int) -> tuple[list[tuple], np.ndarray]:
     """Rows by hash range of a block's distinct hashes, and which of its hashes are settled.
 
@@ -130,7 +124,7 @@ def _found(table: pa.Table, n: int, settled: bytes) -> np.ndarray:
 
 
 def _own_rows(table: pa.Table) -> list[dict]:
-    """The rows of a block itself: several where blocks of equal rows share a name."""
+    """The row of a block itself."""
     return table.filter(pa.compute.less(table.column("part"), 0)).to_pylist()
 
 
@@ -138,11 +132,11 @@ def _scatter_anchors(parts: int, window: int):  # noqa: ANN202
     """(key, text) to packed rows of the texts' anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in grouped(batches, size=BATCH):
+        for ordinal, b in enumerate(grouped(batches, size=BATCH)):
             keys = np.array(b.column(0), np.int64)
             t = Texts(b.column(1))
             at, kmer = anchors(t.hashes(), t.first, window)
-            block = _block_name(keys.view(np.uint64))
+            block = block_name(keys.view(np.uint64), ordinal)
             rows, settled = _scattered(kmer, parts, block)
             doc = np.searchsorted(t.first, at, "right") - 1
             counts = np.bincount(doc, minlength=len(t)).astype(np.int32)
@@ -175,7 +169,7 @@ def _nodes(table: pa.Table) -> pa.Table:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(key, at, node, next, gap) of each place to (node, path, away): the compacted paths' nodes behind their first one.
+    """(key, at, node, next, gap, copies) of each place to (node, path, away): the compacted paths' nodes behind their first one.
 
     An edge is used if it repeats, no other repeated edge leaves its first node, and none enters its
     second. A text that runs along such edges is a stretch of one path, so a node first takes the
@@ -183,7 +177,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     joined to what leads there by pointer doubling. That ends when no further node arrives at a first
     node; nodes of a circle, which has none, stay by themselves.
     """
-    edges = nodes.where("next IS NOT NULL AND node <> next").groupBy("node", "next", "gap").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    edges = nodes.where("next IS NOT NULL AND node <> next").groupBy("node", "next", "gap").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
     edges = cut(edges)
     out = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("next").alias("next"), F.first("gap").alias("gap")).where("n = 1").drop("n")
     into = edges.groupBy("next").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("next")
@@ -205,11 +199,16 @@ def paths(nodes: DataFrame) -> DataFrame:
         behind, arrived = behind.drop("there"), now
 
 
-def spans(docs: DataFrame, parts: int, window: int) -> DataFrame:
-    """(key, text) to (key, path, lo, hi): from the first to the last anchor that a text has in line with a path."""
+def places(docs: DataFrame, parts: int, window: int) -> DataFrame:
+    """(key, text) to (key, at, node, next, gap, copies): the places of repeated anchors, once for all copies of a text."""
     packed = docs.mapInArrow(_scatter_anchors(parts, window), _RANGE)
     met = packed.groupBy("part").applyInArrow(_meet, _RANGE)
-    nodes = saved(met.groupBy("block").applyInArrow(_nodes, NODES))
+    return met.groupBy("block").applyInArrow(_nodes, NODES).groupBy("key", "at", "node", "next", "gap").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def spans(docs: DataFrame, parts: int, window: int) -> DataFrame:
+    """(key, text) to (key, path, lo, hi): from the first to the last anchor that a text has in line with a path."""
+    nodes = saved(places(docs, parts, window))
     placed = nodes.select("key", "at", "node").join(paths(nodes), "node", "left")
     placed = placed.select("key", "at", F.coalesce("path", "node").alias("path"), (F.col("at") - F.coalesce("away", F.lit(0))).alias("line"))
     return placed.groupBy("key", "path", "line").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).drop("line")
@@ -219,7 +218,7 @@ def _scatter_windows(parts: int, window: int):  # noqa: ANN202
     """(key, text, spans) to packed rows of the windows that hold a part of a span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in grouped(batches, size=BATCH):
+        for ordinal, b in enumerate(grouped(batches, size=BATCH)):
             keys = np.array(b.column(0), np.int64)
             t = Texts(b.column(1))
             h = t.hashes()
@@ -234,7 +233,7 @@ def _scatter_windows(parts: int, window: int):  # noqa: ANN202
             inside = np.cumsum(edge[:-1]) > 0
             at = np.flatnonzero(inside)
             hashes = window_hashes(h, window)[at] if len(at) else np.zeros(0, np.uint64)
-            block = _block_name(keys.view(np.uint64))
+            block = block_name(keys.view(np.uint64), ordinal)
             rows, settled = _scattered(hashes, parts, block)
             starts = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)) == 1)
             begins = starts[np.r_[True, np.diff(starts) > 0]] if len(starts) else starts

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 PIECE = 1 << 20
 #: Texts of about so many bytes are handled together.
@@ -129,6 +130,17 @@ def word_hash(word: str) -> int:
     return int(Texts(pa.array([word])).hashes()[0])
 
 
+def block_name(h: np.ndarray, ordinal: int) -> int:
+    """A task's block of this ordinal, whose rows have these hashes.
+
+    A block made again from the same rows has the same name; blocks of equal rows have different ones.
+    """
+    place = (TaskContext.get().partitionId() << 32) + ordinal
+    with np.errstate(over="ignore"):
+        rows = np.bitwise_xor.reduce(mixed(h ^ np.arange(len(h), dtype=np.uint64))) if len(h) else np.uint64(0)
+        return int(mixed(mixed(np.array([place], np.uint64)) + rows)[0].view(np.int64))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = GROUP) -> Iterator[pa.RecordBatch]:
     """The batches, cut into runs of rows whose texts have about ``size`` bytes together."""
     for batch in batches:
