@@ -97,14 +97,16 @@ def test_near_components_of_nothing(none):
     assert near_components(none).count() == 0
 
 
-def test_packing_round_trip(docs, rows):
+def test_packing_round_trip(spark, docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    got = packing.packed_documents(docs).collect()
+    own = [*((d, t) for d, t, *_ in rows), (900, "<|endoftext|> one <|endoftext|>"), (901, "y" * 260_000)]
+    more = spark.createDataFrame(own[-2:], "doc_id long, text string")
+    got = packing.packed_documents(docs.select("doc_id", "text").union(more)).collect()
     want = []
-    for d, t, *_ in rows:
+    for d, t in own:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         n = len(ids)
         cuts = [0, *range(n % 2048 or min(n, 2048), n + 1, 2048)]
@@ -163,13 +165,21 @@ def best(items, capacity):
 
 
 def test_both_encoders_give_the_same_ids():
+    """Every assigned code point in several contexts, special strings, blanks, and words of over 200,000 characters."""
     import public_tokenizers as p
+    from tokenizers import Tokenizer
 
     at = p.path("byte_bpe_50k")
-    e = packing._Encoder(f"{at}.json", f"{at}.tiktoken", p.PATTERN)
-    for t in ["", " ", "  a  b\n\n c", "don't  über 12345 ###", "x" * 3000, "<|endoftext|> a", "　x\x1c  y", "日本語 text"]:
-        want = np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        assert e(t) == want, t
+    e, tok = packing._Encoder(f"{at}.json", f"{at}.tiktoken", p.PATTERN), Tokenizer.from_file(f"{at}.json")
+    rng = random.Random(4)
+    texts = ["", " ", "  a  b\n\n c", "don't 'S  über 12345 ###", "　x\x1c  y", "日本語 text"]
+    texts += ["<|endoftext|>", "<|endoftext|> a", "a<|endoftext|>b  <|endoftext|><|endoftext|> ", "<|endoftext|", "< |endoftext|>"]
+    texts += [x * 250_000 for x in ("x", " ", "\n", "#", "<|endoftext|> ")]
+    texts += ["".join(rng.choice("abcdefgh+/019") for _ in range(250_000)), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(210_000))]
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i >> 16 in (0, 1, 2, 3, 14) or i % 31 == 0)]
+    texts += ["".join(f"a{c}1 {c}b  {c}\n" for c in points[i : i + 4000]) for i in range(0, len(points), 4000)]
+    for t in texts:
+        assert e(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:80]
 
 
 def test_token_counts(docs, rows):
