@@ -257,14 +257,13 @@ def option_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("timecode", "SELECT event_id, (hour(ts))::INT AS hours, minute(ts)::INT AS minutes, second(ts)::INT AS seconds, (epoch_us(ts) % 1000000 * 25 // 1000000)::INT AS frames, epoch_us(ts) * 9 // 100 AS ticks FROM events")
 def timecode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clock fields, frames at 25 a second, and 90 kHz ticks."""
-    us = F.unix_micros(F.to_timestamp("ts"))
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.to_timestamp("ts"))).select(
         "event_id",
         F.hour("ts").alias("hours"),
         F.minute("ts").alias("minutes"),
         F.second("ts").alias("seconds"),
-        F.floor(us % 1000000 * 25 / 1000000).cast("int").alias("frames"),
-        F.floor(us * 9 / 100).alias("ticks"),
+        F.expr("CAST(us % 1000000 * 25 DIV 1000000 AS INT)").alias("frames"),
+        F.expr("us * 9 DIV 100").alias("ticks"),
     )
 
 

@@ -37,7 +37,9 @@ def test_same_as_sql(spark, duck, name):
     assert list(own.columns) == list(sql.columns)
     assert len(own) == len(sql)
     for k in own.columns:
-        if own[k].dtype.kind in "fiu" and sql[k].dtype.kind in "fiu":
+        if own[k].dtype.kind in "iu" and sql[k].dtype.kind in "iu":
+            assert (own[k].to_numpy() == sql[k].to_numpy()).all(), k
+        elif own[k].dtype.kind in "fiu" and sql[k].dtype.kind in "fiu":
             assert np.allclose(own[k].astype(float), sql[k].astype(float), equal_nan=True), k
         else:
             assert (own[k].astype(str) == sql[k].astype(str)).all(), k
