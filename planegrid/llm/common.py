@@ -26,7 +26,10 @@ def _ready(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/planegrid")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints/planegrid")
     gc.collect()
     sc._jvm.System.gc()
 
@@ -45,6 +48,17 @@ def uniform(*key: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") + 0.5) * F.lit(2.0**-53)
 
 
+def row_name(*columns: str) -> Column:
+    """A 128-bit name of a row's values in these columns; nulls and lengths are part of it."""
+    parts = [x for c in columns for x in (F.coalesce(F.char_length(F.col(c).cast("string")), F.lit(-1)).cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    return F.md5(F.concat_ws("\u0001", *parts))
+
+
+def ranges(spark: SparkSession) -> int:
+    """Hash ranges that packed hashes are dealt into: a few per shuffle partition, however large the input."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def number_within(df: DataFrame, groups: list[str], identity: list[str], name: str, buckets: int = 512) -> DataFrame:
     """Add ``name``: a number from 0 without gaps inside each group, in no task a whole group.
 

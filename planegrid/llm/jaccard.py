@@ -4,8 +4,8 @@ Documents with equal shingle sets are one class. Three steps find what connects
 
 1. A class of n shingles that links with another one lacks at most n // 4 of its own shingles there.
    So of its *half* (the shingles of even hash) all but n // 4 must occur in other classes. Shingles
-   travel in packed blocks by hash range, and what comes back to each block of documents is a count per
-   document. Most documents end here.
+   travel packed by hash range, a few ranges per shuffle partition, and are unpacked and counted there;
+   what comes back is a count per document. Most documents end here.
 2. The rest is partitioned into groups: classes that share the smallest of several permuted hashes. Inside
    blocks of a group, classes join the leaders that they link with, and the leaders of a group's blocks meet
    again in others. Classes joined are a unit: connected, whatever else links inside.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, saved
+from .common import cut, documents, ranges, saved
 from .components import components
 from .words import Texts, block_name, grouped, mixed, window_hashes
 
@@ -38,8 +38,6 @@ VOTES = 8
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Times that leaders meet.
 LEVELS = 3
-#: Bytes of text whose shingles make one hash range.
-RANGE_BYTES = 8 << 20
 BATCH = 6 << 20
 _MANY = 0xFFFF
 
@@ -84,23 +82,22 @@ def half(s: np.ndarray) -> np.ndarray:
     return s[(s & np.uint64(1)) == 0]
 
 
-_PACKED = "part int, block bigint, doc_ids array<bigint>, a binary, b binary, c binary"
-_PACKED_ARROW = [("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
-
-
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _PACKED_ARROW)], [n for n, _ in _PACKED_ARROW])
+_DOC = [("owner", pa.int32()), ("doc_id", pa.int64()), ("own", pa.string()), ("cls", pa.int64()), ("n", pa.int64()), ("need", pa.int64())]
+_PACKED = "part int, block bigint, codes array<bigint>, docs array<struct<owner:int,doc_id:bigint,own:string,cls:bigint,n:bigint,need:bigint>>"
+_PACKED_NAMES = ["part", "block", "codes", "docs"]
 
 
 def _scatter(parts: int):  # noqa: ANN202
-    """Texts to packed blocks: a row per hash range, and one row of the documents themselves.
+    """(doc_id, text, own) to packed blocks: a row per hash range, and one row of the documents themselves.
 
-    A shingle that several documents of a block share is settled there: it counts for all of them and
-    goes out once, as one that counts for none, so a frequent shingle costs a row per block only.
+    A code is 32 bits of a shingle's hash, which tell enough inside a range (a chance match only keeps a
+    document), and 16 of the document's number in the block. A shingle that several documents of a block
+    share is settled there: it counts for all of them and goes out once, as one that counts for none, so a
+    frequent shingle costs a code per block only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_type = pa.list_(pa.struct(_DOC))
         for ordinal, b in enumerate(grouped(batches, size=BATCH)):
             sets = shingle_sets(b.column(1))
             keys = np.array([_key(s) if len(s) else 0 for s in sets], np.int64)
@@ -117,70 +114,46 @@ def _scatter(parts: int):  # noqa: ANN202
             new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
             times = np.diff(np.r_[new, len(h)])
             shared = np.bincount(of[np.repeat(times > 1, times)], minlength=len(sets))
-            h, owner = h[new], np.where(times > 1, _MANY, of[new]).astype(np.uint16)
+            h, owner = h[new], np.where(times > 1, _MANY, of[new])
             block = block_name(keys.view(np.uint64), ordinal)
             part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            codes = (mixed(h) & np.uint64(0xFFFFFFFF)).astype(np.int64) << 16 | owner
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            low = mixed(h).astype(np.uint32)  # 32 bits tell enough inside a range; a chance match only keeps a document
-            rows = [(p, block, None, low[i:j].tobytes(), owner[i:j].tobytes(), None) for p, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
+            some = np.flatnonzero(np.diff(cuts))
+            packed = pa.ListArray.from_arrays(pa.array(np.r_[cuts[some], len(h)], pa.int32()), pa.array(codes))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), block)), packed, pa.nulls(len(some), docs_type)], _PACKED_NAMES)
             need = n_half - np.array([lacking(int(n)) for n in sizes]) - shared
-            rows.append((-1 - (block % parts), block, b.column(0).to_pylist(), keys.tobytes(), sizes.astype(np.int32).tobytes(), need.astype(np.int32).tobytes()))
-            yield _packed(rows)
+            rows = [pa.array(range(len(sets)), pa.int32()), b.column(0), b.column(2), pa.array(keys), pa.array(sizes), pa.array(need)]
+            docs = pa.ListArray.from_arrays(pa.array([0, len(sets)], pa.int32()), pa.StructArray.from_arrays(rows, [n for n, _ in _DOC]))
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([block]), pa.nulls(1, pa.list_(pa.int64())), docs], _PACKED_NAMES)
 
     return run
 
 
-def _meet_range(table: pa.Table) -> pa.Table:
-    """One hash range: for each block, its documents' shingles that other blocks have too."""
-    part = table.column("part")[0].as_py()
-    if part < 0:
-        return table
-    tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("a")]
-    owners = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("b")]
-    h, owner = np.concatenate(tokens), np.concatenate(owners)
-    row = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    found = np.zeros(len(h), bool)
-    found[order] = np.r_[False, same] | np.r_[same, False]
-    found &= owner != _MANY
-    code, times = np.unique(row[found] * (_MANY + 1) + owner[found], return_counts=True)
-    rows = []
-    blocks = table.column("block").to_pylist()
-    for i in np.unique(code >> 16).tolist():
-        at = code >> 16 == i
-        rows.append((part, blocks[i], None, (code[at] & _MANY).astype(np.uint16).tobytes(), times[at].astype(np.int32).tobytes(), None))
-    return pa.Table.from_batches([_packed(rows)])
-
-
-def _sum_block(table: pa.Table) -> pa.Table:
-    """One block: its documents with their class, size and whether enough shingles occur elsewhere."""
-    rest: np.ndarray | None = None
-    out = []
-    docs = [r for r in table.to_pylist() if r["part"] < 0]
-    for r in docs:
-        need = np.frombuffer(r["c"], np.int32).copy()
-        if rest is None:
-            rest = np.zeros(len(need), np.int64)
-            for a, b in ((x["a"], x["b"]) for x in table.to_pylist() if x["part"] >= 0):
-                np.add.at(rest, np.frombuffer(a, np.uint16), np.frombuffer(b, np.int32))
-        keys, sizes = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int32)
-        stays = (sizes > 0) & (need <= rest)
-        out.append(pa.table({"doc_id": pa.array(r["doc_ids"], pa.int64()), "cls": keys, "n": sizes.astype(np.int64), "stays": stays}))
-    empty = pa.table({"doc_id": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "stays": pa.array([], pa.bool_())})
-    return pa.concat_tables(out) if out else empty
+def classed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, own) to doc_id, own, cls, n (shingles) and stays: whether enough of the half occurs elsewhere."""
+    packed = saved(docs.mapInArrow(_scatter(ranges(docs.sparkSession)), _PACKED))
+    codes = packed.where("part >= 0").select("part", "block", "codes").repartition("part")
+    each = codes.select("part", "block", F.explode("codes").alias("code"))
+    each = each.select("part", "block", F.shiftright("code", 16).alias("h"), F.col("code").bitwiseAND(_MANY).cast("int").alias("owner"))
+    # a hash has a row per block at most, and its range is in this task already
+    again = each.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("part", "h"))).where((F.col("times") > 1) & (F.col("owner") != _MANY))
+    found = again.groupBy("block", "owner").agg(F.count(F.lit(1)).alias("found"))
+    rows = packed.where("part < 0").select("block", F.inline("docs"))
+    stays = (F.col("n") > 0) & (F.col("need") <= F.coalesce("found", F.lit(0)))
+    return rows.join(found, ["block", "owner"], "left").select("doc_id", "own", "cls", "n", stays.alias("stays"))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes' texts to (cls, n, bytes, text, votes): the smallest hash under each permutation."""
+    """(cls, text) to (cls, n, text, votes): the smallest hash under each permutation. A null cls is filled, one that is not the text's goes."""
     seeds = mixed(np.arange(1, VOTES + 1, dtype=np.uint64))
     for b in grouped(batches, "text"):
         sets = shingle_sets(b.column(1))
-        kept = [i for i, (c, s) in enumerate(zip(b.column(0).to_pylist(), sets)) if len(s) and _key(s) == c]
+        keys = [_key(s) if len(s) else None for s in sets]
+        kept = [i for i, (c, k) in enumerate(zip(b.column(0).to_pylist(), keys)) if k is not None and (c is None or c == k)]
         votes = [[int(mixed(sets[i] ^ s).min().view(np.int64)) for s in seeds] for i in kept]
-        own = b.take(pa.array(kept, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [own.column(0), pa.array([len(sets[i]) for i in kept], pa.int64()), own.column(1), pa.array(votes, pa.list_(pa.int64()))],
+            [pa.array([keys[i] for i in kept], pa.int64()), pa.array([len(sets[i]) for i in kept], pa.int64()), b.column(1).take(pa.array(kept, pa.int64())), pa.array(votes, pa.list_(pa.int64()))],
             ["cls", "n", "text", "votes"],
         )
 
@@ -217,13 +190,18 @@ def _attach(table: pa.Table) -> pa.Table:
             i = root[i]
         return i
 
+    # ordered by hash, two sets that link share one of the first shingles that either can lack, and one more
+    index: dict[int, list[int]] = {}
     for i, s in enumerate(sets):
-        for j in leaders:
+        prefix = s[: lacking(len(s)) + 1].tolist()
+        for j in sorted({j for x in prefix for j in index.get(x, ())}):
             if top(j) != top(i) and (cls[j] == cls[i] or linked(s, sets[j])):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
         if top(i) == i:
             leaders.append(i)
+            for x in prefix:
+                index.setdefault(x, []).append(i)
     of = [top(i) for i in range(len(sets))]
     members: dict[int, list[int]] = {}
     for i, j in enumerate(of):
@@ -262,7 +240,8 @@ def _units(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     for level in range(LEVELS):
         size = rows.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
         dealt = rows.join(size, "g").withColumn("sub", F.pmod(F.xxhash64("cls", F.lit(level)), F.col("blocks")))
-        own = saved(dealt.groupBy("g", "sub").applyInArrow(_with_group, T.StructType([*_UNIT, T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())])))
+        # dealt anew: the join has left a group's rows in one task
+        own = saved(dealt.repartition("g", "sub").groupBy("g", "sub").applyInArrow(_with_group, T.StructType([*_UNIT, T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())])))
         if found is None:
             found = own.drop("g", "again")
         else:
@@ -334,24 +313,23 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.array(b.column(i)), times), pa.int64()) for i in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["cls", "unit", "n", "token"])
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+def near_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, own) to doc_id, own, n_shingles, component_id and comp.
 
-    Texts without words, null ones among them, have no shingles and are their own component. Rows of
-    equal texts are one class, repeated rows too. A row without doc_id takes part, but names no
-    component; alone it has none. Texts are compared whole; other columns are left out; an empty table
-    stays empty. A document below its half's bound by itself (a few shingles, none of even hash) is kept
-    for the next step.
+    comp names the component (null for a row without shingles), component_id is its smallest doc_id.
+    Classes are named by 64 bits of their sets; ``own`` is carried along. A row without doc_id takes part
+    like any other, but names no component; where none of a component has one, component_id is null.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, int(size // RANGE_BYTES))
-    blocks = docs.mapInArrow(_scatter(parts), _PACKED)
-    met = blocks.groupBy("part").applyInArrow(_meet_range, _PACKED)
-    sets = cut(met.groupBy("block").applyInArrow(_sum_block, "doc_id bigint, cls bigint, n bigint, stays boolean"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("own").cast("string").alias("own"))
+    sets = cut(classed(docs))
     classes = cut(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.max("stays").alias("stays")))
-    texts = docs.join(classes.where("stays AND low IS NOT NULL").select(F.col("low").alias("doc_id"), "cls"), "doc_id").select("cls", "text")
-    voted = saved(texts.mapInArrow(_votes, "cls bigint, n bigint, text string, votes array<bigint>").dropDuplicates(["cls"]))
+    named = docs.join(classes.where("stays AND low IS NOT NULL").select(F.col("low").alias("doc_id"), "cls"), "doc_id").select("cls", "text")
+    voted = named.mapInArrow(_votes, "cls bigint, n bigint, text string, votes array<bigint>")
+    unnamed = classes.where("stays AND low IS NULL").select("cls")
+    if not unnamed.isEmpty():
+        alone = docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("cls"), "text")
+        voted = voted.unionByName(alone.mapInArrow(_votes, voted.schema).join(unnamed, "cls", "left_semi"))
+    voted = saved(voted.dropDuplicates(["cls"]))
     rows, links = _units(voted)
     leads = rows.select("lead").distinct()
     if links is None:
@@ -366,10 +344,22 @@ def near_components(docs: DataFrame) -> DataFrame:
     comp = of.join(joined, of["unit"] == joined["node"], "left").select("cls", F.coalesce("component", "unit").alias("comp"))
     named = comp.join(classes.select("cls", "low"), "cls")
     lowest = named.groupBy("comp").agg(F.min("low").alias("lowest"))
-    named = named.join(lowest, "comp").select("cls", "lowest")
-    names = cut(classes.join(named, "cls", "left").select("cls", F.coalesce("lowest", "low").alias("component_id")))
+    named = named.join(lowest, "comp").select("cls", "comp", "lowest")
+    names = cut(classes.join(named, "cls", "left").select("cls", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("comp", "cls").alias("comp")))
     found = sets.join(names, "cls", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", "own", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) to doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+
+    Texts without words, null ones among them, have no shingles and are their own component. Rows of
+    equal texts are one class, repeated rows too. A row without doc_id links like others, but names no
+    component; alone it has none. Texts are compared whole; other columns are left out; an empty table
+    stays empty. A document below its half's bound by itself (a few shingles, none of even hash) is kept
+    for the next step.
+    """
+    return near_rows(docs.select("doc_id", "text", F.lit(None).cast("string").alias("own"))).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_token_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,8 +141,12 @@ def block_name(h: np.ndarray, ordinal: int) -> int:
         return int(mixed(mixed(np.array([place], np.uint64)) + rows)[0].view(np.int64))
 
 
+#: Rows of a run at most: they are numbered in 15 bits.
+ROWS = 1 << 15
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = GROUP) -> Iterator[pa.RecordBatch]:
-    """The batches, cut into runs of rows whose texts have about ``size`` bytes together."""
+    """The batches, cut into runs of at most ``ROWS`` rows whose texts have about ``size`` bytes together."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         if not len(texts):
@@ -150,6 +154,6 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1 + texts.offset)[texts.offset :]
         i = 0
         while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, "right")) - 1)
+            j = min(i + ROWS, max(i + 1, int(np.searchsorted(ends, ends[i] + size, "right")) - 1))
             yield batch.slice(i, j - i)
             i = j

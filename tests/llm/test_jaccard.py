@@ -34,3 +34,31 @@ def test_short_texts_without_groups(spark, seed, monkeypatch):
         rows += [(i, " ".join(w)), (i + 1, " ".join([*w, "more"]))]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     assert got == plain.components(rows)
+
+
+def test_links_through_a_row_without_id(spark):
+    """A chain whose middle has no doc_id, and a chain that has none at all."""
+    rng = random.Random(3)
+    a = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    b = [*a[:-6], *(f"x{i}" for i in range(6))]
+    c = [*(f"y{i}" for i in range(6)), *b[6:]]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (3, " ".join(c)), (None, " ".join([*c, "z"])), (9, "no link here at all"), (None, "alone " * 9)]
+    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_components(own).collect()), key=str)
+    want = plain.components(rows)
+    assert got == sorted(((d, want[i]) for i, (d, _) in enumerate(rows)), key=str)
+    assert (3, 1) in got
+
+
+def test_packed_rows_follow_the_ranges_alone(spark):
+    """Rows a block sends out are bounded by the ranges, and the ranges do not follow the corpus."""
+    rng = random.Random(5)
+    own = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(300)), None) for i in range(200)], "doc_id long, text string, own string")
+    for n in (1, 4):
+        copies = own
+        for _ in range(n - 1):
+            copies = copies.unionByName(own)
+        packed = copies.coalesce(1).mapInArrow(jaccard._scatter(8), jaccard._PACKED)
+        blocks, rows = packed.select("block").distinct().count(), packed.count()
+        assert rows <= 9 * blocks
+    assert jaccard.ranges(spark) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
