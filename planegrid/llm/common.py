@@ -54,6 +54,19 @@ def row_name(*columns: str) -> Column:
     return F.md5(F.concat_ws("\u0001", *parts))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row per ``key`` and in n how many of ``rows`` hold it.
+
+    A key of over one in ``most`` of these rows is joined by broadcast, the others by Spark's choice, so no
+    task gets all rows of a frequent key; at most ``most`` keys are broadcast. ``how`` is inner or left.
+    Both are evaluated twice, so they must be cut.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    often, rare = (table.where(c).drop("n") for c in (F.col("n") * most > total, F.col("n") * most <= total))
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rare, key, how)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def ranges(spark: SparkSession) -> int:
     """Hash ranges that packed hashes are dealt into: a few per shuffle partition, however large the input."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -5,22 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-
-#: A node of more than one in so many ends of edges is joined by broadcast; there are at most as many of them.
-HOT = 1000
-
-
-def _with_low(ends: DataFrame, low: DataFrame, node: str) -> DataFrame:
-    """``ends`` with the low of their ``node``; low: (node, low, n), n being the node's rows in ``ends``.
-
-    A node that holds over one in ``HOT`` rows does not meet them in one task: at most ``HOT`` nodes are such.
-    """
-    total = low.agg(F.sum("n")).first()[0] or 0
-    often = F.broadcast(low.where(F.col("n") * HOT > total).drop("n"))
-    rare = low.where(F.col("n") * HOT <= total).drop("n")
-    return ends.join(often, node).unionByName(ends.join(rare, node))
+from .common import cut, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,11 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     seen = None
     while True:
-        both = pairs.union(pairs.select("b", "a"))
+        both = pairs.unionAll(pairs.select("b", "a"))
         low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n")))
-        large = cut(_with_low(both, low, "a").where("b > a").select(F.col("low").alias("a"), "b").distinct())
+        large = cut(spread_join(both, low, "a").where("b > a").select(F.col("low").alias("a"), "b").distinct())
         low = cut(large.groupBy("b").agg(F.min("a").alias("low"), F.count(F.lit(1)).alias("n")))
-        small = _with_low(large, low, "b")
+        small = spread_join(large, low, "b")
         pairs = cut(small.select(F.col("low").alias("a"), "b").union(small.where("a <> low").select("low", "a")).distinct())
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:

@@ -1,16 +1,17 @@
 """Substring dedup on a compacted de Bruijn graph of token k-mers.
 
-A window of 35 words that occurs twice holds the same k-mers in both places, and the same one of them is
-its smallest by hash: its anchor. So the graph needs anchors only, about one word in 13.
-
-1. Anchors travel in packed blocks by hash range; each block of texts learns which of its anchors
-   occur elsewhere, or twice in the block.
-2. These are the nodes. Two that follow each other in a text are an edge, labelled with the words
-   between them; edges that repeat and do not branch at either end are compacted into paths by
-   pointer doubling over Spark joins.
-3. A text's anchors on one path, in line with it, are a span with source coordinates. The windows of the
-   spans are verified: each window's hash is looked up among those of all spans, again by hash
-   ranges, and the words of windows found more than once are covered.
+A window of 35 words that occurs twice holds the same words of smallest hash in both places: its anchor, a run of
+K words. Where a long passage repeats, both places have the same anchors in between, so the graph is made
+of anchors alone, about one word in 13.
+
+1. Anchors are the nodes. The k-mer from an anchor to the end of the next one in its text, a run of a few
+   dozen words, is an edge between its two ends, labelled with all of its words.
+2. Edges that repeat and do not branch at either end are compacted into paths, by pointer doubling over
+   Spark joins. A run of a text's edges along a path has source coordinates: where it begins and ends in the
+   text, and in the path. All runs that cover the same stretch of a path have the same words there, so a
+   window inside two runs is a repeat; one sweep along each path finds these stretches.
+3. Windows that reach over an end of a run (where texts part, or paths branch) are verified by their words: a
+   hash of each meets those of the others, and of every stretch of a path once.
 """
 
 from __future__ import annotations
@@ -24,24 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, saved
-from .words import Texts, block_name, grouped, window_hashes
+from .common import cut, documents, saved, spread_join
+from .words import Texts, grouped, mixed, window_hashes
 
 WINDOW = 35
-#: Words of a k-mer; half a window's at most.
+#: Words of an anchor; half a window's at most.
 K = 10
-#: Bytes of text whose windows make one hash range.
-RANGE_BYTES = 8 << 20
 BATCH = 6 << 20
-_MANY = 0xFFFFFFFF
-
-_RANGE = "part int, block bigint, a binary, b binary, c binary, d binary, e binary"
-_RANGE_ARROW = [("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in "abcde")]
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(_RANGE_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _RANGE_ARROW)], [n for n, _ in _RANGE_ARROW])
 
 
 def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
@@ -128,62 +118,57 @@ def _own_rows(table: pa.Table) -> list[dict]:
     return table.filter(pa.compute.less(table.column("part"), 0)).to_pylist()
 
 
-def _scatter_anchors(parts: int, window: int):  # noqa: ANN202
-    """(key, text) to packed rows of the texts' anchors."""
+PLACES = "key bigint, at int, node bigint, next bigint, edge bigint, gap int"
+
+
+def _anchor_rows(window: int):  # noqa: ANN202
+    """(key, text) to a row per anchor: its word in the text, its hash, and the edge to the next anchor."""
+    k = kmer_words(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ordinal, b in enumerate(grouped(batches, size=BATCH)):
+        for b in grouped(batches, size=BATCH):
             keys = np.array(b.column(0), np.int64)
             t = Texts(b.column(1))
-            at, kmer = anchors(t.hashes(), t.first, window)
-            block = block_name(keys.view(np.uint64), ordinal)
-            rows, settled = _scattered(kmer, parts, block)
+            h = t.hashes()
+            at, node = anchors(h, t.first, window)
             doc = np.searchsorted(t.first, at, "right") - 1
-            counts = np.bincount(doc, minlength=len(t)).astype(np.int32)
+            follows = np.r_[doc[1:] == doc[:-1], False] if len(at) else np.zeros(0, bool)
+            then = np.where(follows, np.r_[at[1:], 0], at) if len(at) else at
+            edge = np.zeros(len(at), np.uint64)
+            if len(at):
+                kmers = window_hashes(h, k)
+                for i in range(-(-(window - k + 1) // k) + 1):  # k-mers side by side, the last one at the end
+                    edge = mixed(edge * np.uint64(3) + kmers[np.minimum(at + i * k, then)])
             place = (at - t.first[doc]).astype(np.int32)
-            rows.append((-1 - block % parts, block, keys.tobytes(), counts.tobytes(), place.tobytes(), kmer.tobytes(), np.packbits(settled).tobytes()))
-            yield _rows(rows)
+            columns = [pa.array(keys[doc]), pa.array(place), pa.array(node.view(np.int64))]
+            columns += [pa.array(x, mask=~follows) for x in (np.roll(node, -1).view(np.int64), edge.view(np.int64), (then - at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "at", "node", "next", "edge", "gap"])
 
     return run
 
 
-NODES = "key bigint, at int, node bigint, next bigint, gap int"
-
-
-def _nodes(table: pa.Table) -> pa.Table:
-    """One block: its anchors that occur elsewhere, with the next anchor of the text if that does too."""
-    parts = []
-    for r in _own_rows(table):
-        place, kmer = np.frombuffer(r["c"], np.int32), np.frombuffer(r["d"], np.int64)
-        key = np.repeat(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int32))
-        doc = np.repeat(np.arange(len(r["b"]) // 4), np.frombuffer(r["b"], np.int32))
-        found = _found(table, len(place), r["e"])
-        follows = np.zeros(len(place), bool)
-        follows[:-1] = found[:-1] & found[1:] & (doc[:-1] == doc[1:]) if len(place) else False
-        nxt, gap = np.roll(kmer, -1), np.roll(place, -1) - place
-        columns = [key, place, kmer, nxt, gap]
-        masks = [None, None, None, ~follows, ~follows]
-        parts.append(pa.table([pa.array(c[found], mask=None if m is None else m[found]) for c, m in zip(columns, masks)], names=["key", "at", "node", "next", "gap"]))
-    empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())], names=["key", "at", "node", "next", "gap"])
-    return pa.concat_tables(parts) if parts else empty
+def places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, text) to (key, at, node, next, edge, gap, copies): the anchors' places, once for all copies of a text."""
+    return docs.mapInArrow(_anchor_rows(window), PLACES).groupBy("key", "at", "node", "next", "edge", "gap").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(key, at, node, next, gap, copies) of each place to (node, path, away): the compacted paths' nodes behind their first one.
+def paths(nodes: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places of repeated anchors, and (node, n) of these, to the places with goes, and (node, path, away).
 
-    An edge is used if it repeats, no other repeated edge leaves its first node, and none enters its
-    second. A text that runs along such edges is a stretch of one path, so a node first takes the
-    longest stretch that leads to it in any text; stretches that begin inside a path are
-    joined to what leads there by pointer doubling. That ends when no further node arrives at a first
-    node; nodes of a circle, which has none, stay by themselves.
+    goes: whether the text follows an edge of a path here. An edge is used if it repeats, no other repeated
+    edge leaves its first node, and none enters its second. A text that runs along such edges is a
+    stretch of one path, so a node first takes the longest stretch that leads to it in any text;
+    stretches that begin inside a path are joined to what leads there by pointer doubling. That ends when
+    no further node arrives at a first node; first nodes, and those of a circle, which has none, have no row.
     """
-    edges = nodes.where("next IS NOT NULL AND node <> next").groupBy("node", "next", "gap").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
+    edges = nodes.where("next IS NOT NULL AND node <> next").groupBy("node", "next", "edge", "gap").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
     edges = cut(edges)
-    out = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("next").alias("next"), F.first("gap").alias("gap")).where("n = 1").drop("n")
-    into = edges.groupBy("next").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("next")
-    single = out.join(into, "next").select("node", F.lit(True).alias("single"), F.col("next").alias("to"), F.col("gap").alias("by"))
-    text = Window.partitionBy("key").orderBy("at")
-    placed = nodes.join(single, "node", "left").select("key", "at", "node", F.coalesce(F.col("single") & (F.col("next") == F.col("to")) & (F.col("gap") == F.col("by")), F.lit(False)).alias("goes"))
+    out = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("next").alias("to"), F.first("edge").alias("by")).where("n = 1").drop("n")
+    into = edges.groupBy("next").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("next").alias("to"))
+    single = cut(out.join(into, "to").join(often, "node").select("node", "to", "by", "n"))
+    goes = F.coalesce((F.col("next") == F.col("to")) & (F.col("edge") == F.col("by")), F.lit(False))
+    placed = saved(spread_join(nodes, single, "node", "left").select("key", "at", "node", "gap", "copies", goes.alias("goes")))
+    text = Window.partitionBy("key").orderBy("at")  # one text's anchors
     begins = placed.select("key", "at", "node", F.when(F.coalesce(F.lag("goes").over(text), F.lit(False)), None).otherwise(F.struct("at", "node")).alias("b"))
     stretch = begins.select("node", "at", F.last("b", ignorenulls=True).over(text).alias("b"))
     behind = stretch.groupBy("node").agg(F.max(F.struct((F.col("at") - F.col("b.at")).cast("long").alias("away"), F.col("b.node").alias("path"))).alias("m"))
@@ -195,85 +180,132 @@ def paths(nodes: DataFrame) -> DataFrame:
         behind = cut(joined.select("node", F.coalesce("path2", "path").alias("path"), (F.col("away") + F.coalesce("away2", F.lit(0))).alias("away"), F.col("path2").isNull().alias("there")))
         n, now = behind.agg(F.count(F.lit(1)), F.count_if("there")).first()
         if now == n or now == arrived:
-            return behind.where("there").drop("there")
+            return placed, behind.where("there").drop("there")
         behind, arrived = behind.drop("there"), now
 
 
-def places(docs: DataFrame, parts: int, window: int) -> DataFrame:
-    """(key, text) to (key, at, node, next, gap, copies): the places of repeated anchors, once for all copies of a text."""
-    packed = docs.mapInArrow(_scatter_anchors(parts, window), _RANGE)
-    met = packed.groupBy("part").applyInArrow(_meet, _RANGE)
-    return met.groupBy("block").applyInArrow(_nodes, NODES).groupBy("key", "at", "node", "next", "gap").agg(F.count(F.lit(1)).alias("copies"))
+def runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, text) to (key, path, lo, hi, at, copies): each run of a text along a path.
 
+    lo and hi are words of the path, from the first anchor's first to behind the last anchor's last; at is
+    the text's word at lo.
+    """
+    every = saved(places(docs, window))
+    often = cut(every.groupBy("node").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 1").select("node", "n"))
+    placed, on = paths(saved(spread_join(every, often, "node")), often)
+    located = spread_join(placed, cut(on.join(often, "node")), "node", "left")
+    located = located.withColumns({"path": F.coalesce("path", "node"), "away": F.coalesce("away", F.lit(0)).cast("long")})
+    text = Window.partitionBy("key").orderBy("at")
+    back = lambda c: F.lag(c).over(text)
+    on_path = back("goes") & (back("path") == F.col("path")) & (back("away") + back("gap") == F.col("away"))
+    numbered = located.select("*", F.when(F.coalesce(on_path, F.lit(False)), 0).otherwise(1).alias("new"))
+    numbered = numbered.withColumn("run", F.sum("new").over(text))
+    found = numbered.groupBy("key", "run").agg(F.min("path").alias("path"), F.min("away").alias("lo"), (F.max("away") + kmer_words(window)).alias("hi"), F.min("at").alias("at"), F.max("copies").alias("copies"))
+    return found.drop("run")
 
-def spans(docs: DataFrame, parts: int, window: int) -> DataFrame:
-    """(key, text) to (key, path, lo, hi): from the first to the last anchor that a text has in line with a path."""
-    nodes = saved(places(docs, parts, window))
-    placed = nodes.select("key", "at", "node").join(paths(nodes), "node", "left")
-    placed = placed.select("key", "at", F.coalesce("path", "node").alias("path"), (F.col("at") - F.coalesce("away", F.lit(0))).alias("line"))
-    return placed.groupBy("key", "path", "line").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).drop("line")
 
+def swept(own: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Runs to (path, stretches, n), and (path, lo, hi, key, begin).
 
-def _scatter_windows(parts: int, window: int):  # noqa: ANN202
-    """(key, text, spans) to packed rows of the windows that hold a part of a span."""
+    A stretch (begin, end) holds the first words of the windows that lie in two runs or more; n are the path's
+    runs. The second table names, for every stretch of a path, one run that has it from ``begin`` on. A
+    path's distinct runs are at most the square of its anchors.
+    """
+    spans = own.groupBy("path", "lo", "hi").agg(F.sum("copies").alias("copies"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("path").orderBy("lo", "hi")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reach", F.max("hi").over(before))
+    # the second furthest end so far: what the furthest so far has beaten, or a run with copies by itself
+    second = F.greatest(F.least("hi", "reach"), F.when(F.col("copies") > 1, F.col("hi")))
+    second = F.when(F.col("reach").isNull() & (F.col("copies") < 2), None).otherwise(second)
+    spans = cut(spans.withColumn("second", second))
+    swept_ = spans.withColumn("second", F.max("second").over(along)).withColumn("next", F.lead("lo").over(along))
+    stretch = swept_.where("second IS NOT NULL").select("path", F.col("lo").alias("begin"), F.least("next", F.col("second") - window + 1).alias("end")).where("end > begin")
+    by_begin = Window.partitionBy("path").orderBy("begin")
+    isles = stretch.select("path", "begin", "end", F.when(F.lag("end").over(by_begin) == F.col("begin"), 0).otherwise(1).alias("new"))
+    isles = isles.withColumn("isle", F.sum("new").over(by_begin)).groupBy("path", "isle").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    stretches = isles.groupBy("path").agg(F.collect_list(F.struct("begin", "end")).alias("stretches"))
+    stretches = stretches.join(spans.groupBy("path").agg(F.sum("n").alias("n")), "path")
+    first = spans.where("reach IS NULL OR hi > reach").select("path", "lo", "hi", "key", F.greatest("lo", F.col("reach") - window + 1).alias("begin"))
+    return stretches, first
+
+
+RANGES = "array<struct<from:int,to:int>>"
+
+
+def graph_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, text) to a row per text with repeated anchors: key, copies, spans and removed.
+
+    removed: the words that the graph alone shows to repeat. spans: for each run its first and last word
+    (from, to), and the windows that it shows to others (begin to end).
+    """
+    own = saved(runs(docs, window))
+    stretches, first = swept(own, window)
+    own = spread_join(own, cut(stretches), "path", "left")
+    own = own.join(first.hint("merge"), ["path", "lo", "hi", "key"], "left")
+    shift = F.col("at") - F.col("lo")
+    inside = F.filter(
+        F.transform(F.coalesce("stretches", F.array().cast("array<struct<begin:bigint,end:bigint>>")), lambda r: F.struct(F.greatest(r["begin"], F.col("lo")).alias("a"), F.least(r["end"], F.col("hi") - window + 1).alias("z"))),
+        lambda r: r["z"] > r["a"],
+    )
+    removed = F.transform(inside, lambda r: F.struct((r["a"] + shift).cast("int").alias("from"), (r["z"] - 1 + window + shift).cast("int").alias("to")))
+    shown = F.when(F.col("begin").isNotNull() & (F.col("begin") <= F.col("hi") - window), F.col("begin") + shift)
+    span = F.struct(F.col("at").cast("int").alias("from"), (F.col("hi") + shift).cast("int").alias("to"), shown.cast("int").alias("begin"), (F.col("hi") - window + 1 + shift).cast("int").alias("end"))
+    # at most a text's anchors
+    return own.groupBy("key").agg(F.max("copies").alias("copies"), F.collect_list(span).alias("spans"), F.flatten(F.collect_list(removed)).cast(RANGES).alias("removed"))
+
+
+def _windows(window: int):  # noqa: ANN202
+    """(key, copies, spans, text) to a row per window that reaches over a run's end or that a run shows to others.
+
+    Copies of a text that follow each other in a task give their windows once.
+    """
+    k = kmer_words(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ordinal, b in enumerate(grouped(batches, size=BATCH)):
+        last = None
+        for b in grouped(batches, size=BATCH):
             keys = np.array(b.column(0), np.int64)
-            t = Texts(b.column(1))
+            new = np.r_[last is None or keys[0] != last, keys[1:] != keys[:-1]]
+            last = keys[-1]
+            b = b.filter(pa.array(new))
+            if not len(b):
+                continue
+            keys, copies = keys[new], np.array(b.column(1), np.int64)
+            t = Texts(b.column(3))
             h = t.hashes()
             lists = b.column(2)
             doc = np.repeat(np.arange(len(t)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
             flat = lists.flatten()
-            lo = np.maximum(np.array(flat.field("lo"), np.int64) - (window - kmer_words(window)), 0) + t.first[doc]
-            hi = np.minimum(np.array(flat.field("hi"), np.int64) + t.first[doc], t.first[doc + 1] - window) + 1
-            edge = np.zeros(len(h) + 1, np.int32)
-            np.add.at(edge, lo[lo < hi], 1)
-            np.add.at(edge, hi[lo < hi], -1)
-            inside = np.cumsum(edge[:-1]) > 0
-            at = np.flatnonzero(inside)
+            first, stop = t.first[doc], t.first[doc + 1] - window + 1  # where windows of the text begin, and end
+            field = lambda name: np.array(flat.field(name).fill_null(0), np.int64) + first
+            begin, end = field("from"), field("to")
+            near = _marked(len(h), np.maximum(begin - (window - k), first), np.minimum(end - k + 1, stop))
+            near &= ~_marked(len(h), begin, np.minimum(end - window + 1, stop))
+            shows = flat.field("begin").is_valid().to_numpy(zero_copy_only=False)
+            near |= _marked(len(h), field("begin")[shows], field("end")[shows])
+            at = np.flatnonzero(near)
             hashes = window_hashes(h, window)[at] if len(at) else np.zeros(0, np.uint64)
-            block = block_name(keys.view(np.uint64), ordinal)
-            rows, settled = _scattered(hashes, parts, block)
-            starts = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)) == 1)
-            begins = starts[np.r_[True, np.diff(starts) > 0]] if len(starts) else starts
-            # runs of windows, cut where a text ends: first place and length of each
-            begin = np.unique(np.r_[begins, t.first[:-1][(t.first[:-1] < len(h)) & inside[np.minimum(t.first[:-1], max(0, len(h) - 1))]]]).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-            run_of = np.searchsorted(begin, at, "right") - 1
-            lengths = np.bincount(run_of, minlength=len(begin)).astype(np.int32)
-            owner = np.searchsorted(t.first, begin, "right") - 1
-            counts = np.bincount(owner, minlength=len(t)).astype(np.int32)
-            rows.append((-1 - block % parts, block, keys.tobytes(), counts.tobytes(), (begin - t.first[owner]).astype(np.int32).tobytes(), lengths.tobytes(), np.packbits(settled).tobytes()))
-            yield _rows(rows)
+            of = np.searchsorted(t.first, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys[of]), pa.array((at - t.first[of]).astype(np.int32)), pa.array(copies[of])], ["hash", "key", "at", "copies"])
 
     return run
 
 
-REMOVED = "array<struct<from:int,to:int>>"
-
-
-def _covered(window: int):  # noqa: ANN202
-    def run(table: pa.Table) -> pa.Table:
-        """One block: each text's words that windows found more than once cover, as ranges."""
-        keys, ranges = [], []
-        for r in _own_rows(table):
-            key, counts = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int32)
-            begin, length = np.frombuffer(r["c"], np.int32), np.frombuffer(r["d"], np.int32)
-            n = int(length.sum())
-            found = _found(table, n, r["e"])
-            firsts = np.r_[0, np.cumsum(length)[:-1]] if len(length) else np.zeros(0, np.int64)
-            at = np.arange(n) - np.repeat(firsts, length) + np.repeat(begin, length)
-            doc = np.repeat(np.repeat(np.arange(len(key)), counts), length)
-            at, doc = at[found], doc[found]
-            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window)]) if len(at) else np.zeros(0, np.int64)
-            last = np.r_[new[1:], len(at)] - 1
-            cuts = np.searchsorted(doc[new], np.arange(len(key) + 1))
-            for d in np.flatnonzero(np.diff(cuts)):
-                keys.append(int(key[d]))
-                ranges.append([{"from": int(at[i]), "to": int(at[j]) + window} for i, j in zip(new[cuts[d] : cuts[d + 1]], last[cuts[d] : cuts[d + 1]])])
-        return pa.table([pa.array(keys, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))], names=["key", "removed"])
+def _marked(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of 0 to n - 1 lie in one of the ranges."""
+    edge = np.zeros(n + 1, np.int32)
+    some = begin < end
+    np.add.at(edge, begin[some], 1)
+    np.add.at(edge, end[some], -1)
+    return np.cumsum(edge[:-1]) > 0
 
-    return run
+
+def end_windows(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, text) and graph_spans to (hash, key, at, copies) of the windows that are verified by their words."""
+    # both tables grow with the corpus, so neither is for a broadcast at any size
+    placed = docs.join(spans.hint("merge"), "key").select("key", "copies", "spans", "text")
+    return placed.mapInArrow(_windows(window), "hash bigint, key bigint, at int, copies bigint")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -281,14 +313,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     ``key`` is the text's; rows of one key hold one text.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, int(size // RANGE_BYTES))
-    own = spans(docs, parts, window).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # at most a text's anchors
-    # both tables grow with the corpus, so neither is for a broadcast at any size
-    placed = docs.join(saved(own).hint("merge"), "key").select("key", "text", "spans")
-    packed = placed.mapInArrow(_scatter_windows(parts, window), _RANGE)
-    covered = packed.groupBy("part").applyInArrow(_meet, _RANGE).groupBy("block").applyInArrow(_covered(window), f"key bigint, removed {REMOVED}")
-    return covered.groupBy("key").agg(F.first("removed").alias("removed"))
+    spans = saved(graph_spans(docs, window))
+    ends = saved(end_windows(docs, spans.drop("removed"), window))
+    place = F.xxhash64("key", "at")  # a text's copies in several tasks give one place
+    again = ends.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("copies").alias("c"), F.count(F.lit(1)).alias("n"))
+    again = cut(again.where("a <> b OR c > 1").select("hash", "n"))
+    found = spread_join(ends.select("hash", "key", "at"), again, "hash")
+    found = found.groupBy("key").agg(F.collect_set("at").alias("at"))  # at most a text's windows
+    found = found.select("key", F.transform("at", lambda i: F.struct(i.alias("from"), (i + window).cast("int").alias("to"))).alias("removed"))
+    both = found.unionByName(spans.where(F.size("removed") > 0).select("key", "removed"))
+    return both.groupBy("key").agg(F.flatten(F.collect_list("removed")).alias("removed"))  # two rows at most
 
 
 def _cut_out(rest: list[str], joined: bool):  # noqa: ANN202

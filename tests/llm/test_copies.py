@@ -4,7 +4,7 @@ import random
 
 import plain
 
-from planegrid.llm import jaccard, substrings
+from planegrid.llm import jaccard
 from planegrid.llm.substrings import places, without_repeats
 
 
@@ -17,10 +17,10 @@ def test_blocks_of_copies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     copies = df.where("doc_id < 80").repartition(4)
     keyed = copies.selectExpr("xxhash64(text) AS key", "text")
-    for packed in (keyed.mapInArrow(substrings._scatter_anchors(8, 35), substrings._RANGE), copies.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS own").mapInArrow(jaccard._scatter(8), jaccard._PACKED)):
-        named = packed.where("part < 0").groupBy("block").count().collect()
-        assert len(named) == 4 and all(r["count"] == 1 for r in named)
-    at = places(keyed, 8, 35).collect()
+    packed = copies.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS own").mapInArrow(jaccard._scatter(8), jaccard._PACKED)
+    named = packed.where("part < 0").groupBy("block").count().collect()
+    assert len(named) == 4 and all(r["count"] == 1 for r in named)
+    at = places(keyed).collect()
     assert len({r["at"] for r in at}) == len(at) > 5 and all(r["copies"] == 80 for r in at)
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in without_repeats(df.repartition(4), joined=True).collect()}
     for i, (w, keep) in enumerate(plain.repeats(texts)):
