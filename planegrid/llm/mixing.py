@@ -22,6 +22,9 @@ BLOCK = 64
 
 _EPS = 1e-9
 
+#: A unit's name: 128 bits, so that no two units share one.
+UID = "struct<a:bigint,b:bigint>"
+
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, most: float) -> DataFrame:
     """(source, source_size) to the target of each source.
@@ -86,8 +89,8 @@ def _fold(units: DataFrame, level: int, seed: int) -> DataFrame:
         F.col("total").alias("size"),
         F.lit(1.0).alias("a"),
         F.lit(0.0).alias("b"),
-        F.lit(None).cast("struct<uid:bigint,size:double,p:double>").alias("open"),
-        F.array().cast("array<struct<uid:bigint,extra:int>>").alias("done"),
+        F.lit(None).cast(f"struct<uid:{UID},size:double,p:double>").alias("open"),
+        F.array().cast(f"array<struct<uid:{UID},extra:int>>").alias("done"),
     )
     return blocks.select("source", F.aggregate("units", start, lambda s, x: _meet(s, x, level, seed)).alias("r")).select("source", "r.open", "r.done")
 
@@ -121,14 +124,15 @@ def mix(
 ) -> DataFrame:
     """Copies of each row of (doc_id, source, size, h) so that sources meet their targets.
 
-    Returns those columns with source_size, target and copies. ``h`` tells texts apart. Rows alike in
+    Returns those columns with source_size, target and copies. ``h``, of any type, tells texts apart. Rows alike in
     all four are one unit with a count, so no group of repeats is gathered: of m such rows each takes
     the whole copies, floor(m x fraction) of them one more, and one of them meets the others for the
     rest. A null source is a source; a document of size 0 takes the whole copies only. An empty
     table gives an empty result, and reruns give the same one.
     """
     units = docs.select("doc_id", "source", "size", "h").groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("m"))
-    units = cut(units.withColumn("uid", F.xxhash64("doc_id", "source", "size", "h", F.lit(seed))))
+    own = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("source").isNull(), F.col("source"), F.col("size"), F.col("h")]
+    units = cut(units.withColumn("uid", F.struct(F.xxhash64(*own, F.lit(seed)).alias("a"), F.xxhash64(F.lit("b"), *own).alias("b"))))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
     targets = cut(source_targets(sizes, weights, total_share, most)).withColumnRenamed("source", "s")
     units = units.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -143,10 +147,10 @@ def mix(
     return rows.select("doc_id", "source", "size", "h", "source_size", "target", copies.cast("int").alias("copies"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, words of the text (null: 0) and the text's hash."""
+def sized(docs: DataFrame, name: str | None = None) -> DataFrame:
+    """doc_id, source, words of the text (null: 0) and h, what tells rows apart: the column ``name``, or the text's hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("h"))
+    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (F.col(name) if name else F.xxhash64("text")).alias("h"))
 
 
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def components(rows):
-    """{index: smallest doc_id of its component} over rows of (doc_id, text); None where no row of it has an id."""
+def groups(rows):
+    """Each row's group, an index of one of its rows, over rows of (doc_id, text)."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -47,11 +47,16 @@ def components(rows):
         for j in range(i):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 root[top(i)] = top(j)
-    low = defaultdict(list)
-    for i, (d, _) in enumerate(rows):
+    return [top(i) for i in range(len(rows))]
+
+
+def components(rows):
+    """{index: smallest doc_id of its component} over rows of (doc_id, text); None where no row of it has an id."""
+    of, low = groups(rows), defaultdict(list)
+    for g, (d, _) in zip(of, rows):
         if d is not None:
-            low[top(i)].append(d)
-    return {i: min(low[top(i)], default=None) for i in range(len(rows))}
+            low[g].append(d)
+    return {i: min(low[g], default=None) for i, g in enumerate(of)}
 
 
 def quality(text):
