@@ -2,7 +2,8 @@
 
 Quality rules drop the documents that they reject, the Jaccard join leaves one document of each group,
 substring dedup cuts repeated passages out of the texts, mixing repeats documents until sources
-meet their targets, and packing puts all that is left into sequences.
+meet their targets, and packing puts all that is left into sequences. A stage that decides by row names
+rows by 128 bits of all their columns; rows that share a name are alike in every column.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planegrid.llm.common import DOCUMENT, documents, saved
-from planegrid.llm.jaccard import near_components
+from planegrid.llm.common import DOCUMENT, WORD, documents, row_name, saved
+from planegrid.llm.jaccard import near_rows
 from planegrid.llm.mixing import mix, sized
 from planegrid.llm.packing import packed_documents
 from planegrid.llm.quality import judged
@@ -19,20 +20,24 @@ from planegrid.llm.substrings import without_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the outlier estimate keep. Equal rows get one verdict."""
-    docs = docs.select(DOCUMENT)
-    own = F.xxhash64(F.coalesce("text", F.lit("")), F.col("lang").isNull(), "lang", F.col("source").isNull(), "source")
-    judged_rows = judged(docs.select("text", "lang", "source", own.alias("own")))
-    rejected = saved(judged_rows.where("NOT kept").select("own").distinct())
-    return docs.withColumn("own", own).join(rejected, "own", "left_anti").select(DOCUMENT)
+    """Documents that the base rules and the outlier estimate keep. Equal texts of a language and source get one verdict."""
+    named = docs.select(DOCUMENT).withColumn("own", row_name("text", "lang", "source"))
+    rejected = saved(judged(named.select("text", "lang", "source", "own")).where("NOT kept").select("own").distinct())
+    return named.join(rejected, "own", "left_anti").select(DOCUMENT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id, once; rows without doc_id stay."""
-    docs = docs.select(DOCUMENT)
-    first = saved(near_components(docs).where("doc_id = component_id").select("doc_id").distinct())
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(DOCUMENT)
+    """Of each group of linked documents the one of the smallest doc_id, once; documents without words all stay.
+
+    Where several rows of a group have that doc_id, or none has one, the first by row name stays. Unlike texts
+    of one doc_id are documents of their own.
+    """
+    named = docs.select(DOCUMENT).withColumn("own", row_name(*DOCUMENT))
+    first = near_rows(named.select("doc_id", "text", "own")).where("n_shingles > 0 AND doc_id <=> component_id")
+    first = saved(first.groupBy("comp").agg(F.min("own").alias("own")).select("own"))
+    one = named.join(first, "own", "left_semi").dropDuplicates(["own"])
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return one.select(DOCUMENT).unionByName(wordless.select(DOCUMENT))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +47,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Equal rows count together."""
-    docs = docs.select(DOCUMENT)
-    own = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "h")
-    copies = saved(mix(sized(docs)).groupBy(own.alias("own")).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0"))
-    keyed = docs.withColumn("h", F.xxhash64("text")).withColumn("own", own)
-    taken = keyed.join(copies, "own").dropDuplicates(["own"])
+    """Each document as often as the mix takes it. Rows alike in every column count together."""
+    named = docs.select(DOCUMENT).withColumn("h", row_name(*DOCUMENT))
+    copies = saved(mix(sized(named, "h")).groupBy("h").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0"))
+    taken = named.join(copies, "h").dropDuplicates(["h"])
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(DOCUMENT)
 
 
