@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, ranges, saved
+from .common import cut, documents, ranges, saved, spread_join
 from .components import components
 from .words import Texts, block_name, grouped, mixed, window_hashes
 
@@ -231,9 +231,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _units(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes with texts and votes to their rows by leader, and the links between leaders."""
-    vote = classes.select("cls", F.posexplode("votes").alias("k", "v"))
-    best = vote.groupBy("k", "v").agg(F.min("cls").alias("g"))
-    group = vote.join(best, ["k", "v"]).groupBy("cls", "g").agg(F.count(F.lit(1)).alias("times"))
+    vote = classes.select("cls", F.explode("votes").alias("v"))  # permuted hashes of several permutations do not meet
+    best = cut(vote.groupBy("v").agg(F.min("cls").alias("g"), F.count(F.lit(1)).alias("n")))
+    group = spread_join(vote, best, "v").groupBy("cls", "g").agg(F.count(F.lit(1)).alias("times"))
     group = group.groupBy("cls").agg(F.max_by("g", F.struct("times", -F.col("g"))).alias("g"))
     rows = classes.select("cls", "text", F.octet_length("text").alias("bytes")).join(group, "cls")
     found, links = None, None
