@@ -96,9 +96,19 @@ def number_within(df: DataFrame, groups: list[str], identity: list[str], name: s
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a compressed table in the checkpoint folder: for rows that hold texts."""
+    """Cut the lineage by a compressed table in the checkpoint folder, until discard()."""
     spark = df.sparkSession
     _ready(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove saved() tables; all that is made of them must be cut or saved by now."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

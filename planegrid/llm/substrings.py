@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, saved, spread_join
+from .common import cut, discard, documents, saved, spread_join
 from .words import Texts, grouped, mixed, window_hashes
 
 WINDOW = 35
@@ -118,7 +118,38 @@ def _own_rows(table: pa.Table) -> list[dict]:
     return table.filter(pa.compute.less(table.column("part"), 0)).to_pylist()
 
 
-PLACES = "key bigint, at int, node bigint, next bigint, edge bigint, gap int"
+#: What a block of texts knows of a hash: it stands once in the block, more often (the row needs no other), or the row only says so to other blocks.
+ONCE, OFTEN, SAYS = 0, 1, 2
+
+
+def _told(h: np.ndarray, weight: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, kind, salt) that a block sends out for its hashes, each counted ``weight`` times.
+
+    Rows of a kind OFTEN are spread by ``name``, the others meet by their hash; for each hash that stands
+    more often one row more says so, so a frequent hash costs a row per block where it meets others.
+    """
+    values, first, of = np.unique(h, return_index=True, return_inverse=True)
+    often = np.bincount(of, weight, len(values)) > 1
+    kind = np.where(often[of], OFTEN, ONCE).astype(np.int8)
+    salt = np.where(kind == OFTEN, 1 + (name & np.int64(0x3FFFFFFF)), 0).astype(np.int32)
+    says = first[often]
+    return np.r_[np.arange(len(h)), says], np.r_[kind, np.full(len(says), SAYS, np.int8)], np.r_[salt, np.zeros(len(says), np.int32)]
+
+
+def _repeated(rows: DataFrame, hash_: str) -> DataFrame:
+    """Of rows that blocks have _told, those whose hash stands more than once; a block has two rows of a hash at most in one task."""
+    met = rows.repartition(hash_, "salt").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy(hash_, "salt")))
+    return met.where(f"kind = {OFTEN} OR (kind = {ONCE} AND times > 1)").drop("kind", "salt", "times")
+
+
+def _once(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A batch with each key once, and how often it had it."""
+    _, first, copies = np.unique(np.array(b.column(0), np.int64), return_index=True, return_counts=True)
+    order = np.argsort(first)
+    return b.take(pa.array(first[order])), copies[order]
+
+
+PLACES = "kind byte, salt int, node bigint, key bigint, at int, edge bigint, gap int, copies bigint"
 
 
 def _anchor_rows(window: int):  # noqa: ANN202
@@ -127,29 +158,33 @@ def _anchor_rows(window: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in grouped(batches, size=BATCH):
+            b, copies = _once(b)
             keys = np.array(b.column(0), np.int64)
             t = Texts(b.column(1))
             h = t.hashes()
             at, node = anchors(h, t.first, window)
+            if not len(at):
+                continue
             doc = np.searchsorted(t.first, at, "right") - 1
-            follows = np.r_[doc[1:] == doc[:-1], False] if len(at) else np.zeros(0, bool)
-            then = np.where(follows, np.r_[at[1:], 0], at) if len(at) else at
+            follows = np.r_[doc[1:] == doc[:-1], False]
+            then = np.where(follows, np.r_[at[1:], 0], at)
             edge = np.zeros(len(at), np.uint64)
-            if len(at):
-                kmers = window_hashes(h, k)
-                for i in range(-(-(window - k + 1) // k) + 1):  # k-mers side by side, the last one at the end
-                    edge = mixed(edge * np.uint64(3) + kmers[np.minimum(at + i * k, then)])
+            kmers = window_hashes(h, k)
+            for i in range(-(-(window - k + 1) // k) + 1):  # k-mers side by side, the last one at the end
+                edge = mixed(edge * np.uint64(3) + kmers[np.minimum(at + i * k, then)])
             place = (at - t.first[doc]).astype(np.int32)
-            columns = [pa.array(keys[doc]), pa.array(place), pa.array(node.view(np.int64))]
-            columns += [pa.array(x, mask=~follows) for x in (np.roll(node, -1).view(np.int64), edge.view(np.int64), (then - at).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "at", "node", "next", "edge", "gap"])
+            row, kind, salt = _told(node, copies[doc], keys[doc] + place)
+            columns = [kind, salt, node.view(np.int64)[row], keys[doc][row], place[row], edge.view(np.int64)[row], (then - at).astype(np.int32)[row], copies[doc][row]]
+            masks = [None] * 5 + [~follows[row]] * 2 + [None]
+            yield pa.RecordBatch.from_arrays([pa.array(c, mask=m) for c, m in zip(columns, masks)], ["kind", "salt", "node", "key", "at", "edge", "gap", "copies"])
 
     return run
 
 
 def places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, text) to (key, at, node, next, edge, gap, copies): the anchors' places, once for all copies of a text."""
-    return docs.mapInArrow(_anchor_rows(window), PLACES).groupBy("key", "at", "node", "next", "edge", "gap").agg(F.count(F.lit(1)).alias("copies"))
+    """(key, text) to (key, at, node, edge, gap, copies): places of anchors that stand more than once, once for all copies of a text."""
+    found = _repeated(docs.mapInArrow(_anchor_rows(window), PLACES), "node")
+    return found.groupBy("key", "at", "node", "edge", "gap").agg(F.sum("copies").alias("copies"))
 
 
 def paths(nodes: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,6 +196,9 @@ def paths(nodes: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
     stretches that begin inside a path are joined to what leads there by pointer doubling. That ends when
     no further node arrives at a first node; first nodes, and those of a circle, which has none, have no row.
     """
+    text = Window.partitionBy("key").orderBy("at")  # one text's anchors
+    then = F.when(F.lead("at").over(text) == F.col("at") + F.col("gap"), F.lead("node").over(text))  # null if the next anchor does not repeat
+    nodes = saved(nodes.select("*", then.alias("next")))
     edges = nodes.where("next IS NOT NULL AND node <> next").groupBy("node", "next", "edge", "gap").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
     edges = cut(edges)
     out = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("next").alias("to"), F.first("edge").alias("by")).where("n = 1").drop("n")
@@ -168,7 +206,7 @@ def paths(nodes: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
     single = cut(out.join(into, "to").join(often, "node").select("node", "to", "by", "n"))
     goes = F.coalesce((F.col("next") == F.col("to")) & (F.col("edge") == F.col("by")), F.lit(False))
     placed = saved(spread_join(nodes, single, "node", "left").select("key", "at", "node", "gap", "copies", goes.alias("goes")))
-    text = Window.partitionBy("key").orderBy("at")  # one text's anchors
+    discard(nodes)
     begins = placed.select("key", "at", "node", F.when(F.coalesce(F.lag("goes").over(text), F.lit(False)), None).otherwise(F.struct("at", "node")).alias("b"))
     stretch = begins.select("node", "at", F.last("b", ignorenulls=True).over(text).alias("b"))
     behind = stretch.groupBy("node").agg(F.max(F.struct((F.col("at") - F.col("b.at")).cast("long").alias("away"), F.col("b.node").alias("path"))).alias("m"))
@@ -185,14 +223,15 @@ def paths(nodes: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, text) to (key, path, lo, hi, at, copies): each run of a text along a path.
+    """(key, text) to a saved table (key, path, lo, hi, at, copies): each run of a text along a path.
 
     lo and hi are words of the path, from the first anchor's first to behind the last anchor's last; at is
     the text's word at lo.
     """
-    every = saved(places(docs, window))
-    often = cut(every.groupBy("node").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 1").select("node", "n"))
-    placed, on = paths(saved(spread_join(every, often, "node")), often)
+    nodes = saved(places(docs, window))
+    often = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    placed, on = paths(nodes, often)
+    discard(nodes)
     located = spread_join(placed, cut(on.join(often, "node")), "node", "left")
     located = located.withColumns({"path": F.coalesce("path", "node"), "away": F.coalesce("away", F.lit(0)).cast("long")})
     text = Window.partitionBy("key").orderBy("at")
@@ -201,7 +240,9 @@ def runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     numbered = located.select("*", F.when(F.coalesce(on_path, F.lit(False)), 0).otherwise(1).alias("new"))
     numbered = numbered.withColumn("run", F.sum("new").over(text))
     found = numbered.groupBy("key", "run").agg(F.min("path").alias("path"), F.min("away").alias("lo"), (F.max("away") + kmer_words(window)).alias("hi"), F.min("at").alias("at"), F.max("copies").alias("copies"))
-    return found.drop("run")
+    found = saved(found.drop("run"))
+    discard(placed)
+    return found
 
 
 def swept(own: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +252,8 @@ def swept(own: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     runs. The second table names, for every stretch of a path, one run that has it from ``begin`` on. A
     path's distinct runs are at most the square of its anchors.
     """
-    spans = own.groupBy("path", "lo", "hi").agg(F.sum("copies").alias("copies"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    # cut before the windows, which would have a path's rows meet unsummed
+    spans = cut(own.groupBy("path", "lo", "hi").agg(F.sum("copies").alias("copies"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
     along = Window.partitionBy("path").orderBy("lo", "hi")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("reach", F.max("hi").over(before))
@@ -234,14 +276,14 @@ RANGES = "array<struct<from:int,to:int>>"
 
 
 def graph_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, text) to a row per text with repeated anchors: key, copies, spans and removed.
+    """(key, text) to a saved table, a row per text with repeated anchors: key, copies, spans and removed.
 
     removed: the words that the graph alone shows to repeat. spans: for each run its first and last word
     (from, to), and the windows that it shows to others (begin to end).
     """
-    own = saved(runs(docs, window))
-    stretches, first = swept(own, window)
-    own = spread_join(own, cut(stretches), "path", "left")
+    every = runs(docs, window)
+    stretches, first = swept(every, window)
+    own = spread_join(every, cut(stretches), "path", "left")
     own = own.join(first.hint("merge"), ["path", "lo", "hi", "key"], "left")
     shift = F.col("at") - F.col("lo")
     inside = F.filter(
@@ -252,26 +294,25 @@ def graph_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shown = F.when(F.col("begin").isNotNull() & (F.col("begin") <= F.col("hi") - window), F.col("begin") + shift)
     span = F.struct(F.col("at").cast("int").alias("from"), (F.col("hi") + shift).cast("int").alias("to"), shown.cast("int").alias("begin"), (F.col("hi") - window + 1 + shift).cast("int").alias("end"))
     # at most a text's anchors
-    return own.groupBy("key").agg(F.max("copies").alias("copies"), F.collect_list(span).alias("spans"), F.flatten(F.collect_list(removed)).cast(RANGES).alias("removed"))
+    found = saved(own.groupBy("key").agg(F.max("copies").alias("copies"), F.collect_list(span).alias("spans"), F.flatten(F.collect_list(removed)).cast(RANGES).alias("removed")))
+    discard(every)
+    return found
+
+
+WINDOWS = "kind byte, salt int, hash bigint, key bigint, at int, upto int"
 
 
 def _windows(window: int):  # noqa: ANN202
     """(key, copies, spans, text) to a row per window that reaches over a run's end or that a run shows to others.
 
-    Copies of a text that follow each other in a task give their windows once.
+    Windows that the block itself shows to repeat come as runs, at to upto.
     """
     k = kmer_words(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for b in grouped(batches, size=BATCH):
-            keys = np.array(b.column(0), np.int64)
-            new = np.r_[last is None or keys[0] != last, keys[1:] != keys[:-1]]
-            last = keys[-1]
-            b = b.filter(pa.array(new))
-            if not len(b):
-                continue
-            keys, copies = keys[new], np.array(b.column(1), np.int64)
+            b, _ = _once(b)
+            keys, copies = np.array(b.column(0), np.int64), np.array(b.column(1), np.int64)
             t = Texts(b.column(3))
             h = t.hashes()
             lists = b.column(2)
@@ -285,9 +326,25 @@ def _windows(window: int):  # noqa: ANN202
             shows = flat.field("begin").is_valid().to_numpy(zero_copy_only=False)
             near |= _marked(len(h), field("begin")[shows], field("end")[shows])
             at = np.flatnonzero(near)
-            hashes = window_hashes(h, window)[at] if len(at) else np.zeros(0, np.uint64)
+            if not len(at):
+                continue
+            hashes = window_hashes(h, window)[at]
             of = np.searchsorted(t.first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys[of]), pa.array((at - t.first[of]).astype(np.int32)), pa.array(copies[of])], ["hash", "key", "at", "copies"])
+            place = (at - t.first[of]).astype(np.int32)
+            row, kind, salt = _told(hashes, copies[of], keys[of] + place)
+            # rows that need no other: neighbours in one
+            sure = kind == OFTEN
+            alone = np.flatnonzero(sure)
+            new = np.r_[True, (np.diff(at[row[alone]]) > 1) | (np.diff(of[row[alone]]) > 0)] if len(alone) else np.zeros(0, bool)
+            upto = place[row].copy()
+            if len(alone):
+                heads = np.flatnonzero(new)
+                upto[alone[heads]] = place[row[alone[np.r_[heads[1:], len(alone)] - 1]]]
+                drop = np.zeros(len(row), bool)
+                drop[alone[~new]] = True
+                row, kind, salt, upto = row[~drop], kind[~drop], salt[~drop], upto[~drop]
+            columns = [kind, salt, hashes.view(np.int64)[row], keys[of][row], place[row], upto]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "salt", "hash", "key", "at", "upto"])
 
     return run
 
@@ -302,27 +359,25 @@ def _marked(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def end_windows(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, text) and graph_spans to (hash, key, at, copies) of the windows that are verified by their words."""
+    """(key, text) and graph_spans to the windows that are verified by their words, as _windows gives them."""
     # both tables grow with the corpus, so neither is for a broadcast at any size
     placed = docs.join(spans.hint("merge"), "key").select("key", "copies", "spans", "text")
-    return placed.mapInArrow(_windows(window), "hash bigint, key bigint, at int, copies bigint")
+    return placed.mapInArrow(_windows(window), WINDOWS)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, text) to (key, removed), the ranges of words in windows that occur more than once, for texts that have any.
+    """(key, text) to a saved table (key, removed), the ranges of words in windows that occur more than once, for texts that have any.
 
-    ``key`` is the text's; rows of one key hold one text.
+    ``key`` is the text's; rows of one key hold one text. Where a text's copies give its windows in several
+    tasks they meet each other, and all windows of a text with copies repeat.
     """
-    spans = saved(graph_spans(docs, window))
-    ends = saved(end_windows(docs, spans.drop("removed"), window))
-    place = F.xxhash64("key", "at")  # a text's copies in several tasks give one place
-    again = ends.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("copies").alias("c"), F.count(F.lit(1)).alias("n"))
-    again = cut(again.where("a <> b OR c > 1").select("hash", "n"))
-    found = spread_join(ends.select("hash", "key", "at"), again, "hash")
-    found = found.groupBy("key").agg(F.collect_set("at").alias("at"))  # at most a text's windows
-    found = found.select("key", F.transform("at", lambda i: F.struct(i.alias("from"), (i + window).cast("int").alias("to"))).alias("removed"))
+    spans = graph_spans(docs, window)
+    found = _repeated(end_windows(docs, spans.drop("removed"), window), "hash")
+    found = found.groupBy("key").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("upto") + window).cast("int").alias("to"))).alias("removed"))  # at most a text's windows
     both = found.unionByName(spans.where(F.size("removed") > 0).select("key", "removed"))
-    return both.groupBy("key").agg(F.flatten(F.collect_list("removed")).alias("removed"))  # two rows at most
+    out = saved(both.groupBy("key").agg(F.flatten(F.collect_list("removed")).alias("removed")))  # two rows at most
+    discard(spans)
+    return out
 
 
 def _cut_out(rest: list[str], joined: bool):  # noqa: ANN202
@@ -369,7 +424,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, joined: bool = False)
     rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "removed", "key")]
     keyed = docs.select(*rest, "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     found = repeated_spans(keyed.select("key", F.coalesce("text", F.lit("")).alias("text")), window)
-    both = keyed.join(saved(found).hint("merge"), "key", "left").select(*rest, "text", "removed")
+    both = keyed.join(found.hint("merge"), "key", "left").select(*rest, "text", "removed")
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return both.mapInArrow(_cut_out(rest, joined), schema)
 
