@@ -1,39 +1,93 @@
 """Quality rules: base counts, then robust multivariate outliers per language and source.
 
-The estimate is the minimum covariance determinant by concentration steps. A group starts from its
-medians and quartile ranges. A step measures every document's squared Mahalanobis distance, keeps the
-``SHARE`` of the group that lies nearest, and takes their mean and covariance. The nearest are
-found on a histogram of the distances' logarithms, whose bins hold the sums that the next
-estimate needs, so a step is one aggregation and no task sees a whole group. A document is
-rejected if its distance from the last estimate is over ``CUT``.
+The estimate is the minimum covariance determinant: of all subsets of ``SHARE`` of a group's documents, the
+one whose covariance has the least determinant. Four deterministic starts (see _starts) take
+concentration steps: a step measures every document's squared Mahalanobis distance from the estimate and
+takes mean and covariance of the ``SHARE`` that lie nearest, which cannot raise the determinant. After
+``TRIALS`` steps each group goes on with its start of least determinant until that stops falling. The
+nearest are found on a histogram of the distances' logarithms whose bins hold the sums that the next
+estimate needs; the bin at the border counts for the part that is still wanted. So a step is one aggregation
+and no task sees a whole group. The covariance is made consistent with the normal distribution and
+reweighted once by the documents within its ``INNER`` quantile; beyond the ``OUTER`` quantile of chi square
+a document is rejected.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, documents
 
 SHARE = 0.75
-STEPS = 4
+#: Steps of every start, and of the best one at most.
+TRIALS, STEPS = 2, 30
 #: A group of fewer documents is judged with the other small groups of its language.
 LEAST = 50
-#: About the 1 - 6e-9 quantile of chi square with 5 degrees of freedom, and its median.
-CUT, MEDIAN = 47.0, 4.3515
+#: Quantiles of chi square: of the documents that reweight the estimate, and of those that are kept.
+INNER, OUTER = 0.975, 1 - 1e-6
 
 #: Name, expression and least standard deviation of each transformed statistic. The least deviation stands
-#: in where nearly all documents are alike (most have no symbol and no repeated line).
+#: in where nearly all documents are alike (most have no symbol and no repeated line); with it, a text
+#: whose lines nearly all repeat, or with the most repeated words that the base rules let pass, lies beyond OUTER.
 STATISTICS = (
     ("s_length", "ln(1.0D + word_chars / n_words)", 0.15),
     ("s_symbols", "ln(1.0D + 1000.0D * n_symbols / word_chars)", 0.5),
     ("s_capitals", "ln(1.0D + 100.0D * n_capitals / word_chars)", 0.4),
-    ("s_repeats", "ln(1.0D + 100.0D * n_repeat_words / n_words)", 0.8),
-    ("s_lines", "ln(1.0D + 100.0D * n_dup_lines / n_lines)", 0.8),
+    ("s_repeats", "ln(1.0D + 100.0D * n_repeat_words / n_words)", 0.55),
+    ("s_lines", "ln(1.0D + 100.0D * n_dup_lines / n_lines)", 0.7),
 )
 
+
+def chi2_cdf(x: float, dof: int) -> float:
+    """P(chi square with ``dof`` degrees of freedom <= x), by the series of the incomplete gamma function."""
+    a, h = dof / 2, x / 2
+    if h <= 0:
+        return 0.0
+    term = total = 1 / a
+    n = 0
+    while term > total * 1e-17:
+        n += 1
+        term *= h / (a + n)
+        total += term
+    return min(1.0, total * math.exp(a * math.log(h) - h - math.lgamma(a)))
+
+
+def chi2_quantile(q: float, dof: int) -> float:
+    lo, hi = 0.0, 1000.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_cdf(mid, dof) < q else (lo, mid)
+    return (lo + hi) / 2
+
+
+def consistency(share: float, dof: int) -> float:
+    """What the covariance of the nearest ``share`` of normal points must be multiplied by."""
+    return share / chi2_cdf(chi2_quantile(share, dof), dof + 2)
+
+
 _P = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+CUT = chi2_quantile(OUTER, _P)
+
+
+def _bound(value: Column, f) -> Column:  # noqa: ANN001
+    """f(value), value being computed once: an array of one binds it to a name."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def window_names(words: Column, width: int) -> Column:
+    """A 64-bit hash of each run of ``width`` (a power of 2) words, in order, by doubling."""
+    def doubled(hashes: Column, span: int) -> Column:
+        return _bound(hashes, lambda h: F.zip_with(h, F.slice(h, span + 1, F.size(h)), lambda a, b: F.xxhash64(a, b)))
+
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
+    for i in range(width.bit_length() - 1):
+        hashes = doubled(hashes, 1 << i)
+    return F.slice(hashes, 1, F.greatest(F.lit(0), F.size(words) - width + 1))
 
 
 def repeat_words(words: Column, width: int) -> Column:
@@ -42,9 +96,6 @@ def repeat_words(words: Column, width: int) -> Column:
     Windows are sorted by hash and place, so that equal ones are neighbours; the places of these,
     in order, cover the words that count.
     """
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), n - width)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, width)))
 
     def covered(hashes: Column) -> Column:
         def of_sorted(own: Column) -> Column:
@@ -56,12 +107,10 @@ def repeat_words(words: Column, width: int) -> Column:
                 lambda s: s["n"],
             )
 
-        own = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        # an array of one binds the sorted windows to a name
-        return F.element_at(F.transform(F.array(own), of_sorted), 1)
+        return _bound(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of_sorted)
 
-    bound = F.transform(F.array(hashes), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
-    return F.when(n > width, F.element_at(bound, 1)).otherwise(0).cast("long")
+    some = F.when(F.size(words) > width, window_names(words, width)).otherwise(F.array().cast("array<bigint>"))
+    return _bound(some, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0)).cast("long")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -84,8 +133,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return found.withColumn("base_failed", failed).drop("__words", "__lines")
 
 
-def _inverse_root(rows: DataFrame) -> DataFrame:
-    """Columns r_ij: the inverse of the Cholesky factor of the covariance in c_ij."""
+_VALUES = [f"m_{i}" for i in range(_P)] + [f"r_{i}{j}" for i, j in _PAIRS]
+
+
+def _inverse_root(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, m_i and c_ij to keys, m_i, r_ij and log_det.
+
+    r is the inverse of the Cholesky factor of the covariance c, log_det the logarithm of its determinant. No
+    deviation, given the statistics before it, counts as less than a tenth of its least one.
+    """
     root: dict[tuple[int, int], Column] = {}
     for i in range(_P):
         for j in range(i + 1):
@@ -100,11 +156,12 @@ def _inverse_root(rows: DataFrame) -> DataFrame:
             for k in range(j, i):
                 total = total - F.col(f"l_{i}{k}") * F.col(f"r_{k}{j}")
             rows = rows.withColumn(f"r_{i}{j}", total / F.col(f"l_{i}{i}"))
-    return rows.select("__g", *[f"m_{i}" for i in range(_P)], *[f"r_{i}{j}" for i, j in _PAIRS])
+    log_det = reduce(lambda a, b: a + b, [2 * F.ln(F.col(f"l_{i}{i}")) for i in range(_P)])
+    return rows.select(*keys, *_VALUES, log_det.alias("log_det"))
 
 
 def _with_distance(points: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``points`` with d2, the squared distance; groups without an estimate are left out."""
+    """``points`` with d2, the squared distance, a row for each estimate of the group; groups without one are left out."""
     joined = points.join(estimate, "__g")
     d2 = F.lit(0.0)
     for i in range(_P):
@@ -112,41 +169,89 @@ def _with_distance(points: DataFrame, estimate: DataFrame) -> DataFrame:
         for j in range(i + 1):
             y = y + F.col(f"r_{i}{j}") * (F.col(STATISTICS[j][0]) - F.col(f"m_{j}"))
         d2 = d2 + y * y
-    return joined.select(*points.columns, d2.alias("d2"))
+    return joined.select(*points.columns, *[c for c in estimate.columns if c not in ("__g", "log_det", *_VALUES)], d2.alias("d2"))
 
 
 def _floored(i: int, j: int, c: Column) -> Column:
     return F.greatest(c, F.lit(STATISTICS[i][2] ** 2)) if i == j else c
 
 
-def _start(points: DataFrame) -> DataFrame:
+def _sums(values: list[Column]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s_{i}") for i, v in enumerate(values)], *[F.sum(values[i] * values[j]).alias(f"s_{i}{j}") for i, j in _PAIRS]]
+
+
+def _moments(grow: Column, scale: list[Column] | None = None) -> dict[str, Column]:
+    """m_i and c_ij of the sums; c is multiplied by ``grow``, and by the scales of both statistics."""
+    mean = {f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(_P)}
+    of = lambda i, j: grow * (F.col(f"s_{i}{j}") / F.col("n") - mean[f"m_{i}"] * mean[f"m_{j}"]) * (scale[i] * scale[j] if scale else F.lit(1.0))
+    return mean | {f"c_{i}{j}": _floored(i, j, of(i, j)) for i, j in _PAIRS}
+
+
+def _starts(points: DataFrame) -> DataFrame:
+    """Four estimates of each group (__k): medians with
+
+    0: quartile ranges; 1: the covariance of the hyperbolic tangents of the standardized statistics; 2: that
+    of their spatial signs; 3: mean and covariance of the half that lies nearest to the medians.
+    """
     quartiles = points.groupBy("__g").agg(*[F.percentile_approx(s[0], [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, s in enumerate(STATISTICS)])
-    moments = {f"m_{i}": F.col(f"q_{i}")[1] for i in range(_P)}
-    for i, j in _PAIRS:
-        spread = (F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349
-        moments[f"c_{i}{j}"] = _floored(i, j, spread * spread) if i == j else F.lit(0.0)
-    return _inverse_root(quartiles.select("__g", *[c.alias(n) for n, c in moments.items()]))
+    scale = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(s[2])) for i, s in enumerate(STATISTICS)]
+    middle = cut(quartiles.select("__g", *[F.col(f"q_{i}")[1].alias(f"med_{i}") for i in range(_P)], *[c.alias(f"sd_{i}") for i, c in enumerate(scale)]))
+    z = points.join(middle, "__g").select("__g", *[((F.col(s[0]) - F.col(f"med_{i}")) / F.col(f"sd_{i}")).alias(f"z_{i}") for i, s in enumerate(STATISTICS)])
+    z = z.withColumn("norm2", reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(_P)]))
+    half = cut(z.groupBy("__g").agg(F.percentile_approx("norm2", 0.5).alias("half")))
+    z = z.join(half, "__g")
+    own = lambda k, when, f: F.when(when, F.struct(F.lit(k).alias("k"), *[f(F.col(f"z_{i}")).alias(f"y_{i}") for i in range(_P)]))
+    length = F.greatest(F.sqrt("norm2"), F.lit(1e-9))
+    views = F.array(own(1, F.lit(True), F.tanh), own(2, F.lit(True), lambda c: c / length), own(3, F.col("norm2") <= F.col("half"), lambda c: c))
+    seen = z.select("__g", F.explode(F.array_compact(views)).alias("v")).select("__g", F.col("v.k").alias("__k"), *[f"v.y_{i}" for i in range(_P)])
+    sums = seen.groupBy("__g", "__k").agg(*_sums([F.col(f"y_{i}") for i in range(_P)])).join(middle, "__g")
+    sd = [F.col(f"sd_{i}") for i in range(_P)]
+    moments = _moments(F.lit(1.0), sd)
+    centre = {f"m_{i}": F.when(F.col("__k") == 3, F.col(f"med_{i}") + sd[i] * F.col(f"s_{i}") / F.col("n")).otherwise(F.col(f"med_{i}")) for i in range(_P)}
+    shaped = sums.select("__g", "__k", *[c.alias(n) for n, c in (moments | centre).items()])
+    plain = middle.select("__g", F.lit(0).alias("__k"), *[F.col(f"med_{i}").alias(f"m_{i}") for i in range(_P)], *[(sd[i] * sd[i] if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in _PAIRS])
+    return _inverse_root(shaped.unionByName(plain), "__g", "__k")
 
 
 def _step(points: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The next estimate: the moments of the nearest documents of each group."""
-    near = _with_distance(points, estimate).withColumn("bin", F.floor(8 * F.ln(F.col("d2") + 1e-6)))
-    sums = [F.count(F.lit(1)).alias("n")] + [F.sum(s[0]).alias(f"s_{i}") for i, s in enumerate(STATISTICS)]
-    sums += [F.sum(F.col(STATISTICS[i][0]) * F.col(STATISTICS[j][0])).alias(f"s_{i}{j}") for i, j in _PAIRS]
-    bins = near.groupBy("__g", "bin").agg(*sums, F.min("d2").alias("d2"))
-    group = Window.partitionBy("__g")
+    """The next estimate, of each group's start: the moments of the nearest ``SHARE`` of its documents."""
+    keys = ["__g", "__k"]
+    near = _with_distance(points, estimate).withColumn("bin", F.floor(32 * F.ln(F.col("d2") + 1e-6)))
+    # cut before the windows, which would have a group's rows meet unsummed
+    bins = cut(near.groupBy(*keys, "bin").agg(*_sums([F.col(s[0]) for s in STATISTICS])))
+    group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.withColumn("before", before).withColumn("all", F.sum("n").over(group))
-    middle = F.max(F.when(F.col("before") <= F.col("all") / 2, F.col("d2")))
-    taken = bins.where(F.col("before") < F.ceil(F.col("all") * SHARE))
-    total = taken.groupBy("__g").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s_{i}" for i in range(_P)], *[f"s_{i}{j}" for i, j in _PAIRS]]], middle.alias("middle"))
-    mean = {f"m_{i}": F.col(f"s_{i}") / F.col("n") for i in range(_P)}
-    moments = dict(mean)
-    # the nearest have too small a covariance; the median distance tells by how much
-    grow = F.greatest(F.lit(1.0), F.col("middle") / MEDIAN)
-    for i, j in _PAIRS:
-        moments[f"c_{i}{j}"] = _floored(i, j, grow * (F.col(f"s_{i}{j}") / F.col("n") - mean[f"m_{i}"] * mean[f"m_{j}"]))
-    return _inverse_root(total.select("__g", *[c.alias(n) for n, c in moments.items()]))
+    wanted = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.ceil(F.col("all") * SHARE) - F.col("before")) / F.col("n")))
+    bins = bins.withColumn("before", before).withColumn("all", F.sum("n").over(group)).withColumn("part", wanted)
+    names = ["n", *[f"s_{i}" for i in range(_P)], *[f"s_{i}{j}" for i, j in _PAIRS]]
+    total = bins.where("part > 0").groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names])
+    return _inverse_root(total.select(*keys, *[c.alias(n) for n, c in _moments(F.lit(1.0)).items()]), *keys)
+
+
+def _scaled(estimate: DataFrame, factor: float) -> DataFrame:
+    """The estimate with its covariance multiplied by ``factor``."""
+    return estimate.select(*[(F.col(c) / math.sqrt(factor)).alias(c) if c.startswith("r_") else F.col(c) for c in estimate.columns])
+
+
+def least_determinant(points: DataFrame) -> DataFrame:
+    """(__g, statistics) to each group's estimate: (__g, m_i, r_ij, log_det), consistent and reweighted."""
+    tried = cut(_starts(points))
+    for _ in range(TRIALS):
+        tried = cut(_step(points, tried))
+    best = cut(tried.withColumn("rank", F.row_number().over(Window.partitionBy("__g").orderBy("log_det", "__k"))).where("rank = 1").drop("rank"))
+    for _ in range(STEPS):
+        ahead = cut(_step(points, best))
+        both = best.select("__g", F.col("log_det").alias("old")).join(ahead.select("__g", "log_det"), "__g")
+        fallen = both.agg(F.max(F.col("old") - F.col("log_det"))).first()[0]
+        # of the two, each group keeps the one of less determinant
+        better = both.where("log_det < old").select("__g")
+        best = cut(ahead.join(better, "__g", "left_semi").unionByName(best.join(better, "__g", "left_anti")))
+        if fallen is None or fallen < 1e-6:
+            break
+    raw = _scaled(best.drop("__k"), consistency(SHARE, _P))
+    inner = _with_distance(points, raw).where(F.col("d2") <= chi2_quantile(INNER, _P))
+    sums = inner.groupBy("__g").agg(*_sums([F.col(s[0]) for s in STATISTICS]))
+    return _inverse_root(sums.select("__g", *[c.alias(n) for n, c in _moments(F.lit(consistency(INNER, _P))).items()]), "__g")
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -166,9 +271,8 @@ def judged(docs: DataFrame) -> DataFrame:
     own = F.when(F.col("__n") >= LEAST, F.concat_ws("\u0001", "__l", "__s")).when(small >= LEAST, F.col("__l"))
     points = points.join(sizes.withColumn("__g", own).drop("__n"), ["__l", "__s"], "left").drop("__l", "__s")
     sample = points.where("NOT base_failed AND __g IS NOT NULL").select("__g", *[s[0] for s in STATISTICS])
-    estimate = cut(_start(sample))
-    for _ in range(STEPS):
-        estimate = cut(_step(sample, estimate))
+    sample = cut(sample)
+    estimate = cut(least_determinant(sample))
     apart = points.where("base_failed OR __g IS NULL").withColumn("d2", F.lit(None).cast("double"))
     found = _with_distance(points.where("NOT base_failed AND __g IS NOT NULL"), estimate).unionByName(apart)
     return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True))).drop("__g")

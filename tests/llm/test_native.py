@@ -126,7 +126,8 @@ def test_estimate_is_the_plain_one(spark):
     a = rng.normal(size=(5, 5))
     cov, mean = a @ a.T + np.eye(5), rng.normal(size=5)
     row = {"__g": "x"} | {f"m_{i}": float(mean[i]) for i in range(5)} | {f"c_{i}{j}": float(cov[i, j]) for i in range(5) for j in range(i + 1)}
-    estimate = _inverse_root(spark.createDataFrame([row]))
+    estimate = _inverse_root(spark.createDataFrame([row]), "__g")
+    assert np.isclose(estimate.first()["log_det"], np.linalg.slogdet(cov)[1])
     x = rng.normal(size=(20, 5))
     points = spark.createDataFrame([("x", *map(float, v)) for v in x], "__g string, " + ", ".join(f"{s[0]} double" for s in STATISTICS))
     got = sorted(r["d2"] for r in _with_distance(points, estimate).collect())
@@ -134,6 +135,84 @@ def test_estimate_is_the_plain_one(spark):
     assert np.allclose(got, want)
 
 
+def test_chi_square():
+    """Table values of the distribution."""
+    from planegrid.llm.quality import OUTER, chi2_cdf, chi2_quantile, consistency
+
+    for q, dof, x in ((0.5, 5, 4.3515), (0.975, 5, 12.8325), (0.95, 7, 14.0671), (0.75, 5, 6.6257)):
+        assert abs(chi2_quantile(q, dof) - x) < 1e-3 and abs(chi2_cdf(x, dof) - q) < 1e-4
+    assert abs(chi2_cdf(CUT, 5) - OUTER) < 1e-9
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200_000, 5))
+    near = x[np.argsort((x * x).sum(1))[: int(0.75 * len(x))]]
+    assert np.allclose(np.cov(near.T) * consistency(0.75, 5), np.eye(5), atol=0.02)
+
+
+def concentrated(x, share, starts, rng):
+    """The minimum covariance determinant by brute force: many random starts, whole steps until nothing changes."""
+    h = int(np.ceil(share * len(x)))
+    best = None
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 6, replace=False)]
+        mean, cov = own.mean(0), np.cov(own.T, bias=True) + 1e-9 * np.eye(5)
+        for _ in range(100):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            own = x[np.argsort(d, kind="stable")[:h]]
+            new = own.mean(0), np.cov(own.T, bias=True)
+            if np.allclose(new[1], cov):
+                break
+            mean, cov = new
+        if best is None or np.linalg.slogdet(cov)[1] < best:
+            best = np.linalg.slogdet(cov)[1]
+    return best
+
+
+def test_least_determinant_is_that_of_brute_force(spark):
+    """Two groups of which a fifth lies apart, together and tightly: the estimate is that of the rest."""
+    from planegrid.llm.quality import STATISTICS, _scaled, _starts, _step, _with_distance, consistency, least_determinant
+
+    rng = np.random.default_rng(7)
+    names = [s[0] for s in STATISTICS]
+    least = np.array([s[2] for s in STATISTICS])
+    groups = {}
+    for g in ("a", "b"):
+        mix = rng.normal(size=(5, 5)) + 2 * np.eye(5)
+        x = rng.normal(size=(500, 5)) @ mix * least * 3
+        x[:100] = x[:100] * 0.05 + 12 * least * (1 if g == "a" else -1)
+        groups[g] = x
+    points = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "__g string, " + ", ".join(f"{n} double" for n in names)).cache()
+    estimate = {r["__g"]: r for r in least_determinant(points).collect()}
+    tried = _starts(points)
+    assert {(r["__g"], r["__k"]) for r in tried.collect()} == {(g, k) for g in groups for k in range(4)}
+    for g, x in groups.items():
+        clean = x[100:]
+        mean, cov = clean.mean(0), np.cov(clean.T)
+        r = np.array([[estimate[g][f"r_{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        found = np.linalg.inv(r) @ np.linalg.inv(r).T
+        assert np.abs(np.linalg.slogdet(found)[1] - np.linalg.slogdet(cov)[1]) < 0.6
+        assert np.allclose(mean, [estimate[g][f"m_{i}"] for i in range(5)], atol=0.35 * np.sqrt(np.diag(cov)).max())
+    # the raw estimate: steps from the starts end no higher than brute force does
+    for _ in range(12):
+        tried = _step(points, tried).cache()
+    for g, x in groups.items():
+        ours = min(r["log_det"] for r in tried.where(F.col("__g") == g).collect())
+        assert ours <= concentrated(x, 0.75, 40, rng) + 0.05
+    far = {g: 0 for g in groups}
+    for r in _with_distance(points, spark.createDataFrame(list(estimate.values()))).where(F.col("d2") > CUT).groupBy("__g").count().collect():
+        far[r["__g"]] = r["count"]
+    assert far == {"a": 100, "b": 100}
+    assert consistency(0.75, 5) > 1 and _scaled(tried, 4.0).columns == tried.columns
+
+
+def test_each_statistic_can_reject_by_itself():
+    """The floors let the extreme of every statistic lie beyond the cut."""
+    from planegrid.llm.quality import STATISTICS
+
+    extreme = {"s_length": np.log(1 + 60) - np.log(1 + 5), "s_symbols": np.log(1 + 1000), "s_capitals": np.log(101) - np.log(1 + 3), "s_repeats": np.log(1 + 30), "s_lines": np.log(1 + 95)}
+    for name, _, least in STATISTICS:
+        assert (extreme[name] / least) ** 2 > CUT, name
+
+
 def test_quality_of_nothing_and_of_small_groups(none, docs):
     assert judged(none).count() == 0
     assert CUT > 0 and judged(docs.where("doc_id < 4")).where("kept = base_failed").count() == 0
