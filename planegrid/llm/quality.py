@@ -28,17 +28,18 @@ TRIALS, STEPS = 2, 30
 #: A group of fewer documents is judged with the other small groups of its language.
 LEAST = 50
 #: Quantiles of chi square: of the documents that reweight the estimate, and of those that are kept.
-INNER, OUTER = 0.975, 1 - 1e-6
+INNER, OUTER = 0.975, 1 - 1e-8
 
 #: Name, expression and least standard deviation of each transformed statistic. The least deviation stands
 #: in where nearly all documents are alike (most have no symbol and no repeated line); with it, a text
-#: whose lines nearly all repeat, or with the most repeated words that the base rules let pass, lies beyond OUTER.
+#: whose lines nearly all repeat lies beyond OUTER by itself, as do extreme values of the others but for repeated words,
+#: which the base rules reject.
 STATISTICS = (
     ("s_length", "ln(1.0D + word_chars / n_words)", 0.15),
     ("s_symbols", "ln(1.0D + 1000.0D * n_symbols / word_chars)", 0.5),
     ("s_capitals", "ln(1.0D + 100.0D * n_capitals / word_chars)", 0.4),
-    ("s_repeats", "ln(1.0D + 100.0D * n_repeat_words / n_words)", 0.55),
-    ("s_lines", "ln(1.0D + 100.0D * n_dup_lines / n_lines)", 0.7),
+    ("s_repeats", "ln(1.0D + 100.0D * n_repeat_words / n_words)", 0.8),
+    ("s_lines", "ln(1.0D + 100.0D * n_dup_lines / n_lines)", 0.65),
 )
 
 
