@@ -3,13 +3,15 @@
 The best score of a prefix depends on the prefix alone, so distinct pre-tokens are put in a trie and a
 node's forward score is computed once, however many pre-tokens run through it. A node also keeps the
 tokens of its best segmentation; where a pre-token ends, that is its count. A task keeps one trie
-for all its texts and starts a new one when it has ``NODES`` nodes.
+for all its texts and starts a new one when it has ``NODES`` nodes. A pre-token of over ``LONG`` characters has
+no prefix worth sharing: it runs through the same recurrence over the last prefixes only, as
+many as the longest piece has characters, so its memory does not follow its length.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +22,8 @@ from .common import WORD, documents
 
 #: Nodes of a task's trie, some 200 bytes each.
 NODES = 600_000
+#: Characters of the longest pre-token that goes into the trie.
+LONG = 1000
 
 #: The mark that stands for the blank before a word.
 MARK = "▁"
@@ -52,8 +56,9 @@ class Trie:
     and ``tokens`` its segmentation's tokens.
     """
 
-    def __init__(self, scores: dict[str, float], byte_score: float, nodes: int = NODES):
-        self.scores, self.byte_score, self.limit = scores, byte_score, nodes
+    def __init__(self, scores: dict[str, float], byte_score: float, nodes: int = NODES, long: int = LONG):
+        self.scores, self.byte_score, self.limit, self.long = scores, byte_score, nodes, long
+        self.longest = max(map(len, scores), default=1)
         #: Ends of pieces: when a substring is none of them, no longer one that ends there is a piece.
         self.ends: set[str] = {p[i:] for p in scores if len(p) > 1 for i in range(len(p))}
         self.clear()
@@ -66,6 +71,8 @@ class Trie:
 
     def count(self, word: str) -> tuple[int, float]:
         """(tokens, score) of the best segmentation; of equal scores the one of fewer tokens."""
+        if len(word) > self.long:
+            return self._run(word)
         found = self.counts.get(word)
         if found is None:
             if len(self.best) >= self.limit:
@@ -73,6 +80,26 @@ class Trie:
             found = self.counts[word] = self._insert(word)
         return found
 
+    def _run(self, word: str) -> tuple[int, float]:
+        """The count of a long word: (score, tokens) of the last prefixes alone."""
+        last: deque[tuple[float, int]] = deque([(0.0, 0)], self.longest)  # of the prefixes before this character
+        for j, c in enumerate(word, 1):
+            best, tokens = last[-1]
+            one = self.scores.get(c)
+            n = 1 if one is not None else len(c.encode("utf-8", "surrogatepass"))
+            best, tokens = best + (one if one is not None else n * self.byte_score), tokens + n
+            for i in range(j - 2, max(-1, j - 1 - len(last)), -1):
+                piece = word[i:j]
+                if piece not in self.ends:
+                    break
+                s = self.scores.get(piece)
+                if s is not None:
+                    before, n = last[i - j]
+                    if s + before > best or (s + before == best and n + 1 < tokens):
+                        best, tokens = s + before, n + 1
+            last.append((best, tokens))
+        return last[-1][1], last[-1][0]
+
     def _insert(self, word: str) -> tuple[int, float]:
         scores, ends, child, all_best, all_tokens = self.scores, self.ends, self.child, self.best, self.tokens
         path = [0]  # the node of each prefix
