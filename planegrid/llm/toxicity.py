@@ -24,10 +24,13 @@ from .words import Texts, grouped, mixed
 SAMPLE = 6000
 #: Sampled texts that must have a word for it to be a feature.
 LEAST = 5
+#: Features that the fit reads at most: those that most sampled texts have.
+FEATURES = 1 << 16
 #: Bytes of the beginnings of words that are features beside the whole words.
 BEGINNINGS = (6, 8)
 PENALTY = 3e-3
-STEPS = 300
+#: Steps at most; they end when no weight moves by more than TOLERANCE of the largest.
+STEPS, TOLERANCE = 300, 1e-5
 
 
 class Model(NamedTuple):
@@ -65,7 +68,8 @@ class Sample(NamedTuple):
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, least: int = LEAST) -> Sample:
     """Up to ``rows`` labelled documents; labels or documents without an id, and null labels, are left out.
 
-    Features are counted by Spark; those of fewer than ``least`` sampled texts do not reach the driver.
+    Features are counted by Spark; those of fewer than ``least`` sampled texts do not reach the driver, nor
+    more than ``FEATURES`` of them.
     """
     drawn = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -78,7 +82,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, least: int =
 
     own = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id")  # at most SAMPLE rows
     found = cut(own.mapInArrow(run, "doc_id bigint, feature bigint, times bigint").groupBy("doc_id", "feature").agg(F.max("times").cast("int").alias("times")))
-    common = found.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("feature")
+    common = found.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    common = common.orderBy(F.desc("n"), "feature").limit(FEATURES).select("feature")
     ids = drawn.toPandas()
     table = found.join(common, "feature").toArrow()
     order = np.argsort(ids["doc_id"].to_numpy())
@@ -159,6 +164,8 @@ def _solve(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray
         # started afresh where it overshoots
         t, before = (1.0, 1.0) if (ahead - new) @ (new - w) > 0 else ((1 + (1 + 4 * t * t) ** 0.5) / 2, t)
         pull = (before - 1) / t
+        if np.abs(new - w).max(initial=0) <= TOLERANCE * np.abs(new).max(initial=0) and np.abs(new_theta - theta).max() <= TOLERANCE:
+            return new, new_theta
         ahead, ahead_theta = new + pull * (new - w), np.maximum.accumulate(new_theta + pull * (new_theta - theta))
         w, theta = new, new_theta
     return w, theta
