@@ -72,27 +72,28 @@ def ranges(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def number_within(df: DataFrame, groups: list[str], identity: list[str], name: str, buckets: int = 512) -> DataFrame:
+#: Rows alike that are numbered together before they are dealt out one by one.
+ALIKE = 1 << 16
+
+
+def number_within(df: DataFrame, groups: list[str], name: str) -> DataFrame:
     """Add ``name``: a number from 0 without gaps inside each group, in no task a whole group.
 
-    Rows of a group are dealt into ``buckets`` by the hash of ``identity``; each bucket numbers its own
-    rows and starts where the buckets before it end. The table of starts has at most
-    groups x buckets rows. ``df`` is evaluated twice, so it must be cheap or cut.
+    Rows alike in all columns are one with a count until they have numbers. The rows of a group are
+    dealt into buckets by their hash, some per shuffle partition; each bucket numbers its own rows and starts
+    where the buckets before it end. The table of starts has at most groups x buckets rows.
     """
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*identity), F.lit(buckets)).cast("int"))
+    buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = cut(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__m")))
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy(*groups, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .drop("__n")
-    )
-    inside = Window.partitionBy(*groups, "__bucket").orderBy(*identity)
-    return (
-        dealt.join(starts, [*groups, "__bucket"])
-        .withColumn(name, F.col("__start") + F.row_number().over(inside) - 1)
-        .drop("__bucket", "__start")
-    )
+    sums = cut(dealt.groupBy(*groups, "__bucket").agg(F.sum("__m").alias("__n")))
+    starts = sums.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*groups, "__bucket").orderBy(*df.columns).rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.join(starts, [*groups, "__bucket"]).withColumn("__first", F.col("__start") + F.coalesce(F.sum("__m").over(inside), F.lit(0)))
+    some = first.withColumn("__from", F.explode(F.sequence(F.lit(0), F.col("__m") - 1, F.lit(ALIKE))))
+    each = some.withColumn("__i", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + ALIKE, F.col("__m")) - 1)))
+    return each.withColumn(name, F.col("__first") + F.col("__i")).select(*df.columns, name)
 
 
 def saved(df: DataFrame) -> DataFrame:

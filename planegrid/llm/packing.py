@@ -192,8 +192,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = plan_slots(counts, capacity)  # some slots for each of at most capacity lengths
     schema = "length bigint, lo bigint, n bigint, seq bigint, each bigint, off bigint"
     table = spark.createDataFrame(slots, schema) if slots else spark.createDataFrame([], T._parse_datatype_string(schema))
-    identity = [c for c in pieces.columns if c != "length"]
-    ranked = number_within(pieces, ["length"], identity, "__rank")
+    ranked = number_within(pieces, ["length"], "__rank")
     at = F.col("__rank") - F.col("lo")
     return (
         ranked.join(F.broadcast(table.withColumnRenamed("length", "slot_length")), (F.col("length") == F.col("slot_length")) & F.expr("__rank >= lo AND __rank < lo + n"))

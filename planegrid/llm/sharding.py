@@ -84,5 +84,5 @@ def op7_hash_tree(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFram
         F.lit("key").alias("law"),
     )
     placed = shard(shard(rows, ["doc_id"], tree), ["doc_id"], grown(tree), "grown_shard")
-    numbered = number_within(placed, ["shard"], ["doc_id"], "slot")
+    numbered = number_within(placed, ["shard"], "slot")
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
