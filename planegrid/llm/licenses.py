@@ -33,22 +33,83 @@ class Template(NamedTuple):
     key: str  # stands in words
 
 
-#: Sentences of well-known licences and notices, lower-cased and without punctuation.
+#: Paragraphs of well-known licences and notices as published, lower-cased and without punctuation, each with a
+#: phrase that must stand. A licence with parts that may be left out is several paragraphs of one label.
 TEMPLATES = (
     Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+    ),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "copies or substantial portions of the software"),
     Template("apache", "licensed under the apache license version 2 0", "apache license version 2"),
+    Template(
+        "apache",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "www apache org licenses license 2 0",
+    ),
+    Template(
+        "apache",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license",
+    ),
     Template("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    Template("gpl", "it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published"),
-    Template("lgpl", "it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
-    Template("agpl", "it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    Template(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gnu general public license as published",
+    ),
+    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    Template("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "waived all copyright and related or neighboring rights",
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistribution and use in source and binary forms",
+    ),
+    Template(
+        "bsd",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions in binary form must reproduce the above copyright notice",
+    ),
+    Template(
+        "bsd",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "endorse or promote products derived from this software",
+    ),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "with or without fee is hereby granted",
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "free and unencumbered software",
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "permission is granted to anyone to use this software for any purpose including commercial applications",
+    ),
+    Template(
+        "bsl",
+        "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        "boost software license",
+    ),
+    Template("wtfpl", "do what the fuck you want to public license", "do what the fuck you want to public license"),
 )
 
 #: Phrases whose places are counted whatever stands around them.

@@ -56,6 +56,17 @@ def test_slots_are_gapless(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_numbers_of_rows_alike(spark):
+    """Rows without any difference, more than are numbered together, and clashing names."""
+    from planegrid.llm import common
+
+    own = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit("x").alias("g"), F.lit(None).cast("int").alias("slot0"))
+    got = common.number_within(own, ["g"], "slot")
+    assert got.columns == ["doc_id", "g", "slot0", "slot"]
+    r = got.agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("z"), F.count_distinct("slot").alias("d"), F.count_distinct("doc_id").alias("ids")).first()
+    assert tuple(r) == (200_000, 0, 199_999, 200_000, 66_667)
+
+
 def test_mix_meets_targets(docs, rows):
     got = mix(sized(docs)).collect()
     assert len(got) == len(rows)
