@@ -6,9 +6,6 @@ pictures are coded by halves, so a picture's references lie its lowest set bit a
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,23 +105,32 @@ def dts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("user_id", "event_id", "pts", F.coalesce(F.lag("pts", 3).over(order), early).alias("dts"))
 
 
-def bump(key: tuple, pictures: pd.DataFrame, reorder: int = 3) -> pd.DataFrame:
-    """One sequence's pictures in coding order to their output: the smallest order count as soon as over ``reorder`` wait."""
-    waiting: list[tuple[int, int]] = []
-    out = []
-    for poc, event_id in pictures.sort_values("coded")[["poc", "event_id"]].itertuples(index=False):
-        heapq.heappush(waiting, (int(poc), int(event_id)))
-        if len(waiting) > reorder:
-            out.append(heapq.heappop(waiting))
-    out += sorted(waiting)
-    return pd.DataFrame({"user_id": key[0], "sop_run": key[1], "output": range(len(out)), "poc": [p for p, _ in out], "event_id": [e for _, e in out]})
+def bump(coded: Column, reorder: int = 3) -> Column:
+    """Pictures (arrays of structs that begin with the order count) in coding order to output order.
+
+    The smallest order count goes out as soon as over ``reorder`` pictures wait; the rest goes out at the end.
+    """
+
+    def step(s: Column, picture: Column) -> Column:
+        waiting = F.array_sort(F.array_append(s["waiting"], picture))
+        full = F.size(waiting) > reorder
+        return F.struct(
+            F.when(full, F.slice(waiting, 2, reorder)).otherwise(waiting).alias("waiting"),
+            F.when(full, F.array_append(s["out"], F.get(waiting, F.lit(0)))).otherwise(s["out"]).alias("out"),
+        )
+
+    none = F.slice(coded, 1, 0)
+    return F.aggregate(coded, F.struct(none.alias("waiting"), none.alias("out")), step, lambda s: F.concat(s["out"], s["waiting"]))
 
 
 @query("dpb_output", f"WITH {_DOCKETS} SELECT user_id, sop // 16 AS sop_run, row_number() OVER (PARTITION BY user_id, sop // 16 ORDER BY poc) - 1 AS output, poc, event_id FROM dockets")
 def dpb_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output order by bumping, sequences of 16 structures each; three waiting pictures are enough for the structures of eight."""
-    own = dockets(stream(spark, sf_dir)).select("user_id", "event_id", "poc", "coded", F.expr("sop div 16").alias("sop_run"))
-    return own.groupBy("user_id", "sop_run").applyInPandas(lambda key, rows: bump(key, rows), "user_id long, sop_run long, output long, poc long, event_id long")
+    own = dockets(stream(spark, sf_dir)).select("user_id", F.expr("sop div 16").alias("sop_run"), F.struct("coded", F.struct("poc", "event_id").alias("picture")).alias("p"))
+    # a sequence has 16 * SOP pictures at most
+    runs = own.groupBy("user_id", "sop_run").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["picture"]).alias("coded"))
+    out = runs.select("user_id", "sop_run", F.posexplode(bump(F.col("coded"))).alias("output", "picture"))
+    return out.select("user_id", "sop_run", F.col("output").cast("long").alias("output"), "picture.poc", "picture.event_id")
 
 
 @query("dpb_slots", f"WITH {_EDGES}, life AS (SELECT d.user_id, d.poc, d.coded AS born, coalesce(max(e.coded), d.coded) AS dies FROM dockets d LEFT JOIN edges e ON e.user_id = d.user_id AND e.ref = d.poc GROUP BY d.user_id, d.poc, d.coded), steps AS (SELECT user_id, born AS t, 1 AS d FROM life UNION ALL SELECT user_id, dies + 1, -1 FROM life), sums AS (SELECT user_id, t, sum(d) AS d FROM steps GROUP BY ALL), level AS (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY t) AS used FROM sums) SELECT user_id, max(used)::BIGINT AS slots FROM level GROUP BY user_id")

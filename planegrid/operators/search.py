@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +16,7 @@ from planegrid.plans.registry import BLOCKS, PAIRS, SAMPLES, query
 from planegrid.sources.tables import block_pairs, blocks
 
 
-def displaced(px: Column, dx: int, dy: int) -> Column:
-    """A block seen dx to the right and dy down, borders repeated."""
-    return F.transform(px, lambda _, i: at(px, i % 8 + dx, F.floor(i / 8).cast("int") + dy))
-
-
 RANGE = 2
-_OFFSETS = [(dx, dy) for dy in range(-RANGE, RANGE + 1) for dx in range(-RANGE, RANGE + 1)]
 
 
 @query(
@@ -29,11 +27,31 @@ SELECT block, arg_min(dx, cost * 100 + seq)::INT AS dx, arg_min(dy, cost * 100 +
 )
 def motion_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every displacement in reach by SAD and the vector's bits at lambda 4; the first of equals."""
-    own = block_pairs(spark, sf_dir)
-    rate = lambda dx, dy: 4 * 2 * (abs(dx).bit_length() + abs(dy).bit_length() + 1)
-    tried = F.array(*[F.struct((sad(F.col("src"), displaced(F.col("ref"), dx, dy)) + rate(dx, dy)).alias("cost"), F.lit(i).alias("seq"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(_OFFSETS)])
-    best = own.select("block", F.array_min(tried).alias("b"))
-    return best.select("block", "b.dx", "b.dy", "b.cost")
+    return searched(block_pairs(spark, sf_dir))
+
+
+def searched(pairs: DataFrame, size: int = 8, reach: int = RANGE, lagrangian: int = 4) -> DataFrame:
+    """(block, src, ref), square blocks of ``size`` in raster order, to (block, dx, dy, cost) of the best displacement.
+
+    All blocks of a batch are tried together, a displacement at a time. Borders are repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            src, ref = (b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, size, size) for i in (1, 2))
+            wide = np.pad(ref, ((0, 0), (reach, reach), (reach, reach)), mode="edge")
+            least, best = np.full(len(src), np.iinfo(np.int64).max), np.zeros((2, len(src)), np.int32)
+            for dy in range(-reach, reach + 1):
+                for dx in range(-reach, reach + 1):
+                    seen = wide[:, reach + dy : reach + dy + size, reach + dx : reach + dx + size]
+                    bits = 2 * (abs(dx).bit_length() + abs(dy).bit_length() + 1)
+                    cost = np.abs(src - seen).sum((1, 2), dtype=np.int64) + lagrangian * bits
+                    less = cost < least
+                    least[less] = cost[less]
+                    best[:, less] = [[dx], [dy]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best[0]), pa.array(best[1]), pa.array(least)], ["block", "dx", "dy", "cost"])
+
+    return pairs.select(F.col("block").cast("long"), F.col("src").cast("array<int>"), F.col("ref").cast("array<int>")).mapInArrow(run, "block long, dx int, dy int, cost long")
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from planegrid.functions import scalar  # noqa: F401
-from planegrid.operators import digests, distortion, filters, pictures, ratecontrol, references, reports, search, statistics  # noqa: F401
+from planegrid.operators import digests, distortion, filters, loopfilter, pictures, ratecontrol, references, reports, search, statistics, transforms  # noqa: F401
 from planegrid.plans.registry import ORACLES, QUERIES  # noqa: F401
 from planegrid.sources import annexb, rawvideo  # noqa: F401
 from planegrid.streaming import output  # noqa: F401

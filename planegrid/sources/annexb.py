@@ -44,17 +44,23 @@ def write_stream(packets: DataFrame) -> DataFrame:
 def tokenize(streams: DataFrame) -> DataFrame:
     """(stream_id, stream) to a row per packet: seq, pos of its header, nal_type, layer, tid, and payload without protection.
 
-    Zero bytes before a start code belong to no packet.
+    Start codes have two zero bytes or more before the byte 1; what stands before the first one belongs to no
+    packet, nor do zero bytes before a start code.
     """
-    parts = F.split(as_bytes_text(F.col("stream")), "\\x00\\x00+\\x01")
-    own = streams.select("stream_id", F.posexplode(F.slice(parts, 2, F.size(parts))).alias("seq", "p"))
+    text = as_bytes_text(F.col("stream"))
+    code = "\\x00\\x00+\\x01"
+    parts, codes = F.split(text, code), F.regexp_extract_all(text, F.lit(code), F.lit(0))
+    lengths = F.zip_with(parts, codes, lambda p, c: F.struct(F.char_length(p).alias("p"), F.char_length(c).alias("c")))
+    own = streams.select("stream_id", F.slice(parts, 2, F.size(parts)).alias("parts"), lengths.alias("lengths"))
+    own = own.select("stream_id", F.posexplode(F.arrays_zip("parts", F.slice("lengths", 1, F.size("parts")).alias("lengths"))).alias("seq", "x"))
+    own = own.select("stream_id", "seq", F.col("x.parts").alias("p"), (F.col("x.lengths.p") + F.col("x.lengths.c")).alias("before"))
     order = Window.partitionBy("stream_id").orderBy("seq")
     size = F.char_length("p")
     byte = lambda i: F.ascii(F.substring("p", i, 1))
     return own.select(
         "stream_id",
         "seq",
-        (F.sum(size + len(START)).over(order) - size).alias("pos"),
+        F.sum("before").over(order).alias("pos"),
         size.alias("size"),
         F.shiftright(byte(1), 1).bitwiseAND(F.lit(63)).alias("nal_type"),
         (F.shiftleft(byte(1).bitwiseAND(F.lit(1)), 5) + F.shiftright(byte(2), 3)).alias("layer_id"),
@@ -121,6 +127,37 @@ def au_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("au", au).groupBy("conv_id", "au").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.char_length("text")).alias("size"), F.min("turn").alias("first"))
 
 
+def access_units(own: DataFrame) -> DataFrame:
+    """(stream_id, seq, nal_type, rbsp) with au, the access unit's number from 0 in its stream.
+
+    A unit opens at the first slice of a picture (its first bit is set), or at the first packet that starts a unit behind
+    the last slice of a picture: delimiters, parameter sets, prefix messages and the reserved types.
+    """
+    t = F.col("nal_type")
+    first = classes(t)["is_slice"] & (F.ascii(F.substring(as_bytes_text(F.col("rbsp")), 1, 1)) >= 128)
+    starts = classes(t)["starts_au"]
+    order = Window.partitionBy("stream_id").orderBy("seq")
+    # behind a slice, or before all, a unit may open; behind a packet that opened one, it may not
+    last = F.last(F.when(classes(t)["is_vcl"], True).when(starts, False), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (starts | first) & F.coalesce(last, F.lit(True))
+    own = own.withColumn("__opens", F.when(opens, 1).otherwise(0))
+    return own.withColumn("au", F.greatest(F.lit(0), F.sum("__opens").over(order) - 1)).drop("__opens")
+
+
+@query(
+    "packet_access_units",
+    f"""WITH {_HEX}, p AS (SELECT stream_id, seq, (seq % 64)::INT AS t, length(h) // 2 + 3 AS size, substr(h, 1, 2) >= '80' AS bit FROM hexed), c AS (SELECT *, t < 32 AS vcl, t BETWEEN 32 AND 35 OR t = 39 OR t BETWEEN 41 AND 44 OR t BETWEEN 48 AND 55 AS starts, (t <= 9 OR t BETWEEN 16 AND 21) AND bit AS first FROM p),
+l AS (SELECT *, last_value(CASE WHEN vcl THEN TRUE WHEN starts THEN FALSE END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM c),
+a AS (SELECT *, greatest(0, sum(CASE WHEN (starts OR first) AND coalesce(last, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq) - 1) AS au FROM l)
+SELECT stream_id, au::BIGINT AS au, count(*) AS packets, sum(CASE WHEN vcl THEN 1 ELSE 0 END)::BIGINT AS slices, min(seq)::INT AS first_seq FROM a GROUP BY ALL""",
+)
+def packet_access_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access units of written streams: their packets, slices and first packet."""
+    own = access_units(tokenize(write_stream(packets(spark, sf_dir))))
+    vcl = F.count_if(classes(F.col("nal_type"))["is_vcl"])
+    return own.groupBy("stream_id", F.col("au").cast("long").alias("au")).agg(F.count(F.lit(1)).alias("packets"), vcl.alias("slices"), F.min("seq").alias("first_seq"))
+
+
 @query("active_parameter_set", "SELECT conv_id, turn, max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS active FROM conversations")
 def active_parameter_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every turn the last system turn up to it: the as-of join as one window."""
