@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents
+from .common import WORD, checked_join, cut, documents
 
 SHARE = 0.75
 #: Steps of every start, and of the best one at most.
@@ -163,7 +163,7 @@ def _inverse_root(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _with_distance(points: DataFrame, estimate: DataFrame) -> DataFrame:
     """``points`` with d2, the squared distance, a row for each estimate of the group; groups without one are left out."""
-    joined = points.join(estimate, "__g")
+    joined = checked_join(points, estimate, "__g")
     d2 = F.lit(0.0)
     for i in range(_P):
         y = F.lit(0.0)
@@ -197,10 +197,10 @@ def _starts(points: DataFrame) -> DataFrame:
     quartiles = points.groupBy("__g").agg(*[F.percentile_approx(s[0], [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, s in enumerate(STATISTICS)])
     scale = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(s[2])) for i, s in enumerate(STATISTICS)]
     middle = cut(quartiles.select("__g", *[F.col(f"q_{i}")[1].alias(f"med_{i}") for i in range(_P)], *[c.alias(f"sd_{i}") for i, c in enumerate(scale)]))
-    z = points.join(middle, "__g").select("__g", *[((F.col(s[0]) - F.col(f"med_{i}")) / F.col(f"sd_{i}")).alias(f"z_{i}") for i, s in enumerate(STATISTICS)])
+    z = checked_join(points, middle, "__g").select("__g", *[((F.col(s[0]) - F.col(f"med_{i}")) / F.col(f"sd_{i}")).alias(f"z_{i}") for i, s in enumerate(STATISTICS)])
     z = z.withColumn("norm2", reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(_P)]))
     half = cut(z.groupBy("__g").agg(F.percentile_approx("norm2", 0.5).alias("half")))
-    z = z.join(half, "__g")
+    z = checked_join(z, half, "__g")
     own = lambda k, when, f: F.when(when, F.struct(F.lit(k).alias("k"), *[f(F.col(f"z_{i}")).alias(f"y_{i}") for i in range(_P)]))
     length = F.greatest(F.sqrt("norm2"), F.lit(1e-9))
     views = F.array(own(1, F.lit(True), F.tanh), own(2, F.lit(True), lambda c: c / length), own(3, F.col("norm2") <= F.col("half"), lambda c: c))
@@ -249,7 +249,7 @@ def least_determinant(points: DataFrame) -> DataFrame:
         best = cut(ahead.join(better, "__g", "left_semi").unionByName(best.join(better, "__g", "left_anti")))
         if fallen is None or fallen < 1e-6:
             break
-    raw = _scaled(best.drop("__k"), consistency(SHARE, _P))
+    raw = cut(_scaled(best.drop("__k"), consistency(SHARE, _P)))
     inner = _with_distance(points, raw).where(F.col("d2") <= chi2_quantile(INNER, _P))
     sums = inner.groupBy("__g").agg(*_sums([F.col(s[0]) for s in STATISTICS]))
     return _inverse_root(sums.select("__g", *[c.alias(n) for n, c in _moments(F.lit(consistency(INNER, _P))).items()]), "__g")
