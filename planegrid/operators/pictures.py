@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planegrid.operators.filters import joined
-from planegrid.plans.registry import BLOCKS, SAMPLES, query
-from planegrid.sources.tables import blocks, samples, table
+from planegrid.plans.registry import BLOCKS, PAIRS, SAMPLES, query
+from planegrid.sources.tables import block_pairs, blocks, samples, table
 
 
 def field(px: Column, parity: int, height: int = 8, padded: int = 8, width: int = 8) -> Column:
@@ -77,3 +77,26 @@ def tile_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n")).distinct()
     own = sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("tile")).withColumn("start", F.expr("tile * n div 3"))
     return own.select("n", "tile", "start", (F.expr("(tile + 1) * n div 3") - F.col("start")).alias("width"))
+
+
+def filled(w: int, h: int, value: int) -> Column:
+    """A rectangle of one value, in raster order."""
+    return F.array_repeat(F.lit(value), w * h)
+
+
+def copied(target: Column, source: Column, x0: int, y0: int, w: int, h: int, stride: int = 8) -> Column:
+    """``target`` with the rectangle at (x0, y0) of ``source`` copied to the same place; both have ``stride`` samples a row."""
+    inside = lambda i: (i % stride).between(x0, x0 + w - 1) & F.floor(i / stride).between(y0, y0 + h - 1)
+    return F.transform(target, lambda v, i: F.when(inside(i), F.get(source, i)).otherwise(v))
+
+
+@query(
+    "block_ops",
+    f"WITH {PAIRS}, c AS (SELECT block, x, y, src, ref, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 3 THEN ref ELSE src END AS v FROM pairs) SELECT block, string_agg(v::INT, ',' ORDER BY y, x) AS copied, bool_and(v = src) AS same, bool_and(CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 3 THEN v = ref ELSE TRUE END) AS part_same, sum(abs(v - 128))::BIGINT AS from_fill FROM c GROUP BY block",
+)
+def block_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle copied between blocks, blocks and rectangles compared, and the distance to a filled block."""
+    own = block_pairs(spark, sf_dir).withColumn("v", copied(F.col("src"), F.col("ref"), 2, 1, 4, 3))
+    rows = lambda c: F.concat(*[F.slice(c, 8 * y + 3, 4) for y in (1, 2, 3)])
+    far = F.aggregate(F.zip_with("v", filled(8, 8, 128), lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, d: s + d)
+    return own.select("block", joined(F.col("v")).alias("copied"), (F.col("v") == F.col("src")).alias("same"), (rows("v") == rows("ref")).alias("part_same"), far.alias("from_fill"))

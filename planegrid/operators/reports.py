@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planegrid.functions.scalar import exp_golomb
@@ -10,7 +10,7 @@ from planegrid.operators.digests import checksum
 from planegrid.operators.distortion import hadamard, psnr, ssd, tile_satd
 from planegrid.operators.filters import LUMA, along_x
 from planegrid.operators.references import _DOCKETS, _EDGES, dockets, edges, stream
-from planegrid.operators.statistics import hist_difference, shot_changes
+from planegrid.operators.statistics import hist_difference, segments, shot_changes
 from planegrid.plans.registry import COEFFICIENTS, ORACLES, PAIRS, SAMPLES, query
 from planegrid.sources.tables import block_pairs, blocks, table
 
@@ -101,10 +101,26 @@ def spaced(frames: Column, gap: int) -> Column:
     f"WITH RECURSIVE c AS (SELECT frame FROM ({ORACLES['shot_candidates']}) WHERE stands_out), taken(frame) AS (SELECT min(frame) FROM c UNION ALL SELECT (SELECT min(c.frame) FROM c WHERE c.frame - t.frame > 5) FROM taken t WHERE t.frame IS NOT NULL) SELECT frame FROM taken WHERE frame IS NOT NULL",
 )
 def final_shot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shot changes over five frames apart: a fold over the frames that stand out, which are few in any stream."""
-    found = shot_changes(hist_difference(spark, sf_dir)).where("stands_out")
-    own = found.groupBy().agg(F.array_sort(F.collect_list("frame")).alias("f"))
-    return own.select(F.explode(spaced(F.col("f"), 5)).alias("frame"))
+    """Shot changes over five frames apart, of the frames that stand out."""
+    return apart(shot_changes(hist_difference(spark, sf_dir)).where("stands_out").select("frame"), 5)
+
+
+def apart(found: DataFrame, gap: int) -> DataFrame:
+    """(frame) of a stream to those that come over ``gap`` after the last one taken.
+
+    A frame with none in the ``gap`` before it is always taken, so each run of frames from one such to the next is
+    folded by itself.
+    """
+    order = Window.partitionBy("segment").orderBy("frame")
+    near = F.count(F.lit(1)).over(order.rangeBetween(-gap, -1))
+    first = F.when(near == 0, F.col("frame"))
+    own = segments(found, gap, gap).select("segment", "frame", "own", first.alias("first")).where("own")
+    own = own.select("segment", "frame", "first", F.last("first", ignorenulls=True).over(order).alias("run"))
+    # a run that begins in an earlier segment; a row per segment
+    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    begun = own.groupBy("segment").agg(F.max("first").alias("last")).select("segment", F.last("last", ignorenulls=True).over(before).alias("begun"))
+    runs = own.join(begun, "segment").groupBy(F.coalesce("run", "begun").alias("run")).agg(F.array_sort(F.collect_list("frame")).alias("f"))
+    return runs.select(F.explode(spaced(F.col("f"), gap)).alias("frame"))
 
 
 @query(

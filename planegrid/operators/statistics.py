@@ -22,13 +22,32 @@ def luma_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(pictures(spark, sf_dir))
 
 
+#: Pictures whose neighbours are looked at in one task.
+SEGMENT = 4096
+
+
+def numbered(hours: DataFrame) -> DataFrame:
+    """(hour) to (hour, frame), from 1 in order: inside each month, behind the months before it, of which there are few."""
+    months = hours.withColumn("month", F.trunc("hour", "month"))
+    before = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    starts = months.groupBy("month").agg(F.count(F.lit(1)).alias("n")).select("month", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("month").orderBy("hour"))
+    return months.join(starts, "month").select("hour", (F.col("start") + inside).alias("frame"))
+
+
+def segments(rows: DataFrame, before: int, after: int, length: int = SEGMENT) -> DataFrame:
+    """Rows of a stream's ``frame`` with segment and own: each also comes, not own, to a segment that looks ``before`` or ``after`` over its border."""
+    at = lambda d: F.floor((F.col("frame") + d) / length).cast("long")
+    near = F.array_distinct(F.array(at(0), at(after), at(-before)))
+    return rows.withColumn("segment", F.explode(near)).withColumn("own", F.col("segment") == at(0))
+
+
 def histogram_difference(own: DataFrame) -> DataFrame:
     """(hour, bin, n) to (hour, difference): what the bins differ from the picture before, summed.
 
-    Pictures are numbered over their own few rows; each bin goes to its picture and, negated, to the next,
-    so one aggregation replaces a full outer self-join.
+    Each bin goes to its picture and, negated, to the next, so one aggregation replaces a full outer self-join.
     """
-    number = own.select("hour").distinct().withColumn("frame", F.row_number().over(Window.orderBy("hour")))
+    number = numbered(own.select("hour").distinct())
     bins = own.join(number, "hour")
     shifted = bins.select("frame", "bin", "n").union(bins.select(F.col("frame") + 1, "bin", -F.col("n")))
     total = shifted.groupBy("frame", "bin").agg(F.sum("n").alias("d")).groupBy("frame").agg(F.sum(F.abs("d")).alias("difference"))
@@ -55,14 +74,15 @@ def fade_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shot_changes(differences: DataFrame) -> DataFrame:
     """(frame, difference, hour) to the frames that stand out among five before and four after.
 
-    The right side's mean and deviation divide by five although it has four frames. A change counts if
-    the last one that counted is over five frames back, which is a fold over the few candidates.
+    The right side's mean and deviation divide by five although it has four frames. Frames are numbered
+    without gaps, so a segment needs five frames before it and four after.
     """
-    left = Window.orderBy("frame").rowsBetween(-5, -1)
-    right = Window.orderBy("frame").rowsBetween(1, 4)
-    around = Window.orderBy("frame").rowsBetween(-5, 4)
+    order = Window.partitionBy("segment").orderBy("frame")
+    left, right, around = order.rowsBetween(-5, -1), order.rowsBetween(1, 4), order.rowsBetween(-5, 4)
+    differences = segments(differences, 5, 5)  # a frame goes where it is one of five before, or of four after
     d = F.col("difference").cast("double")
     own = differences.select(
+        "own",
         "frame",
         "difference",
         F.avg("difference").over(left).alias("mean_l"),
@@ -71,7 +91,7 @@ def shot_changes(differences: DataFrame) -> DataFrame:
         F.collect_list(d).over(right).alias("rights"),
         F.max("difference").over(around).alias("most"),
         F.count(F.lit(1)).over(around).alias("n"),
-    ).where("n = 10")
+    ).where("own AND n = 10")
     squares = F.aggregate("rights", F.lit(0.0), lambda a, x: a + (x - F.col("mean_r")) * (x - F.col("mean_r")))
     own = own.withColumn("dev_r", F.sqrt(squares / 5.0))
     level = F.greatest(F.col("mean_l") + 7 * F.col("dev_l"), F.col("mean_r") + 7 * F.col("dev_r"))

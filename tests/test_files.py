@@ -163,3 +163,28 @@ def test_bumping(spark):
                 out.append(waiting.pop(0))
         got = df.select(bump(F.col("c"), reorder)).first()[0]
         assert [r["poc"] for r in got] == out + waiting and all(r["id"] == 10 * r["poc"] for r in got)
+
+
+def test_shots_over_segment_borders(spark, monkeypatch):
+    """Segments of a few frames give what one segment gives, and runs of candidates fold as one list does."""
+    from planegrid.operators import statistics
+    from planegrid.operators.reports import apart
+
+    rng = np.random.default_rng(9)
+    d = rng.integers(5, 20, 120)
+    d[[16, 30, 45, 63, 90]] += 400
+    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(d, 2)], "frame long, difference long")
+    whole = sorted(map(tuple, statistics.shot_changes(df).collect()))
+    frames = sorted(rng.choice(300, 90, replace=False).tolist())
+    taken = []
+    for f in frames:
+        if not taken or f - taken[-1] > 5:
+            taken.append(f)
+    found = spark.createDataFrame([(f,) for f in frames], "frame long")
+    for length in (4096, 16, 7):
+        plain = statistics.segments
+        monkeypatch.setattr(statistics.segments, "__defaults__", (length,))
+        assert plain is statistics.segments
+        assert sorted(map(tuple, statistics.shot_changes(df).collect())) == whole
+        assert sorted(r["frame"] for r in apart(found, 5).collect()) == taken
+    assert sum(r[3] for r in whole) >= 3
