@@ -8,6 +8,7 @@ from .licenses import op8_rare_token_index
 from .mixing import op3_pivotal_mix
 from .oracles import OP2, OP9
 from .packing import op10_martello_toth
+from .pieces import op11_offset_pieces
 from .quality import op4_mcd_outliers
 from .sharding import op7_hash_tree
 from .substrings import op2_debruijn
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_rare_token_index": op8_rare_token_index,
     "op9_token_group_matrix": op9_token_group_matrix,
     "op10_martello_toth": op10_martello_toth,
+    "op11_offset_pieces": op11_offset_pieces,
 }
 
 #: The others draw by a hash that DuckDB lacks, fit a model, or run a tokenizer or a codec; tests/llm has their plain versions.
