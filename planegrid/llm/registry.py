@@ -10,6 +10,7 @@ from .oracles import OP2, OP9
 from .packing import op10_martello_toth
 from .pieces import op11_offset_pieces
 from .quality import op4_mcd_outliers
+from .runs import op13_kolpakov_kucherov
 from .sharding import op7_hash_tree
 from .substrings import op2_debruijn
 from .token_counts import op1_trie_tokens
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_group_matrix": op9_token_group_matrix,
     "op10_martello_toth": op10_martello_toth,
     "op11_offset_pieces": op11_offset_pieces,
+    "op13_kolpakov_kucherov": op13_kolpakov_kucherov,
 }
 
 #: The others draw by a hash that DuckDB lacks, fit a model, or run a tokenizer or a codec; tests/llm has their plain versions.
