@@ -1,9 +1,9 @@
 """Subword encoding that keeps offsets, and its inverse.
 
 A text is normalised by the longest prefix that the model's compiled character map holds at each place; every
-normalised character records the source byte that it comes from. No piece of a BPE vocabulary has a blank's mark
-behind another character, so merges never cross such a border: what lies between two borders is merged once by a
-task and looked up from then on. The characters of the pieces, added up, point into the record of source bytes,
+normalised character records the source byte that it comes from. Merges never cross a border that no piece of the
+vocabulary holds, such as a blank's mark behind another character: what lies between two borders is merged once by
+a task and looked up from then on. The characters of the pieces, added up, point into the record of source bytes,
 which gives each piece's span.
 """
 
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 from .words import grouped
@@ -27,7 +28,7 @@ from .words import grouped
 #: The mark that stands for a blank.
 MARK = "▁"
 #: Characters of the segments that a task remembers, together.
-REMEMBERED = 8_000_000
+REMEMBERED = 3_000_000
 #: Characters of a segment whose pairs are looked through at each merge; longer ones are merged with a heap.
 FEW = 40
 #: Bytes of text handled together.
@@ -161,9 +162,22 @@ class Model:
         spec = proto.normalizer_spec
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.normalizer = Normalizer(character_map(spec.precompiled_charsmap), self.prefix, self.squeeze)
-        whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         #: What can be merged by itself.
-        self.segment: Callable[[str], list[str]] = (lambda s: [s] if s else []) if whole else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        self.segment: Callable[[str], list[str]] = re.compile(self._borders(), re.DOTALL).findall
+        self.sizes = np.array([len(b) for b in self.bytes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.strips = (self.prefix or self.squeeze) & (self.kinds == _NORMAL) & np.array([b.startswith(b" ") for b in self.bytes])
+
+    def _borders(self) -> str:
+        """A pattern of segments: between letters and others, and in front of marks, where no piece holds such a border."""
+        letter, other = r"[^\W\d_]", rf"(?:[^\w{MARK}]|[\d_])"
+        held = lambda border: any(re.search(border, p) for p in self.ids)
+        if held(f"[^{MARK}]{MARK}"):
+            return ".+"
+        if held(f"{letter}{other}|{other}{letter}"):
+            return f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+        return f"{MARK}*(?:{letter}+|{other}+)|{MARK}+"
 
     def merged(self, s: str) -> Iterator[tuple[int, int]]:
         """(id, characters) of the pieces of a segment. The characters of one written in bytes are its last byte's."""
@@ -257,15 +271,17 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", end: bool = True) -> DataFrame:
-    """(doc_id, text) to doc_id, ids, begins and ends: the pieces and the source bytes that each one covers.
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", end: bool = True, decoded: bool = False) -> DataFrame:
+    """(doc_id, text) to doc_id, ids, begin and ends: the pieces, and the source bytes that they cover.
 
-    ``ends`` are exclusive. A character written in several byte pieces belongs to the last of them; a rule's
-    replacement to the source of the whole rule. With ``end`` the end id follows, at the text's end. Null and
-    empty texts have no other id; repeated rows give repeated rows; other columns are left out; an empty
-    table stays empty. Texts are encoded whole. ``model`` is a file of public_tokenizers or a path that the
+    The first piece covers the bytes from ``begin`` on, each other one those from the end before; ends are exclusive.
+    A character written in several byte pieces belongs to the last of them; a rule's replacement to the source of
+    the whole rule. With ``end`` the end id follows, at the text's end; with ``decoded`` the text that the ids
+    decode to. Null and empty texts have no other id; repeated rows give repeated rows; other columns are left out;
+    an empty table stays empty. Texts are encoded whole. ``model`` is a file of public_tokenizers or a path that the
     executors can read.
     """
+    names = ["doc_id", "ids", "begin", "ends", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(_model_path(model))
@@ -277,22 +293,22 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", end: bool = True
             parts = [own.segment(s) for s, _ in normal]
             number = np.array(list(map(table.__getitem__, itertools.chain.from_iterable(parts))), np.int64)
             starts = np.array(table.starts)
-            at = _ragged(starts[number], starts[number + 1] - starts[number])
+            counts = starts[number + 1] - starts[number]
+            at = _ragged(starts[number], counts)
             ids, sizes = np.array(table.ids, np.int32)[at], np.array(table.sizes, np.int64)[at]
-            pieces = np.r_[0, np.cumsum(starts[number + 1] - starts[number])]
-            last = pieces[np.cumsum([len(p) for p in parts])]  # of each text
+            last = np.r_[0, np.cumsum(counts)][np.cumsum([len(p) for p in parts])]  # of each text
             # of a text of n normalised characters n + 1 places are known, its end too
             places = np.concatenate([p for _, p in normal])
-            stop = np.cumsum(sizes) + np.repeat(np.arange(len(normal)), np.diff(np.r_[0, last]))
-            begins, ends = places[stop - sizes], places[stop]
+            ends = places[np.cumsum(sizes) + np.repeat(np.arange(len(normal)), np.diff(np.r_[0, last]))]
             if end:
-                length = np.array([p[-1] for _, p in normal])
-                ids = np.insert(ids, last, own.end)
-                begins, ends = np.insert(begins, last, length), np.insert(ends, last, length)
+                ids, ends = np.insert(ids, last, own.end), np.insert(ends, last, [p[-1] for _, p in normal])
                 last = last + np.arange(1, len(normal) + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, last), _lists(begins, last), _lists(ends, last)], ["doc_id", "ids", "begins", "ends"])
+            columns = [b.column(0), _lists(ids, last), pa.array([int(p[0]) for _, p in normal], pa.int32()), _lists(ends, last)]
+            if decoded:
+                columns.append(_texts(own, ids, last))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, begins array<int>, ends array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, begin int, ends array<int>" + ", decoded string" * decoded)
 
 
 def _repaired(own: Model, ids: list[int]) -> bytes:
@@ -325,44 +341,45 @@ def _is_text(b: bytes) -> bool:
     return True
 
 
+def _texts(own: Model, ids: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The texts that ids decode to; last: where those of each text end."""
+    out = []
+    for a, z in zip([0, *last.tolist()], last.tolist()):
+        some = ids[a:z]
+        text = own.letters[_ragged(own.starts[some], own.sizes[some])].tobytes()
+        silent = own.kinds[some] == _CONTROL
+        if silent[:-1].any() or not _is_text(text):  # a control id ends a character too
+            text = _repaired(own, some.tolist())
+        some = some[~silent]
+        if len(some) and own.strips[some[0]]:
+            text = text.lstrip(b" ") if own.squeeze else text[1:]
+        out.append(text)
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Add ``decoded``, the text of the column ``ids``; a column of that name is replaced.
 
     The blank that encoding puts before a text goes, control ids have no text, byte pieces are put together.
     Null and empty ids give an empty text.
     """
-    from pyspark.sql import types as T
-
     kept = encoded.drop("decoded")
     names = [*kept.columns, "decoded"]
     place = kept.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(_model_path(model))
-        sizes = np.array([len(b) for b in own.bytes])
-        starts = np.cumsum(sizes) - sizes
-        letters = np.frombuffer(b"".join(own.bytes), np.uint8)
-        strips = (own.prefix or own.squeeze) & (own.kinds == _NORMAL) & np.array([b.startswith(b" ") for b in own.bytes])
         for batch in batches:
-            texts = []
-            for value in batch.column(place):
-                ids = np.asarray(value.values, np.int64) if value.is_valid else np.zeros(0, np.int64)
-                text = letters[_ragged(starts[ids], sizes[ids])].tobytes()
-                silent = own.kinds[ids] == _CONTROL
-                if silent[:-1].any() or not _is_text(text):  # a control id ends a character too
-                    text = _repaired(own, ids.tolist())
-                ids = ids[~silent]
-                if len(ids) and strips[ids[0]]:
-                    text = text.lstrip(b" ") if own.squeeze else text[1:]
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names)
+            lists = batch.column(place)
+            counts = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(own, np.asarray(lists.flatten(), np.int64), np.cumsum(counts))], names)
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' ids and of the texts that they decode to; n_bytes is where the last piece ends."""
-    both = decode(encode(documents(spark, sf_dir)))
+    both = encode(documents(spark, sf_dir), decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
