@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut(pairs)
+    if pairs.isEmpty():
+        return pairs.select(F.col("b").alias("node"), F.col("a").alias("component"))
     seen = None
     while True:
         both = pairs.unionAll(pairs.select("b", "a"))

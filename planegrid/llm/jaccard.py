@@ -17,7 +17,7 @@ Documents with equal shingle sets are one class. Three steps find what connects
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, ranges, saved, spread_join
+from .common import cut, discard, documents, ranges, saved, spread_join
 from .components import components
 from .words import Texts, block_name, grouped, mixed, window_hashes
 
@@ -82,13 +82,16 @@ def half(s: np.ndarray) -> np.ndarray:
     return s[(s & np.uint64(1)) == 0]
 
 
-_DOC = [("owner", pa.int32()), ("doc_id", pa.int64()), ("own", pa.string()), ("cls", pa.int64()), ("n", pa.int64()), ("need", pa.int64())]
-_PACKED = "part int, block bigint, codes array<bigint>, docs array<struct<owner:int,doc_id:bigint,own:string,cls:bigint,n:bigint,need:bigint>>"
+#: Makes a table that is discarded with the others of a join.
+Keep = Callable[[DataFrame], DataFrame]
+
+_DOC = [("owner", pa.int32()), ("doc_id", pa.int64()), ("own", pa.string()), ("row", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("need", pa.int64())]
+_PACKED = "part int, block bigint, codes array<bigint>, docs array<struct<owner:int,doc_id:bigint,own:string,row:bigint,cls:bigint,n:bigint,need:bigint>>"
 _PACKED_NAMES = ["part", "block", "codes", "docs"]
 
 
 def _scatter(parts: int):  # noqa: ANN202
-    """(doc_id, text, own) to packed blocks: a row per hash range, and one row of the documents themselves.
+    """(doc_id, text, own, row) to packed blocks: a row per hash range, and one row of the documents themselves.
 
     A code is 32 bits of a shingle's hash, which tell enough inside a range (a chance match only keeps a
     document), and 16 of the document's number in the block. A shingle that several documents of a block
@@ -123,7 +126,7 @@ def _scatter(parts: int):  # noqa: ANN202
             packed = pa.ListArray.from_arrays(pa.array(np.r_[cuts[some], len(h)], pa.int32()), pa.array(codes))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), block)), packed, pa.nulls(len(some), docs_type)], _PACKED_NAMES)
             need = n_half - np.array([lacking(int(n)) for n in sizes]) - shared
-            rows = [pa.array(range(len(sets)), pa.int32()), b.column(0), b.column(2), pa.array(keys), pa.array(sizes), pa.array(need)]
+            rows = [pa.array(range(len(sets)), pa.int32()), b.column(0), b.column(2), b.column(3), pa.array(keys), pa.array(sizes), pa.array(need)]
             docs = pa.ListArray.from_arrays(pa.array([0, len(sets)], pa.int32()), pa.StructArray.from_arrays(rows, [n for n, _ in _DOC]))
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([block]), pa.nulls(1, pa.list_(pa.int64())), docs], _PACKED_NAMES)
 
@@ -131,7 +134,7 @@ def _scatter(parts: int):  # noqa: ANN202
 
 
 def classed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, own) to doc_id, own, cls, n (shingles) and stays: whether enough of the half occurs elsewhere."""
+    """(doc_id, text, own, row) to doc_id, own, row, cls, n (shingles) and stays: whether enough of the half occurs elsewhere."""
     packed = saved(docs.mapInArrow(_scatter(ranges(docs.sparkSession)), _PACKED))
     codes = packed.where("part >= 0").select("part", "block", "codes").repartition("part")
     each = codes.select("part", "block", F.explode("codes").alias("code"))
@@ -141,16 +144,18 @@ def classed(docs: DataFrame) -> DataFrame:
     found = again.groupBy("block", "owner").agg(F.count(F.lit(1)).alias("found"))
     rows = packed.where("part < 0").select("block", F.inline("docs"))
     stays = (F.col("n") > 0) & (F.col("need") <= F.coalesce("found", F.lit(0)))
-    return rows.join(found, ["block", "owner"], "left").select("doc_id", "own", "cls", "n", stays.alias("stays"))
+    out = cut(rows.join(found, ["block", "owner"], "left").select("doc_id", "own", "row", "cls", "n", stays.alias("stays")))
+    discard(packed)
+    return out
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, text) to (cls, n, text, votes): the smallest hash under each permutation. A null cls is filled, one that is not the text's goes."""
+    """(cls, text) to (cls, n, text, votes): the smallest hash under each permutation. A row goes whose cls is not its text's."""
     seeds = mixed(np.arange(1, VOTES + 1, dtype=np.uint64))
     for b in grouped(batches, "text"):
         sets = shingle_sets(b.column(1))
         keys = [_key(s) if len(s) else None for s in sets]
-        kept = [i for i, (c, k) in enumerate(zip(b.column(0).to_pylist(), keys)) if k is not None and (c is None or c == k)]
+        kept = [i for i, (c, k) in enumerate(zip(b.column(0).to_pylist(), keys)) if k is not None and c == k]
         votes = [[int(mixed(sets[i] ^ s).min().view(np.int64)) for s in seeds] for i in kept]
         yield pa.RecordBatch.from_arrays(
             [pa.array([keys[i] for i in kept], pa.int64()), pa.array([len(sets[i]) for i in kept], pa.int64()), b.column(1).take(pa.array(kept, pa.int64())), pa.array(votes, pa.list_(pa.int64()))],
@@ -229,7 +234,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array([linked(x, y) for x, y in zip(left, right)], pa.bool_()))
 
 
-def _units(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _units(classes: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
     """Classes with texts and votes to their rows by leader, and the links between leaders."""
     vote = classes.select("cls", F.explode("votes").alias("v"))  # permuted hashes of several permutations do not meet
     best = cut(vote.groupBy("v").agg(F.min("cls").alias("g"), F.count(F.lit(1)).alias("n")))
@@ -241,7 +246,7 @@ def _units(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         size = rows.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
         dealt = rows.join(size, "g").withColumn("sub", F.pmod(F.xxhash64("cls", F.lit(level)), F.col("blocks")))
         # dealt anew: the join has left a group's rows in one task
-        own = saved(dealt.repartition("g", "sub").groupBy("g", "sub").applyInArrow(_with_group, T.StructType([*_UNIT, T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())])))
+        own = keep(dealt.repartition("g", "sub").groupBy("g", "sub").applyInArrow(_with_group, T.StructType([*_UNIT, T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())])))
         if found is None:
             found = own.drop("g", "again")
         else:
@@ -263,7 +268,7 @@ def _with_group(key: tuple, table: pa.Table) -> pa.Table:
     return out.append_column("g", pa.array([key[0].as_py()] * len(out), pa.int64())).append_column("again", pa.array([several] * len(out), pa.bool_()))
 
 
-def _crossing(rows: DataFrame, unit: DataFrame) -> DataFrame:
+def _crossing(rows: DataFrame, unit: DataFrame, keep: Keep) -> DataFrame:
     """Links between classes of different units, by the token-group matrix. rows: classes by leader, unit: lead to unit."""
     matrix = rows.where("tokens IS NOT NULL").select("lead", "tokens").join(unit, "lead").select("lead", "unit", F.explode("tokens").alias("token"))
     shared = matrix.groupBy("token").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).where("u < v").select("token")
@@ -273,10 +278,10 @@ def _crossing(rows: DataFrame, unit: DataFrame) -> DataFrame:
     flags = least.join(flags, "lead", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<bigint>")))
     flags = flags.where(F.size("flags") >= F.col("least")).select(F.col("lead").alias("l"), "flags")
     members = rows.select("cls", "lead", "n", "text").groupBy("lead")
-    open_ = saved(members.cogroup(flags.groupBy("l")).applyInArrow(lambda x, y: _open(x, y), "cls bigint, lead bigint, n bigint, text string"))
+    open_ = keep(members.cogroup(flags.groupBy("l")).applyInArrow(lambda x, y: _open(x, y), "cls bigint, lead bigint, n bigint, text string"))
     # A link joins two open classes, so these alone go on, with all their shingles.
     placed = open_.join(unit, "lead").select("cls", "unit", "n", "text")
-    tokens = saved(placed.mapInArrow(_shingles, "cls bigint, unit bigint, n bigint, token bigint"))
+    tokens = keep(placed.mapInArrow(_shingles, "cls bigint, unit bigint, n bigint, token bigint"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("unit").alias("u"), F.max("unit").alias("v")).where("u < v").select("token", "df")
     common = tokens.join(often, "token")
     # Rarest first, a class's own shingles stand before those; a pair that links shares one of the first n - ceil(3 n / 4) + 1.
@@ -320,24 +325,27 @@ def near_rows(docs: DataFrame) -> DataFrame:
     Classes are named by 64 bits of their sets; ``own`` is carried along. A row without doc_id takes part
     like any other, but names no component; where none of a component has one, component_id is null.
     """
+    tables: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        tables.append(saved(df))
+        return tables[-1]
+
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("own").cast("string").alias("own"))
-    sets = cut(classed(docs))
-    classes = cut(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.max("stays").alias("stays")))
-    named = docs.join(classes.where("stays AND low IS NOT NULL").select(F.col("low").alias("doc_id"), "cls"), "doc_id").select("cls", "text")
-    voted = named.mapInArrow(_votes, "cls bigint, n bigint, text string, votes array<bigint>")
-    unnamed = classes.where("stays AND low IS NULL").select("cls")
-    if not unnamed.isEmpty():
-        alone = docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("cls"), "text")
-        voted = voted.unionByName(alone.mapInArrow(_votes, voted.schema).join(unnamed, "cls", "left_semi"))
-    voted = saved(voted.dropDuplicates(["cls"]))
-    rows, links = _units(voted)
+    docs = docs.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    sets = classed(docs)
+    classes = cut(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.max("stays").alias("stays"), F.min("row").alias("row")))
+    # a class's text comes from the rows of one name: repeated ones, and one of another text once in a long while
+    named = docs.join(classes.where("stays").select("row", "cls"), "row").select("cls", "text")
+    voted = keep(named.mapInArrow(_votes, "cls bigint, n bigint, text string, votes array<bigint>").dropDuplicates(["cls"]))
+    rows, links = _units(voted, keep)
     leads = rows.select("lead").distinct()
     if links is None:
         unit = cut(leads.withColumn("unit", F.col("lead")))
     else:
         joined = components(links)
         unit = cut(leads.join(joined, leads["lead"] == joined["node"], "left").select("lead", F.coalesce("component", "lead").alias("unit")))
-    crossing = _crossing(rows, unit)
+    crossing = _crossing(rows, unit, keep)
     of = rows.select("cls", "lead").join(unit, "lead").select("cls", "unit")
     ends = crossing.join(of.select(F.col("cls").alias("a"), F.col("unit").alias("ua")), "a").join(of.select(F.col("cls").alias("b"), F.col("unit").alias("ub")), "b")
     joined = components(ends.select(F.col("ua").alias("a"), F.col("ub").alias("b")))
@@ -346,6 +354,7 @@ def near_rows(docs: DataFrame) -> DataFrame:
     lowest = named.groupBy("comp").agg(F.min("low").alias("lowest"))
     named = named.join(lowest, "comp").select("cls", "comp", "lowest")
     names = cut(classes.join(named, "cls", "left").select("cls", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("comp", "cls").alias("comp")))
+    discard(*tables)
     found = sets.join(names, "cls", "left")
     return found.select("doc_id", "own", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
 
