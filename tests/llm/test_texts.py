@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from planegrid.llm import flac, packing, token_counts, toxicity
 from planegrid.llm.jaccard import near_components
-from planegrid.llm.licenses import TEMPLATES, licence_words, scan, word_idf
+from planegrid.llm.licenses import LICENCES, licence_words, scan, word_idf
 from planegrid.llm.substrings import without_repeats
 from planegrid.llm.words import Texts, window_hashes
 
@@ -269,7 +269,7 @@ def test_licenses(spark, docs, none):
         "Licensed under CC BY-NC 4.0.",
         "cc by the way nc under licensed",
         "This work is licensed under the GNU General Public License, version 3.",
-        TEMPLATES[1].words.upper() + " end",
+        " by someone ".join(LICENCES[1].needed).upper() + " end",
         None,
         "",
         "mit-license",
