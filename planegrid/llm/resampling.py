@@ -1,15 +1,17 @@
 """Importance resampling towards a target distribution of hashed n-grams.
 
-Distinct words get ids in one dictionary of the corpus and the target. Texts travel in blocks as numbers of their block's
-words; a block's n-grams are tuples of ids, each once with its count, so a frequent n-gram is a row per block where
-counts meet. Each distinct tuple's bytes are put together from the dictionary and hashed once, counts fall into the
-buckets, and each bucket's gain goes back by tuple to the blocks, where a text's gains add up. A draw that depends
-on the doc_id turns the sums into a sample without replacement (Gumbel top-k).
+Distinct words of the corpus and the target get ids in one dictionary: 63 bits of a hash, and numbers of their own for
+words that share these. Texts travel in blocks as numbers of their block's words; a block's n-grams are tuples of ids,
+each once with its count, so a frequent n-gram is a row per block where counts meet. Each distinct tuple's bytes are
+put together from the dictionary and hashed once, counts fall into the buckets, and each bucket's gain goes back by
+tuple to the blocks, where a text's gains add up. A draw that depends on the doc_id turns the sums into a sample
+without replacement (Gumbel top-k).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_join, cut, discard, documents, saved, spread_join
+from .common import checked_join, cut, discard, documents, saved
 from .licenses import BLANK
 from .words import Texts, grouped
 
@@ -31,25 +33,77 @@ LEAST = 20
 SHARE = 10
 SEED = 2024
 
+#: Words that may share their id's bits with others and are told apart by numbers of their own.
+CLASHES = 100_000
+
 _DOCS = "docs array<struct<doc_id:bigint,codes:array<int>>>"
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(side, doc_id, text) to blocks: their distinct words, and each text as numbers of these."""
-    place = TaskContext.get().partitionId() << 32
-    for ordinal, b in enumerate(grouped(batches, size=BLOCK)):
-        t = Texts(b.column(2), lower=True, blank=BLANK)
-        sizes = t.ends - t.starts
-        inside = np.zeros(len(t.data) + 1, np.int8)
-        inside[t.starts] = 1
-        inside[t.ends] -= 1
-        letters = t.data[np.cumsum(inside[:-1]).astype(bool)]
-        words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(letters)])
-        known = words.dictionary_encode()
-        codes = pa.ListArray.from_arrays(pa.array(t.first, pa.int32()), known.indices.cast(pa.int32()))
-        rows = pa.StructArray.from_arrays([b.column(1), codes], ["doc_id", "codes"])
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, known.dictionary.cast(pa.binary()).cast(pa.string()))]
-        yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([place + ordinal]), *lists], ["side", "block", "docs", "words"])
+def _words(b: pa.RecordBatch) -> tuple[Texts, pa.DictionaryArray]:
+    """The texts of a batch (side, doc_id, text), and their words with the distinct ones as dictionary."""
+    t = Texts(b.column(2), lower=True, blank=BLANK)
+    sizes = t.ends - t.starts
+    inside = np.zeros(len(t.data) + 1, np.int8)
+    inside[t.starts] = 1
+    inside[t.ends] -= 1
+    letters = t.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(letters)])
+    return t, words.dictionary_encode()
+
+
+def _ids(words: pa.Array, bits: int, own: dict[bytes, int]) -> np.ndarray:
+    """Ids of distinct words: ``bits`` of a hash, or the number that a word has of its own."""
+    said = words.to_pylist()
+    ids = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in said), np.uint64) >> np.uint64(64 - bits)
+    ids = ids.astype(np.int64)
+    if own:
+        ids = np.array([own.get(w, i) for w, i in zip(said, ids.tolist())], np.int64)
+    return ids
+
+
+def _spelled(bits: int):  # noqa: ANN202
+    """(side, doc_id, text) to (id, word), each word once a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in grouped(batches, size=BLOCK):
+            words = _words(b)[1].dictionary
+            yield pa.RecordBatch.from_arrays([pa.array(_ids(words, bits, {})), words.cast(pa.binary()).cast(pa.string())], ["id", "word"])
+
+    return run
+
+
+def _coded(bits: int, own: dict[bytes, int]):  # noqa: ANN202
+    """(side, doc_id, text) to blocks: the ids of their distinct words, and each text as numbers of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+        for ordinal, b in enumerate(grouped(batches, size=BLOCK)):
+            t, known = _words(b)
+            codes = pa.ListArray.from_arrays(pa.array(t.first, pa.int32()), known.indices.cast(pa.int32()))
+            rows = pa.StructArray.from_arrays([b.column(1), codes], ["doc_id", "codes"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, pa.array(_ids(known.dictionary, bits, own)))]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([place + ordinal]), *lists], ["side", "block", "docs", "ids"])
+
+    return run
+
+
+def dictionary(rows: DataFrame, bits: int = 63) -> tuple[DataFrame, dict[bytes, int]]:
+    """(side, doc_id, text) to a saved table (id, word), and the words that have an id of their own, as others share their bits.
+
+    Of 10^10 words about five share 63 bits with another; more than ``CLASHES`` are an error.
+    """
+    words = saved(rows.mapInArrow(_spelled(bits), "id bigint, word string").distinct())
+    shared = cut(words.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    if shared.isEmpty():
+        return words, {}
+    apart = words.join(shared, "id", "left_semi").orderBy("word").select("word").limit(CLASHES + 1).collect()
+    if len(apart) > CLASHES:
+        raise ValueError(f"over {CLASHES} words share their {bits} bits")
+    own = {r["word"]: -1 - i for i, r in enumerate(apart)}
+    added = rows.sparkSession.createDataFrame([(i, w) for w, i in own.items()], "id bigint, word string")
+    all_ = saved(words.join(shared, "id", "left_anti").unionByName(added))
+    discard(words)
+    return all_, {w.encode(): i for w, i in own.items()}
 
 
 def _tuples(docs: pa.ListScalar, ids: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -58,7 +112,8 @@ def _tuples(docs: pa.ListScalar, ids: np.ndarray, most: int) -> Iterator[tuple[n
     ends = np.asarray(codes.offsets)
     flat = np.asarray(codes.values, np.int64)[ends[0] : ends[-1]]
     of = np.repeat(np.arange(len(codes)), np.diff(ends))
-    for n in range(1, most + 1):
+    yield ids.reshape(-1, 1), flat, of
+    for n in range(2, most + 1):
         at = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :]) if len(of) >= n else np.zeros(0, np.int64)
         grams = np.stack([flat[at + i] for i in range(n)], axis=1)
         distinct, number = np.unique(grams, axis=0, return_inverse=True)
@@ -66,7 +121,7 @@ def _tuples(docs: pa.ListScalar, ids: np.ndarray, most: int) -> Iterator[tuple[n
 
 
 def _grams(most: int):  # noqa: ANN202
-    """(side, block, docs, ids) to a row per block and distinct tuple with its count."""
+    """(side, block, docs, ids) to a row per block and distinct tuple with its count; a tuple of one stands as its id if ``most`` is 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,7 +129,9 @@ def _grams(most: int):  # noqa: ANN202
                 ordinal = 0
                 for tuples, number, _ in _tuples(docs, np.asarray(ids.values, np.int64), most):
                     k, n = tuples.shape
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * n + 1, n), pa.int32()), pa.array(tuples.reshape(-1)))
+                    lists = pa.array(tuples.reshape(-1))
+                    if most > 1:
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * n + 1, n), pa.int32()), lists)
                     times = np.bincount(number, minlength=k)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(k, side.as_py(), np.int32)), pa.array(np.full(k, block.as_py())), pa.array(np.arange(ordinal, ordinal + k, dtype=np.int32)), lists, pa.array(times)],
@@ -107,12 +164,7 @@ def _weights(most: int):  # noqa: ANN202
     return run
 
 
-def _listed(rows: DataFrame, at: str, value: str, name: str) -> DataFrame:
-    """A block's values in the order of ``at``, from 0 without gaps."""
-    return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(at, value))).getField(value).alias(name))
-
-
-def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BUCKETS) -> DataFrame:
+def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BUCKETS, bits: int = 63) -> DataFrame:
     """(doc_id, text) to doc_id, n_words, n_features and weight, the sum of the gains of a text's n-grams of 1 to ``most`` words.
 
     ``target`` has the column text. A bucket's gain is a thousand times the logarithm of its share among the target's
@@ -122,18 +174,20 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     """
     sides = docs.select(F.lit(0).alias("side"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     other = target.select(F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("doc_id"), "text")
-    schema = f"side int, block bigint, {_DOCS}, words array<string>"
-    blocks = saved(sides.mapInArrow(_coded, schema).unionByName(other.mapInArrow(_coded, schema)))
-    terms = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    words = saved(terms.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    ids = _listed(spread_join(terms, words, "word"), "at", "id", "ids")
-    coded = saved(blocks.select("side", "block", "docs").join(ids, "block", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>"))))
-    grams = saved(coded.select("side", "block", "docs", "ids").mapInArrow(_grams(most), "side int, block bigint, ordinal int, gram array<bigint>, times bigint"))
+    rows = sides.unionByName(other)
+    words, own = dictionary(rows, bits)
+    blocks = saved(rows.mapInArrow(_coded(bits, own), f"side int, block bigint, {_DOCS}, ids array<bigint>"))
+    grams = blocks.mapInArrow(_grams(most), f"side int, block bigint, ordinal int, gram {'array<bigint>' if most > 1 else 'bigint'}, times bigint")
+    part = lambda i: F.get("gram", F.lit(i)) if most > 1 else F.col("gram")
     on_side = lambda i: F.sum(F.when(F.col("side") == i, F.col("times")).otherwise(0))
-    distinct = cut(grams.groupBy("gram").agg(on_side(0).alias("s"), on_side(1).alias("t"), F.count(F.lit(1)).alias("n")))
-    spelled = distinct.select("gram", F.posexplode("gram").alias("at", "id")).join(words.select("id", "word"), "id")
-    spelled = spelled.groupBy("gram").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "word"))).getField("word"), " ").alias("text"))
-    hashed = saved(distinct.join(spelled.select("gram", F.pmod(F.crc32("text"), F.lit(buckets)).alias("bucket")), "gram"))
+    distinct = saved(grams.groupBy("gram").agg(on_side(0).alias("s"), on_side(1).alias("t")))
+    # a word's bytes go to the place that it has in a tuple
+    spelled = distinct.withColumn("id", part(0)).join(words.withColumnRenamed("word", "text"), "id").drop("id")
+    for i in range(1, most):
+        longer = spelled.withColumn("id", part(i)).join(words, "id", "left").drop("id")
+        spelled = longer.withColumn("text", F.concat_ws(" ", "text", "word")).drop("word")
+    hashed = saved(spelled.select("gram", "s", "t", F.pmod(F.crc32("text"), F.lit(buckets)).alias("bucket")))
+    discard(distinct, words)
     # as many rows as buckets, whatever the corpus
     filled = hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).collect()
     all_s, all_t = (sum(r[k] for r in filled) for k in ("s", "t"))
@@ -141,11 +195,12 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     d = lambda c: c.cast("double")
     ratio = d(F.col("t") + 1) * F.lit(float(all_s + buckets)) / (d(F.col("s") + 1) * F.lit(float(all_t + buckets)))
     gains = counts.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
-    priced = cut(hashed.join(F.broadcast(gains), "bucket").select("gram", "gain", "n"))
-    own = grams.where("side = 0").select("block", "ordinal", "gram")
-    back = _listed(spread_join(own, priced, "gram"), "ordinal", "gain", "gains")
-    out = saved(coded.where("side = 0").join(back, "block", "left").select("docs", "ids", "gains").mapInArrow(_weights(most), "doc_id bigint, n_words bigint, n_features bigint, weight bigint"))
-    discard(blocks, words, coded, grams, hashed)
+    priced = hashed.join(F.broadcast(gains), "bucket").select("gram", "gain")
+    # a block has one row of a tuple, so no tuple has more rows than there are blocks
+    back = grams.where("side = 0").select("block", "ordinal", "gram").join(priced.hint("merge"), "gram")
+    back = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ordinal", "gain"))).getField("gain").alias("gains"))
+    out = saved(blocks.where("side = 0").join(back, "block", "left").select("docs", "ids", "gains").mapInArrow(_weights(most), "doc_id bigint, n_words bigint, n_features bigint, weight bigint"))
+    discard(blocks, hashed)
     return out
 
 

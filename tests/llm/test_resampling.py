@@ -60,6 +60,19 @@ def test_blocks_do_not_matter(spark, docs, rows, target):
     assert sorted(map(tuple, got), key=str) == sorted((x[:3] for x in brute([(r[0], r[1]) for r in rows], target, 2)), key=str)
 
 
+@pytest.mark.parametrize("bits", [4, 9])
+def test_words_that_share_their_ids_bits(spark, docs, rows, target, bits):
+    other = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string")
+    got = resampling.weights(docs, other, 2, bits=bits).select("doc_id", "n_features", "weight").collect()
+    assert sorted(map(tuple, got), key=str) == sorted((x[:3] for x in brute([(r[0], r[1]) for r in rows], target, 2)), key=str)
+
+
+def test_too_many_shared_bits(spark, docs, monkeypatch):
+    monkeypatch.setattr(resampling, "CLASHES", 10)
+    with pytest.raises(ValueError, match="share"):
+        resampling.weights(docs, docs, bits=3)
+
+
 def test_empty_tables(spark, docs, none):
     nothing = spark.createDataFrame([], "text string")
     assert resampling.resampled(none, docs).count() == 0
