@@ -67,10 +67,10 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner",
     return rows.join(F.broadcast(often), key).unionByName(rest)
 
 
-def checked_join(rows: DataFrame, table: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+def checked_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = 10_000) -> DataFrame:
     """``rows`` joined with a table that is cut: by broadcast if it has at most ``most`` rows, else by Spark's choice."""
     small = table.limit(most + 1).count() <= most
-    return rows.join(F.broadcast(table) if small else table, key)
+    return rows.join(F.broadcast(table) if small else table, key, how)
 
 
 def ranges(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard, documents, ranges, saved, spread_join
+from .common import checked_join, cut, discard, documents, ranges, saved, spread_join
 from .components import components
 from .words import Texts, block_name, grouped, mixed, window_hashes
 
@@ -244,8 +244,9 @@ def _units(classes: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
     found, links = None, None
     for level in range(LEVELS):
         size = rows.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
-        dealt = rows.join(size, "g").withColumn("sub", F.pmod(F.xxhash64("cls", F.lit(level)), F.col("blocks")))
-        # dealt anew: the join has left a group's rows in one task
+        # groups of several blocks are few, the others need no look-up
+        dealt = checked_join(rows, cut(size.where("blocks > 1")), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("cls", F.lit(level)), F.col("blocks")))
         own = keep(dealt.repartition("g", "sub").groupBy("g", "sub").applyInArrow(_with_group, T.StructType([*_UNIT, T.StructField("g", T.LongType()), T.StructField("again", T.BooleanType())])))
         if found is None:
             found = own.drop("g", "again")
