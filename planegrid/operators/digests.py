@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +89,55 @@ def expected_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_digests(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("line").startswith("#")).select("doc_id", F.lower(F.regexp_extract("line", "([0-9a-fA-F]{32})", 1)).alias("expected"))
+
+
+def ordered_md5(parts: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, content and the columns of ``order``) to (key, digest, size): the MD5 of each key's contents, one behind the other.
+
+    Parts are dealt by key and sorted in their partition; a task folds them as they come, so a key's bytes are in no row
+    or group. Null contents are no bytes; keys without rows have no digest.
+    """
+    own = parts.select(F.col(key).alias(key), F.col("content").cast("binary").alias("content"), *[c for c in order if c != key])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        at, fold, size = None, None, 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([at, pa.array([fold.hexdigest()]), pa.array([size], pa.int64())], [key, "digest", "size"])
+
+        for b in batches:
+            for i in range(len(b)):
+                if at is None or b.column(0)[i] != at[0]:
+                    if at is not None:
+                        yield told()
+                    at, fold, size = b.column(0).slice(i, 1), hashlib.md5(usedforsecurity=False), 0
+                data = b.column(1)[i].as_py() or b""
+                fold.update(data)
+                size += len(data)
+        if at is not None:
+            yield told()
+
+    dealt = own.repartition(key).sortWithinPartitions(key, *order).select(key, "content")
+    return dealt.mapInArrow(run, f"{key} {dealt.schema[key].dataType.simpleString()}, digest string, size bigint")
+
+
+_WIDE = f"""WITH {BLOCKS}, wide AS (SELECT block, label, list_transform(px, lambda v: (v << 2) | (v & 3)) AS v FROM blocks),
+narrow AS (SELECT block, label, list_transform(v || v[1:16] || v[49:64], lambda x: least(255, (x + 4) >> 2)) AS n FROM wide),
+hexed AS (SELECT block, label, list_reduce(list_transform(n, lambda x: lpad(lower(to_hex(x)), 2, '0')), lambda a, b: a || b) AS h FROM narrow)"""
+
+
+@query("output_bytes_md5", _WIDE + " SELECT label, md5(unhex(string_agg(h, '' ORDER BY block DESC))) AS digest, (96 * count(*))::BIGINT AS size FROM hexed GROUP BY label")
+def output_bytes_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MD5 over the bytes of all that a stream (a label) puts out: 10-bit pictures of 8 x 8 in output order, the last block first, as 8-bit samples."""
+    from planegrid.sources.files import shaped
+
+    wide = F.transform("px", lambda v: F.shiftleft(v, 2).bitwiseOR(v.bitwiseAND(F.lit(3))))
+    pair = lambda v: F.concat(F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0"), F.lpad(F.hex(F.shiftright(v, 8)), 2, "0"))
+    coded = lambda c: F.unhex(F.array_join(F.transform(c, pair), ""))
+    own = blocks(spark, sf_dir).select("block", "label", wide.alias("v"))
+    planes = F.array(F.col("v"), F.slice("v", 1, 16), F.slice("v", 49, 16))
+    rows = own.select("block", "label", F.posexplode(planes).alias("plane", "v")).select("label", (-F.col("block")).alias("picture"), "plane", coded(F.col("v")).alias("data"))
+    narrow = shaped(rows, 8, 8, bit_depth=10)
+    return ordered_md5(narrow.withColumnRenamed("data", "content"), "label", ["picture", "plane"])

@@ -1,11 +1,15 @@
 """Annex-B byte streams: packets to streams and back, packet classes, access units, parameter sets.
 
-A stream is a binary column. For the expressions it is read as Latin-1 text, a character a byte, so
-that start codes and emulation bytes are plain patterns and no packet leaves the JVM.
+Packets are written as expressions, a packet a row; for these bytes are read as Latin-1 text, a character a
+byte. Streams are taken apart over their bytes, a batch of them at a time; files of any size are read by ranges
+(files.read_packets).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,41 +36,71 @@ def unprotect(payload: Column) -> Column:
     return F.regexp_replace(payload, "\\x00\\x00\\x03", "\u0000\u0000")
 
 
+def packet_bytes(nal_type: Column, payload: Column) -> Column:
+    """A packet behind its start code: a header of two bytes, and the protected payload with the bit that ends it."""
+    header = F.concat(F.char(F.shiftleft(nal_type, 1)), F.lit("\u0001"))
+    return F.concat(F.lit(START), header, protect(F.concat(as_bytes_text(payload), F.lit("\u0080"))))
+
+
 def write_stream(packets: DataFrame) -> DataFrame:
-    """(stream_id, seq, nal_type, payload) to (stream_id, stream): packets in order behind start codes, each with a two-byte header and the bit that ends a payload."""
-    header = F.concat(F.char(F.shiftleft("nal_type", 1)), F.lit("\u0001"))
-    packet = F.concat(F.lit(START), header, protect(F.concat(as_bytes_text(F.col("payload")), F.lit("\u0080"))))
-    own = packets.select("stream_id", F.struct("seq", packet.alias("p")).alias("s"))
+    """(stream_id, seq, nal_type, payload) to (stream_id, stream): packets in order behind start codes. A row holds a stream; files.write_streams gathers none."""
+    own = packets.select("stream_id", F.struct("seq", packet_bytes(F.col("nal_type"), F.col("payload")).alias("p")).alias("s"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), "")
     return own.groupBy("stream_id").agg(to_binary(whole).alias("stream"))
 
 
+START_CODE = b"\0\0\1"
+#: Columns of a packet: where its header is in the stream, its bytes without zeros behind it, the header's fields, the payload.
+PACKET = {"pos": "bigint", "size": "int", "nal_type": "int", "layer_id": "int", "tid": "int", "rbsp": "binary"}
+
+
+def payload_of(packet: bytes) -> bytes:
+    """A packet's payload without header, protection, zeros behind it and the byte 128 that ends it."""
+    own = packet[2:].replace(b"\0\0\3", b"\0\0").rstrip(b"\0")
+    return own[:-1] if own.endswith(b"\x80") else own
+
+
+def packet_rows(found: list[tuple[int, bytes]]) -> list[pa.Array]:
+    """(pos, bytes up to the next start code) of packets to the columns of PACKET."""
+    own = [(pos, data.rstrip(b"\0")) for pos, data in found]
+    first = [d[0] if d else 0 for _, d in own]
+    second = [d[1] if len(d) > 1 else 0 for _, d in own]
+    return [
+        pa.array([pos for pos, _ in own], pa.int64()),
+        pa.array([len(d) for _, d in own], pa.int32()),
+        pa.array([a >> 1 & 63 for a in first], pa.int32()),
+        pa.array([(a & 1) << 5 | b >> 3 for a, b in zip(first, second)], pa.int32()),
+        pa.array([(b & 7) - 1 for b in second], pa.int32()),
+        pa.array([payload_of(d) for _, d in own], pa.binary()),
+    ]
+
+
+def taken_apart(stream: bytes) -> list[tuple[int, bytes]]:
+    """(pos, bytes up to the next start code) of a stream's packets; what stands before the first code belongs to none."""
+    out, at = [], stream.find(START_CODE)
+    while at >= 0:
+        pos = at + len(START_CODE)
+        at = stream.find(START_CODE, pos)
+        out.append((pos, stream[pos : at if at >= 0 else len(stream)]))
+    return out
+
+
 def tokenize(streams: DataFrame) -> DataFrame:
-    """(stream_id, stream) to a row per packet: seq, pos of its header, nal_type, layer, tid, and payload without protection.
+    """(stream_id, stream) to a row per packet: stream_id, seq from 0, and PACKET.
 
     Start codes have two zero bytes or more before the byte 1; what stands before the first one belongs to no
-    packet, nor do zero bytes before a start code.
+    packet, nor do zero bytes before a start code or behind the last packet. A null or empty stream has no packets.
     """
-    text = as_bytes_text(F.col("stream"))
-    code = "\\x00\\x00+\\x01"
-    parts, codes = F.split(text, code), F.regexp_extract_all(text, F.lit(code), F.lit(0))
-    lengths = F.zip_with(parts, codes, lambda p, c: F.struct(F.char_length(p).alias("p"), F.char_length(c).alias("c")))
-    own = streams.select("stream_id", F.slice(parts, 2, F.size(parts)).alias("parts"), lengths.alias("lengths"))
-    own = own.select("stream_id", F.posexplode(F.arrays_zip("parts", F.slice("lengths", 1, F.size("parts")).alias("lengths"))).alias("seq", "x"))
-    own = own.select("stream_id", "seq", F.col("x.parts").alias("p"), (F.col("x.lengths.p") + F.col("x.lengths.c")).alias("before"))
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    size = F.char_length("p")
-    byte = lambda i: F.ascii(F.substring("p", i, 1))
-    return own.select(
-        "stream_id",
-        "seq",
-        F.sum("before").over(order).alias("pos"),
-        size.alias("size"),
-        F.shiftright(byte(1), 1).bitwiseAND(F.lit(63)).alias("nal_type"),
-        (F.shiftleft(byte(1).bitwiseAND(F.lit(1)), 5) + F.shiftright(byte(2), 3)).alias("layer_id"),
-        (byte(2).bitwiseAND(F.lit(7)) - 1).alias("tid"),
-        to_binary(F.regexp_replace(unprotect(F.substr("p", F.lit(3), size)), "\\x80$", "")).alias("rbsp"),
-    )
+    own = streams.select("stream_id", F.col("stream").cast("binary").alias("stream"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                found = taken_apart(b.column(1)[i].as_py() or b"")
+                ids = b.column(0).take(pa.array([i] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(found)), pa.int32()), *packet_rows(found)], ["stream_id", "seq", *PACKET])
+
+    return own.mapInArrow(run, f"stream_id {own.schema['stream_id'].dataType.simpleString()}, seq int, " + ", ".join(f"{n} {t}" for n, t in PACKET.items()))
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,17 +111,17 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES = """lines AS (SELECT doc_id AS stream_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents)"""
-_HEX = _LINES + """, hexed AS (SELECT stream_id, seq, array_to_string(list_transform(string_split(line, ' '), lambda w: hex(encode(w))), '000002') AS h FROM lines)"""
+HEXED = _LINES + """, hexed AS (SELECT stream_id, seq, array_to_string(list_transform(string_split(line, ' '), lambda w: hex(encode(w))), '000002') AS h FROM lines)"""
 
 
-@query("nal_packets", f"WITH {_HEX} SELECT stream_id, seq::INT AS seq, (seq % 64)::INT AS nal_type, 0 AS layer_id, 0 AS tid, md5(unhex(h)) AS payload FROM hexed")
+@query("nal_packets", f"WITH {HEXED} SELECT stream_id, seq::INT AS seq, (seq % 64)::INT AS nal_type, 0 AS layer_id, 0 AS tid, md5(unhex(h)) AS payload FROM hexed")
 def nal_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams written and taken apart again."""
     found = tokenize(write_stream(packets(spark, sf_dir)))
     return found.select("stream_id", "seq", "nal_type", "layer_id", "tid", F.md5("rbsp").alias("payload"))
 
 
-@query("nal_positions", f"WITH {_HEX}, sized AS (SELECT stream_id, seq, 3 + length(h) // 2 + (len(string_split(line, ' ')) - 1) AS size FROM hexed JOIN lines USING (stream_id, seq)) SELECT stream_id, seq::INT AS seq, size::INT AS size, (sum(size + 4) OVER (PARTITION BY stream_id ORDER BY seq) - size)::BIGINT AS pos FROM sized")
+@query("nal_positions", f"WITH {HEXED}, sized AS (SELECT stream_id, seq, 3 + length(h) // 2 + (len(string_split(line, ' ')) - 1) AS size FROM hexed JOIN lines USING (stream_id, seq)) SELECT stream_id, seq::INT AS seq, size::INT AS size, (sum(size + 4) OVER (PARTITION BY stream_id ORDER BY seq) - size)::BIGINT AS pos FROM sized")
 def nal_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where packets begin and how long they are with their protection."""
     return tokenize(write_stream(packets(spark, sf_dir))).select("stream_id", "seq", "size", "pos")
@@ -146,7 +180,7 @@ def access_units(own: DataFrame) -> DataFrame:
 
 @query(
     "packet_access_units",
-    f"""WITH {_HEX}, p AS (SELECT stream_id, seq, (seq % 64)::INT AS t, length(h) // 2 + 3 AS size, substr(h, 1, 2) >= '80' AS bit FROM hexed), c AS (SELECT *, t < 32 AS vcl, t BETWEEN 32 AND 35 OR t = 39 OR t BETWEEN 41 AND 44 OR t BETWEEN 48 AND 55 AS starts, (t <= 9 OR t BETWEEN 16 AND 21) AND bit AS first FROM p),
+    f"""WITH {HEXED}, p AS (SELECT stream_id, seq, (seq % 64)::INT AS t, length(h) // 2 + 3 AS size, substr(h, 1, 2) >= '80' AS bit FROM hexed), c AS (SELECT *, t < 32 AS vcl, t BETWEEN 32 AND 35 OR t = 39 OR t BETWEEN 41 AND 44 OR t BETWEEN 48 AND 55 AS starts, (t <= 9 OR t BETWEEN 16 AND 21) AND bit AS first FROM p),
 l AS (SELECT *, last_value(CASE WHEN vcl THEN TRUE WHEN starts THEN FALSE END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM c),
 a AS (SELECT *, greatest(0, sum(CASE WHEN (starts OR first) AND coalesce(last, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq) - 1) AS au FROM l)
 SELECT stream_id, au::BIGINT AS au, count(*) AS packets, sum(CASE WHEN vcl THEN 1 ELSE 0 END)::BIGINT AS slices, min(seq)::INT AS first_seq FROM a GROUP BY ALL""",

@@ -1,20 +1,23 @@
-"""Data sources for files: raw video read by ranges of frames, and a sink of whole files.
+"""Data sources for files: raw video by ranges of frames, byte streams by ranges of bytes, and a sink of files in parts.
 
-Both are Spark data sources, so ranges are read and files written by tasks. Paths are what Arrow's file systems
+All are Spark data sources, so ranges are read and files written by tasks. Paths are what Arrow's file systems
 open: local or shared folders, hdfs:// and object stores.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from planegrid.sources.annexb import PACKET, START_CODE, packet_rows
 from planegrid.sources.rawvideo import frame_bytes
 
 
@@ -24,6 +27,16 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+def listed(path: str) -> list[fs.FileInfo]:
+    """The file, or the files of the folder, in order of their paths; hidden ones are left out."""
+    system, root = opened(path)
+    info = system.get_file_info(root)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    files = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
+    return sorted(files, key=lambda f: f.path)
+
+
 class Frames(InputPartition):
     """A range of a file's frames; the first one counts as ``number``."""
 
@@ -55,11 +68,8 @@ class RawVideoReader(DataSourceReader):
 
     def partitions(self) -> list[Frames]:
         """Ranges of at most ``framesPerPartition`` frames; a file that ends inside a frame, or before the last one asked for, is an error."""
-        system, root = opened(self.path)
-        info = system.get_file_info(root)
-        files = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
         out = []
-        for f in sorted(files, key=lambda f: f.path):
+        for f in listed(self.path):
             n, rest = divmod(f.size, self.layout.frame)
             if rest:
                 raise ValueError(f"{f.path}: {rest} bytes behind its last whole frame")
@@ -94,52 +104,163 @@ class RawVideo(DataSource):
         return RawVideoReader(self.options)
 
 
+class Bytes(InputPartition):
+    """A range of a file's bytes."""
+
+    def __init__(self, path: str, begin: int, end: int):
+        super().__init__(None)
+        self.path, self.begin, self.end = path, begin, end
+
+
+class ByteStreamReader(DataSourceReader):
+    """Packets by ranges: a range has those whose start code ends in it, wherever the code began and the packet ends."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"]
+        self.size, self.piece = int(options.get("rangebytes", 64 << 20)), int(options.get("piecebytes", 4 << 20))
+        if self.size < 1 or self.piece < 1:
+            raise ValueError("rangeBytes and pieceBytes are at least 1")
+
+    def partitions(self) -> list[Bytes]:
+        return [Bytes(f.path, i, min(f.size, i + self.size)) for f in listed(self.path) for i in range(0, f.size, self.size)]
+
+    def read(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
+        """Reads piece by piece; what is held is a piece and the packet that is not yet ended."""
+        system, _ = opened(self.path)
+        with system.open_input_file(partition.path) as f:
+            total = f.size()
+            at = max(0, partition.begin - len(START_CODE) + 1)  # a code may begin in front of the range
+            held, base = bytearray(), at  # bytes from base on
+            start = None  # of the packet that is open
+            while True:
+                searched = max(0, len(held) - len(START_CODE) + 1)
+                piece = f.read_at(min(self.piece, total - at), at) if at < total else b""
+                held += piece
+                at += len(piece)
+                found, ended = [], False
+                code = held.find(START_CODE, max(searched, 0 if start is None else start - base))
+                while code >= 0:
+                    first = base + code + len(START_CODE)
+                    if start is not None:
+                        found.append((start, bytes(held[start - base : code])))
+                        start = None
+                    if first > partition.end:  # the code's last byte lies behind the range
+                        ended = True
+                        break
+                    start = first
+                    code = held.find(START_CODE, first - base)
+                if not piece and start is not None and not ended:
+                    found.append((start, bytes(held[start - base :])))
+                    start = None
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(found)), *packet_rows(found)], ["path", *PACKET])
+                if ended or not piece or (start is None and at >= partition.end):
+                    return
+                keep = start if start is not None else base + len(held) - len(START_CODE) + 1
+                if keep > base:
+                    del held[: keep - base]
+                    base = keep
+
+
+class ByteStream(DataSource):
+    """Packets of the Annex-B files at ``path``: options rangeBytes, the bytes of a partition, and pieceBytes, those of a read."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "annexb"
+
+    def schema(self) -> str:
+        return "path string, " + ", ".join(f"{n} {t}" for n, t in PACKET.items())
+
+    def reader(self, schema) -> ByteStreamReader:  # noqa: ANN001
+        return ByteStreamReader(self.options)
+
+
 class Written(WriterCommitMessage):
-    def __init__(self, files: list[str]):
+    """Files of a task: where they are, and where they go."""
+
+    def __init__(self, files: list[tuple[str, str]]):
         self.files = files
 
 
-class WholeFilesWriter(DataSourceWriter):
+class FilesWriter(DataSourceWriter):
+    """Rows of one name, one behind the other, are the parts of one file.
+
+    A task writes aside; files get their names when all tasks are done. A name that two tasks have, or that is
+    there already unless it may be overwritten, fails the job before any file is in place.
+    """
+
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite = folder, overwrite
 
     def write(self, rows: Iterator) -> Written:
-        """A file per row. A task run again writes the same files."""
         system, root = opened(self.folder)
-        files = []
-        for row in rows:
-            path = f"{root}/{row['name']}"
-            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            with system.open_output_stream(path) as f:
-                f.write(bytes(row["content"] or b""))
-            files.append(path)
+        aside = f"{root}/_temporary-{uuid.uuid4().hex}"
+        files: list[tuple[str, str]] = []
+        seen: set[str] = set()
+        out, name = None, ""
+        try:
+            for row in rows:
+                if out is None or row["name"] != name:
+                    if out:
+                        out.close()
+                    name = row["name"]
+                    parts = (name or "").split("/")
+                    if not name or any(x in ("", ".", "..") for x in parts) or parts[0].startswith("_temporary-"):
+                        raise ValueError(f"{name!r} is no name of a file in a folder")
+                    if name in seen:
+                        raise ValueError(f"the rows of {name} do not stand together")
+                    seen.add(name)
+                    system.create_dir(aside, recursive=True)
+                    files.append((f"{aside}/{len(files)}", f"{root}/{name}"))
+                    out = system.open_output_stream(files[-1][0])
+                out.write(bytes(row["content"] or b""))
+        finally:
+            if out:
+                out.close()
         return Written(files)
 
+    def commit(self, messages: list[Written | None]) -> None:
+        system, root = opened(self.folder)
+        files = [x for m in messages if m for x in m.files]
+        places = [to for _, to in files]
+        there = [] if self.overwrite or not places else [i.path for i in system.get_file_info(places) if i.type != fs.FileType.NotFound]
+        twice = sorted({p for p in places if places.count(p) > 1}) if len(set(places)) < len(places) else []
+        if there or twice:
+            self.abort(messages)
+            raise ValueError(f"written twice: {twice[:3]}" if twice else f"there already: {there[:3]}")
+        for path, to in files:
+            system.create_dir(to.rsplit("/", 1)[0], recursive=True)
+            system.move(path, to)
+        self._clean(messages)
+
     def abort(self, messages: list[Written | None]) -> None:
+        self._clean(messages)
+
+    def _clean(self, messages: list[Written | None]) -> None:
         system, _ = opened(self.folder)
-        for m in messages:
-            for path in m.files if m else ():
-                if system.get_file_info(path).type == fs.FileType.File:
-                    system.delete_file(path)
+        for aside in {path.rsplit("/", 1)[0] for m in messages if m for path, _ in m.files}:
+            if system.get_file_info(aside).type == fs.FileType.Directory:
+                system.delete_dir(aside)
 
 
-class WholeFiles(DataSource):
-    """A sink of (name, content): each row becomes the file ``path``/name; a null content an empty file."""
+class Files(DataSource):
+    """A sink of (name, content): the rows of a name, in their order, become the file ``path``/name; a null content is no bytes."""
 
     @classmethod
     def name(cls) -> str:
-        return "wholefiles"
+        return "fileparts"
 
     def schema(self) -> str:
         return "name string, content binary"
 
-    def writer(self, schema, overwrite: bool) -> WholeFilesWriter:  # noqa: ANN001
-        return WholeFilesWriter(self.options["path"], overwrite)
+    def writer(self, schema, overwrite: bool) -> FilesWriter:  # noqa: ANN001
+        return FilesWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RawVideo)
-    spark.dataSource.register(WholeFiles)
+    for source in (RawVideo, ByteStream, Files):
+        spark.dataSource.register(source)
 
 
 def read_frames(spark: SparkSession, path: str, width: int, height: int, **options: int) -> DataFrame:
@@ -148,23 +269,89 @@ def read_frames(spark: SparkSession, path: str, width: int, height: int, **optio
     return spark.read.format("rawvideo").options(width=width, height=height, **options).load(path)
 
 
-def write_files(files: DataFrame, folder: str) -> None:
-    """(name, content) as files of a folder."""
-    register(files.sparkSession)
-    files.select(F.col("name").cast("string"), F.col("content").cast("binary")).write.format("wholefiles").mode("append").save(folder)
+def read_packets(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """Packets of byte-stream files, read by ranges of bytes: path, pos (of the header in its file), size, nal_type, layer_id, tid and rbsp.
+
+    A packet is found once whatever the ranges are, and no row holds more than a packet. ``pos`` orders a file's packets.
+    """
+    register(spark)
+    return spark.read.format("annexb").options(**options).load(path)
+
+
+def write_parts(parts: DataFrame, folder: str, order: list[str], overwrite: bool = False) -> None:
+    """(name, content and the columns of ``order``) to a file per name, its rows' contents in order.
+
+    A file is written by one task, row by row; nothing is gathered. Files appear when all are written.
+    """
+    register(parts.sparkSession)
+    own = parts.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"), *order)
+    dealt = own.repartition("name").sortWithinPartitions("name", *order).select("name", "content")
+    dealt.write.format("fileparts").mode("overwrite" if overwrite else "append").save(folder)
+
 
+def shaped(planes: DataFrame, width: int, height: int, crop: tuple[int, int, int, int] = (0, 0, 0, 0), bit_depth: int = 8) -> DataFrame:
+    """(..., plane, data) of 4:2:0 frames without ``crop`` luma samples left, right, at the top and at the bottom, all even, as 8-bit samples.
 
-def write_frames(planes: DataFrame, folder: str, frames_per_file: int = 256) -> None:
-    """(path, frame, plane, data) to raw files, ``<path>/<first frame>.yuv``, of so many frames in order each.
+    Samples of over 8 bits lie in two bytes, the low one first; they get a whole step of (1 << bit_depth) >> 8 more and
+    are shifted to 8 bits, 255 at most. Of planes of another size than the frame's an error tells.
+    """
+    left, right, top, bottom = crop
+    if any(c < 0 or c % 2 for c in crop) or left + right >= width or top + bottom >= height:
+        raise ValueError(f"{crop} of {width} x {height} samples")
+    names = planes.columns
+    at, which = names.index("data"), names.index("plane")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for data, plane in zip(b.column(at), b.column(which).to_pylist()):
+                half = 2 if plane else 1
+                v = np.frombuffer(data.as_py(), np.uint8 if bit_depth == 8 else "<u2").reshape(height // half, width // half)
+                v = v[top // half : (height - bottom) // half, left // half : (width - right) // half]
+                if bit_depth > 8:
+                    v = np.minimum(255, (v.astype(np.int64) + ((1 << bit_depth) >> 8)) >> (bit_depth - 8)).astype(np.uint8)
+                out.append(v.tobytes())
+            columns = list(b.columns)
+            columns[at] = pa.array(out, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return planes.mapInArrow(run, planes.schema)
+
+
+def write_frames(planes: DataFrame, folder: str, frames_per_file: int | None = None, overwrite: bool = False) -> None:
+    """(path, frame, plane, data) to raw files in the order of frames and planes: ``<path>.yuv``, or ``<path>/<first frame>.yuv`` of so many frames each.
 
     Frames are what output order numbers them; a dump of decoded pictures is their planes with these numbers.
     """
-    name = F.concat(F.col("path").cast("string"), F.lit("/"), F.lpad((F.expr(f"frame div {frames_per_file}") * frames_per_file).cast("string"), 9, "0"), F.lit(".yuv"))
-    ordered = F.array_sort(F.collect_list(F.struct("frame", "plane", F.hex("data").alias("data"))))
-    content = F.unhex(F.array_join(F.transform(ordered, lambda r: r["data"]), ""))
-    write_files(planes.groupBy(name.alias("name")).agg(content.alias("content")), folder)
+    name = F.col("path").cast("string")
+    if frames_per_file:
+        name = F.concat(name, F.lit("/"), F.lpad((F.expr(f"frame div {frames_per_file}") * frames_per_file).cast("string"), 9, "0"))
+    write_parts(planes.select(F.concat(name, F.lit(".yuv")).alias("name"), F.col("data").alias("content"), "frame", "plane"), folder, ["frame", "plane"], overwrite)
+
 
+def dumped(pictures: DataFrame) -> DataFrame:
+    """Planes (path, picture, plane, data, reconstructed, field) in the order of ``picture`` to frames: (path, frame, plane, data).
+
+    Pictures that are not reconstructed are left out. A picture of ``field`` 1 is a frame's upper lines, one of 2 its
+    lower ones (a width of samples has the column ``stride``); the two fields of a frame are pictures 2 k and 2 k + 1.
+    """
 
-def write_streams(streams: DataFrame, folder: str) -> None:
-    """(stream_id, stream) to a byte-stream file each, ``<stream_id>.bit``."""
-    write_files(streams.select(F.concat(F.col("stream_id").cast("string"), F.lit(".bit")).alias("name"), F.col("stream").alias("content")), folder)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        fields = {r["field"]: r for r in table.to_pylist()}
+        one = next(iter(fields.values()))
+        if one["field"]:
+            lines = {k: [r["data"][i : i + r["stride"]] for i in range(0, len(r["data"]), r["stride"])] for k, r in fields.items()}
+            own = max(len(x) for x in lines.values())
+            blank = bytes(one["stride"])
+            data = b"".join(x for i in range(own) for x in (lines.get(1, [])[i : i + 1] or [blank]) + (lines.get(2, [])[i : i + 1] or [blank]))
+        else:
+            data = one["data"]
+        return pa.table([pa.array([k.as_py()], t) for k, t in zip(key, (pa.string(), pa.int32(), pa.int32()))] + [pa.array([data], pa.binary())], names=["path", "frame", "plane", "data"])
+
+    own = pictures.where("reconstructed").select(F.col("path").cast("string"), F.when(F.col("field") > 0, F.expr("picture div 2")).otherwise(F.col("picture")).cast("int").alias("frame"), F.col("plane").cast("int"), "data", "field", "stride")
+    return own.groupBy("path", "frame", "plane").applyInArrow(run, "path string, frame int, plane int, data binary")
+
+
+def write_streams(streams: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """(stream_id, seq, part) to a byte-stream file each, ``<stream_id>.bit``, its parts in the order of seq."""
+    write_parts(streams.select(F.concat(F.col("stream_id").cast("string"), F.lit(".bit")).alias("name"), F.col("part").alias("content"), "seq"), folder, ["seq"], overwrite)

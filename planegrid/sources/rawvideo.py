@@ -14,7 +14,7 @@ def frame_bytes(width: int, height: int, sample_bytes: int = 1) -> int:
 
 
 def planes(files: DataFrame, width: int, height: int, seek: int = 0, frames: int | None = None) -> DataFrame:
-    """(path, content) to (path, frame, plane, data) of 8-bit frames; a rest of less than a frame is left out.
+    """(path, content) to (path, frame, plane, data) of 8-bit frames; a rest of less than a frame is left out (files.read_frames, which reads files, raises).
 
     The planes start at 0, 4/6 and 5/6 of a frame. ``seek`` and ``frames`` give a range, whose first frame is 0.
     """
@@ -27,11 +27,6 @@ def planes(files: DataFrame, width: int, height: int, seek: int = 0, frames: int
     return own.select("path", (F.col("f") - seek).alias("frame"), plane.alias("p")).select("path", "frame", "p.plane", "p.data")
 
 
-def read_planes(spark: SparkSession, path: str, width: int, height: int, seek: int = 0, frames: int | None = None) -> DataFrame:
-    """Planes of the raw files under a path."""
-    return planes(spark.read.format("binaryFile").load(path).select("path", "content"), width, height, seek, frames)
-
-
 def written(own: DataFrame) -> DataFrame:
     """(path, frame, plane, data) back to (path, content)."""
     ordered = F.array_sort(F.collect_list(F.struct("frame", "plane", F.hex("data").alias("data"))))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from planegrid.operators import loopfilter, search, transforms
 from planegrid.operators.references import bump
-from planegrid.sources.annexb import access_units, tokenize, write_stream
-from planegrid.sources.files import read_frames, write_frames, write_streams
+from planegrid.operators.digests import ordered_md5
+from planegrid.sources.annexb import access_units, packet_bytes, to_binary, tokenize, write_stream
+from planegrid.sources.files import dumped, read_frames, read_packets, shaped, write_frames, write_parts, write_streams
 
 
 @pytest.mark.parametrize(("bits", "w", "h"), [(8, 16, 8), (16, 8, 8)])
@@ -35,17 +36,71 @@ def test_frames_written(spark, tmp_path):
     rng = np.random.default_rng(2)
     data = rng.integers(0, 256, 7 * 96, np.uint8).tobytes()
     (tmp_path / "in.yuv").write_bytes(data)
-    planes = read_frames(spark, str(tmp_path / "in.yuv"), 8, 8).withColumn("path", F.lit("s1"))
+    planes = read_frames(spark, str(tmp_path / "in.yuv"), 8, 8, framesPerPartition=2).withColumn("path", F.lit("s1")).repartition(4, "frame", "plane")
     write_frames(planes, str(tmp_path / "out"), frames_per_file=3)
     files = sorted((tmp_path / "out" / "s1").iterdir())
     assert [f.name for f in files] == ["000000000.yuv", "000000003.yuv", "000000006.yuv"]
     assert b"".join(f.read_bytes() for f in files) == data
+    write_frames(planes, str(tmp_path / "whole"))
+    assert (tmp_path / "whole" / "s1.yuv").read_bytes() == data and [f.name for f in (tmp_path / "whole").iterdir()] == ["s1.yuv"]
+
+
+def test_a_sink_writes_all_or_nothing(spark, tmp_path):
+    folder = tmp_path / "out"
+    rows = lambda *r: spark.createDataFrame([(n, bytearray(c) if c is not None else None, i) for i, (n, c) in enumerate(r)], "name string, content binary, i int")
+    write_parts(rows(("a/x", b"1"), ("y", None), ("a/x", b"2"), ("a/x", None), ("a/x", b"3")), str(folder), ["i"])
+    assert (folder / "a" / "x").read_bytes() == b"123" and (folder / "y").read_bytes() == b""
+    with pytest.raises(PySparkException, match="there already"):
+        write_parts(rows(("new", b"9"), ("y", b"9")), str(folder), ["i"])
+    for bad in ("../up", "/top", "a//b", "", None, "_temporary-1/x"):
+        with pytest.raises(PySparkException, match="no name of a file"):
+            write_parts(rows(("new", b"9"), (bad, b"9")), str(folder), ["i"])
+    twice = rows(("new", b"1"), ("new", b"2")).repartition(2, "i").select("name", "content")
+    with pytest.raises(PySparkException, match="written twice"):
+        twice.write.format("fileparts").mode("append").save(str(folder))
+    assert sorted(str(f.relative_to(folder)) for f in folder.rglob("*") if f.is_file()) == ["a/x", "y"]
+    write_parts(rows(("y", b"9")), str(folder), ["i"], overwrite=True)
+    assert (folder / "y").read_bytes() == b"9" and (folder / "a" / "x").exists()
+
+
+def test_shapes_of_planes(spark):
+    rng = np.random.default_rng(3)
+    wide = [rng.integers(0, 1024, (8, 16)), rng.integers(0, 1024, (4, 8)), rng.integers(0, 1024, (4, 8))]
+    rows = [("v", 0, p, bytearray(x.astype("<u2").tobytes())) for p, x in enumerate(wide)]
+    got = shaped(spark.createDataFrame(rows, "path string, frame int, plane int, data binary"), 16, 8, (4, 2, 2, 2), 10).orderBy("plane").collect()
+    for r, x in zip(got, wide):
+        h = 1 if r["plane"] else 2
+        own = x[h : x.shape[0] - h, 2 * h : x.shape[1] - h]
+        assert bytes(r["data"]) == np.minimum(255, (own + 4) >> 2).astype(np.uint8).tobytes()
+    for bad in ((1, 0, 0, 0), (8, 8, 0, 0)):
+        with pytest.raises(ValueError, match="of 16 x 8"):
+            shaped(spark.createDataFrame(rows, "path string, frame int, plane int, data binary"), 16, 8, bad)
+
+
+def test_dumps_of_pictures_and_fields(spark):
+    """Frames as they are, fields line by line, a field without its other one, and nothing that is not reconstructed."""
+    rows = [("a", 0, 0, b"frame0", True, 0, 2), ("a", 1, 0, b"frame1", False, 0, 2)]
+    rows += [("b", 4, 0, b"AABB", True, 1, 2), ("b", 5, 0, b"aabb", True, 2, 2), ("b", 7, 0, b"xxyy", True, 2, 2)]
+    got = dumped(spark.createDataFrame([(*r[:3], bytearray(r[3]), *r[4:]) for r in rows], "path string, picture int, plane int, data binary, reconstructed boolean, field int, stride int"))
+    assert sorted((r["path"], r["frame"], bytes(r["data"])) for r in got.collect()) == [("a", 0, b"frame0"), ("b", 2, b"AAaaBBbb"), ("b", 3, b"\0\0xx\0\0yy")]
+
+
+def test_digest_over_ordered_bytes(spark):
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    rows = [(k, i, None if i == 3 else bytearray(rng.integers(0, 256, int(rng.integers(0, 300)), np.uint8).tobytes())) for k in (1, 2, None) for i in range(40)]
+    got = {r["k"]: (r["digest"], r["size"]) for r in ordered_md5(spark.createDataFrame(rows, "k long, i int, content binary").repartition(7), "k", ["i"]).collect()}
+    for k in (1, 2, None):
+        data = b"".join(bytes(c or b"") for j, _, c in rows if j == k)
+        assert got[k] == (hashlib.md5(data).hexdigest(), len(data))
 
 
 def test_streams_written_and_foreign_start_codes(spark, tmp_path):
     packets = spark.createDataFrame([(1, i, 32 + i, bytearray(bytes([i, 0, 0, 1, 9]))) for i in range(3)] + [(2, 0, 1, bytearray(b"x"))], "stream_id int, seq int, nal_type int, payload binary")
-    write_streams(write_stream(packets), str(tmp_path / "bits"))
+    write_streams(packets.select("stream_id", "seq", to_binary(packet_bytes(F.col("nal_type"), F.col("payload"))).alias("part")), str(tmp_path / "bits"))
     read = spark.read.format("binaryFile").load(str(tmp_path / "bits")).select(F.regexp_extract("path", r"(\d+)\.bit$", 1).cast("int").alias("stream_id"), F.col("content").alias("stream"))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, write_stream(packets).collect()))
     assert sorted((r["stream_id"], r["seq"], r["nal_type"], bytes(r["rbsp"])) for r in tokenize(read).collect()) == sorted((r["stream_id"], r["seq"], r["nal_type"], bytes(r["payload"])) for r in packets.collect())
     bodies = [b"\x40\x01\x0c\x80", b"\x42\x01\x01\x80", b"\x26\x01\xaf\x80", b"\x02\x01\xd0\x80"]
     codes = [b"\0\0\0\1", b"\0\0\1", b"\0\0\0\0\0\1", b"\0\0\1"]
@@ -54,6 +109,61 @@ def test_streams_written_and_foreign_start_codes(spark, tmp_path):
     assert [(r["pos"], r["size"], r["nal_type"]) for r in got] == [(stream.index(b), len(b), b[0] >> 1 & 63) for b in bodies]
 
 
+@pytest.mark.parametrize(
+    ("body", "size", "payload"),
+    [("aa800a", 5, "aa800a"), ("aa8085", 5, "aa8085"), ("aa80000000", 4, "aa"), ("aa8000000300000300", 9, "aa"), ("aa0000030180", 8, "aa000001"), ("", 2, ""), ("80", 3, ""), ("aa0000800000", 6, "aa0000"), ("c0", 3, "c0")],
+)
+def test_foreign_ends(spark, body, size, payload):
+    """Line ends, zeros and filling words behind a packet's last byte, within a stream and at its end."""
+    head = bytes.fromhex("4001")
+    stream = b"\0\0\1" + head + bytes.fromhex(body) + b"\0\0\1" + head + bytes.fromhex(body)
+    got = tokenize(spark.createDataFrame([(1, bytearray(stream))], "stream_id int, stream binary")).orderBy("seq").collect()
+    assert [(r["size"], bytes(r["rbsp"]).hex(), r["nal_type"]) for r in got] == [(size, payload, 32)] * 2
+
+
+def random_stream(rng, n):
+    """Packets behind codes of any length, with bytes in front of the first and zeros behind the last."""
+    out = bytearray(b"\0\0\2")
+    for _ in range(n):
+        out += b"\0" * int(rng.choice([2, 2, 3, 6])) + b"\1"
+        body = rng.choice(np.array([0, 0, 1, 2, 3, 0x80, 0xAA, 10, 13], np.uint8), int(rng.integers(0, 40))).tobytes()
+        out += bytes([int(rng.integers(0, 128)), 1]) + body.replace(b"\0\0", b"\0\0\3")
+    return bytes(out + b"\0" * int(rng.integers(0, 4)))
+
+
+@pytest.mark.parametrize(("size", "piece"), [(1, 1), (2, 3), (3, 1000), (7, 2), (64, 5), (1000, 16), (10**6, 37), (10**6, 10**6)])
+def test_packets_by_ranges_of_any_size(spark, tmp_path, size, piece):
+    """Each packet once, whatever range it, its start code or its end falls in; whole streams taken apart say which."""
+    from planegrid.sources.annexb import packet_rows, taken_apart
+    from planegrid.sources.files import ByteStreamReader
+
+    rng = np.random.default_rng(size)
+    n = 3 if size < 8 else 40
+    folder = tmp_path / "streams"
+    folder.mkdir()
+    want = []
+    for i in range(4):
+        data = [random_stream(rng, n), b"", b"no code at all\0\0", b"\0\0\1"][i]
+        (folder / f"{i}.bit").write_bytes(data)
+        want += [(f"{i}.bit", *r) for r in zip(*(c.to_pylist() for c in packet_rows(taken_apart(data))))]
+    reader = ByteStreamReader({"path": str(folder), "rangebytes": str(size), "piecebytes": str(piece)})
+    got = []
+    for p in reader.partitions():
+        for b in reader.read(p):
+            got += [(r["path"].rsplit("/", 1)[1], *list(r.values())[1:]) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want) and len(got) >= n
+    if size >= 64:
+        rows = read_packets(spark, str(folder), rangeBytes=size, pieceBytes=piece).collect()
+        assert sorted((r["path"].rsplit("/", 1)[1], *r[1:6], bytes(r["rbsp"])) for r in rows) == sorted(want)
+
+
+def test_ranges_of_nothing(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    assert read_packets(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(PySparkException, match="missing"):
+        read_packets(spark, str(tmp_path / "missing")).count()
+
+
 def test_access_units(spark):
     """AUD, VPS, SPS, PPS, slice, second slice of the picture, suffix message, next picture, prefix message and its picture."""
     kinds = [(35, 0), (32, 0), (33, 0), (34, 0), (19, 128), (19, 0), (40, 0), (1, 128), (39, 0), (1, 128), (1, 0)]
