@@ -55,7 +55,7 @@ def test_a_sink_writes_all_or_nothing(spark, tmp_path):
     for bad in ("../up", "/top", "a//b", "", None, "_temporary-1/x"):
         with pytest.raises(PySparkException, match="no name of a file"):
             write_parts(rows(("new", b"9"), (bad, b"9")), str(folder), ["i"])
-    twice = rows(("new", b"1"), ("new", b"2")).repartition(2, "i").select("name", "content")
+    twice = rows(("new", b"1")).unionByName(rows(("new", b"2"))).select("name", "content")
     with pytest.raises(PySparkException, match="written twice"):
         twice.write.format("fileparts").mode("append").save(str(folder))
     assert sorted(str(f.relative_to(folder)) for f in folder.rglob("*") if f.is_file()) == ["a/x", "y"]
