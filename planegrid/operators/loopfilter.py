@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 from planegrid.plans.registry import PAIRS, query
 from planegrid.sources.tables import block_pairs, blocks
 
-#: Fixed values of the H.265 text (table 8-12): tC by QP 0 to 53; beta follows a rule.
-TC = (0,) * 18 + (1,) * 9 + (2,) * 4 + (3,) * 4 + (4,) * 3 + (5, 5, 6, 6, 7, 8, 9, 10, 11, 13, 14, 16, 18, 20, 22, 24)
-
-
-def beta_of(qp: int) -> int:
-    return 0 if qp < 16 else qp - 10 if qp <= 28 else 2 * qp - 38
-
-
-BETA = tuple(beta_of(q) for q in range(52))
+#: Fixed values of the H.265 text (table 8-12): beta by QP 0 to 51, tC by QP 0 to 53.
+BETA = (
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 6, 7,
+    8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 20, 22, 24, 26, 28, 30, 32,
+    34, 36, 38, 40, 42, 44, 46, 48, 50, 52, 54, 56, 58, 60, 62, 64,
+)
+TC = (
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 4,
+    4, 4, 5, 5, 6, 6, 7, 8, 9, 10, 11, 13, 14, 16, 18, 20, 22, 24,
+)
+#: Fixed values of the H.265 text (table 8-10): chroma QP of luma QP 30 to 42.
+CHROMA_QP = (29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37)
 
 
 def filtered(p: np.ndarray, q: np.ndarray, qp: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,6 +68,18 @@ def filtered(p: np.ndarray, q: np.ndarray, qp: np.ndarray, strength: np.ndarray)
     return one(p, q, 1).reshape(edges, lines, 4), one(q, p, -1).reshape(edges, lines, 4), on.astype(np.int32) + strong
 
 
+def chroma_filtered(p: np.ndarray, q: np.ndarray, qp: np.ndarray, strength: np.ndarray, offset: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sides of chroma edges, as ``filtered`` takes them, to both filtered: one sample on either side, where the strength is 2."""
+    q_i = qp + offset
+    own = np.where(q_i < 30, q_i, np.where(q_i >= 43, q_i - 6, np.array(CHROMA_QP)[np.clip(q_i - 30, 0, 12)]))
+    tc = np.array(TC)[np.clip(own + 2, 0, 53)][:, None]
+    p, q = (v[..., :4].astype(np.int64).copy() for v in (p, q))
+    delta = np.clip(((q[..., 0] - p[..., 0] << 2) + p[..., 1] - q[..., 1] + 4) >> 3, -tc, tc)
+    delta = np.where(strength[:, None] == 2, delta, 0)
+    p[..., 0], q[..., 0] = np.clip(p[..., 0] + delta, 0, 255), np.clip(q[..., 0] - delta, 0, 255)
+    return p, q
+
+
 def deblocked(edges: DataFrame, horizontal: bool = False) -> DataFrame:
     """(block, src, ref, qp, strength) to (block, src, ref, decisions) filtered across the edge.
 

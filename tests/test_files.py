@@ -111,7 +111,7 @@ def test_streams_written_and_foreign_start_codes(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("body", "size", "payload"),
-    [("aa800a", 5, "aa800a"), ("aa8085", 5, "aa8085"), ("aa80000000", 4, "aa"), ("aa8000000300000300", 9, "aa"), ("aa0000030180", 8, "aa000001"), ("", 2, ""), ("80", 3, ""), ("aa0000800000", 6, "aa0000"), ("c0", 3, "c0")],
+    [("aa800a", 5, "aa800a"), ("aa8085", 5, "aa8085"), ("aa80000000", 4, "aa"), ("aa8000000300000300", 10, "aa"), ("aa0000030180", 8, "aa000001"), ("", 2, ""), ("80", 3, ""), ("aa0000800000", 6, "aa0000"), ("c0", 3, "c0")],
 )
 def test_foreign_ends(spark, body, size, payload):
     """Line ends, zeros and filling words behind a packet's last byte, within a stream and at its end."""
