@@ -36,6 +36,9 @@ SEED = 2024
 #: Words that may share their id's bits with others and are told apart by numbers of their own.
 CLASHES = 100_000
 
+#: What stands for a gain of 0 in 32 bits.
+_ZERO = 1 << 31
+
 _DOCS = "docs array<struct<doc_id:bigint,codes:array<int>>>"
 
 
@@ -143,13 +146,13 @@ def _grams(most: int):  # noqa: ANN202
 
 
 def _weights(most: int):  # noqa: ANN202
-    """(docs, ids, gains) of blocks to a row per text: the number of its n-grams and the sum of their gains."""
+    """(docs, ids, gains) of blocks to a row per text: the number of its n-grams and the sum of their gains, which lie in the low halves of numbers that their order gives the high half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for docs, ids, gains in zip(*b.columns):
                 n_docs = len(docs.values)
-                gain = np.asarray(gains.values, np.float64) if gains.is_valid else np.zeros(0)
+                gain = ((np.asarray(gains.values, np.int64) & 0xFFFFFFFF) - _ZERO).astype(np.float64) if gains.is_valid else np.zeros(0)
                 features, weight, ordinal = np.zeros(n_docs, np.int64), np.zeros(n_docs), 0
                 for tuples, number, of in _tuples(docs, np.asarray(ids.values, np.int64) if ids.is_valid else np.zeros(0, np.int64), most):
                     features += np.bincount(of, minlength=n_docs)
@@ -198,7 +201,8 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     priced = hashed.join(F.broadcast(gains), "bucket").select("gram", "gain")
     # a block has one row of a tuple, so no tuple has more rows than there are blocks
     back = grams.where("side = 0").select("block", "ordinal", "gram").join(priced.hint("merge"), "gram")
-    back = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ordinal", "gain"))).getField("gain").alias("gains"))
+    packed = F.shiftleft(F.col("ordinal").cast("bigint"), 32) + F.col("gain") + _ZERO
+    back = back.groupBy("block").agg(F.array_sort(F.collect_list(packed)).alias("gains"))
     out = saved(blocks.where("side = 0").join(back, "block", "left").select("docs", "ids", "gains").mapInArrow(_weights(most), "doc_id bigint, n_words bigint, n_features bigint, weight bigint"))
     discard(blocks, hashed)
     return out
