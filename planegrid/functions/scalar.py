@@ -65,13 +65,14 @@ def dequantize_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "qp_tables",
-    """SELECT qp::INT AS qp, list_extract([40, 45, 51, 57, 64, 72], (qp % 6 + 1)::INT) << (qp // 6)::INT AS level_scale, list_extract([26214, 23302, 20560, 18396, 16384, 14564], (qp % 6 + 1)::INT) AS quant_scale, (14 + qp // 6)::INT AS quant_shift,
-CASE WHEN qp < 30 THEN qp WHEN qp >= 43 THEN qp - 6 ELSE list_extract([29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37], (qp - 29)::INT) END::INT AS chroma_qp FROM range(0, 52) r(qp)""",
+    """WITH r AS (SELECT DISTINCT l_orderkey % 52 AS qp FROM lineitem) SELECT qp::INT AS qp, list_extract([40, 45, 51, 57, 64, 72], (qp % 6 + 1)::INT) << (qp // 6)::INT AS level_scale, list_extract([26214, 23302, 20560, 18396, 16384, 14564], (qp % 6 + 1)::INT) AS quant_scale, (14 + qp // 6)::INT AS quant_shift,
+CASE WHEN qp < 30 THEN qp WHEN qp >= 43 THEN qp - 6 ELSE list_extract([29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37], (qp - 29)::INT) END::INT AS chroma_qp FROM r""",
 )
 def qp_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scales, shift and chroma QP of every QP that line items have."""
     #: Chroma QP of luma QP 30 to 42, fixed values of the H.265 text (table 8-10).
     chroma = (29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37)
-    own = spark.range(52).select(F.col("id").cast("int").alias("qp"))
+    own = coefficients(spark, sf_dir).select((F.col("l_orderkey") % 52).cast("int").alias("qp")).distinct()
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i)
     qp = F.col("qp")
     return own.select(
@@ -109,16 +110,16 @@ def lambda_of_qp(qp: Column, factor: Column) -> Column:
 
 @query(
     "lambda_qp",
-    """WITH l AS (SELECT qp::INT AS qp, 0.57 * pow(2.0, (qp - 12) / 3.0) AS intra, 0.442 * pow(2.0, (qp - 12) / 3.0) * greatest(2.0, least(4.0, (qp - 12) / 6.0)) AS inter FROM range(0, 52) r(qp))
-SELECT qp, round(intra, 6) AS intra, round(inter, 6) AS inter, greatest(2, least(46, trunc(4.2005 * ln(intra) + 13.7122 + 0.5)::INT)) AS back FROM l""",
+    """WITH l AS (SELECT qp::INT AS qp, 0.57 * pow(2.0, (qp - 12) / 3.0) AS intra, 0.442 * pow(2.0, (qp - 12) / 3.0) * greatest(2.0, least(4.0, (qp - 12) / 6.0)) AS inter, l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 52 AS qp FROM lineitem))
+SELECT l_orderkey, l_linenumber, qp, round(intra, 6) AS intra, round(inter, 6) AS inter, greatest(2, least(46, trunc(4.2005 * ln(intra) + 13.7122 + 0.5)::INT)) AS back FROM l""",
 )
 def lambda_qp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lagrangians of each QP, and the QP that the inverse model gives for the intra one."""
-    own = spark.range(52).select(F.col("id").cast("int").alias("qp"))
+    """Lagrangians of each line item's QP, and the QP that the inverse model gives for the intra one."""
+    own = coefficients(spark, sf_dir).select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") + F.col("l_linenumber")) % 52).cast("int").alias("qp"))
     intra = lambda_of_qp(F.col("qp"), F.lit(0.57))
     inter = lambda_of_qp(F.col("qp"), F.lit(0.442)) * clip3(F.lit(2.0), F.lit(4.0), (F.col("qp") - 12) / 6.0)
     back = clip3(2, 46, (4.2005 * F.ln(intra) + 13.7122 + 0.5).cast("int"))
-    return own.select("qp", F.round(intra, 6).alias("intra"), F.round(inter, 6).alias("inter"), back.alias("back"))
+    return own.select("l_orderkey", "l_linenumber", "qp", F.round(intra, 6).alias("intra"), F.round(inter, 6).alias("inter"), back.alias("back"))
 
 
 @query(

@@ -48,7 +48,8 @@ def frame_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "neighbour_qp",
-    f"WITH {SAMPLES}, q AS (SELECT block, x, y, v % 52 AS qp FROM samples) SELECT a.block, a.x, a.y, ((coalesce(l.qp, p.qp, 26) + coalesce(u.qp, p.qp, 26) + 1) >> 1)::INT AS predicted FROM q a LEFT JOIN q l ON l.block = a.block AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN q u ON u.block = a.block AND u.x = a.x AND u.y = a.y - 1 LEFT JOIN q p ON p.block = a.block AND 8 * p.y + p.x = 8 * a.y + a.x - 1",
+    f"""WITH {BLOCKS}, q AS (SELECT block, i, list_transform(px, lambda v: v % 52) AS qp FROM blocks, range(0, 64) r(i)), n AS (SELECT block, i, qp, CASE WHEN i = 0 THEN 26 ELSE qp[i] END AS p FROM q)
+SELECT block, (i % 8)::INT AS x, (i // 8)::INT AS y, ((CASE WHEN i % 8 = 0 THEN p ELSE qp[i] END + CASE WHEN i < 8 THEN p ELSE qp[i - 7] END + 1) >> 1)::INT AS predicted FROM n""",
 )
 def neighbour_qp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rounded mean of the QP to the left and above; where there is none, the QP coded before (26 at the start)."""

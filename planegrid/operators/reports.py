@@ -11,7 +11,7 @@ from planegrid.operators.distortion import hadamard, psnr, ssd, tile_satd
 from planegrid.operators.filters import LUMA, along_x
 from planegrid.operators.references import _DOCKETS, _EDGES, dockets, edges, stream
 from planegrid.operators.statistics import hist_difference, segments, shot_changes
-from planegrid.plans.registry import COEFFICIENTS, ORACLES, PAIRS, SAMPLES, query
+from planegrid.plans.registry import BLOCKS, COEFFICIENTS, ORACLES, PAIRS, SAMPLES, query
 from planegrid.sources.tables import block_pairs, blocks, table
 
 #: Packet types with a name of their own in the H.265 text (table 7-1), fixed values.
@@ -185,7 +185,10 @@ def derived_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (s * 16).alias("w"), (s * 9).alias("h"), up(16).alias("ctus_x"), up(9).alias("ctus_y"), (up(16) * up(9)).alias("ctus"), F.expr("shiftleft(1L, 4 + p_size % 13)").alias("max_lsb"))
 
 
-@query("motion_equality", f"WITH {SAMPLES}, m AS (SELECT a.block, a.y, a.v // 86 AS dpb_p, b.v // 86 AS dpb_q, a.v AS mv_p, b.v AS mv_q FROM samples a JOIN samples b ON b.block = a.block AND b.y = a.y AND b.x = a.x + 1 WHERE a.x = 3) SELECT block, y, dpb_p = dpb_q AND abs(mv_p - mv_q) < 4 AS same FROM m")
+@query(
+    "motion_equality",
+    f"WITH {BLOCKS} SELECT block, y::INT AS y, px[8 * y + 4] // 86 = px[8 * y + 5] // 86 AND abs(px[8 * y + 4] - px[8 * y + 5]) < 4 AS same FROM blocks, range(0, 8) r(y)",
+)
 def motion_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two neighbours move alike: the same reference and vectors less than a sample apart."""
     own = blocks(spark, sf_dir).select("block", "px", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"))
