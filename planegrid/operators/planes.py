@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planegrid.functions.scalar import clip3, clip16, distance_scale
 from planegrid.operators.loopfilter import BETA, CHROMA_QP, TC, chroma_filtered, filtered
 from planegrid.plans.registry import BLOCKS, query
 from planegrid.sources.tables import blocks
