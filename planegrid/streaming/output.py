@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from planegrid.plans.registry import query
+from planegrid.sources.scratch import shared_folder
 from planegrid.sources.tables import table
 
 
@@ -21,11 +21,21 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there and return its rows."""
-    spark, name = stream.sparkSession, f"rows_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return its rows, which its tasks write to a table in the shared folder.
+
+    In the mode complete a batch's rows replace those before.
+    """
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
+    schema, batches = stream.schema, []
+
+    def keep(rows: DataFrame, number: int) -> None:
+        path = f"{folder}/{number}"
+        rows.write.mode("overwrite").parquet(path)
+        batches[:] = [path] if mode == "complete" else [b for b in batches if b != path] + [path]
+
+    running = stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}-state").start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).parquet(*batches) if batches else spark.createDataFrame([], schema)
 
 
 def windowed_histogram(events: DataFrame) -> DataFrame:
