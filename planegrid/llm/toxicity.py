@@ -22,10 +22,8 @@ from .words import Texts, grouped, mixed
 
 #: Labelled rows that the fit reads at most: those of the smallest hash of doc_id.
 SAMPLE = 6000
-#: Sampled texts that must have a word for it to be a feature.
+#: Sampled texts that must have a word for it to be a feature of the model.
 LEAST = 5
-#: Features that the fit reads at most: those that most sampled texts have.
-FEATURES = 1 << 16
 #: Bytes of the beginnings of words that are features beside the whole words.
 BEGINNINGS = (6, 8)
 PENALTY = 3e-3
@@ -68,8 +66,8 @@ class Sample(NamedTuple):
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, least: int = LEAST) -> Sample:
     """Up to ``rows`` labelled documents; labels or documents without an id, and null labels, are left out.
 
-    Features are counted by Spark; those of fewer than ``least`` sampled texts do not reach the driver, nor
-    more than ``FEATURES`` of them.
+    Features are counted by Spark; those of fewer than ``least`` sampled texts are no features of the model and do not reach
+    the driver. All others do: their number follows from the sampled texts alone.
     """
     drawn = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -83,7 +81,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, least: int =
     own = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id")  # at most SAMPLE rows
     found = cut(own.mapInArrow(run, "doc_id bigint, feature bigint, times bigint").groupBy("doc_id", "feature").agg(F.max("times").cast("int").alias("times")))
     common = found.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    common = common.orderBy(F.desc("n"), "feature").limit(FEATURES).select("feature")
+    common = common.select("feature")
     ids = drawn.toPandas()
     table = found.join(common, "feature").toArrow()
     order = np.argsort(ids["doc_id"].to_numpy())
