@@ -141,8 +141,8 @@ def write(values: Values, syntax: tuple[Field, ...]) -> bytes:
     return int(out or "0", 2).to_bytes(len(out) // 8, "big")
 
 
-def messages(data: bytes) -> list[tuple[int, bytes]]:
-    """(payload type, payload) of a packet's messages; both lengths are bytes 255 and a rest."""
+def messages(data: bytes) -> list[tuple[int, bytes | None]]:
+    """(payload type, payload) of a packet's messages; both lengths are bytes 255 and a rest. A payload that goes on behind the packet is None."""
     out, at = [], 0
 
     def number(at: int) -> tuple[int, int]:
@@ -154,7 +154,7 @@ def messages(data: bytes) -> list[tuple[int, bytes]]:
     while at < len(data):
         kind, at = number(at)
         size, at = number(at)
-        out.append((kind, data[at : at + size]))
+        out.append((kind, data[at : at + size] if at + size <= len(data) else None))
         at += size
     return out
 
@@ -173,7 +173,7 @@ def records(packets: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for stream, seq, t, data in zip(*(c.to_pylist() for c in b.columns)):
-                found: list[tuple[str, int | None, bytes, tuple[Field, ...]]] = []
+                found: list[tuple[str, int | None, bytes | None, tuple[Field, ...]]] = []
                 if t in KINDS:
                     found = [(KINDS[t][0], None, data, KINDS[t][1])]
                 elif t <= 9 or 16 <= t <= 21:
@@ -185,8 +185,9 @@ def records(packets: DataFrame) -> DataFrame:
                         found = [("sei", None, b"", fields("cut_short", "u1"))]
                 for kind, payload, own, syntax in found:
                     try:
-                        v = read(own, syntax, {"nal_type": t})
-                        v.pop("nal_type")
+                        v = None if own is None else read(own, syntax, {"nal_type": t})
+                        if v:
+                            v.pop("nal_type")
                     except IndexError:
                         v = None
                     rows.append((stream, seq, kind, payload, None if v is None else [(n, str(x)) for n, x in v.items()]))
