@@ -42,7 +42,7 @@ def predicted(mode: int, top: np.ndarray, left: np.ndarray) -> np.ndarray:
     upright = mode >= 18
     main, side = (top, left) if upright else (left, top)
     angle = ANGLES[mode - 2]
-    low = min(0, n * angle >> 5)
+    low = min(0, (n * angle >> 5) + 1)
     if low < 0:
         back = np.arange(low, 0) * INVERSES[mode - 11] + 128 >> 8
         main = np.concatenate([side[:, back], main], 1)
