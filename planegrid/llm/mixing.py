@@ -5,9 +5,10 @@ source_size`` times, a whole number of copies plus one fraction. Fractions becom
 pivotal rounding in blocks of about ``BLOCK`` documents: the largest document meets the pool of the
 smaller ones, and words move from one to the other, in either direction by chance, until
 the document's fraction is 0 or 1 (or the pool's are). The words of the block stay the same, and so do
-the expected copies of each document. A block leaves one fractional document at most, nearly always
-a small one; those form the next level's blocks, until one is left per source, which takes the
-nearer whole number. A source misses its target by half of that document's words at most.
+the expected copies of each document. A block leaves one fractional document at most; those form the next
+level's blocks, until one is left per source, which takes the nearer whole number. What a source then misses, half
+of that document's words at most, the document whose size is nearest to it gives or takes back, ``AMENDS`` times at
+most, while that brings the source nearer to its target.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, uniform
+from .common import WORD, checked_join, cut, documents, uniform
 
 #: Fractional documents that a block holds on average; a reduction level shrinks by this factor.
 BLOCK = 64
 
+#: Documents of a source that are taken or given back after the reduction.
+AMENDS = 3
+
 _EPS = 1e-9
 
 #: A unit's name: 128 bits, so that no two units share one.
@@ -100,11 +104,11 @@ def pivotal_extras(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataF
 
     ``uid`` tells units apart. Blocks are dealt by its hash, so their sizes keep near ``block``.
     """
-    done, level = None, 0
+    done, level, all_ = None, 0, units
     while True:
-        per_source = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+        per_source = cut(units.groupBy(_named("source").alias("__s")).agg(F.count(F.lit(1)).alias("n")))
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
-        dealt = units.join(per_source, units["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
+        dealt = checked_join(units.withColumn("__s", _named("source")), per_source, "__s").drop("__s")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(level), F.lit(seed)), blocks))
         folded = cut(_fold(dealt, level, seed))
         new = folded.select(F.explode("done").alias("d")).select("d.*")
@@ -112,7 +116,28 @@ def pivotal_extras(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataF
         units, level = folded.where("open IS NOT NULL").select("source", "open.*"), level + 1
         left = units.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if not left or left == 1:
-            return done.unionByName(units.select("uid", F.round("p").cast("int").alias("extra")))
+            return _amended(all_, done.unionByName(units.select("uid", F.round("p").cast("int").alias("extra"))))
+
+
+def _named(c: str) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+
+
+def _amended(units: DataFrame, extras: DataFrame) -> DataFrame:
+    """(uid, extra) with the unit of each source turned whose size is nearest to what the source misses, while that helps."""
+    own = cut(units.select(_named("source").alias("__s"), "uid", "size", "p").join(extras, "uid"))
+    step = F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size"))
+    for _ in range(AMENDS):
+        missed = cut(own.groupBy("__s").agg(F.sum((F.col("p") - F.col("extra")) * F.col("size")).alias("missed")))
+        left = F.struct(F.abs(F.col("missed") - step).alias("left"), F.col("uid").alias("uid"))
+        near = checked_join(own, missed, "__s").groupBy("__s").agg(F.min(left).alias("b"), F.max(F.abs("missed")).alias("missed"))
+        turned = cut(near.where("b.left < missed - 0.5").select("__s", F.col("b.uid").alias("turned")))
+        if turned.isEmpty():
+            break
+        # a row per source
+        own = cut(checked_join(own, turned, "__s", "left").withColumn("extra", F.when(F.col("uid") == F.col("turned"), 1 - F.col("extra")).otherwise(F.col("extra"))).drop("turned"))
+    return own.select("uid", "extra")
 
 
 def mix(
@@ -134,8 +159,8 @@ def mix(
     own = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("source").isNull(), F.col("source"), F.col("size"), F.col("h")]
     units = cut(units.withColumn("uid", F.struct(F.xxhash64(*own, F.lit(seed)).alias("a"), F.xxhash64(F.lit("b"), *own).alias("b"))))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
-    targets = cut(source_targets(sizes, weights, total_share, most)).withColumnRenamed("source", "s")
-    units = units.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    targets = cut(source_targets(sizes, weights, total_share, most).withColumn("__s", _named("source")).drop("source"))
+    units = checked_join(units.withColumn("__s", _named("source")), targets, "__s").drop("__s")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumn("base", F.floor(wanted + _EPS).cast("int")).withColumn("more", F.greatest(F.lit(0.0), wanted - F.col("base")) * F.col("m"))
     units = units.withColumn("sure", F.floor(F.col("more") + _EPS).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("more") - F.col("sure")))

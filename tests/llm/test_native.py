@@ -227,3 +227,16 @@ def test_each_statistic_can_reject_by_itself():
 def test_quality_of_nothing_and_of_small_groups(none, docs):
     assert judged(none).count() == 0
     assert CUT > 0 and judged(docs.where("doc_id < 4")).where("kept = base_failed").count() == 0
+
+
+def test_a_source_misses_by_little(spark):
+    """A few large documents among many small ones: what the last of them leaves is given or taken back."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{i % 4}" if i % 5 else None, int(rng.integers(900, 3000)) if i % 9 == 0 else int(rng.integers(5, 200)), i) for i in range(400)]
+    own = spark.createDataFrame(rows, "doc_id long, source string, size long, h long")
+    taken, target = Counter(), {}
+    for r in mix(own).collect():
+        assert 0 <= r["copies"] <= 2
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 15 for s in target), {s: taken[s] - target[s] for s in target}
