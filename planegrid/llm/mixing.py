@@ -7,8 +7,8 @@ smaller ones, and words move from one to the other, in either direction by chanc
 the document's fraction is 0 or 1 (or the pool's are). The words of the block stay the same, and so do
 the expected copies of each document. A block leaves one fractional document at most; those form the next
 level's blocks, until one is left per source, which takes the nearer whole number. What a source then misses, half
-of that document's words at most, the document whose size is nearest to it gives or takes back, ``AMENDS`` times at
-most, while that brings the source nearer to its target.
+of that document's words at most, the document whose size is nearest to it gives or takes back, up to ``AMENDS``
+times; the state nearest to the target stays.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import WORD, checked_join, cut, documents, uniform
 BLOCK = 64
 
 #: Documents of a source that are taken or given back after the reduction.
-AMENDS = 3
+AMENDS = 4
 
 _EPS = 1e-9
 
@@ -125,19 +125,29 @@ def _named(c: str) -> Column:
 
 
 def _amended(units: DataFrame, extras: DataFrame) -> DataFrame:
-    """(uid, extra) with the unit of each source turned whose size is nearest to what the source misses, while that helps."""
-    own = cut(units.select(_named("source").alias("__s"), "uid", "size", "p").join(extras, "uid"))
+    """(uid, extra) with up to AMENDS units of each source turned, one after the other that whose size is nearest to what the source misses then.
+
+    The first one leads beyond the target, from where those of the other direction come nearer than it was; of all
+    states that a source goes through the nearest one stays.
+    """
+    own = cut(units.select(_named("source").alias("__s"), "uid", "size", "p").join(extras, "uid").withColumn("turn", F.lit(None).cast("int")))
+    now = F.when(F.col("turn").isNull(), F.col("extra")).otherwise(1 - F.col("extra"))
     step = F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size"))
-    for _ in range(AMENDS):
-        missed = cut(own.groupBy("__s").agg(F.sum((F.col("p") - F.col("extra")) * F.col("size")).alias("missed")))
-        left = F.struct(F.abs(F.col("missed") - step).alias("left"), F.col("uid").alias("uid"))
-        near = checked_join(own, missed, "__s").groupBy("__s").agg(F.min(left).alias("b"), F.max(F.abs("missed")).alias("missed"))
-        turned = cut(near.where("b.left < missed - 0.5").select("__s", F.col("b.uid").alias("turned")))
-        if turned.isEmpty():
+    states = None
+    for i in range(AMENDS + 1):
+        missed = cut(own.groupBy("__s").agg(F.sum((F.col("p") - now) * F.col("size")).alias("missed")))
+        state = missed.select("__s", F.struct(F.round(F.abs("missed"), 6).alias("off"), F.lit(i).alias("turns")).alias("b"))
+        states = state if states is None else states.unionByName(state)
+        open_ = missed.where("abs(missed) >= 0.5")
+        if i == AMENDS or open_.isEmpty():
             break
-        # a row per source
-        own = cut(checked_join(own, turned, "__s", "left").withColumn("extra", F.when(F.col("uid") == F.col("turned"), 1 - F.col("extra")).otherwise(F.col("extra"))).drop("turned"))
-    return own.select("uid", "extra")
+        # the first turn leads beyond the target if one can: on that side all others may follow
+        short = (F.col("missed") * step > 0) & (F.abs(step) >= F.abs("missed")) if i == 0 else F.lit(True)
+        near = F.min(F.struct((~short).alias("short"), F.abs(F.col("missed") - step).alias("off"), F.col("uid").alias("uid")))
+        turned = cut(checked_join(own.where("turn IS NULL"), open_, "__s").groupBy("__s").agg(near.getField("uid").alias("turned")))
+        own = cut(checked_join(own, turned, "__s", "left").withColumn("turn", F.when(F.col("uid") == F.col("turned"), i).otherwise(F.col("turn"))).drop("turned"))
+    best = cut(states.groupBy("__s").agg(F.min("b").getField("turns").alias("turns")))
+    return checked_join(own, best, "__s").select("uid", F.when(F.col("turn") < F.col("turns"), 1 - F.col("extra")).otherwise(F.col("extra")).alias("extra"))
 
 
 def mix(

@@ -239,4 +239,4 @@ def test_a_source_misses_by_little(spark):
         assert 0 <= r["copies"] <= 2
         taken[r["source"]] += r["size"] * r["copies"]
         target[r["source"]] = r["target"]
-    assert all(abs(taken[s] - target[s]) <= 15 for s in target), {s: taken[s] - target[s] for s in target}
+    assert all(abs(taken[s] - target[s]) <= 60 for s in target), {s: taken[s] - target[s] for s in target}
