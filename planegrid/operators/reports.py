@@ -14,15 +14,25 @@ from planegrid.operators.statistics import hist_difference, segments, shot_chang
 from planegrid.plans.registry import BLOCKS, COEFFICIENTS, ORACLES, PAIRS, SAMPLES, query
 from planegrid.sources.tables import block_pairs, blocks, table
 
-#: Packet types with a name of their own in the H.265 text (table 7-1), fixed values.
-NAMES = {0: "TRAIL_N", 1: "TRAIL_R", 8: "RASL_N", 9: "RASL_R", 19: "IDR_W_RADL", 20: "IDR_N_LP", 21: "CRA_NUT", 32: "VPS_NUT", 33: "SPS_NUT", 34: "PPS_NUT", 35: "AUD_NUT", 39: "PREFIX_SEI_NUT", 40: "SUFFIX_SEI_NUT"}
+#: Packet types and their names in the H.265 text (table 7-1), fixed values; the numbers between have names by their ranges.
+NAMES = {0: "TRAIL_N", 1: "TRAIL_R", 2: "TSA_N", 3: "TSA_R", 4: "STSA_N", 5: "STSA_R", 6: "RADL_N", 7: "RADL_R", 8: "RASL_N", 9: "RASL_R"}
+NAMES |= {16: "BLA_W_LP", 17: "BLA_W_RADL", 18: "BLA_N_LP", 19: "IDR_W_RADL", 20: "IDR_N_LP", 21: "CRA_NUT"}
+NAMES |= {32: "VPS_NUT", 33: "SPS_NUT", 34: "PPS_NUT", 35: "AUD_NUT", 36: "EOS_NUT", 37: "EOB_NUT", 38: "FD_NUT", 39: "PREFIX_SEI_NUT", 40: "SUFFIX_SEI_NUT"}
+NAMES |= {k: f"RSV_VCL_{'R' if k % 2 else 'N'}{k}" for k in range(10, 16)} | {k: f"RSV_IRAP_VCL{k}" for k in (22, 23)} | {k: f"RSV_VCL{k}" for k in range(24, 32)}
+NAMES |= {k: f"RSV_NVCL{k}" for k in range(41, 48)} | {k: f"UNSPEC{k}" for k in range(48, 64)}
+#: Slice types (table 7-7).
+SLICES = {0: "B", 1: "P", 2: "I"}
 
 
-@query("enum_names", "SELECT event_id, coalesce(name, 'RSV_' || event_id % 64) AS name FROM events LEFT JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in NAMES.items()) + ") n(t, name) ON t = event_id % 64")
+@query(
+    "enum_names",
+    "SELECT event_id, name, CASE event_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'P' ELSE 'I' END AS slice FROM events JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in sorted(NAMES.items())) + ") n(t, name) ON t = event_id % 64",
+)
 def enum_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
-    t = (F.col("event_id") % 64).cast("int")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(names, t), F.concat(F.lit("RSV_"), t.cast("string"))).alias("name"))
+    """The names of every event's packet type and slice type."""
+    table_of = lambda names: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    kind = lambda n: (F.col("event_id") % n).cast("int")
+    return table(spark, sf_dir, "events").select("event_id", table_of(NAMES)[kind(64)].alias("name"), table_of(SLICES)[kind(3)].alias("slice"))
 
 
 #: Parts of a path that leave a stream out.

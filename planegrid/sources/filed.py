@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planegrid.plans.registry import query
 from planegrid.sources.annexb import HEXED, packet_bytes, packets, to_binary
-from planegrid.sources.files import read_frames, read_packets, shaped, write_frames, write_streams
+from planegrid.sources.files import read_frames, read_packets, shaped, write_frames, write_parts, write_streams
 from planegrid.sources.rawvideo import bytes_of, planes
 from planegrid.sources.scratch import shared_folder
 
@@ -54,3 +54,59 @@ def cropped_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_frames(shaped(planes(bytes_of(spark, sf_dir), 16, 8), 16, 8, (2, 4, 2, 0)), folder)
     found = read_frames(spark, folder, 10, 6, framesPerPartition=7)
     return found.select(stem("path").alias("video"), "frame", "plane", F.md5("data").alias("digest"))
+
+
+#: Where the digest of a stream is looked for, first to last. {0} is its path without the ending, {1} the whole path, {2} the
+#: path without the ending and its last two characters, {3} its folder, {4} that folder's own name.
+DIGEST_NAMES = ("{0}.yuv.md5", "{0}_yuv.md5", "{0}_3.yuv.md5", "{1}.yuv.md5", "{0}.md5", "{0}_md5.txt", "{0}_md5sum.txt", "{2}_yuv.md5", "{3}/{4}_yuv.md5", "{3}/md5sum.txt")
+
+
+def listed_streams(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Streams (.bit, .bin) anywhere under a folder: path, digest (the first of DIGEST_NAMES that is there, or null), pattern (its place among them) and excluded.
+
+    Files are listed, not read. Each stream asks for its names, and names meet the listing by an equi-join; a stream whose path
+    holds one of the strings ``excluded`` is told.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    own = files.where(F.col("path").rlike(r"\.(bit|bin)$"))
+    base, parent = F.regexp_extract("path", r"^(.*)\.\w+$", 1), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    given = (base, F.col("path"), F.left(base, F.length(base) - 2), parent, F.regexp_extract("path", r"([^/]*)/[^/]*$", 1))
+
+    def name(pattern: str) -> Column:
+        parts = []
+        for piece in pattern.replace("{", "|{").replace("}", "|").split("|"):
+            parts.append(given[int(piece[1:])] if piece.startswith("{") else F.lit(piece))
+        return F.concat(*parts)
+
+    asked = own.select("path", F.posexplode(F.array(*map(name, DIGEST_NAMES))).alias("pattern", "digest"))
+    found = asked.join(files.withColumnRenamed("path", "digest"), "digest").groupBy("path").agg(F.min(F.struct("pattern", "digest")).alias("d"))
+    out = F.lit(False)
+    for part in excluded:
+        out = out | F.col("path").contains(part)
+    return own.join(found, "path", "left").select("path", "d.digest", "d.pattern", out.alias("excluded"))
+
+
+#: Digest names of the query's streams f<n>/str<n>.bit, by pattern.
+_FILES = ("'str' || {0} || '.yuv.md5'", "'str' || {0} || '_yuv.md5'", "'str' || {0} || '_3.yuv.md5'", "'str' || {0} || '.bit.yuv.md5'", "'str' || {0} || '.md5'", "'str' || {0} || '_md5.txt'", "'str' || {0} || '_md5sum.txt'")
+_FILES += ("left('str' || {0}, length('str' || {0}) - 2) || '_yuv.md5'", "'f' || {0} || '_yuv.md5'", "'md5sum.txt'")
+_FILE = "CASE pattern " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_FILES)) + " END"
+
+
+@query(
+    "conformance_listing",
+    f"""WITH p AS (SELECT doc_id AS id, doc_id % 12 AS pattern FROM documents WHERE doc_id % 12 < 10 UNION SELECT doc_id, 9 FROM documents WHERE doc_id % 24 IN (2, 11)),
+b AS (SELECT id, min(pattern) AS pattern FROM p GROUP BY id)
+SELECT 'f' || doc_id || '/str' || doc_id || '.bit' AS stream, 'f' || id || '/' || {_FILE.format('id')} AS digest, b.pattern::INT AS pattern, contains('f' || doc_id || '/str' || doc_id || '.bit', '7/s') AS excluded FROM documents LEFT JOIN b ON id = doc_id""",
+)
+def conformance_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a stream per document and its digest under one of ten names, under two, or none, listed and paired; a few streams are excluded."""
+    folder = shared_folder(spark, "conformance")
+    own = bytes_of(spark, sf_dir).select(F.col("path").cast("string").alias("id"), F.col("path").alias("n"))
+    patterns = F.array_distinct(F.array_compact(F.array(F.when(F.col("n") % 12 < 10, F.col("n") % 12), F.when((F.col("n") % 24).isin(2, 11), 9))))
+    digests = own.select("id", F.explode(patterns).alias("pattern")).select("id", F.expr(_FILE.format("id")).alias("file"))
+    streams = own.select("id", F.expr("'str' || id || '.bit'").alias("file"))
+    rows = streams.unionByName(digests).select(F.concat(F.lit("f"), "id", F.lit("/"), "file").alias("name"), F.encode("id", "UTF-8").alias("content"))
+    write_parts(rows, folder, [])
+    found = listed_streams(spark, folder, ("7/s",))
+    short = lambda c: F.regexp_extract(c, r"([^/]+/[^/]+)$", 1)
+    return found.select(short("path").alias("stream"), F.when(F.col("digest").isNotNull(), short("digest")).alias("digest"), F.col("pattern").cast("int").alias("pattern"), "excluded")
