@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planegrid.operators.filters import LUMA
+from planegrid.operators.filters import LUMA, taps
 from planegrid.operators.planes import _PLACED, around, tiles
 from planegrid.operators.references import _EDGES, dockets, edges, stream
 from planegrid.plans.registry import PAIRS, query
@@ -201,13 +201,11 @@ def sequence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def between(ref: np.ndarray, fx: int, fy: int) -> np.ndarray:
     """Blocks [block, y, x] moved by quarters of a sample along both axes: eight taps along x, then along y, borders repeated."""
-    n = ref.shape[1]
     out = ref.astype(np.int64)
     shift = 0
     for f, axis in ((fx, 2), (fy, 1)):
         if f:
-            wide = np.pad(out, [(3, 4) if a == axis else (0, 0) for a in range(3)], mode="edge")
-            out = sum(t * np.take(wide, np.arange(k, k + n), axis) for k, t in enumerate(LUMA[f]))
+            out = taps(out, LUMA[f], axis)
             # the second pass takes six bits off what the first has added
             out, shift = (out >> 6, 6) if shift else (out, 6)
     return np.clip(out + 32 >> 6, 0, 255) if shift else out

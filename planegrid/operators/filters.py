@@ -5,6 +5,10 @@ Blocks are arrays in raster order, so a neighbour is an index, and a border is a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,12 +68,25 @@ def _list(expr: str) -> str:
     return f"string_agg(({expr})::INT, ',' ORDER BY y, x)"
 
 
+def taps(blocks_: np.ndarray, weights: tuple[int, ...], axis: int) -> np.ndarray:
+    """Blocks [block, y, x] weighted by taps along an axis, three samples before each to four behind; borders are repeated."""
+    n = blocks_.shape[axis]
+    wide = np.pad(blocks_, [(3, 4) if a == axis else (0, 0) for a in range(3)], mode="edge")
+    return sum(t * np.take(wide, np.arange(k, k + n), axis) for k, t in enumerate(weights))
+
+
 @query("interp_luma", f"WITH {SAMPLES}, h AS {_tap_sql(LUMA[1], 'x')}, hv AS {_tap_sql(LUMA[2], 'y', 's', 'h')} SELECT block, {_list('greatest(0, least(255, (s + 2048)::BIGINT >> 12))')} AS pred FROM hv GROUP BY block")
 def interp_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter sample to the right and half a sample down, 8 taps each way."""
-    h = blocks(spark, sf_dir).select("block", along_x(F.col("px"), LUMA[1]).alias("h"))
-    hv = h.select("block", along_y(F.col("h"), LUMA[2]).alias("s"))
-    return hv.select("block", joined(F.transform("s", lambda s: clip3(0, 255, F.shiftright(s + 2048, 12)))).alias("pred"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            px = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8).astype(np.int64)
+            out = np.clip(taps(taps(px, LUMA[1], 2), LUMA[2], 1) + 2048 >> 12, 0, 255).astype(np.int32)
+            offsets = pa.array(np.arange(len(b) + 1, dtype=np.int32) * 64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))], ["block", "s"])
+
+    own = blocks(spark, sf_dir).select(F.col("block").cast("long"), F.col("px").cast("array<int>"))
+    return own.mapInArrow(run, "block long, s array<int>").select("block", joined(F.col("s")).alias("pred"))
 
 
 @query("interp_chroma", f"WITH {SAMPLES}, h AS {_tap_sql(CHROMA[3], 'x')} SELECT block, {_list('greatest(0, least(255, (s + 32)::BIGINT >> 6))')} AS pred FROM h GROUP BY block")
@@ -199,20 +216,6 @@ DCT8 = (
 )
 
 
-def _times(matrix: tuple, px: Column, rows: bool) -> Column:
-    """matrix . block (rows) or block . matrix^T, in raster order."""
-    m = F.array(*[F.lit(v) for r in matrix for v in r])
-
-    def one(_: Column, i: Column) -> Column:
-        x, y = i % 8, F.floor(i / 8).cast("int")
-        total = F.lit(0)
-        for k in range(8):
-            total = total + (F.get(m, y * 8 + k) * F.get(px, k * 8 + x) if rows else F.get(m, x * 8 + k) * F.get(px, y * 8 + k))
-        return total
-
-    return F.transform(px, one)
-
-
 _DCT_VALUES = ", ".join(f"({u}, {k}, {v})" for u, r in enumerate(DCT8) for k, v in enumerate(r))
 
 
@@ -223,7 +226,6 @@ c AS (SELECT block, h.u AS x, m.u AS y, (sum(s * t) + 256)::BIGINT >> 9 AS s FRO
 )
 def dct8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forward transform of the residual: rows, then columns, each with its rounding shift."""
-    own = block_pairs(spark, sf_dir).select("block", F.zip_with("src", "ref", lambda a, b: a - b).alias("d"))
-    own = own.withColumn("h", _times(DCT8, F.col("d"), rows=False)).withColumn("h", F.transform("h", lambda s: F.shiftright(s + 2, 2)))
-    own = own.withColumn("c", _times(DCT8, F.col("h"), rows=True))
-    return own.select("block", joined(F.transform("c", lambda s: F.shiftright(s + 256, 9))).alias("coefficients"))
+    from planegrid.operators.transforms import residuals, transformed
+
+    return transformed(residuals(spark, sf_dir), 8).select("block", joined(F.col("values")).alias("coefficients"))

@@ -103,18 +103,23 @@ SELECT block, c0.c AS whole, b1.c AS split, CASE WHEN b1.c < c0.c THEN 1 + n ELS
 )
 def split_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quadtree of three levels from the leaves up: a node splits if its children cost less; a node costs its scatter and 600."""
-    own = blocks(spark, sf_dir)
-
-    def cost(size: int, x: int, y: int) -> Column:
-        part = F.flatten(F.array(*[F.slice("px", 1 + 8 * r + x, size) for r in range(y, y + size)]))
-        s = F.aggregate(part, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
-        return s["q"] - F.floor(s["s"] * s["s"] / (size * size)) + 600
-
-    found = own.select("block", cost(8, 0, 0).alias("whole"), *[cost(4, x, y).alias(f"c{x}{y}") for x in (0, 4) for y in (0, 4)], *[cost(2, x, y).alias(f"d{x}{y}") for x in range(0, 8, 2) for y in range(0, 8, 2)])
-    nodes = [(F.col(f"c{x}{y}"), sum((F.col(f"d{x + i}{y + j}") for i in (0, 2) for j in (0, 2)), F.lit(0).cast("long"))) for x in (0, 4) for y in (0, 4)]
-    split = sum((F.least(a, b) for a, b in nodes), F.lit(0).cast("long"))
-    deeper = sum((F.when(b < a, 1).otherwise(0) for a, b in nodes), F.lit(0).cast("long"))
-    return found.select("block", "whole", split.alias("split"), F.when(split < F.col("whole"), 1 + deeper).otherwise(0).cast("long").alias("splits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            px = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8).astype(np.int64)
+
+            def cost(size: int) -> np.ndarray:
+                parts = px.reshape(len(px), 8 // size, size, 8 // size, size)
+                total = parts.sum((2, 4))
+                return (parts * parts).sum((2, 4)) - total * total // (size * size) + 600
+
+            whole, four, leaves = cost(8)[:, 0, 0], cost(4), cost(2).reshape(-1, 2, 2, 2, 2).sum((2, 4))
+            split = np.minimum(four, leaves).sum((1, 2))
+            splits = np.where(split < whole, 1 + (leaves < four).sum((1, 2)), 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole), pa.array(split), pa.array(splits)], ["block", "whole", "split", "splits"])
+
+    own = blocks(spark, sf_dir).select(F.col("block").cast("long"), F.col("px").cast("array<int>"))
+    return own.mapInArrow(run, "block long, whole long, split long, splits long")
 
 
 @query(
