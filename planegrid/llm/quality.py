@@ -3,8 +3,8 @@
 The estimate is the minimum covariance determinant: of all subsets of ``SHARE`` of a group's documents, the
 one whose covariance has the least determinant. Four deterministic starts (see _starts) take
 concentration steps: a step measures every document's squared Mahalanobis distance from the estimate and
-takes mean and covariance of the ``SHARE`` that lie nearest, which cannot raise the determinant. After
-``TRIALS`` steps each group goes on with its start of least determinant until that stops falling. The
+takes mean and covariance of the ``SHARE`` that lie nearest, which lowers the determinant but for what the bins'
+borders and least deviations add. After ``TRIALS`` steps each group goes on with its start of least determinant until that stops falling. The
 nearest are found on a histogram of the distances' logarithms whose bins hold the sums that the next
 estimate needs; the bin at the border counts for the part that is still wanted. So a step is one aggregation
 and no task sees a whole group. The covariance is made consistent with the normal distribution and
