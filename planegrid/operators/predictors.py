@@ -113,3 +113,57 @@ def amvp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two vector predictors of every block of all planes."""
     p = lambda i, n: F.get("predictors", F.lit(i))[n]
     return predictor_lists(motions(spark, sf_dir)).select("plane", "tx", "ty", p(0, "mvx").alias("x0"), p(0, "mvy").alias("y0"), p(1, "mvx").alias("x1"), p(1, "mvy").alias("y1"))
+
+
+#: Candidates of a merge list, and references that zero candidates go through.
+MERGE, REFERENCES = 5, 4
+
+
+def merge_lists(motion: DataFrame, unit_rows: int = 8, most: int = MERGE, references: int = REFERENCES) -> DataFrame:
+    """Blocks as ``predictor_lists`` takes them to (plane, tx, ty, candidates): up to ``most`` motions (ref, mvx, mvy) that a block may take over whole.
+
+    Left, above, above right, below left and, while there are fewer than four, above left; only the pairs that the
+    H.265 text names (8.5.3.2.3) are compared. Then the place below right, or the same one, in the plane before, for the nearest reference.
+    Zeros for the nearest references, one after the other, fill up, the last of them for the nearest one again.
+    """
+    own = motion.select("plane", F.col("tx").cast("int"), F.col("ty").cast("int"), "poc", "ref", "mvx", "mvy", "inter")
+    seen = around(own, SPATIAL, F.when(F.col("inter"), F.struct("ref", "mvx", "mvy")))
+    before = own.select((F.col("plane") + 1).alias("plane"), "tx", "ty", F.when(F.col("inter"), F.struct("poc", "ref", "mvx", "mvy")).alias("m"))
+    corner = before.select("plane", (F.col("tx") - 1).alias("tx"), (F.col("ty") - 1).alias("ty"), F.col("m").alias("c0")).where(f"(ty + 1) % {unit_rows} <> 0")
+    seen = seen.join(corner, ["plane", "tx", "ty"], "left").join(before.withColumnRenamed("m", "c1"), ["plane", "tx", "ty"], "left")
+    new = lambda n, *others: F.when(~F.coalesce(*[F.when(F.col(n) == F.col(o), True) for o in others], F.lit(False)), F.col(n))
+    four = F.array_compact(F.array(F.col("a1"), new("b1", "a1"), new("b0", "b1"), new("a0", "a1")))
+    last = F.when(F.size(four) < 4, F.array_compact(F.array(new("b2", "a1", "b1")))).otherwise(F.slice(four, 1, 0))
+    col, poc = F.coalesce("c0", "c1"), F.col("poc")
+    part = lambda n: F.when(col["poc"] - col["ref"] == 1, col[n]).otherwise(scaled(col[n], F.lit(1), col["poc"] - col["ref"])).alias(n)
+    late = F.when(col.isNotNull(), F.struct((poc - 1).alias("ref"), part("mvx"), part("mvy")))
+    zero = lambda i: F.struct((poc - 1 - F.lit(i if i < references else 0)).alias("ref"), F.lit(0).alias("mvx"), F.lit(0).alias("mvy"))
+    found = F.slice(F.concat(four, last, F.array_compact(F.array(late))), 1, most)
+    return seen.select("plane", "tx", "ty", F.slice(F.concat(found, F.array(*[zero(i) for i in range(most)])), 1, most).alias("candidates"))
+
+
+_SAME = "({0}r = {1}r AND {0}x = {1}x AND {0}y = {1}y)"
+
+
+def _sql_new(n: str, *others: str) -> str:
+    unlike = " AND ".join(f"NOT coalesce({_SAME.format(n, o)}, FALSE)" for o in others) or "TRUE"
+    return f"CASE WHEN {n}r IS NOT NULL AND {unlike} THEN [{n}r, {n}x, {n}y] END"
+
+
+@query(
+    "merge_blocks",
+    f"""WITH {_PLACED}, m AS MATERIALIZED (SELECT plane, tx, ty, (2 * plane)::INT AS poc, (2 * plane - 1 - px[4] % 4)::INT AS ref, px[10] // 64 * 16 AS mvx, px[19] % 4 AS mvy, label <> 0 AS inter FROM tiles), v AS MATERIALIZED (SELECT * FROM m WHERE inter),
+n AS (SELECT m.plane, m.tx, m.ty, m.poc, {_NEAR}, coalesce(c0.poc - c0.ref, c1.poc - c1.ref) AS cd, coalesce(c0.mvx, c1.mvx) AS cx, coalesce(c0.mvy, c1.mvy) AS cy FROM m {_JOINS}
+  LEFT JOIN v c0 ON c0.plane = m.plane - 1 AND c0.tx = m.tx + 1 AND c0.ty = m.ty + 1 AND (m.ty + 1) % 8 <> 0 LEFT JOIN v c1 ON c1.plane = m.plane - 1 AND c1.tx = m.tx AND c1.ty = m.ty),
+f AS (SELECT *, list_filter([{_sql_new('a1')}, {_sql_new('b1', 'a1')}, {_sql_new('b0', 'b1')}, {_sql_new('a0', 'a1')}], lambda x: x IS NOT NULL) AS four FROM n),
+g AS (SELECT plane, tx, ty, list_concat(list_concat(CASE WHEN len(four) < 4 THEN list_filter(list_concat(four, [{_sql_new('b2', 'a1', 'b1')}]), lambda x: x IS NOT NULL) ELSE four END,
+  CASE WHEN cd IS NULL THEN [] WHEN cd = 1 THEN [[poc - 1, cx, cy]] ELSE [[poc - 1, {_sql_scaled('cx', '1', 'cd')}, {_sql_scaled('cy', '1', 'cd')}]] END)[1:5], [[poc - 1, 0, 0], [poc - 2, 0, 0], [poc - 3, 0, 0], [poc - 4, 0, 0], [poc - 1, 0, 0]])[1:5] AS c FROM f)
+SELECT plane, tx, ty, array_to_string(list_transform(c, lambda x: x[1] || ' ' || x[2] || ' ' || x[3]), ',') AS candidates FROM g""",
+)
+def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge lists of every block of all planes; vectors are coarse, so that neighbours agree."""
+    px = lambda i: F.get("px", F.lit(i))
+    poc = (2 * F.col("plane")).cast("int")
+    own = tiles(spark, sf_dir).select("plane", "tx", "ty", poc.alias("poc"), (poc - 1 - px(3) % 4).alias("ref"), (F.floor(px(9) / 64) * 16).cast("int").alias("mvx"), (px(18) % 4).alias("mvy"), (F.col("label") != 0).alias("inter"))
+    told = F.array_join(F.transform("candidates", lambda c: F.concat_ws(" ", c["ref"], c["mvx"], c["mvy"])), ",")
+    return merge_lists(own).select("plane", "tx", "ty", told.alias("candidates"))

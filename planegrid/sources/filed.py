@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planegrid.plans.registry import query
 from planegrid.sources.annexb import HEXED, packet_bytes, packets, to_binary
-from planegrid.sources.files import read_frames, read_packets, shaped, write_frames, write_parts, write_streams
+from planegrid.sources.files import dumped, read_frames, read_packets, shaped, write_frames, write_parts, write_streams
 from planegrid.sources.rawvideo import bytes_of, planes
-from planegrid.sources.scratch import shared_folder
+from planegrid.sources.scratch import shared_folder, written
 
 #: Byte streams that the documents' packets are dealt to.
 STREAMS = 16
@@ -49,10 +49,10 @@ p AS (SELECT doc_id, f, 0 AS plane, {_cropped(0, 16, 8, (2, 4, 2, 0))} AS x FROM
 SELECT doc_id AS video, f::INT AS frame, plane, md5(unhex(x)) AS digest FROM p""",
 )
 def cropped_video(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as 16 x 8 frames, cropped to 10 x 6, written as a raw video file each and read by ranges of seven frames."""
+    """Texts as 16 x 8 frames, cropped to 10 x 6, written as a raw video file each and read by ranges of frames."""
     folder = shared_folder(spark, "video")
     write_frames(shaped(planes(bytes_of(spark, sf_dir), 16, 8), 16, 8, (2, 4, 2, 0)), folder)
-    found = read_frames(spark, folder, 10, 6, framesPerPartition=7)
+    found = read_frames(spark, folder, 10, 6, framesPerPartition=700)
     return found.select(stem("path").alias("video"), "frame", "plane", F.md5("data").alias("digest"))
 
 
@@ -110,3 +110,41 @@ def conformance_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = listed_streams(spark, folder, ("7/s",))
     short = lambda c: F.regexp_extract(c, r"([^/]+/[^/]+)$", 1)
     return found.select(short("path").alias("stream"), F.when(F.col("digest").isNotNull(), short("digest")).alias("digest"), F.col("pattern").cast("int").alias("pattern"), "excluded")
+
+
+def _line(stride: int, i: int) -> str:
+    """SQL for the hex digits of line i of a field's plane d."""
+    return f"substr(d, {2 * stride * i + 1}, {2 * stride})"
+
+
+def _woven(plane: int, stride: int, lines: int) -> str:
+    """SQL for a frame's plane made of two fields' t and b, either of which may be missing."""
+    blank = "'" + "00" * stride + "'"
+    parts = [f"coalesce({_line(stride, i).replace('d,', side + ',', 1)}, {blank})" for i in range(lines) for side in ("t", "b")]
+    return f"SELECT id, frame, {plane} AS plane, {' || '.join(parts)} AS x FROM w WHERE plane = {plane}"
+
+
+@query(
+    "dumped_frames",
+    f"""WITH h AS (SELECT doc_id AS id, hex(encode(text)) AS h FROM documents WHERE strlen(text) >= 48), p AS (SELECT id, f AS picture, plane, substr(h, (96 * f + o)::BIGINT, n) AS d FROM (SELECT id, h, unnest(range(0, length(h) // 96)) AS f FROM h), (VALUES (0, 1, 64), (1, 65, 16), (2, 81, 16)) k(plane, o, n) WHERE f % 5 <> 3),
+w AS (SELECT id, picture // 2 AS frame, plane, max(CASE WHEN picture % 2 = 0 THEN d END) AS t, max(CASE WHEN picture % 2 = 1 THEN d END) AS b FROM p WHERE id % 2 = 0 GROUP BY ALL),
+a AS ({_woven(0, 8, 4)} UNION ALL {_woven(1, 4, 2)} UNION ALL {_woven(2, 4, 2)} UNION ALL SELECT id, picture, plane, d FROM p WHERE id % 2 = 1)
+SELECT id AS video, frame::INT AS frame, plane, md5(unhex(x)) AS digest FROM a""",
+)
+def dumped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as pictures of 8 x 4, a fifth of them not reconstructed: those of even documents are fields in turn, put together line by line; all are dumped to files and read again."""
+    own = planes(bytes_of(spark, sf_dir), 8, 4).withColumnRenamed("frame", "picture")
+    fields = F.when(F.col("path") % 2 == 0, 1 + F.col("picture") % 2).otherwise(0)
+    pictures = own.withColumns({"reconstructed": F.col("picture") % 5 != 3, "field": fields.cast("int"), "stride": F.when(F.col("plane") == 0, 8).otherwise(4)})
+    folder = shared_folder(spark, "dump")
+    found = written(dumped(pictures), "frames")
+    for name, odd, height in (("fields", 0, 8), ("frames", 1, 4)):
+        write_frames(found.where(F.col("path").cast("long") % 2 == odd), f"{folder}/{name}")
+        back = read_frames(spark, f"{folder}/{name}", 8, height, framesPerPartition=500)
+        # files number their frames from 0; those that nothing was reconstructed of are not in them
+        names = found.where(F.col("path").cast("long") % 2 == odd).select(F.col("path").cast("long").alias("video"), "frame").distinct()
+        places = names.withColumn("place", F.row_number().over(Window.partitionBy("video").orderBy("frame")) - 1)
+        back = back.select(stem("path").alias("video"), F.col("frame").alias("place"), "plane", F.md5("data").alias("digest")).join(places, ["video", "place"])
+        told = back.select("video", "frame", "plane", "digest")
+        out = told if odd == 0 else out.unionByName(told)
+    return out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from planegrid.sources.annexb import PACKET, START_CODE, packet_rows
 from planegrid.sources.rawvideo import frame_bytes
@@ -37,12 +37,46 @@ def listed(path: str) -> list[fs.FileInfo]:
     return sorted(files, key=lambda f: f.path)
 
 
-class Frames(InputPartition):
+class Frames(NamedTuple):
     """A range of a file's frames; the first one counts as ``number``."""
 
-    def __init__(self, path: str, begin: int, n: int, number: int):
+    path: str
+    begin: int
+    n: int
+    number: int
+
+
+class Bytes(NamedTuple):
+    """A range of a file's bytes."""
+
+    path: str
+    begin: int
+    end: int
+
+
+class Ranges(InputPartition):
+    """Ranges of one or several files that a task reads one after the other."""
+
+    def __init__(self, ranges: list):
         super().__init__(None)
-        self.path, self.begin, self.n, self.number = path, begin, n, number
+        self.ranges = ranges
+
+
+def together(ranges: list, sizes: list[int], most: int) -> list[Ranges]:
+    """Ranges in order, as many to a partition as have ``most`` in all; one of more is a partition by itself."""
+    out: list[list] = []
+    held = 0
+    for r, n in zip(ranges, sizes):
+        if not out or held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += n
+    return [Ranges(x) for x in out]
+
+
+#: Bytes of frames that are read together; a larger frame is read by itself.
+BATCH = 4 << 20
 
 
 class Layout(NamedTuple):
@@ -66,7 +100,7 @@ class RawVideoReader(DataSourceReader):
         self.seek, self.frames = int(options.get("seek", 0)), int(options["frames"]) if "frames" in options else None
         self.per = int(options.get("framesperpartition", max(1, (64 << 20) // self.layout.frame)))
 
-    def partitions(self) -> list[Frames]:
+    def partitions(self) -> list[Ranges]:
         """Ranges of at most ``framesPerPartition`` frames; a file that ends inside a frame, or before the last one asked for, is an error."""
         out = []
         for f in listed(self.path):
@@ -77,16 +111,23 @@ class RawVideoReader(DataSourceReader):
             if wanted < 0 or self.seek + wanted > n:
                 raise ValueError(f"{f.path}: frames {self.seek} to {self.seek + max(0, wanted) - 1} asked for, it has {n}")
             out += [Frames(f.path, self.seek + i, min(self.per, wanted - i), i) for i in range(0, wanted, self.per)]
-        return out
+        return together(out, [r.n for r in out], self.per) or [Ranges([])]
 
-    def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from self._frames(r)
+
+    def _frames(self, partition: Frames) -> Iterator[pa.RecordBatch]:
         size, luma = self.layout.frame, self.layout.luma
         system, _ = opened(self.path)
         with system.open_input_file(partition.path) as f:
-            for i in range(partition.n):
-                data = f.read_at(size, (partition.begin + i) * size)
-                planes = [data[:luma], data[luma : luma + luma // 4], data[luma + luma // 4 :]]
-                columns = [pa.array([partition.path] * 3), pa.array([partition.number + i] * 3, pa.int32()), pa.array([0, 1, 2], pa.int32()), pa.array(planes, pa.binary())]
+            step = max(1, BATCH // size)
+            for first in range(0, partition.n, step):
+                n = min(step, partition.n - first)
+                data = f.read_at(n * size, (partition.begin + first) * size)
+                cuts = [(i * size + a, i * size + z) for i in range(n) for a, z in ((0, luma), (luma, luma + luma // 4), (luma + luma // 4, size))]
+                frames = [partition.number + first + i for i in range(n) for _ in range(3)]
+                columns = [pa.array([partition.path] * 3 * n), pa.array(frames, pa.int32()), pa.array([0, 1, 2] * n, pa.int32()), pa.array([data[a:z] for a, z in cuts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["path", "frame", "plane", "data"])
 
 
@@ -104,16 +145,8 @@ class RawVideo(DataSource):
         return RawVideoReader(self.options)
 
 
-class Bytes(InputPartition):
-    """A range of a file's bytes."""
-
-    def __init__(self, path: str, begin: int, end: int):
-        super().__init__(None)
-        self.path, self.begin, self.end = path, begin, end
-
-
 class ByteStreamReader(DataSourceReader):
-    """Packets by ranges: a range has those whose start code ends in it, wherever the code began and the packet ends."""
+    """Packets by ranges; a range has those whose start code ends in it, wherever the code began and the packet ends."""
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -121,10 +154,15 @@ class ByteStreamReader(DataSourceReader):
         if self.size < 1 or self.piece < 1:
             raise ValueError("rangeBytes and pieceBytes are at least 1")
 
-    def partitions(self) -> list[Bytes]:
-        return [Bytes(f.path, i, min(f.size, i + self.size)) for f in listed(self.path) for i in range(0, f.size, self.size)]
+    def partitions(self) -> list[Ranges]:
+        ranges = [Bytes(f.path, i, min(f.size, i + self.size)) for f in listed(self.path) for i in range(0, f.size, self.size)]
+        return together(ranges, [r.end - r.begin for r in ranges], self.size) or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from self._packets(r)
 
-    def read(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
+    def _packets(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
         """Reads piece by piece; what is held is a piece and the packet that is not yet ended."""
         system, _ = opened(self.path)
         with system.open_input_file(partition.path) as f:
@@ -183,7 +221,7 @@ class Written(WriterCommitMessage):
         self.files = files
 
 
-class FilesWriter(DataSourceWriter):
+class FilesWriter(DataSourceArrowWriter):
     """Rows of one name, one behind the other, are the parts of one file.
 
     A task writes aside; files get their names when all tasks are done. A name that two tasks have, or that is
@@ -193,18 +231,18 @@ class FilesWriter(DataSourceWriter):
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite = folder, overwrite
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, root = opened(self.folder)
         aside = f"{root}/_temporary-{uuid.uuid4().hex}"
         files: list[tuple[str, str]] = []
         seen: set[str] = set()
         out, name = None, ""
         try:
-            for row in rows:
-                if out is None or row["name"] != name:
+            for own, content in ((n, c) for b in batches for n, c in zip(b.column(0).to_pylist(), b.column(1))):
+                if out is None or own != name:
                     if out:
                         out.close()
-                    name = row["name"]
+                    name = own
                     parts = (name or "").split("/")
                     if not name or any(x in ("", ".", "..") for x in parts) or parts[0].startswith("_temporary-"):
                         raise ValueError(f"{name!r} is no name of a file in a folder")
@@ -214,7 +252,8 @@ class FilesWriter(DataSourceWriter):
                     system.create_dir(aside, recursive=True)
                     files.append((f"{aside}/{len(files)}", f"{root}/{name}"))
                     out = system.open_output_stream(files[-1][0])
-                out.write(bytes(row["content"] or b""))
+                if content.is_valid:
+                    out.write(content.as_buffer())
         finally:
             if out:
                 out.close()
@@ -330,26 +369,30 @@ def write_frames(planes: DataFrame, folder: str, frames_per_file: int | None = N
 
 
 def dumped(pictures: DataFrame) -> DataFrame:
-    """Planes (path, picture, plane, data, reconstructed, field) in the order of ``picture`` to frames: (path, frame, plane, data).
+    """Planes (path, picture, plane, data, reconstructed, field, stride) in the order of ``picture`` to frames: (path, frame, plane, data).
 
     Pictures that are not reconstructed are left out. A picture of ``field`` 1 is a frame's upper lines, one of 2 its
-    lower ones (a width of samples has the column ``stride``); the two fields of a frame are pictures 2 k and 2 k + 1.
+    lower ones, of ``stride`` bytes each; the two fields of a frame are pictures 2 k and 2 k + 1, and one without the other
+    leaves lines of zeros.
     """
+    own = pictures.where("reconstructed").select(F.col("path").cast("string"), F.when(F.col("field") > 0, F.expr("picture div 2")).otherwise(F.col("picture")).cast("int").alias("frame"), F.col("plane").cast("int"), "data", "field", F.col("stride").cast("int"))
+    part = lambda k: F.first(F.when(F.col("field") == k, F.col("data")), ignorenulls=True)
+    met = own.groupBy("path", "frame", "plane").agg(part(0).alias("whole"), part(1).alias("top"), part(2).alias("bottom"), F.max("stride").alias("stride"))
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        fields = {r["field"]: r for r in table.to_pylist()}
-        one = next(iter(fields.values()))
-        if one["field"]:
-            lines = {k: [r["data"][i : i + r["stride"]] for i in range(0, len(r["data"]), r["stride"])] for k, r in fields.items()}
-            own = max(len(x) for x in lines.values())
-            blank = bytes(one["stride"])
-            data = b"".join(x for i in range(own) for x in (lines.get(1, [])[i : i + 1] or [blank]) + (lines.get(2, [])[i : i + 1] or [blank]))
-        else:
-            data = one["data"]
-        return pa.table([pa.array([k.as_py()], t) for k, t in zip(key, (pa.string(), pa.int32(), pa.int32()))] + [pa.array([data], pa.binary())], names=["path", "frame", "plane", "data"])
-
-    own = pictures.where("reconstructed").select(F.col("path").cast("string"), F.when(F.col("field") > 0, F.expr("picture div 2")).otherwise(F.col("picture")).cast("int").alias("frame"), F.col("plane").cast("int"), "data", "field", "stride")
-    return own.groupBy("path", "frame", "plane").applyInArrow(run, "path string, frame int, plane int, data binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for whole, top, bottom, stride in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6))):
+                if whole is None:
+                    lines = np.zeros((max(len(top or b""), len(bottom or b"")) // stride, 2, stride), np.uint8)
+                    for k, data in enumerate((top, bottom)):
+                        if data is not None:
+                            lines[:, k] = np.frombuffer(data, np.uint8).reshape(-1, stride)
+                    whole = lines.tobytes()
+                out.append(whole)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["path", "frame", "plane", "data"])
+
+    return met.mapInArrow(run, "path string, frame int, plane int, data binary")
 
 
 def write_streams(streams: DataFrame, folder: str, overwrite: bool = False) -> None:
