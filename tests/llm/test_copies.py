@@ -17,7 +17,7 @@ def test_blocks_of_copies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     copies = df.where("doc_id < 80").repartition(4)
     keyed = copies.selectExpr("xxhash64(text) AS key", "text")
-    packed = copies.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS own").mapInArrow(jaccard._scatter(8), jaccard._PACKED)
+    packed = copies.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS own", "doc_id AS row").mapInArrow(jaccard._scatter(8), jaccard._PACKED)
     named = packed.where("part < 0").groupBy("block").count().collect()
     assert len(named) == 4 and all(r["count"] == 1 for r in named)
     at = places(keyed).collect()
