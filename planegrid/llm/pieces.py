@@ -3,7 +3,7 @@
 A text is normalised by the longest prefix that the model's compiled character map holds at each place; every
 normalised character records the source byte that it comes from. Merges never cross a border that no piece of the
 vocabulary holds, such as a blank's mark behind another character: what lies between two borders is merged once by
-a task and looked up from then on. The characters of the pieces, added up, point into the record of source bytes,
+a worker and looked up from then on. The characters of the pieces, added up, point into the record of source bytes,
 which gives each piece's span.
 """
 
@@ -15,6 +15,7 @@ import math
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from .words import grouped
 
 #: The mark that stands for a blank.
 MARK = "▁"
-#: Characters of the segments that a task remembers, together.
-REMEMBERED = 3_000_000
+#: Characters of the segments that a Python worker remembers, together.
+REMEMBERED = 6_000_000
 #: Characters of a segment whose pairs are looked through at each merge; longer ones are merged with a heap.
 FEW = 40
 #: Bytes of text handled together.
@@ -267,6 +268,12 @@ def _model_path(model: str) -> str:
     return model if "/" in model else public_tokenizers.path(model)
 
 
+@lru_cache(maxsize=1)
+def _segments(path: str) -> Segments:
+    """One table for all tasks of a Python worker, one after the other."""
+    return Segments(Model(path))
+
+
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values, pa.int32()))
 
@@ -284,8 +291,8 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", end: bool = True
     names = ["doc_id", "ids", "begin", "ends", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(_model_path(model))
-        table = Segments(own)
+        table = _segments(_model_path(model))
+        own = table.model
         for b in grouped(batches, size=GROUP):
             if table.held > REMEMBERED:
                 table.forget()
