@@ -16,13 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checked_join, cut, documents, uniform
+from .common import WORD, cut, documents, uniform
 
 #: Fractional documents that a block holds on average; a reduction level shrinks by this factor.
 BLOCK = 64
 
+#: Sources whose rows are joined by broadcast at most.
+FEW = 10_000
+
 #: Documents of a source that are taken or given back after the reduction.
-AMENDS = 4
+AMENDS = 2
 
 _EPS = 1e-9
 
@@ -99,16 +102,21 @@ def _fold(units: DataFrame, level: int, seed: int) -> DataFrame:
     return blocks.select("source", F.aggregate("units", start, lambda s, x: _meet(s, x, level, seed)).alias("r")).select("source", "r.open", "r.done")
 
 
-def pivotal_extras(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
+def _join(rows: DataFrame, table: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with a row per source; by broadcast if the sources are few."""
+    return rows.join(F.broadcast(table) if few else table, "__s", how)
+
+
+def pivotal_extras(units: DataFrame, few: bool, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """(source, uid, size > 0, p in (0, 1)) to (uid, extra 0 or 1), words of a source kept.
 
     ``uid`` tells units apart. Blocks are dealt by its hash, so their sizes keep near ``block``.
     """
     done, level, all_ = None, 0, units
     while True:
-        per_source = cut(units.groupBy(_named("source").alias("__s")).agg(F.count(F.lit(1)).alias("n")))
+        per_source = units.groupBy(_named("source").alias("__s")).agg(F.count(F.lit(1)).alias("n"))
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
-        dealt = checked_join(units.withColumn("__s", _named("source")), per_source, "__s").drop("__s")
+        dealt = _join(units.withColumn("__s", _named("source")), per_source, few).drop("__s")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(level), F.lit(seed)), blocks))
         folded = cut(_fold(dealt, level, seed))
         new = folded.select(F.explode("done").alias("d")).select("d.*")
@@ -116,7 +124,7 @@ def pivotal_extras(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataF
         units, level = folded.where("open IS NOT NULL").select("source", "open.*"), level + 1
         left = units.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if not left or left == 1:
-            return _amended(all_, done.unionByName(units.select("uid", F.round("p").cast("int").alias("extra"))))
+            return _amended(all_, done.unionByName(units.select("uid", F.round("p").cast("int").alias("extra"))), few)
 
 
 def _named(c: str) -> Column:
@@ -124,7 +132,7 @@ def _named(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
 
 
-def _amended(units: DataFrame, extras: DataFrame) -> DataFrame:
+def _amended(units: DataFrame, extras: DataFrame, few: bool) -> DataFrame:
     """(uid, extra) with up to AMENDS units of each source turned, one after the other that whose size is nearest to what the source misses then.
 
     The first one leads beyond the target, from where those of the other direction come nearer than it was; of all
@@ -138,16 +146,15 @@ def _amended(units: DataFrame, extras: DataFrame) -> DataFrame:
         missed = cut(own.groupBy("__s").agg(F.sum((F.col("p") - now) * F.col("size")).alias("missed")))
         state = missed.select("__s", F.struct(F.round(F.abs("missed"), 6).alias("off"), F.lit(i).alias("turns")).alias("b"))
         states = state if states is None else states.unionByName(state)
-        open_ = missed.where("abs(missed) >= 0.5")
-        if i == AMENDS or open_.isEmpty():
+        if i == AMENDS:
             break
         # the first turn leads beyond the target if one can: on that side all others may follow
         short = (F.col("missed") * step > 0) & (F.abs(step) >= F.abs("missed")) if i == 0 else F.lit(True)
         near = F.min(F.struct((~short).alias("short"), F.abs(F.col("missed") - step).alias("off"), F.col("uid").alias("uid")))
-        turned = cut(checked_join(own.where("turn IS NULL"), open_, "__s").groupBy("__s").agg(near.getField("uid").alias("turned")))
-        own = cut(checked_join(own, turned, "__s", "left").withColumn("turn", F.when(F.col("uid") == F.col("turned"), i).otherwise(F.col("turn"))).drop("turned"))
-    best = cut(states.groupBy("__s").agg(F.min("b").getField("turns").alias("turns")))
-    return checked_join(own, best, "__s").select("uid", F.when(F.col("turn") < F.col("turns"), 1 - F.col("extra")).otherwise(F.col("extra")).alias("extra"))
+        turned = _join(own.where("turn IS NULL"), missed.where("abs(missed) >= 0.5"), few).groupBy("__s").agg(near.getField("uid").alias("turned"))
+        own = cut(_join(own, turned, few, "left").withColumn("turn", F.when(F.col("uid") == F.col("turned"), i).otherwise(F.col("turn"))).drop("turned"))
+    best = states.groupBy("__s").agg(F.min("b").getField("turns").alias("turns"))
+    return _join(own, best, few).select("uid", F.when(F.col("turn") < F.col("turns"), 1 - F.col("extra")).otherwise(F.col("extra")).alias("extra"))
 
 
 def mix(
@@ -170,12 +177,13 @@ def mix(
     units = cut(units.withColumn("uid", F.struct(F.xxhash64(*own, F.lit(seed)).alias("a"), F.xxhash64(F.lit("b"), *own).alias("b"))))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
     targets = cut(source_targets(sizes, weights, total_share, most).withColumn("__s", _named("source")).drop("source"))
-    units = checked_join(units.withColumn("__s", _named("source")), targets, "__s").drop("__s")
+    few = targets.limit(FEW + 1).count() <= FEW
+    units = _join(units.withColumn("__s", _named("source")), targets, few).drop("__s")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumn("base", F.floor(wanted + _EPS).cast("int")).withColumn("more", F.greatest(F.lit(0.0), wanted - F.col("base")) * F.col("m"))
     units = units.withColumn("sure", F.floor(F.col("more") + _EPS).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("more") - F.col("sure")))
     open_units = units.where((F.col("size") > 0) & (F.col("p") > _EPS)).select("source", "uid", F.col("size").cast("double").alias("size"), "p")
-    extras = pivotal_extras(open_units, seed)
+    extras = pivotal_extras(open_units, few, seed)
     units = units.join(extras, "uid", "left").withColumn("sure", F.when(F.col("size") > 0, F.col("sure") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)))
     rows = units.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     copies = F.least(F.col("base") + F.when(F.col("i") <= F.col("sure"), 1).otherwise(0), F.lit(int(most)))
