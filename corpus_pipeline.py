@@ -47,9 +47,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows alike in every column count together."""
+    """Each document as often as the mix takes it, to half of a source's last document. Rows alike in every column count together."""
     named = docs.select(DOCUMENT).withColumn("h", row_name(*DOCUMENT))
-    copies = saved(mix(sized(named, "h")).groupBy("h").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0"))
+    copies = saved(mix(sized(named, "h"), amends=0).groupBy("h").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0"))
     taken = named.join(copies, "h").dropDuplicates(["h"])
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(DOCUMENT)
 

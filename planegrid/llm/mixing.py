@@ -107,7 +107,7 @@ def _join(rows: DataFrame, table: DataFrame, few: bool, how: str = "inner") -> D
     return rows.join(F.broadcast(table) if few else table, "__s", how)
 
 
-def pivotal_extras(units: DataFrame, few: bool, seed: int = 0, block: int = BLOCK) -> DataFrame:
+def pivotal_extras(units: DataFrame, few: bool, seed: int = 0, block: int = BLOCK, amends: int = AMENDS) -> DataFrame:
     """(source, uid, size > 0, p in (0, 1)) to (uid, extra 0 or 1), words of a source kept.
 
     ``uid`` tells units apart. Blocks are dealt by its hash, so their sizes keep near ``block``.
@@ -124,7 +124,8 @@ def pivotal_extras(units: DataFrame, few: bool, seed: int = 0, block: int = BLOC
         units, level = folded.where("open IS NOT NULL").select("source", "open.*"), level + 1
         left = units.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if not left or left == 1:
-            return _amended(all_, done.unionByName(units.select("uid", F.round("p").cast("int").alias("extra"))), few)
+            done = done.unionByName(units.select("uid", F.round("p").cast("int").alias("extra")))
+            return _amended(all_, done, few, amends) if amends else done
 
 
 def _named(c: str) -> Column:
@@ -132,8 +133,8 @@ def _named(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
 
 
-def _amended(units: DataFrame, extras: DataFrame, few: bool) -> DataFrame:
-    """(uid, extra) with up to AMENDS units of each source turned, one after the other that whose size is nearest to what the source misses then.
+def _amended(units: DataFrame, extras: DataFrame, few: bool, amends: int) -> DataFrame:
+    """(uid, extra) with up to ``amends`` units of each source turned, one after the other that whose size is nearest to what the source misses then.
 
     The first one leads beyond the target, from where those of the other direction come nearer than it was; of all
     states that a source goes through the nearest one stays.
@@ -142,11 +143,11 @@ def _amended(units: DataFrame, extras: DataFrame, few: bool) -> DataFrame:
     now = F.when(F.col("turn").isNull(), F.col("extra")).otherwise(1 - F.col("extra"))
     step = F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size"))
     states = None
-    for i in range(AMENDS + 1):
+    for i in range(amends + 1):
         missed = cut(own.groupBy("__s").agg(F.sum((F.col("p") - now) * F.col("size")).alias("missed")))
         state = missed.select("__s", F.struct(F.round(F.abs("missed"), 6).alias("off"), F.lit(i).alias("turns")).alias("b"))
         states = state if states is None else states.unionByName(state)
-        if i == AMENDS:
+        if i == amends:
             break
         # the first turn leads beyond the target if one can: on that side all others may follow
         short = (F.col("missed") * step > 0) & (F.abs(step) >= F.abs("missed")) if i == 0 else F.lit(True)
@@ -163,6 +164,7 @@ def mix(
     total_share: float = 1.5,
     most: float = 2.0,
     seed: int = 0,
+    amends: int = AMENDS,
 ) -> DataFrame:
     """Copies of each row of (doc_id, source, size, h) so that sources meet their targets.
 
@@ -183,7 +185,7 @@ def mix(
     units = units.withColumn("base", F.floor(wanted + _EPS).cast("int")).withColumn("more", F.greatest(F.lit(0.0), wanted - F.col("base")) * F.col("m"))
     units = units.withColumn("sure", F.floor(F.col("more") + _EPS).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("more") - F.col("sure")))
     open_units = units.where((F.col("size") > 0) & (F.col("p") > _EPS)).select("source", "uid", F.col("size").cast("double").alias("size"), "p")
-    extras = pivotal_extras(open_units, few, seed)
+    extras = pivotal_extras(open_units, few, seed, amends=amends)
     units = units.join(extras, "uid", "left").withColumn("sure", F.when(F.col("size") > 0, F.col("sure") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)))
     rows = units.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     copies = F.least(F.col("base") + F.when(F.col("i") <= F.col("sure"), 1).otherwise(0), F.lit(int(most)))
