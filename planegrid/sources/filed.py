@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from planegrid.plans.registry import query
 from planegrid.sources.annexb import HEXED, packet_bytes, packets, to_binary
-from planegrid.sources.files import dumped, read_frames, read_packets, shaped, write_frames, write_parts, write_streams
+from planegrid.sources.files import dumped, files_under, read_frames, read_packets, shaped, write_frames, write_parts, write_streams
 from planegrid.sources.rawvideo import bytes_of, planes
 from planegrid.sources.scratch import shared_folder, written
 
 #: Byte streams that the documents' packets are dealt to.
 STREAMS = 16
+#: Folders that files, one or more for each document, are dealt to.
+FOLDERS = 256
 
 
 def stem(path: str) -> Column:
@@ -64,10 +66,10 @@ DIGEST_NAMES = ("{0}.yuv.md5", "{0}_yuv.md5", "{0}_3.yuv.md5", "{1}.yuv.md5", "{
 def listed_streams(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     """Streams (.bit, .bin) anywhere under a folder: path, digest (the first of DIGEST_NAMES that is there, or null), pattern (its place among them) and excluded.
 
-    Files are listed, not read. Each stream asks for its names, and names meet the listing by an equi-join; a stream whose path
+    Files are listed by tasks, not read. Each stream asks for its names, and names meet the listing by an equi-join; a stream whose path
     holds one of the strings ``excluded`` is told.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    files = files_under(spark, folder).select("path")
     own = files.where(F.col("path").rlike(r"\.(bit|bin)$"))
     base, parent = F.regexp_extract("path", r"^(.*)\.\w+$", 1), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     given = (base, F.col("path"), F.left(base, F.length(base) - 2), parent, F.regexp_extract("path", r"([^/]*)/[^/]*$", 1))
@@ -103,9 +105,10 @@ def conformance_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "conformance")
     own = bytes_of(spark, sf_dir).select(F.col("path").cast("string").alias("id"), F.col("path").alias("n"))
     patterns = F.array_distinct(F.array_compact(F.array(F.when(F.col("n") % 12 < 10, F.col("n") % 12), F.when((F.col("n") % 24).isin(2, 11), 9))))
-    digests = own.select("id", F.explode(patterns).alias("pattern")).select("id", F.expr(_FILE.format("id")).alias("file"))
-    streams = own.select("id", F.expr("'str' || id || '.bit'").alias("file"))
-    rows = streams.unionByName(digests).select(F.concat(F.lit("f"), "id", F.lit("/"), "file").alias("name"), F.encode("id", "UTF-8").alias("content"))
+    digests = own.select("id", "n", F.explode(patterns).alias("pattern")).select("id", "n", F.expr(_FILE.format("id")).alias("file"))
+    streams = own.select("id", "n", F.expr("'str' || id || '.bit'").alias("file"))
+    place = F.concat((F.col("n") % FOLDERS).cast("string"), F.lit("/f"), "id", F.lit("/"), "file")
+    rows = streams.unionByName(digests).select(place.alias("name"), F.encode("id", "UTF-8").alias("content"))
     write_parts(rows, folder, [])
     found = listed_streams(spark, folder, ("7/s",))
     short = lambda c: F.regexp_extract(c, r"([^/]+/[^/]+)$", 1)

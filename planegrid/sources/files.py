@@ -12,13 +12,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from planegrid.sources.annexb import PACKET, START_CODE, packet_rows
 from planegrid.sources.rawvideo import frame_bytes
+from planegrid.sources.scratch import shared_folder, written
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -37,6 +39,38 @@ def listed(path: str) -> list[fs.FileInfo]:
     return sorted(files, key=lambda f: f.path)
 
 
+def files_under(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size) of the files anywhere under a folder, hidden ones left out; paths are those of the folder's file system.
+
+    Tasks list the folders of a level, a round per level; a task holds the entries of one folder at a time, and the driver none.
+    """
+    _, root = opened(folder)
+    names = ["path", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = opened(folder)
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                found = [f for f in system.get_file_info(fs.FileSelector(at)) if f.type != fs.FileType.NotFound and not f.base_name.startswith((".", "_"))]
+                for i in range(0, len(found), ROWS):
+                    part = found[i : i + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.path for f in part], pa.string()), pa.array([f.size if f.type == fs.FileType.File else None for f in part], pa.int64())], names)
+
+    level, files = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        found = written(level.mapInArrow(run, "path string, size bigint"), "listing")
+        files = found if files is None else files.unionByName(found)
+        level = found.where("size IS NULL").select("path")
+        if level.isEmpty():
+            return files.where("size IS NOT NULL")
+        level = level.repartition(tasks(spark), "path")
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks that files are dealt to: a number of its own, so that small rows are not put together into few tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 class Frames(NamedTuple):
     """A range of a file's frames; the first one counts as ``number``."""
 
@@ -77,6 +111,10 @@ def together(ranges: list, sizes: list[int], most: int) -> list[Ranges]:
 
 #: Bytes of frames that are read together; a larger frame is read by itself.
 BATCH = 4 << 20
+#: Rows of a batch.
+ROWS = 10_000
+#: Bytes of ranges that one task reads, and tasks that share less than that.
+TASK_BYTES, TASKS = 16 << 20, 64
 
 
 class Layout(NamedTuple):
@@ -201,7 +239,7 @@ class ByteStreamReader(DataSourceReader):
 
 
 class ByteStream(DataSource):
-    """Packets of the Annex-B files at ``path``: options rangeBytes, the bytes of a partition, and pieceBytes, those of a read."""
+    """Packets of the Annex-B files at ``path``: options rangeBytes, the bytes of a range, and pieceBytes, those of a read."""
 
     @classmethod
     def name(cls) -> str:
@@ -214,6 +252,44 @@ class ByteStream(DataSource):
         return ByteStreamReader(self.options)
 
 
+def stored(folder: str, aside: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    """(name, content) to files in the folder ``aside``: where each is, and where it goes under ``folder``. Rows of a name stand together; what a batch has of it is written at once."""
+    system, root = opened(folder)
+    seen: set[int] = set()  # hashes of names
+    out, name, n = None, None, 0
+    try:
+        for b in batches:
+            names, content = b.column(0), b.column(1).cast(pa.binary())
+            if content.null_count:
+                content = content.fill_null(b"")
+            ends = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1] if len(content) else np.zeros(1, np.int32)
+            new = [0, *(np.flatnonzero(pc.fill_null(pc.not_equal(names[1:], names[:-1]), True).to_numpy(zero_copy_only=False)) + 1).tolist()] if len(names) else []
+            for i, j in zip(new, [*new[1:], len(names)]):
+                own = names[i].as_py()
+                if out is None or own != name:
+                    if out:
+                        out.close()
+                        yield f"{aside}/{n - 1}", f"{root}/{name}"
+                    out, name = None, own
+                    parts = (name or "").split("/")
+                    if not name or any(x in ("", ".", "..") for x in parts) or parts[0].startswith("_temporary-"):
+                        raise ValueError(f"{name!r} is no name of a file in a folder")
+                    if hash(name) in seen:
+                        raise ValueError(f"the rows of {name} do not stand together")
+                    seen.add(hash(name))
+                    if not n:
+                        system.create_dir(aside, recursive=True)
+                    out, n = system.open_output_stream(f"{aside}/{n}"), n + 1
+                if ends[j] > ends[i]:
+                    out.write(content.buffers()[2].slice(int(ends[i]), int(ends[j] - ends[i])))
+        if out:
+            out.close()
+            yield f"{aside}/{n - 1}", f"{root}/{name}"
+    finally:
+        if out and not out.closed:
+            out.close()
+
+
 class Written(WriterCommitMessage):
     """Files of a task: where they are, and where they go."""
 
@@ -232,32 +308,8 @@ class FilesWriter(DataSourceArrowWriter):
         self.folder, self.overwrite = folder, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        system, root = opened(self.folder)
-        aside = f"{root}/_temporary-{uuid.uuid4().hex}"
-        files: list[tuple[str, str]] = []
-        seen: set[str] = set()
-        out, name = None, ""
-        try:
-            for own, content in ((n, c) for b in batches for n, c in zip(b.column(0).to_pylist(), b.column(1))):
-                if out is None or own != name:
-                    if out:
-                        out.close()
-                    name = own
-                    parts = (name or "").split("/")
-                    if not name or any(x in ("", ".", "..") for x in parts) or parts[0].startswith("_temporary-"):
-                        raise ValueError(f"{name!r} is no name of a file in a folder")
-                    if name in seen:
-                        raise ValueError(f"the rows of {name} do not stand together")
-                    seen.add(name)
-                    system.create_dir(aside, recursive=True)
-                    files.append((f"{aside}/{len(files)}", f"{root}/{name}"))
-                    out = system.open_output_stream(files[-1][0])
-                if content.is_valid:
-                    out.write(content.as_buffer())
-        finally:
-            if out:
-                out.close()
-        return Written(files)
+        _, root = opened(self.folder)
+        return Written(list(stored(self.folder, f"{root}/_temporary-{uuid.uuid4().hex}", batches)))
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = opened(self.folder)
@@ -320,12 +372,64 @@ def read_packets(spark: SparkSession, path: str, **options: int) -> DataFrame:
 def write_parts(parts: DataFrame, folder: str, order: list[str], overwrite: bool = False) -> None:
     """(name, content and the columns of ``order``) to a file per name, its rows' contents in order.
 
-    A file is written by one task, row by row; nothing is gathered. Files appear when all are written.
+    A file is written by one task, row by row; nothing is gathered. Files are written aside, and tasks move them to their names when
+    all are written and, unless they may be overwritten, none is there already; the driver knows the folders alone.
     """
-    register(parts.sparkSession)
+    spark = parts.sparkSession
+    register(spark)
+    system, root = opened(folder)
+    aside = f"{root}/_temporary-{uuid.uuid4().hex}"
     own = parts.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"), *order)
-    dealt = own.repartition("name").sortWithinPartitions("name", *order).select("name", "content")
-    dealt.write.format("fileparts").mode("overwrite" if overwrite else "append").save(folder)
+    dealt = own.repartition(tasks(spark), "name").sortWithinPartitions("name", *order).select("name", "content")
+    pairs = ["path", "place"]
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[str | None, str]] = []
+        try:
+            for pair in stored(folder, f"{aside}/{uuid.uuid4().hex}", batches):
+                found.append(pair)
+                if len(found) == ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], pairs)
+                    found = []
+        except ValueError as wrong:  # told when no task writes any more
+            found.append((None, str(wrong)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], pairs)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_system, _ = opened(folder)
+        for b in batches:
+            if b.column(0).null_count:
+                raise ValueError(b.filter(b.column(0).is_null()).column(1)[0].as_py())
+            found = [] if overwrite else [i.path for i in own_system.get_file_info(b.column(1).to_pylist()) if i.type != fs.FileType.NotFound]
+            if found:
+                raise ValueError(f"there already: {found[:3]}")
+            yield b.slice(0, 0)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_system, _ = opened(folder)
+        made = None
+        for b in batches:
+            for path, place in zip(*(c.to_pylist() for c in b.columns)):
+                # a task that runs again finds moved what it moved before
+                if own_system.get_file_info(path).type == fs.FileType.NotFound and own_system.get_file_info(place).type == fs.FileType.File:
+                    continue
+                to = place.rsplit("/", 1)[0]
+                if to != made:
+                    own_system.create_dir(to, recursive=True)
+                    made = to
+                own_system.move(path, place)
+            yield b.slice(0, 0)
+
+    names = shared_folder(spark, "names")
+    try:
+        dealt.mapInArrow(store, "path string, place string").write.parquet(names)
+        files = spark.read.schema("path string, place string").parquet(names).repartition(tasks(spark), "place")
+        for step in (check, move):
+            files.mapInArrow(step, "path string, place string").write.format("noop").mode("overwrite").save()
+    finally:
+        if system.get_file_info(aside).type == fs.FileType.Directory:
+            system.delete_dir(aside)
 
 
 def shaped(planes: DataFrame, width: int, height: int, crop: tuple[int, int, int, int] = (0, 0, 0, 0), bit_depth: int = 8) -> DataFrame:

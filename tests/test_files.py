@@ -63,6 +63,21 @@ def test_a_sink_writes_all_or_nothing(spark, tmp_path):
     assert (folder / "y").read_bytes() == b"9" and (folder / "a" / "x").exists()
 
 
+def test_files_in_folders_are_listed_by_tasks(spark, tmp_path):
+    """Names in folders of folders, moved by tasks and listed again; hidden ones are none, and nothing stays aside."""
+    from planegrid.sources.files import files_under
+
+    folder = tmp_path / "out"
+    rows = [(f"{i % 3}/d{i}/x{i}.bin", bytearray(b"z" * i)) for i in range(40)] + [("top.bin", bytearray(b"1"))]
+    write_parts(spark.createDataFrame(rows, "name string, content binary"), str(folder), [])
+    (folder / "0" / "_hidden").mkdir()
+    (folder / "0" / "_hidden" / "x").write_bytes(b"1")
+    (folder / ".hidden").write_bytes(b"1")
+    (folder / "empty").mkdir()
+    got = {r["path"].removeprefix(f"{folder}/"): r["size"] for r in files_under(spark, str(folder)).collect()}
+    assert got == {n: len(c) for n, c in rows} and not list(folder.glob("_temporary*"))
+
+
 def test_shapes_of_planes(spark):
     rng = np.random.default_rng(3)
     wide = [rng.integers(0, 1024, (8, 16)), rng.integers(0, 1024, (4, 8)), rng.integers(0, 1024, (4, 8))]
