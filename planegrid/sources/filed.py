@@ -19,7 +19,7 @@ FOLDERS = 256
 
 def stem(path: str) -> Column:
     """A file's name without folders and ending, as a number."""
-    return F.regexp_extract(path, r"([^/]+)\.\w+$", 1).cast("long")
+    return F.substring_index(F.substring_index(path, "/", -1), ".", 1).cast("long")
 
 
 @query(
@@ -142,10 +142,10 @@ def dumped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "dump")
     found = written(dumped(pictures), "frames")
     for name, odd, height in (("fields", 0, 8), ("frames", 1, 4)):
-        write_frames(found.where(F.col("path").cast("long") % 2 == odd), f"{folder}/{name}")
+        write_frames(found.where(F.col("path").cast("long") % 2 == odd), f"{folder}/{name}", folders=FOLDERS)
         back = read_frames(spark, f"{folder}/{name}", 8, height, framesPerPartition=500)
         # files number their frames from 0; those that nothing was reconstructed of are not in them
-        names = found.where(F.col("path").cast("long") % 2 == odd).select(F.col("path").cast("long").alias("video"), "frame").distinct()
+        names = found.where(F.col("path").cast("long") % 2 == odd).where("plane = 0").select(F.col("path").cast("long").alias("video"), "frame")
         places = names.withColumn("place", F.row_number().over(Window.partitionBy("video").orderBy("frame")) - 1)
         back = back.select(stem("path").alias("video"), F.col("frame").alias("place"), "plane", F.md5("data").alias("digest")).join(places, ["video", "place"])
         told = back.select("video", "frame", "plane", "digest")

@@ -138,35 +138,52 @@ class RawVideoReader(DataSourceReader):
         self.seek, self.frames = int(options.get("seek", 0)), int(options["frames"]) if "frames" in options else None
         self.per = int(options.get("framesperpartition", max(1, (64 << 20) // self.layout.frame)))
 
-    def partitions(self) -> list[Ranges]:
+    def ranges(self, path: str, size: int) -> list[Frames]:
         """Ranges of at most ``framesPerPartition`` frames; a file that ends inside a frame, or before the last one asked for, is an error."""
-        out = []
-        for f in listed(self.path):
-            n, rest = divmod(f.size, self.layout.frame)
-            if rest:
-                raise ValueError(f"{f.path}: {rest} bytes behind its last whole frame")
-            wanted = n - self.seek if self.frames is None else self.frames
-            if wanted < 0 or self.seek + wanted > n:
-                raise ValueError(f"{f.path}: frames {self.seek} to {self.seek + max(0, wanted) - 1} asked for, it has {n}")
-            out += [Frames(f.path, self.seek + i, min(self.per, wanted - i), i) for i in range(0, wanted, self.per)]
+        n, rest = divmod(size, self.layout.frame)
+        if rest:
+            raise ValueError(f"{path}: {rest} bytes behind its last whole frame")
+        wanted = n - self.seek if self.frames is None else self.frames
+        if wanted < 0 or self.seek + wanted > n:
+            raise ValueError(f"{path}: frames {self.seek} to {self.seek + max(0, wanted) - 1} asked for, it has {n}")
+        return [Frames(path, self.seek + i, min(self.per, wanted - i), i) for i in range(0, wanted, self.per)]
+
+    def partitions(self) -> list[Ranges]:
+        out = [r for f in listed(self.path) for r in self.ranges(f.path, f.size)]
         return together(out, [r.n for r in out], self.per) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for r in partition.ranges:
-            yield from self._frames(r)
+        yield from self.planes(iter(partition.ranges))
 
-    def _frames(self, partition: Frames) -> Iterator[pa.RecordBatch]:
-        size, luma = self.layout.frame, self.layout.luma
+    def planes(self, ranges: Iterator[Frames]) -> Iterator[pa.RecordBatch]:
+        """The planes of ranges in turn; short ranges share a batch."""
         system, _ = opened(self.path)
-        with system.open_input_file(partition.path) as f:
-            step = max(1, BATCH // size)
-            for first in range(0, partition.n, step):
-                n = min(step, partition.n - first)
-                data = f.read_at(n * size, (partition.begin + first) * size)
-                cuts = [(i * size + a, i * size + z) for i in range(n) for a, z in ((0, luma), (luma, luma + luma // 4), (luma + luma // 4, size))]
-                frames = [partition.number + first + i for i in range(n) for _ in range(3)]
-                columns = [pa.array([partition.path] * 3 * n), pa.array(frames, pa.int32()), pa.array([0, 1, 2] * n, pa.int32()), pa.array([data[a:z] for a, z in cuts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["path", "frame", "plane", "data"])
+        size, step = self.layout.frame, max(1, min(ROWS // 3, BATCH // self.layout.frame))
+        held: list[tuple[str, int, int, bytes]] = []
+        frames = 0
+        for r in ranges:
+            with system.open_input_file(r.path) as f:
+                first = 0
+                while first < r.n:
+                    n = min(step - frames, r.n - first)
+                    held.append((r.path, r.number + first, n, f.read_at(n * size, (r.begin + first) * size)))
+                    first, frames = first + n, frames + n
+                    if frames == step:
+                        yield self._batch(held)
+                        held, frames = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, held: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+        """(path, first number, frames, bytes) of ranges to a row per plane."""
+        times = np.array([n for _, _, n, _ in held])
+        luma, total = self.layout.luma, int(times.sum())
+        ends = np.cumsum(np.tile([luma, luma // 4, luma // 4], total))
+        data = pa.Array.from_buffers(pa.binary(), 3 * total, [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(b"".join(d for _, _, _, d in held))])
+        frames = np.concatenate([np.arange(first, first + n, dtype=np.int32) for _, first, n, _ in held])
+        paths = pa.array([p for p, _, _, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), 3 * times)))
+        planes = np.tile(np.arange(3, dtype=np.int32), total)
+        return pa.RecordBatch.from_arrays([paths, pa.array(np.repeat(frames, 3)), pa.array(planes), data], ["path", "frame", "plane", "data"])
 
 
 class RawVideo(DataSource):
@@ -355,9 +372,28 @@ def register(spark: SparkSession) -> None:
 
 
 def read_frames(spark: SparkSession, path: str, width: int, height: int, **options: int) -> DataFrame:
-    """(path, frame, plane, data) of raw files, read by ranges of frames: no row holds more than a plane."""
+    """(path, frame, plane, data) of raw files, read by ranges of frames: no row holds more than a plane.
+
+    The files anywhere under a folder are listed by tasks, and a task reads the ranges of many.
+    """
     register(spark)
-    return spark.read.format("rawvideo").options(width=width, height=height, **options).load(path)
+    system, root = opened(path)
+    if system.get_file_info(root).type != fs.FileType.Directory:
+        return spark.read.format("rawvideo").options(width=width, height=height, **options).load(path)
+    reader = RawVideoReader({"path": path, "width": str(width), "height": str(height)} | {k.lower(): str(v) for k, v in options.items()})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = reader.ranges(f, size)
+                for i in range(0, len(found), ROWS):
+                    yield pa.RecordBatch.from_pylist([r._asdict() for r in found[i : i + ROWS]], pa.schema([("path", pa.string()), ("begin", pa.int64()), ("n", pa.int64()), ("number", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return reader.planes(Frames(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+
+    ranges = files_under(spark, path).mapInArrow(cut, "path string, begin bigint, n bigint, number bigint")
+    return ranges.repartition(tasks(spark), "path", "begin").mapInArrow(run, "path string, frame int, plane int, data binary")
 
 
 def read_packets(spark: SparkSession, path: str, **options: int) -> DataFrame:
@@ -461,15 +497,22 @@ def shaped(planes: DataFrame, width: int, height: int, crop: tuple[int, int, int
     return planes.mapInArrow(run, planes.schema)
 
 
-def write_frames(planes: DataFrame, folder: str, frames_per_file: int | None = None, overwrite: bool = False) -> None:
+def in_folder(name: Column, folders: int) -> Column:
+    """The name in one of so many folders, by its hash: a folder of a part of the files is listed by a task."""
+    return F.concat(F.pmod(F.xxhash64(name), F.lit(folders)).cast("string"), F.lit("/"), name)
+
+
+def write_frames(planes: DataFrame, folder: str, frames_per_file: int | None = None, overwrite: bool = False, folders: int | None = None) -> None:
     """(path, frame, plane, data) to raw files in the order of frames and planes: ``<path>.yuv``, or ``<path>/<first frame>.yuv`` of so many frames each.
 
-    Frames are what output order numbers them; a dump of decoded pictures is their planes with these numbers.
+    With ``folders`` the files are dealt to so many folders. Frames are what output order numbers them; a dump of decoded pictures is their planes with these numbers.
     """
     name = F.col("path").cast("string")
     if frames_per_file:
         name = F.concat(name, F.lit("/"), F.lpad((F.expr(f"frame div {frames_per_file}") * frames_per_file).cast("string"), 9, "0"))
-    write_parts(planes.select(F.concat(name, F.lit(".yuv")).alias("name"), F.col("data").alias("content"), "frame", "plane"), folder, ["frame", "plane"], overwrite)
+    name = F.concat(name, F.lit(".yuv"))
+    name = in_folder(name, folders) if folders else name
+    write_parts(planes.select(name.alias("name"), F.col("data").alias("content"), "frame", "plane"), folder, ["frame", "plane"], overwrite)
 
 
 def dumped(pictures: DataFrame) -> DataFrame:

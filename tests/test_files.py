@@ -78,6 +78,20 @@ def test_files_in_folders_are_listed_by_tasks(spark, tmp_path):
     assert got == {n: len(c) for n, c in rows} and not list(folder.glob("_temporary*"))
 
 
+def test_frames_of_files_in_folders(spark, tmp_path):
+    """Files dealt to folders are read as others are, many ranges by a task; a file that ends inside a frame raises."""
+    rng = np.random.default_rng(7)
+    rows = [(f"v{i}", f, p, bytearray(rng.integers(0, 256, n, np.uint8).tobytes())) for i in range(30) for f in range(i % 4 + 1) for p, n in enumerate((64, 16, 16))]
+    write_frames(spark.createDataFrame(rows, "path string, frame int, plane int, data binary"), str(tmp_path / "out"), folders=4)
+    assert {x.name for x in (tmp_path / "out").iterdir()} <= set("0123")
+    own = read_frames(spark, str(tmp_path / "out"), 8, 8, framesPerPartition=1)
+    assert own.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r["path"].rsplit("/", 1)[1], *r[1:3], bytes(r["data"])) for r in own.collect()) == sorted((f"{n}.yuv", f, p, bytes(d)) for n, f, p, d in rows)
+    (tmp_path / "out" / "cut.yuv").write_bytes(b"1")
+    with pytest.raises(PySparkException, match="behind its last whole frame"):
+        read_frames(spark, str(tmp_path / "out"), 8, 8).count()
+
+
 def test_shapes_of_planes(spark):
     rng = np.random.default_rng(3)
     wide = [rng.integers(0, 1024, (8, 16)), rng.integers(0, 1024, (4, 8)), rng.integers(0, 1024, (4, 8))]
