@@ -210,12 +210,17 @@ class ByteStreamReader(DataSourceReader):
             raise ValueError("rangeBytes and pieceBytes are at least 1")
 
     def partitions(self) -> list[Ranges]:
-        ranges = [Bytes(f.path, i, min(f.size, i + self.size)) for f in listed(self.path) for i in range(0, f.size, self.size)]
-        return together(ranges, [r.end - r.begin for r in ranges], self.size) or [Ranges([])]
+        """Stretches of whole ranges. A task reads several: TASK_BYTES of them, or less where there are fewer than TASKS tasks."""
+        files = listed(self.path)
+        most = min(TASK_BYTES, -(-sum(f.size for f in files) // TASKS))
+        step = max(1, most // self.size) * self.size
+        stretches = [Bytes(f.path, i, min(f.size, i + step)) for f in files for i in range(0, f.size, step)]
+        return together(stretches, [r.end - r.begin for r in stretches], step) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         for r in partition.ranges:
-            yield from self._packets(r)
+            for i in range(r.begin, r.end, self.size):
+                yield from self._packets(Bytes(r.path, i, min(r.end, i + self.size)))
 
     def _packets(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
         """Reads piece by piece; what is held is a piece and the packet that is not yet ended."""

@@ -92,6 +92,17 @@ def test_frames_of_files_in_folders(spark, tmp_path):
         read_frames(spark, str(tmp_path / "out"), 8, 8).count()
 
 
+def test_a_task_reads_many_ranges(tmp_path):
+    """Tasks are as many as the bytes ask for, not as there are ranges."""
+    from planegrid.sources.files import TASKS, ByteStreamReader
+
+    data = b"".join(b"\0\0\1" + bytes([2 * (i % 60), 1]) + b"\xff" * 95 for i in range(2000))
+    (tmp_path / "a.bit").write_bytes(data)
+    reader = ByteStreamReader({"path": str(tmp_path), "rangebytes": "100", "piecebytes": "64"})
+    assert len(reader.partitions()) <= TASKS + 1
+    assert sorted(pos for p in reader.partitions() for b in reader.read(p) for pos in b.column(1).to_pylist()) == [100 * i + 3 for i in range(2000)]
+
+
 def test_shapes_of_planes(spark):
     rng = np.random.default_rng(3)
     wide = [rng.integers(0, 1024, (8, 16)), rng.integers(0, 1024, (4, 8)), rng.integers(0, 1024, (4, 8))]
