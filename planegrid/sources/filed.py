@@ -53,7 +53,7 @@ SELECT doc_id AS video, f::INT AS frame, plane, md5(unhex(x)) AS digest FROM p""
 def cropped_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as 16 x 8 frames, cropped to 10 x 6, written as a raw video file each and read by ranges of frames."""
     folder = shared_folder(spark, "video")
-    write_frames(shaped(planes(bytes_of(spark, sf_dir), 16, 8), 16, 8, (2, 4, 2, 0)), folder)
+    write_frames(shaped(planes(bytes_of(spark, sf_dir), 16, 8), 16, 8, (2, 4, 2, 0)), folder, folders=FOLDERS)
     found = read_frames(spark, folder, 10, 6, framesPerPartition=700)
     return found.select(stem("path").alias("video"), "frame", "plane", F.md5("data").alias("digest"))
 
