@@ -50,6 +50,8 @@ def write_stream(packets: DataFrame) -> DataFrame:
 
 
 START_CODE = b"\0\0\1"
+#: Packets of short streams that share a batch, and rows whose records are read together.
+TOGETHER = 1000
 #: Columns of a packet: where its header is in the stream, its bytes without zeros behind it, the header's fields, the payload.
 PACKET = {"pos": "bigint", "size": "int", "nal_type": "int", "layer_id": "int", "tid": "int", "rbsp": "binary"}
 
@@ -85,6 +87,13 @@ def taken_apart(stream: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], n: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``n`` rows, so that what is made of one stays small however long Spark's are."""
+    for b in batches:
+        for i in range(0, len(b), n):
+            yield b.slice(i, n)
+
+
 def tokenize(streams: DataFrame) -> DataFrame:
     """(stream_id, stream) to a row per packet: stream_id, seq from 0, and PACKET.
 
@@ -95,10 +104,16 @@ def tokenize(streams: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            of, seq, found = [], [], []
             for i in range(len(b)):
-                found = taken_apart(b.column(1)[i].as_py() or b"")
-                ids = b.column(0).take(pa.array([i] * len(found), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(found)), pa.int32()), *packet_rows(found)], ["stream_id", "seq", *PACKET])
+                own = taken_apart(b.column(1)[i].as_py() or b"")
+                of += [i] * len(own)
+                seq += range(len(own))
+                found += own
+                if len(found) >= TOGETHER or (found and i == len(b) - 1):
+                    ids = b.column(0).take(pa.array(of, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(seq, pa.int32()), *packet_rows(found)], ["stream_id", "seq", *PACKET])
+                    of, seq, found = [], [], []
 
     return own.mapInArrow(run, f"stream_id {own.schema['stream_id'].dataType.simpleString()}, seq int, " + ", ".join(f"{n} {t}" for n, t in PACKET.items()))
 

@@ -127,3 +127,13 @@ def test_sets_that_are_active(spark):
 
 def test_payload_of_a_packet():
     assert payload_of(bytes.fromhex(SPS) + b"\0\0") == bytes.fromhex(SPS)[2:].replace(b"\0\0\3", b"\0\0")
+
+
+def test_slices_tell_what_is_wanted(spark):
+    """A sequence set's hundreds of values do not go out with every slice if a few are asked for."""
+    sps = headers.write({"pic_width_in_luma_samples": 64, "pic_height_in_luma_samples": 64, "scaling_list_enabled_flag": 1, "sps_scaling_list_data_present_flag": 1}, headers.sequence_set())
+    rows = [(1, 0, 33, sps), (1, 1, 34, headers.write({"init_qp_minus26": 3}, headers.picture_set())), (1, 2, 19, headers.write({"first_slice_segment_in_pic_flag": 1, "slice_type": 2, "slice_qp_delta": 4}, headers.slice_header(19, {}, [], {})))]
+    df = spark.createDataFrame([(*r[:3], bytearray(r[3])) for r in rows], "stream_id long, seq int, nal_type int, rbsp binary")
+    r = headers.slice_headers(df, ("pic_width_in_luma_samples", "init_qp_minus26", "slice_qp_delta")).first()
+    assert (r["sps"], r["pps"], r["fields"], r["error"]) == ({"pic_width_in_luma_samples": 64}, {"init_qp_minus26": 3}, {"slice_qp_delta": 4}, None)
+    assert len(headers.slice_headers(df).first()["sps"]) > 40
