@@ -48,3 +48,17 @@ def test_messages_of_packets(spark):
     assert seen[5] == (3, "slice", None, {"first_slice_segment_in_pic_flag": "1", "slice_pic_parameter_set_id": "0"})
     assert seen[6] == (4, "slice", None, {"first_slice_segment_in_pic_flag": "1", "no_output_of_prior_pics_flag": "0", "slice_pic_parameter_set_id": "0"})
     assert seen[7] == (6, "sps", None, None) and len(seen) == 8
+
+
+def test_records_are_read_in_slices(spark):
+    """What is made of a batch is bounded however long it is, and short streams share one; of a set the wanted fields are told."""
+    import pyarrow as pa
+
+    from planegrid.sources.annexb import TOGETHER, slices
+
+    long = pa.RecordBatch.from_arrays([pa.array(range(2 * TOGETHER + 5))], ["x"])
+    assert [len(b) for b in slices(iter([long]))] == [TOGETHER, TOGETHER, 5]
+    stream = bytearray(bytes.fromhex("00000001" + SPS + "80"))
+    own = tokenize(spark.createDataFrame([(i, stream if i % 3 else bytearray()) for i in range(2500)], "stream_id long, stream binary").coalesce(1))
+    found = syntax.records(own, ("pic_width_in_luma_samples",)).collect()
+    assert sorted(r["stream_id"] for r in found) == [i for i in range(2500) if i % 3] and all(r["fields"] == {"pic_width_in_luma_samples": "1280"} for r in found)
