@@ -68,3 +68,9 @@ def test_what_insertion_writes_can_be_read(spark):
     assert told[3]["fields"] == {"active_video_parameter_set_id": 0, "self_contained_cvs_flag": 1, "no_parameter_set_update_flag": 0, "num_sps_ids_minus1": 0, "active_seq_parameter_set_id[0]": 0}
     assert [(r["seq"], bytes(r["payload"])) for r in messages.extracted(found).orderBy("seq").collect()] == [(i, bytes(p[4])) for i, p in enumerate(packets)]
     assert messages.inserted(df, spark.createDataFrame(units, "stream_id long, au long, nal_type int, poc int, field int, digest binary"), messages.Rules()).count() == 8
+
+
+def test_orders_of_one_file_are_coded_by_many_tasks(spark):
+    """A file of few bytes and many rows comes in one partition; messages are written behind a shuffle."""
+    plan = payloads.sei_fields(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("RepartitionByExpression") > plan.rindex("MapInArrow")
