@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -100,16 +101,34 @@ def _fold(rows: Iterator, buffer: list[Held], limits: Limits) -> tuple[list[Held
 def buffered(pictures: DataFrame, limits: Limits, key: str = "stream_id") -> DataFrame:
     """(key, seq, poc, kept, refresh, drop, shown) to (key, output, seq, poc): the order in which pictures go out, and with which picture.
 
-    Streams are folded in the order of seq, each by itself; what waits at the end goes out with a null seq.
+    Streams are folded in the order of seq, each by itself; what waits at the end goes out with a null seq. Pictures are dealt by
+    stream and sorted in their partition, and a task folds them as they come, so no stream is gathered.
     """
 
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        buffer, told = _fold(rows.sort_values("seq").itertuples(index=False), [], limits)
-        told += [(None, p) for p in flushed(buffer)]
-        return pd.DataFrame({key: [keys[0]] * len(told), "output": range(len(told)), "seq": pd.array([s for s, _ in told], "Int64"), "poc": [p for _, p in told]})
-
-    own = pictures.select(F.col(key).cast("long").alias(key), "seq", "poc", "kept", "refresh", "drop", "shown")
-    return own.groupBy(key).applyInPandas(run, f"{key} long, output long, seq long, poc long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, any_, buffer, n = None, False, [], 0
+        for b in batches:
+            told: list[tuple[int | None, int, int | None, int]] = []
+            for stream_id, seq, poc, kept, refresh, drop, shown in zip(*(c.to_pylist() for c in b.columns)):
+                if any_ and stream_id != at:
+                    told += [(at, n + i, None, p) for i, p in enumerate(flushed(buffer))]
+                    buffer, n = [], 0
+                at, any_ = stream_id, True
+                if poc is None:
+                    out, buffer = flushed(buffer), []
+                else:
+                    buffer, out = step(buffer, poc, kept or [], bool(refresh), bool(drop), bool(shown), limits)
+                told += [(stream_id, n + i, seq, p) for i, p in enumerate(out)]
+                n += len(out)
+            yield batch(told)
+        yield batch([(at, n + i, None, p) for i, p in enumerate(flushed(buffer))])
+
+    def batch(told: list[tuple[int | None, int, int | None, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in told], pa.int64()) for i in range(4)], [key, "output", "seq", "poc"])
+
+    own = pictures.select(F.col(key).cast("long").alias(key), F.col("seq").cast("long"), F.col("poc").cast("long"), "kept", "refresh", "drop", "shown")
+    dealt = own.repartition(key).sortWithinPartitions(key, "seq")
+    return dealt.mapInArrow(run, f"{key} long, output long, seq long, poc long")
 
 
 class BufferProcessor(StatefulProcessor):

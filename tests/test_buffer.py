@@ -91,3 +91,13 @@ def test_stream_as_fold(spark, tmp_path):
     assert a == b[: len(a)] and len(b) - len(a) <= 3
     assert all(sorted(g.output) == list(range(len(g))) for _, g in got.groupby("stream_id"))
     assert pd.isna(got[got.stream_id == 3].sort_values("output").seq.iloc[-1])
+
+
+def test_streams_are_folded_as_they_come(spark):
+    """No stream is gathered: a partition's sorted pictures are folded in turn, one of no key and one of end marks alone among them."""
+    rows = [(k, i, p, [], i == 0, False, True) for k in (1, None, 2) for i, p in enumerate([0, 4, 2, 1, 3])] + [(5, 0, None, None, False, False, False)]
+    df = spark.createDataFrame(rows, "stream_id long, seq long, poc long, kept array<long>, refresh boolean, drop boolean, shown boolean")
+    out = buffered(df.repartition(3), Limits(5, 2, 0))
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.orderBy("stream_id", "output").collect()
+    assert [(r["stream_id"], r["output"], r["poc"]) for r in got] == [(k, i, i) for k in (None, 1, 2) for i in range(5)]
