@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from planegrid.operators.references import _STREAM, stream
 from planegrid.plans.registry import query
+from planegrid.sources.scratch import written
 from planegrid.sources.tables import table
 
 #: Powers of two that positions may have.
@@ -39,10 +40,13 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     """``points`` with each of the ``intervals`` of their keys that holds ``at``: start <= at < stop. ``how`` is inner or left.
 
     Positions are whole numbers from 0 on; intervals may overlap, nest and repeat. Points or intervals with a null key or
-    place meet nothing (left: stand alone). The lengths that occur are looked up first; they are as many as a number has bits.
+    place meet nothing (left: stand alone). The lengths that occur are looked up first; they are as many as a number has bits, and
+    intervals, which are kept for that, are cut at no length above their last place.
     """
-    cut_up = intervals.where(F.col(start).isNotNull() & F.col(stop).isNotNull()).withColumn("__p", F.explode(pieces(F.col(start), F.col(stop))))
-    cut_up = cut_up.withColumns({"__level": F.col("__p.level"), "__piece": F.col("__p.piece")}).drop("__p")
+    known = written(intervals.where(F.col(start).isNotNull() & F.col(stop).isNotNull()), "intervals")
+    levels = max(1, int(known.agg(F.max(stop)).first()[0] or 0).bit_length())
+    cut_up = known.withColumn("__p", F.explode(pieces(F.col(start), F.col(stop), min(levels, LEVELS))))
+    cut_up = written(cut_up.withColumns({"__level": F.col("__p.level"), "__piece": F.col("__p.piece")}).drop("__p"), "pieces")
     used = [r[0] for r in cut_up.select("__level").distinct().collect()]
     lengths = F.array(*[F.lit(x) for x in sorted(used)]) if used else F.array().cast("array<int>")
     tall = points.withColumn("__level", F.explode(lengths)).withColumn("__piece", F.call_function("shiftright", F.col(at).cast("long"), F.col("__level")))
@@ -64,7 +68,7 @@ SELECT b.user_id, b.poc, kind, start, stop FROM b JOIN i ON i.user_id = b.user_i
 )
 def segment_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every picture with the shots and waits that hold it: shots from one purchase to the next, waits of 3 to 42 pictures that overlap."""
-    own = stream(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    own = written(stream(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id"), "pictures")
     order = Window.partitionBy("user_id").orderBy("poc")
     shots = own.where("poc = 0 OR event_type = 'purchase'").select("user_id", F.col("poc").alias("start"), F.coalesce(F.lead("poc").over(order), "n").alias("stop"), F.lit("shot").alias("kind"))
     waits = own.where("event_type = 'view' AND poc % 5 = 0").select("user_id", F.col("poc").alias("start"), F.least("n", F.col("poc") + 3 + F.col("poc") % 40).alias("stop"), F.lit("wait").alias("kind"))

@@ -86,3 +86,16 @@ def test_release_of_any_graph(spark):
     assert {(r["g"], r["node"]): (r["level"], r["state"]) for r in got} == want and len(got) == len(want)
     assert {"released", "missing", "cycle"} <= {s for _, s in want.values()}
     assert released(spark.createDataFrame([], "g int, node int"), spark.createDataFrame(needs, "g int, node int, need int"), ["g"]).count() == 0
+
+
+def test_intervals_are_cut_at_the_lengths_that_places_have(spark):
+    """Intervals are made once, and no length above their last place is tried."""
+    from planegrid.operators.intervals import interval_join
+
+    points = spark.createDataFrame([(k, i) for k in "ab" for i in range(20)], "k string, at long")
+    rows = [("a", 0, 1), ("a", 3, 17), ("a", 5, 5), ("a", 9, 2), ("b", 0, 16), ("b", 19, 400), ("b", None, 4)]
+    made = spark.sparkContext.accumulator(0)
+    seen = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).map(lambda r: made.add(1) or r), "k string, start long, stop long")
+    got = interval_join(points, seen, ["k"]).collect()
+    assert sorted((r["k"], r["at"], r["start"], r["stop"]) for r in got) == sorted((k, i, a, z) for k, a, z in rows if a is not None for i in range(20) if a <= i < z)
+    assert made.value == len(rows)
