@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -253,19 +257,74 @@ def sao_search(spark: SparkSession, sf_dir: str, lagrangian: int = _LAGRANGIAN)
 
     Valleys (categories 0 and 1) are lifted, peaks (3 and 4) lowered. Where nothing stands an offset of 0 takes a bit.
     """
-    valley = F.col("category") < 2
-    edges = sao_edge_stats(spark, sf_dir).where("category <> 2")
-    edges = edges.withColumns({"least": F.when(valley, 0).otherwise(-7), "most": F.when(valley, 7).otherwise(0), "sign_bits": F.lit(0)})
-    edges = offset_costs(edges, lagrangian, "block", "class", "category").groupBy("block", "class")
-    edges = edges.agg((F.sum("cost") + lagrangian * (8 - F.count(F.lit(1)))).alias("cost")).select("block", F.lit("edge").alias("kind"), "class", "cost")
-    bands = band_statistics(block_pairs(spark, sf_dir)).withColumns({"least": F.lit(-7), "most": F.lit(7), "sign_bits": F.lit(1)})
-    bands = offset_costs(bands, lagrangian, "block", "band")
-    places = bands.select("block", "cost", F.explode(F.sequence(F.greatest(F.lit(0), F.col("band") - 3), F.least(F.lit(28), F.col("band")))).alias("class")).groupBy("block", "class")
-    places = places.agg((F.sum("cost") + lagrangian * (11 - F.count(F.lit(1)))).alias("cost")).select("block", F.lit("band").alias("kind"), "class", "cost")
-    none = bands.select("block").distinct().select("block", F.lit("none").alias("kind"), F.lit(0).alias("class"), F.lit(lagrangian).cast("long").alias("cost"))
-    every = edges.unionByName(places).unionByName(none)
-    best = F.min_by(F.struct("kind", F.col("class").cast("int").alias("class")), F.struct("cost", "kind", "class"))
-    return every.groupBy("block").agg(best.alias("b"), F.min("cost").cast("long").alias("cost")).select("block", "b.kind", "b.class", "cost")
+    own = block_pairs(spark, sf_dir).where("src IS NOT NULL AND ref IS NOT NULL").select(F.col("block").cast("long").alias("block"), "src", "ref")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (_sao_best(b, lagrangian) for b in whole_blocks(batches))
+
+    return own.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, kind string, class int, cost long")
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, ``most`` rows or more, cut so that a block's rows stand in one."""
+    held = None
+    for b in (b.slice(i, most) for b in batches for i in range(0, len(b), most)):
+        held = b if held is None else pa.concat_batches([held, b])
+        first = int(np.searchsorted(np.array(held.column(0)), held.column(0)[-1].as_py()))
+        if first:
+            yield held.slice(0, first)
+            held = held.slice(first)
+    if held is not None and len(held):
+        yield held
+
+
+def _least_costs(n: np.ndarray, e: np.ndarray, least: int, most: int, sign_bits: int, lagrangian: int) -> np.ndarray:
+    """The least cost of an offset between 0 and the mean error, as offset_costs has it; 0 where nothing stands."""
+    mean = np.sign(e) * (np.abs(e) // np.maximum(n, 1))
+    q = np.clip(mean, least, most)
+    best = np.full(n.shape, np.iinfo(np.int64).max)
+    for o in range(least, most + 1):
+        cost = n * o * o - 2 * o * e + lagrangian * (min(abs(o) + 1, 7) + (sign_bits if o else 0))
+        best = np.where((np.minimum(q, 0) <= o) & (o <= np.maximum(q, 0)), np.minimum(best, cost), best)
+    return np.where(n > 0, best, 0)
+
+
+def _sao_best(b: pa.RecordBatch, lagrangian: int) -> pa.RecordBatch:
+    """(block, src, ref) of 8 x 8 samples to (block, kind, class, cost): all blocks' counts and errors at once, then the candidates in turn."""
+    blocks_, of = np.unique(np.array(b.column(0)), return_inverse=True)
+    src, ref = (b.column(i).flatten().to_numpy().astype(np.int64).reshape(-1, 8, 8) for i in (1, 2))
+    size = len(blocks_)
+
+    def counted(groups: np.ndarray, error: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray]:
+        at = (of[:, None] * items + groups.reshape(len(groups), -1)).ravel()
+        n = np.bincount(at, minlength=size * items)
+        return n.reshape(size, items), np.bincount(at, error.ravel(), size * items).astype(np.int64).reshape(size, items)
+
+    # candidates in the order of kind and class, so the first of equal costs stands
+    kinds, classes, costs = [], [], []
+
+    def tried(kind: str, number: int, there: np.ndarray, cost: np.ndarray) -> None:
+        kinds.append(kind)
+        classes.append(number)
+        costs.append(np.where(there, cost, np.iinfo(np.int64).max))
+
+    n, e = counted(ref >> 3, src - ref, 32)
+    least = _least_costs(n, e, -7, 7, 1, lagrangian)
+    for k in range(29):
+        some = (n[:, k : k + 4] > 0).sum(1)
+        tried("band", k, some > 0, least[:, k : k + 4].sum(1) + lagrangian * (11 - some))
+    inner = ref[:, 1:7, 1:7]
+    for c, (dx, dy) in enumerate(EDGES):
+        category = 2 + np.sign(inner - ref[:, 1 - dy : 7 - dy, 1 - dx : 7 - dx]) + np.sign(inner - ref[:, 1 + dy : 7 + dy, 1 + dx : 7 + dx])
+        n, e = counted(category, (src - ref)[:, 1:7, 1:7], 5)
+        some = (n[:, [0, 1, 3, 4]] > 0).sum(1)
+        cost = _least_costs(n[:, :2], e[:, :2], 0, 7, 0, lagrangian).sum(1) + _least_costs(n[:, 3:], e[:, 3:], -7, 0, 0, lagrangian).sum(1)
+        tried("edge", c, some > 0, cost + lagrangian * (8 - some))
+    tried("none", 0, np.ones(size, bool), np.full(size, lagrangian))
+    every = np.array(costs)
+    best = every.argmin(0)
+    columns = [pa.array(blocks_), pa.array(np.array(kinds)[best].tolist(), pa.string()), pa.array(np.array(classes, np.int32)[best]), pa.array(every[best, np.arange(size)])]
+    return pa.RecordBatch.from_arrays(columns, ["block", "kind", "class", "cost"])
 
 
 @query("bitrate_summary", "SELECT l_returnflag AS stream, count(*) AS frames, sum(floor(l_extendedprice))::BIGINT AS bytes, round(8 * sum(floor(l_extendedprice)) / count(*) * 24 / 1000, 6) AS kbps FROM lineitem GROUP BY 1")

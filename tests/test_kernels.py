@@ -117,3 +117,21 @@ def test_shot_change_stands_out(spark):
 def test_codes_are_read_in_turn(spark):
     bits = spark.createDataFrame([("1" + "010" + "00111" + "0001000" + "1",)], "b string")
     assert bits.select(read_ue(F.col("b"), 4)).first()[0] == [0, 1, 6, 7]
+
+
+def test_sao_search_in_one_pass(spark):
+    """No candidate is a row: the search is one function over batches of whole blocks, wherever Spark cuts its batches."""
+    import pyarrow as pa
+
+    from planegrid.operators.statistics import _sao_best, sao_search, whole_blocks
+
+    plan = sao_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+    rng = np.random.default_rng(11)
+    ids = np.sort(rng.integers(0, 40, 90))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(list(rng.integers(100, 130, (90, 64), dtype=np.int32))) for _ in range(2))], ["block", "src", "ref"])
+    whole = _sao_best(rows, 40).to_pylist()
+    for size, most in ((7, 1000), (1, 5), (90, 4)):
+        parts = list(whole_blocks((rows.slice(i, size) for i in range(0, 90, size)), most))
+        assert [r for p in parts for r in _sao_best(p, 40).to_pylist()] == whole and (size == 90 or len(parts) > 1)
+    assert [r["block"] for r in whole] == sorted(set(ids.tolist()))
