@@ -463,6 +463,7 @@ def write_parts(parts: DataFrame, folder: str, order: list[str], overwrite: bool
             yield b.slice(0, 0)
 
     names = shared_folder(spark, "names")
+    system.create_dir(root, recursive=True)  # of no rows there is a folder without files
     try:
         dealt.mapInArrow(store, "path string, place string").write.parquet(names)
         files = spark.read.schema("path string, place string").parquet(names).repartition(tasks(spark), "place")

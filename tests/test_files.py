@@ -87,6 +87,8 @@ def test_frames_of_files_in_folders(spark, tmp_path):
     own = read_frames(spark, str(tmp_path / "out"), 8, 8, framesPerPartition=1)
     assert own.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted((r["path"].rsplit("/", 1)[1], *r[1:3], bytes(r["data"])) for r in own.collect()) == sorted((f"{n}.yuv", f, p, bytes(d)) for n, f, p, d in rows)
+    write_frames(own.limit(0), str(tmp_path / "none"), folders=4)
+    assert read_frames(spark, str(tmp_path / "none"), 8, 8).count() == 0
     (tmp_path / "out" / "cut.yuv").write_bytes(b"1")
     with pytest.raises(PySparkException, match="behind its last whole frame"):
         read_frames(spark, str(tmp_path / "out"), 8, 8).count()
