@@ -144,10 +144,11 @@ def dumped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, odd, height in (("fields", 0, 8), ("frames", 1, 4)):
         write_frames(found.where(F.col("path").cast("long") % 2 == odd), f"{folder}/{name}", folders=FOLDERS)
         back = read_frames(spark, f"{folder}/{name}", 8, height, framesPerPartition=500)
+        # Spark takes the planes read for as small as the list of files and would broadcast them, so the join is by sorting
         # files number their frames from 0; those that nothing was reconstructed of are not in them
         names = found.where(F.col("path").cast("long") % 2 == odd).where("plane = 0").select(F.col("path").cast("long").alias("video"), "frame")
         places = names.withColumn("place", F.row_number().over(Window.partitionBy("video").orderBy("frame")) - 1)
-        back = back.select(stem("path").alias("video"), F.col("frame").alias("place"), "plane", F.md5("data").alias("digest")).join(places, ["video", "place"])
+        back = back.select(stem("path").alias("video"), F.col("frame").alias("place"), "plane", F.md5("data").alias("digest")).join(places.hint("merge"), ["video", "place"])
         told = back.select("video", "frame", "plane", "digest")
         out = told if odd == 0 else out.unionByName(told)
     return out

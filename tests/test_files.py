@@ -105,6 +105,14 @@ def test_a_task_reads_many_ranges(tmp_path):
     assert sorted(pos for p in reader.partitions() for b in reader.read(p) for pos in b.column(1).to_pylist()) == [100 * i + 3 for i in range(2000)]
 
 
+def test_planes_read_are_not_broadcast(spark):
+    """The list of files is small, what is read of them is not."""
+    from planegrid.sources.filed import dumped_frames
+
+    plan = dumped_frames(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_shapes_of_planes(spark):
     rng = np.random.default_rng(3)
     wide = [rng.integers(0, 1024, (8, 16)), rng.integers(0, 1024, (4, 8)), rng.integers(0, 1024, (4, 8))]
