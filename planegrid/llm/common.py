@@ -58,18 +58,28 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner",
     """``rows`` with the columns of ``table``, which has a row per ``key`` and in n how many of ``rows`` hold it.
 
     A key of over one in ``most`` of these rows is joined by broadcast, the others by Spark's choice, so no
-    task gets all rows of a frequent key; at most ``most`` keys are broadcast. ``how`` is inner or left.
-    Both are evaluated twice, so they must be cut.
+    task gets all rows of a frequent key; at most ``most`` keys are broadcast. Where all keys are frequent, or none
+    is, there is one join only. ``how`` is inner or left. Both are evaluated twice, so they must be cut.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
+    total, high, low = table.agg(F.sum("n"), F.max("n"), F.min("n")).first()
+    if not total or high * most <= total:
+        return rows.join(table.drop("n"), key, how)
+    if low * most > total:
+        return rows.join(F.broadcast(table.drop("n")), key, how)
     often, rare = (table.where(c).drop("n") for c in (F.col("n") * most > total, F.col("n") * most <= total))
     rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rare, key, how)
     return rows.join(F.broadcast(often), key).unionByName(rest)
 
 
-def checked_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = 10_000) -> DataFrame:
-    """``rows`` joined with a table that is cut: by broadcast if it has at most ``most`` rows, else by Spark's choice."""
-    small = table.limit(most + 1).count() <= most
+def is_small(table: DataFrame, most: int = 10_000) -> bool:
+    """Whether a table, which is cut, has at most ``most`` rows."""
+    return table.limit(most + 1).count() <= most
+
+
+def checked_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", small: bool | None = None) -> DataFrame:
+    """``rows`` joined with a table that is cut: by broadcast if it is small, which is found out if not told, else by Spark's choice."""
+    if small is None:
+        small = is_small(table)
     return rows.join(F.broadcast(table) if small else table, key, how)
 
 

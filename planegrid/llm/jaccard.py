@@ -277,7 +277,7 @@ def _crossing(rows: DataFrame, unit: DataFrame, keep: Keep) -> DataFrame:
     least = rows.groupBy("lead").agg(F.min("need").alias("least"))
     # a leader without shared tokens has no flags; its classes that may lack all of their half are opened nonetheless
     flags = least.join(flags, "lead", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<bigint>")))
-    flags = flags.where(F.size("flags") >= F.col("least")).select(F.col("lead").alias("l"), "flags")
+    flags = keep(flags.where(F.size("flags") >= F.col("least")).select(F.col("lead").alias("l"), "flags"))
     members = rows.select("cls", "lead", "n", "text").groupBy("lead")
     open_ = keep(members.cogroup(flags.groupBy("l")).applyInArrow(lambda x, y: _open(x, y), "cls bigint, lead bigint, n bigint, text string"))
     # A link joins two open classes, so these alone go on, with all their shingles.
@@ -293,6 +293,7 @@ def _crossing(rows: DataFrame, unit: DataFrame, keep: Keep) -> DataFrame:
     # of the first shared shingle, what is left on either side bounds the intersection
     fits = f"unit <> unit_b AND cls < b AND {PARTS + SHARE} * least(n - at, n_b - at_b) >= {SHARE} * (n + n_b)"
     pairs = first.join(other, (first["token"] == other["token"]) & F.expr(fits)).select(F.col("cls").alias("a"), "b").distinct()
+    pairs = cut(pairs)
     texts = open_.select("cls", "text")
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, "a bigint, b bigint")
@@ -346,12 +347,16 @@ def near_rows(docs: DataFrame) -> DataFrame:
     else:
         joined = components(links)
         unit = cut(leads.join(joined, leads["lead"] == joined["node"], "left").select("lead", F.coalesce("component", "lead").alias("unit")))
-    crossing = _crossing(rows, unit, keep)
-    of = rows.select("cls", "lead").join(unit, "lead").select("cls", "unit")
-    ends = crossing.join(of.select(F.col("cls").alias("a"), F.col("unit").alias("ua")), "a").join(of.select(F.col("cls").alias("b"), F.col("unit").alias("ub")), "b")
-    joined = components(ends.select(F.col("ua").alias("a"), F.col("ub").alias("b")))
-    comp = of.join(joined, of["unit"] == joined["node"], "left").select("cls", F.coalesce("component", "unit").alias("comp"))
-    named = comp.join(classes.select("cls", "low"), "cls")
+    # what is read twice is cut, so that no plan holds it twice
+    of = cut(rows.select("cls", "lead").join(unit, "lead").select("cls", "unit"))
+    crossing = cut(_crossing(rows, unit, keep))
+    if crossing.isEmpty():
+        comp = of.withColumnRenamed("unit", "comp")
+    else:
+        ends = crossing.join(of.select(F.col("cls").alias("a"), F.col("unit").alias("ua")), "a").join(of.select(F.col("cls").alias("b"), F.col("unit").alias("ub")), "b")
+        joined = components(ends.select(F.col("ua").alias("a"), F.col("ub").alias("b")))
+        comp = of.join(joined, of["unit"] == joined["node"], "left").select("cls", F.coalesce("component", "unit").alias("comp"))
+    named = cut(comp.join(classes.select("cls", "low"), "cls"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("lowest"))
     named = named.join(lowest, "comp").select("cls", "comp", "lowest")
     names = cut(classes.join(named, "cls", "left").select("cls", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("comp", "cls").alias("comp")))

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checked_join, cut, documents
+from .common import WORD, checked_join, cut, documents, is_small
 
 SHARE = 0.75
 #: Steps of every start, and of the best one at most.
@@ -161,9 +161,9 @@ def _inverse_root(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, *_VALUES, log_det.alias("log_det"))
 
 
-def _with_distance(points: DataFrame, estimate: DataFrame) -> DataFrame:
+def _with_distance(points: DataFrame, estimate: DataFrame, small: bool | None = None) -> DataFrame:
     """``points`` with d2, the squared distance, a row for each estimate of the group; groups without one are left out."""
-    joined = checked_join(points, estimate, "__g")
+    joined = checked_join(points, estimate, "__g", small=small)
     d2 = F.lit(0.0)
     for i in range(_P):
         y = F.lit(0.0)
@@ -214,10 +214,10 @@ def _starts(points: DataFrame) -> DataFrame:
     return _inverse_root(shaped.unionByName(plain), "__g", "__k")
 
 
-def _step(points: DataFrame, estimate: DataFrame) -> DataFrame:
+def _step(points: DataFrame, estimate: DataFrame, small: bool | None = None) -> DataFrame:
     """The next estimate, of each group's start: the moments of the nearest ``SHARE`` of its documents."""
     keys = ["__g", "__k"]
-    near = _with_distance(points, estimate).withColumn("bin", F.floor(32 * F.ln(F.col("d2") + 1e-6)))
+    near = _with_distance(points, estimate, small).withColumn("bin", F.floor(32 * F.ln(F.col("d2") + 1e-6)))
     # cut before the windows, which would have a group's rows meet unsummed
     bins = cut(near.groupBy(*keys, "bin").agg(*_sums([F.col(s[0]) for s in STATISTICS])))
     group = Window.partitionBy(*keys)
@@ -237,20 +237,22 @@ def _scaled(estimate: DataFrame, factor: float) -> DataFrame:
 def least_determinant(points: DataFrame) -> DataFrame:
     """(__g, statistics) to each group's estimate: (__g, m_i, r_ij, log_det), consistent and reweighted."""
     tried = cut(_starts(points))
+    small = is_small(tried)  # no step adds a row
     for _ in range(TRIALS):
-        tried = cut(_step(points, tried))
+        tried = cut(_step(points, tried, small))
     best = cut(tried.withColumn("rank", F.row_number().over(Window.partitionBy("__g").orderBy("log_det", "__k"))).where("rank = 1").drop("rank"))
     for _ in range(STEPS):
-        ahead = cut(_step(points, best))
-        both = best.select("__g", F.col("log_det").alias("old")).join(ahead.select("__g", "log_det"), "__g")
-        fallen = both.agg(F.max(F.col("old") - F.col("log_det"))).first()[0]
         # of the two, each group keeps the one of less determinant
-        better = both.where("log_det < old").select("__g")
-        best = cut(ahead.join(better, "__g", "left_semi").unionByName(best.join(better, "__g", "left_anti")))
+        ahead = _step(points, best, small).select("__g", F.struct(*best.columns).alias("new"))
+        both = best.select("__g", F.struct(*best.columns).alias("old")).join(ahead, "__g", "left")
+        kept = F.when(F.col("new.log_det") < F.col("old.log_det"), F.col("new")).otherwise(F.col("old"))
+        both = cut(both.select(kept.alias("kept"), (F.col("old.log_det") - F.col("new.log_det")).alias("fallen")))
+        best = both.select("kept.*")
+        fallen = both.agg(F.max("fallen")).first()[0]
         if fallen is None or fallen < 1e-6:
             break
     raw = cut(_scaled(best.drop("__k"), consistency(SHARE, _P)))
-    inner = _with_distance(points, raw).where(F.col("d2") <= chi2_quantile(INNER, _P))
+    inner = _with_distance(points, raw, small).where(F.col("d2") <= chi2_quantile(INNER, _P))
     sums = inner.groupBy("__g").agg(*_sums([F.col(s[0]) for s in STATISTICS]))
     return _inverse_root(sums.select("__g", *[c.alias(n) for n, c in _moments(F.lit(consistency(INNER, _P))).items()]), "__g")
 
