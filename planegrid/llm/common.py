@@ -54,13 +54,29 @@ def row_name(*columns: str) -> Column:
     return F.md5(F.concat_ws("\u0001", *parts))
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = 1000) -> DataFrame:
+#: Rows of a few numbers that a partition of a small table holds.
+ROWS = 50_000
+
+
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about so many rows, in no more partitions than they need.
+
+    A table that is cut keeps its partitions, and each is a task of every step that reads it, which the driver
+    starts and remembers. A partition still has ``ROWS`` rows at most, so no task gets a large table.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = 1000, small: bool = False) -> DataFrame:
     """``rows`` with the columns of ``table``, which has a row per ``key`` and in n how many of ``rows`` hold it.
 
     A key of over one in ``most`` of these rows is joined by broadcast, the others by Spark's choice, so no
     task gets all rows of a frequent key; at most ``most`` keys are broadcast. Where all keys are frequent, or none
-    is, there is one join only. ``how`` is inner or left. Both are evaluated twice, so they must be cut.
+    is, there is one join only, and no look at the table where it is known to be ``small``. ``how`` is inner or left.
+    Both are evaluated twice, so they must be cut.
     """
+    if small:
+        return rows.join(F.broadcast(table.drop("n")), key, how)
     total, high, low = table.agg(F.sum("n"), F.max("n"), F.min("n")).first()
     if not total or high * most <= total:
         return rows.join(table.drop("n"), key, how)
@@ -71,9 +87,19 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner",
     return rows.join(F.broadcast(often), key).unionByName(rest)
 
 
-def is_small(table: DataFrame, most: int = 10_000) -> bool:
+#: Rows of a small table.
+FEW = 10_000
+
+
+def few(table: DataFrame, most: int = FEW) -> int | None:
+    """How many rows a table has, which is cut, or None if they are more than ``most``."""
+    n = table.limit(most + 1).count()
+    return n if n <= most else None
+
+
+def is_small(table: DataFrame, most: int = FEW) -> bool:
     """Whether a table, which is cut, has at most ``most`` rows."""
-    return table.limit(most + 1).count() <= most
+    return few(table, most) is not None
 
 
 def checked_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", small: bool | None = None) -> DataFrame:

@@ -239,7 +239,7 @@ def _units(classes: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
     vote = classes.select("cls", F.explode("votes").alias("v"))  # permuted hashes of several permutations do not meet
     best = cut(vote.groupBy("v").agg(F.min("cls").alias("g"), F.count(F.lit(1)).alias("n")))
     group = spread_join(vote, best, "v").groupBy("cls", "g").agg(F.count(F.lit(1)).alias("times"))
-    group = group.groupBy("cls").agg(F.max_by("g", F.struct("times", -F.col("g"))).alias("g"))
+    group = cut(group.groupBy("cls").agg(F.max_by("g", F.struct("times", -F.col("g"))).alias("g")))  # read twice
     rows = classes.select("cls", "text", F.octet_length("text").alias("bytes")).join(group, "cls")
     found, links = None, None
     for level in range(LEVELS):

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checked_join, cut, documents, is_small
+from .common import WORD, checked_join, cut, documents, few, narrowed
 
 SHARE = 0.75
 #: Steps of every start, and of the best one at most.
@@ -70,6 +70,9 @@ def consistency(share: float, dof: int) -> float:
     return share / chi2_cdf(chi2_quantile(share, dof), dof + 2)
 
 
+#: Bins of the distances' logarithms, 32 a factor of e from 1e-6 on: so many reach to 1e6.
+BINS = 884
+
 _P = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 CUT = chi2_quantile(OUTER, _P)
@@ -197,36 +200,46 @@ def _starts(points: DataFrame) -> DataFrame:
     quartiles = points.groupBy("__g").agg(*[F.percentile_approx(s[0], [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, s in enumerate(STATISTICS)])
     scale = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(s[2])) for i, s in enumerate(STATISTICS)]
     middle = cut(quartiles.select("__g", *[F.col(f"q_{i}")[1].alias(f"med_{i}") for i in range(_P)], *[c.alias(f"sd_{i}") for i, c in enumerate(scale)]))
-    z = checked_join(points, middle, "__g").select("__g", *[((F.col(s[0]) - F.col(f"med_{i}")) / F.col(f"sd_{i}")).alias(f"z_{i}") for i, s in enumerate(STATISTICS)])
+    groups = few(middle)
+    middle = middle if groups is None else narrowed(middle, groups)
+    small = groups is not None
+    z = checked_join(points, middle, "__g", small=small).select("__g", *[((F.col(s[0]) - F.col(f"med_{i}")) / F.col(f"sd_{i}")).alias(f"z_{i}") for i, s in enumerate(STATISTICS)])
     z = z.withColumn("norm2", reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(_P)]))
-    half = cut(z.groupBy("__g").agg(F.percentile_approx("norm2", 0.5).alias("half")))
-    z = checked_join(z, half, "__g")
+    half = z.groupBy("__g").agg(F.percentile_approx("norm2", 0.5).alias("half"))
+    half = cut(narrowed(half, groups) if small else half)
+    z = checked_join(z, half, "__g", small=small)
     own = lambda k, when, f: F.when(when, F.struct(F.lit(k).alias("k"), *[f(F.col(f"z_{i}")).alias(f"y_{i}") for i in range(_P)]))
     length = F.greatest(F.sqrt("norm2"), F.lit(1e-9))
     views = F.array(own(1, F.lit(True), F.tanh), own(2, F.lit(True), lambda c: c / length), own(3, F.col("norm2") <= F.col("half"), lambda c: c))
     seen = z.select("__g", F.explode(F.array_compact(views)).alias("v")).select("__g", F.col("v.k").alias("__k"), *[f"v.y_{i}" for i in range(_P)])
-    sums = seen.groupBy("__g", "__k").agg(*_sums([F.col(f"y_{i}") for i in range(_P)])).join(middle, "__g")
+    sums = checked_join(seen.groupBy("__g", "__k").agg(*_sums([F.col(f"y_{i}") for i in range(_P)])), middle, "__g", small=small)
     sd = [F.col(f"sd_{i}") for i in range(_P)]
     moments = _moments(F.lit(1.0), sd)
     centre = {f"m_{i}": F.when(F.col("__k") == 3, F.col(f"med_{i}") + sd[i] * F.col(f"s_{i}") / F.col("n")).otherwise(F.col(f"med_{i}")) for i in range(_P)}
     shaped = sums.select("__g", "__k", *[c.alias(n) for n, c in (moments | centre).items()])
     plain = middle.select("__g", F.lit(0).alias("__k"), *[F.col(f"med_{i}").alias(f"m_{i}") for i in range(_P)], *[(sd[i] * sd[i] if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in _PAIRS])
-    return _inverse_root(shaped.unionByName(plain), "__g", "__k")
+    found = _inverse_root(shaped.unionByName(plain), "__g", "__k")
+    return narrowed(found, 4 * groups) if small else found
+
 
+def _step(points: DataFrame, estimate: DataFrame, rows: int | None = None) -> DataFrame:
+    """The next estimate, of each group's start: the moments of the nearest ``SHARE`` of its documents.
 
-def _step(points: DataFrame, estimate: DataFrame, small: bool | None = None) -> DataFrame:
-    """The next estimate, of each group's start: the moments of the nearest ``SHARE`` of its documents."""
+    ``rows`` tells how many estimates there are, if they are few.
+    """
     keys = ["__g", "__k"]
-    near = _with_distance(points, estimate, small).withColumn("bin", F.floor(32 * F.ln(F.col("d2") + 1e-6)))
+    near = _with_distance(points, estimate, rows is not None).withColumn("bin", F.floor(32 * F.ln(F.col("d2") + 1e-6)))
+    bins = near.groupBy(*keys, "bin").agg(*_sums([F.col(s[0]) for s in STATISTICS]))
     # cut before the windows, which would have a group's rows meet unsummed
-    bins = cut(near.groupBy(*keys, "bin").agg(*_sums([F.col(s[0]) for s in STATISTICS])))
+    bins = cut(bins if rows is None else narrowed(bins, rows * BINS))
     group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wanted = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.ceil(F.col("all") * SHARE) - F.col("before")) / F.col("n")))
     bins = bins.withColumn("before", before).withColumn("all", F.sum("n").over(group)).withColumn("part", wanted)
     names = ["n", *[f"s_{i}" for i in range(_P)], *[f"s_{i}{j}" for i, j in _PAIRS]]
     total = bins.where("part > 0").groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in names])
-    return _inverse_root(total.select(*keys, *[c.alias(n) for n, c in _moments(F.lit(1.0)).items()]), *keys)
+    found = _inverse_root(total.select(*keys, *[c.alias(n) for n, c in _moments(F.lit(1.0)).items()]), *keys)
+    return found if rows is None else narrowed(found, rows)
 
 
 def _scaled(estimate: DataFrame, factor: float) -> DataFrame:
@@ -237,13 +250,14 @@ def _scaled(estimate: DataFrame, factor: float) -> DataFrame:
 def least_determinant(points: DataFrame) -> DataFrame:
     """(__g, statistics) to each group's estimate: (__g, m_i, r_ij, log_det), consistent and reweighted."""
     tried = cut(_starts(points))
-    small = is_small(tried)  # no step adds a row
+    rows = few(tried)  # no step adds a row
+    small = rows is not None
     for _ in range(TRIALS):
-        tried = cut(_step(points, tried, small))
+        tried = cut(_step(points, tried, rows))
     best = cut(tried.withColumn("rank", F.row_number().over(Window.partitionBy("__g").orderBy("log_det", "__k"))).where("rank = 1").drop("rank"))
     for _ in range(STEPS):
         # of the two, each group keeps the one of less determinant
-        ahead = _step(points, best, small).select("__g", F.struct(*best.columns).alias("new"))
+        ahead = _step(points, best, rows).select("__g", F.struct(*best.columns).alias("new"))
         both = best.select("__g", F.struct(*best.columns).alias("old")).join(ahead, "__g", "left")
         kept = F.when(F.col("new.log_det") < F.col("old.log_det"), F.col("new")).otherwise(F.col("old"))
         both = cut(both.select(kept.alias("kept"), (F.col("old.log_det") - F.col("new.log_det")).alias("fallen")))

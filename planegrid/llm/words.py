@@ -25,14 +25,17 @@ LOWER[65:91] += 32
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse; the tables grow with the longest word or block seen."""
+    """Powers of an odd base modulo 2**64 and of its inverse; the tables grow with the longest word or block seen.
+
+    They are made where they are first used, so that the driver, which hashes no text, has none.
+    """
 
     def __init__(self, base: int):
         self.base, self.n = base, 0
-        self.grow(PIECE + 4096)
 
     def grow(self, n: int) -> None:
         if n > self.n:
+            n = max(n, PIECE + 4096)
             inverse = pow(self.base, -1, 1 << 64)
             with np.errstate(over="ignore"):
                 self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, self.base, np.uint64)])

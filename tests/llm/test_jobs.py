@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,3 +39,77 @@ def test_steps_of_the_estimate_take_few_jobs(spark):
         sc._jsc.clearJobGroup()
     assert best.select(F.countDistinct("__g")).first()[0] == 2
     assert jobs <= 45  # 39; with a count, a semi join and an anti join a step 52
+
+
+def _tasks(spark, group, run):
+    """What run() gives, and the tasks of the jobs that it starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return out, sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    finally:
+        sc._jsc.clearJobGroup()
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Sixty partitions that Spark does not coalesce."""
+    own = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_edge_tables_take_few_tasks(spark, many_partitions):
+    from planegrid.llm.components import components
+
+    edges = [(i, i + 1) for i in range(0, 60) if i % 20] + [(100, i) for i in range(101, 160)]
+    found, tasks = _tasks(spark, "edges", lambda: components(spark.createDataFrame(edges, "a long, b long").repartition(3)))
+    assert sorted(map(tuple, found.collect())) == sorted([(i, 20 * ((i - 1) // 20) + 1) for i in range(1, 61)] + [(i, 100) for i in range(100, 160)])
+    assert tasks <= 700
+
+
+@pytest.mark.parametrize("most", [0, 40, 10_000])
+def test_components_of_any_size_of_table(spark, monkeypatch, most):
+    """Small, large, and some rounds of either kind: the same components."""
+    from planegrid.llm import components as c
+
+    monkeypatch.setattr(c, "FEW", most)
+    rng = random.Random(most)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    root = {i: i for e in edges for i in e}
+    for _ in range(300):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = c.components(spark.createDataFrame(edges, "a long, b long").repartition(4))
+    alone = {i for i in root if all(a == b for a, b in edges if i in (a, b))}
+    assert sorted(map(tuple, found.collect())) == sorted((i, r) for i, r in root.items() if i not in alone)
+
+
+def test_estimates_of_few_groups_take_few_tasks(spark, many_partitions, monkeypatch):
+    from planegrid.llm import quality
+
+    rng = random.Random(3)
+    rows = [(g, *[rng.gauss(m, 1) for m in range(len(quality.STATISTICS))]) for g in ("p", "q") for _ in range(200)]
+    points = cut(spark.createDataFrame(rows, "__g string, " + ", ".join(f"{s[0]} double" for s in quality.STATISTICS)).repartition(3))
+    estimate = lambda: {r["__g"]: [round(x, 9) for x in r[1:]] for r in quality.least_determinant(points).collect()}
+    found, tasks = _tasks(spark, "few", estimate)
+    assert set(found) == {"p", "q"}
+    assert tasks <= 900
+    monkeypatch.setattr(quality, "few", lambda table: None)  # as if there were more than that
+    assert estimate() == found
+
+
+def test_driver_has_no_tables_of_powers():
+    import subprocess
+    import sys
+
+    code = "import corpus_pipeline\nfrom planegrid.llm import words\nprint(words._bytes.n, words._words.n, words.word_hash('a'), words._bytes.n > 1 << 20)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert out[:2] == ["0", "0"] and out[3] == "True"
