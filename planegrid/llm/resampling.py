@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution of hashed n-grams.
 
 Distinct words of the corpus and the target get ids in one dictionary: 63 bits of a hash, and numbers of their own for
-words that share these. Texts travel in blocks as numbers of their block's words; a block's n-grams are tuples of ids,
+words that share these. Texts travel as numbers of their block's words, a row a text; a block's n-grams are tuples of ids,
 each once with its count, so a frequent n-gram is a row per block where counts meet. Each distinct tuple's bytes are
 put together from the dictionary and hashed once, counts fall into the buckets, and each bucket's gain goes back by
 tuple to the blocks, where a text's gains add up. A draw that depends on the doc_id turns the sums into a sample
@@ -36,22 +36,25 @@ SEED = 2024
 #: Words that may share their id's bits with others and are told apart by numbers of their own.
 CLASHES = 100_000
 
+#: Rows of tuples, or words of texts, that a batch of a block's rows has, so that none is as large as the block.
+SLICE = 1 << 15
+
 #: What stands for a gain of 0 in 32 bits.
 _ZERO = 1 << 31
 
-_DOCS = "docs array<struct<doc_id:bigint,codes:array<int>>>"
-
-
-def _words(b: pa.RecordBatch) -> tuple[Texts, pa.DictionaryArray]:
-    """The texts of a batch (side, doc_id, text), and their words with the distinct ones as dictionary."""
+def _words(b: pa.RecordBatch) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where the words of each text of a batch (side, doc_id, text) begin, and the words with the distinct ones as dictionary."""
     t = Texts(b.column(2), lower=True, blank=BLANK)
-    sizes = t.ends - t.starts
     inside = np.zeros(len(t.data) + 1, np.int8)
     inside[t.starts] = 1
     inside[t.ends] -= 1
-    letters = t.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
-    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(letters)])
-    return t, words.dictionary_encode()
+    letters = t.data[np.cumsum(inside[:-1], dtype=np.int8, out=inside[:-1]).view(bool)]
+    sizes = np.zeros(len(t.starts) + 1, np.int64)
+    np.cumsum(t.ends - t.starts, out=sizes[1:])
+    first = t.first
+    del t, inside
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes) - 1, [None, pa.py_buffer(sizes), pa.py_buffer(letters)])
+    return first, words.dictionary_encode()
 
 
 def _ids(words: pa.Array, bits: int, own: dict[bytes, int]) -> np.ndarray:
@@ -75,17 +78,46 @@ def _spelled(bits: int):  # noqa: ANN202
     return run
 
 
-def _coded(bits: int, own: dict[bytes, int]):  # noqa: ANN202
-    """(side, doc_id, text) to blocks: the ids of their distinct words, and each text as numbers of these."""
+def _columns(most: int) -> str:
+    """Of a block's rows: first its distinct tuples with their counts (one of one word stands as its id if ``most`` is 1), then its texts, of which codes is not null."""
+    return f"side int, block bigint, ordinal int, gram {'array<bigint>' if most > 1 else 'bigint'}, times bigint, doc_id bigint, codes array<int>"
+
+
+def _block(b: pa.RecordBatch, block: int, bits: int, own: dict[bytes, int], most: int) -> Iterator[pa.RecordBatch]:
+    first, known = _words(b)
+    codes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), known.indices.cast(pa.int32()))
+    ids = _ids(known.dictionary, bits, own)
+    del known
+    side = b.column(0)[0].as_py()
+    gram = pa.list_(pa.int64()) if most > 1 else pa.int64()
+    names = ["side", "block", "ordinal", "gram", "times", "doc_id", "codes"]
+    named = lambda n: [pa.array(np.full(n, side, np.int32)), pa.array(np.full(n, block))]
+    ordinal = 0
+    for tuples, number, _ in _tuples(codes, most):
+        times = np.bincount(number, minlength=len(tuples))
+        for i in range(0, len(tuples), SLICE):
+            k, n = (part := ids[tuples[i : i + SLICE]]).shape
+            lists = pa.array(part.reshape(-1))
+            if most > 1:
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * n + 1, n), pa.int32()), lists)
+            places = pa.array(np.arange(ordinal, ordinal + k, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*named(k), places, lists, pa.array(times[i : i + k]), pa.nulls(k, pa.int64()), pa.nulls(k, codes.type)], names)
+            ordinal += k
+    i = 0
+    while i < len(codes):
+        j = max(i + 1, int(np.searchsorted(first, first[i] + SLICE, "right")) - 1)
+        k = j - i
+        yield pa.RecordBatch.from_arrays([*named(k), pa.nulls(k, pa.int32()), pa.nulls(k, gram), pa.nulls(k, pa.int64()), b.column(1).slice(i, k), codes.slice(i, k)], names)
+        i = j
+
+
+def _coded(bits: int, own: dict[bytes, int], most: int):  # noqa: ANN202
+    """(side, doc_id, text) to the rows of blocks: a row for each of their distinct tuples, and a row for each text, as numbers of its block's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 32
         for ordinal, b in enumerate(grouped(batches, size=BLOCK)):
-            t, known = _words(b)
-            codes = pa.ListArray.from_arrays(pa.array(t.first, pa.int32()), known.indices.cast(pa.int32()))
-            rows = pa.StructArray.from_arrays([b.column(1), codes], ["doc_id", "codes"])
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, pa.array(_ids(known.dictionary, bits, own)))]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([place + ordinal]), *lists], ["side", "block", "docs", "ids"])
+            yield from _block(b, place + ordinal, bits, own, most)
 
     return run
 
@@ -109,60 +141,34 @@ def dictionary(rows: DataFrame, bits: int = 63) -> tuple[DataFrame, dict[bytes,
     return all_, {w.encode(): i for w, i in own.items()}
 
 
-def _tuples(docs: pa.ListScalar, ids: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1 to ``most``: a block's distinct tuples of word ids, the tuple of each n-gram, and its text."""
-    codes = docs.values.field("codes")
+def _tuples(codes: pa.ListArray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1 to ``most``: a block's distinct tuples of n codes, the tuple of each n-gram, and its text. All codes of a block are in use, from 0 on."""
     ends = np.asarray(codes.offsets)
-    flat = np.asarray(codes.values, np.int64)[ends[0] : ends[-1]]
-    of = np.repeat(np.arange(len(codes)), np.diff(ends))
-    yield ids.reshape(-1, 1), flat, of
+    flat = np.asarray(codes.values)[ends[0] : ends[-1]]
+    of = np.repeat(np.arange(len(codes), dtype=np.int32), np.diff(ends))
+    yield np.arange(flat.max() + 1 if len(flat) else 0).reshape(-1, 1), flat, of
     for n in range(2, most + 1):
         at = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :]) if len(of) >= n else np.zeros(0, np.int64)
         grams = np.stack([flat[at + i] for i in range(n)], axis=1)
         distinct, number = np.unique(grams, axis=0, return_inverse=True)
-        yield ids[distinct], number.reshape(-1), of[at]
-
-
-def _grams(most: int):  # noqa: ANN202
-    """(side, block, docs, ids) to a row per block and distinct tuple with its count; a tuple of one stands as its id if ``most`` is 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for side, block, docs, ids in zip(*b.columns):
-                ordinal = 0
-                for tuples, number, _ in _tuples(docs, np.asarray(ids.values, np.int64), most):
-                    k, n = tuples.shape
-                    lists = pa.array(tuples.reshape(-1))
-                    if most > 1:
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * n + 1, n), pa.int32()), lists)
-                    times = np.bincount(number, minlength=k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, side.as_py(), np.int32)), pa.array(np.full(k, block.as_py())), pa.array(np.arange(ordinal, ordinal + k, dtype=np.int32)), lists, pa.array(times)],
-                        ["side", "block", "ordinal", "gram", "times"],
-                    )
-                    ordinal += k
-
-    return run
+        yield distinct, number.reshape(-1), of[at]
 
 
 def _weights(most: int):  # noqa: ANN202
-    """(docs, ids, gains) of blocks to a row per text: the number of its n-grams and the sum of their gains, which lie in the low halves of numbers that their order gives the high half."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for docs, ids, gains in zip(*b.columns):
-                n_docs = len(docs.values)
-                gain = ((np.asarray(gains.values, np.int64) & 0xFFFFFFFF) - _ZERO).astype(np.float64) if gains.is_valid else np.zeros(0)
-                features, weight, ordinal = np.zeros(n_docs, np.int64), np.zeros(n_docs), 0
-                for tuples, number, of in _tuples(docs, np.asarray(ids.values, np.int64) if ids.is_valid else np.zeros(0, np.int64), most):
-                    features += np.bincount(of, minlength=n_docs)
-                    weight += np.bincount(of, gain[ordinal + number], n_docs)
-                    ordinal += len(tuples)
-                codes = docs.values.field("codes")
-                words = np.diff(np.asarray(codes.offsets))
-                yield pa.RecordBatch.from_arrays(
-                    [docs.values.field("doc_id"), pa.array(words.astype(np.int64)), pa.array(features), pa.array(weight.astype(np.int64))], ["doc_id", "n_words", "n_features", "weight"]
-                )
+    """A block's row of gains, if it has words, and the rows of its texts (doc_id, codes) to a row per text: the number of its n-grams and the sum of their gains, which lie in the low halves of numbers that their order gives the high half."""
+
+    def run(gains: pa.Table, texts: pa.Table) -> pa.Table:
+        n = len(texts)
+        gain = np.concatenate([np.asarray(x.values, np.int64) for x in gains.column("gains")] or [np.zeros(0, np.int64)])
+        gain = ((np.sort(gain) & 0xFFFFFFFF) - _ZERO).astype(np.float64)
+        codes = texts.column("codes").combine_chunks()
+        words = np.diff(np.asarray(codes.offsets)).astype(np.int64)
+        features, weight, ordinal = np.zeros(n, np.int64), np.zeros(n), 0
+        for tuples, number, of in _tuples(codes, most):
+            features += np.bincount(of, minlength=n)
+            weight += np.bincount(of, gain[ordinal : ordinal + len(tuples)][number], n)
+            ordinal += len(tuples)
+        return pa.table({"doc_id": texts.column("doc_id"), "n_words": words, "n_features": features, "weight": weight.astype(np.int64)})
 
     return run
 
@@ -179,8 +185,8 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     other = target.select(F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("doc_id"), "text")
     rows = sides.unionByName(other)
     words, own = dictionary(rows, bits)
-    blocks = saved(rows.mapInArrow(_coded(bits, own), f"side int, block bigint, {_DOCS}, ids array<bigint>"))
-    grams = blocks.mapInArrow(_grams(most), f"side int, block bigint, ordinal int, gram {'array<bigint>' if most > 1 else 'bigint'}, times bigint")
+    blocks = saved(rows.mapInArrow(_coded(bits, own, most), _columns(most)))
+    grams = blocks.where("codes is null")
     part = lambda i: F.get("gram", F.lit(i)) if most > 1 else F.col("gram")
     on_side = lambda i: F.sum(F.when(F.col("side") == i, F.col("times")).otherwise(0))
     distinct = saved(grams.groupBy("gram").agg(on_side(0).alias("s"), on_side(1).alias("t")))
@@ -202,8 +208,11 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     # a block has one row of a tuple, so no tuple has more rows than there are blocks
     back = grams.where("side = 0").select("block", "ordinal", "gram").join(priced.hint("merge"), "gram")
     packed = F.shiftleft(F.col("ordinal").cast("bigint"), 32) + F.col("gain") + _ZERO
-    back = back.groupBy("block").agg(F.array_sort(F.collect_list(packed)).alias("gains"))
-    out = saved(blocks.where("side = 0").join(back, "block", "left").select("docs", "ids", "gains").mapInArrow(_weights(most), "doc_id bigint, n_words bigint, n_features bigint, weight bigint"))
+    back = back.groupBy("block").agg(F.collect_list(packed).alias("gains"))
+    # a block meets its gains text by text: no row, and in a worker no batch, holds more than one block
+    texts = blocks.where("side = 0 and codes is not null").select(F.col("block").alias("at"), "doc_id", "codes")
+    both = back.groupBy("block").cogroup(texts.groupBy("at"))
+    out = saved(both.applyInArrow(_weights(most), "doc_id bigint, n_words bigint, n_features bigint, weight bigint"))
     discard(blocks, hashed)
     return out
 

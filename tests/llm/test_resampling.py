@@ -60,6 +60,22 @@ def test_blocks_do_not_matter(spark, docs, rows, target):
     assert sorted(map(tuple, got), key=str) == sorted((x[:3] for x in brute([(r[0], r[1]) for r in rows], target, 2)), key=str)
 
 
+def test_no_row_holds_a_block(spark, docs, target, monkeypatch):
+    tables, saved = [], resampling.saved
+
+    def sized(df):
+        out = saved(df)
+        tables.append(out.agg(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] or 0)
+        return out
+
+    # a block of 1000 texts, about 400 KB of words
+    some = docs.where("length(text) between 100 and 1000").crossJoin(spark.range(40)).select("doc_id", "text").coalesce(1)
+    assert some.count() > 1000
+    monkeypatch.setattr(resampling, "saved", sized)
+    resampling.weights(some, spark.createDataFrame([(t,) for t in target], "text string"))
+    assert max(tables) < 30_000
+
+
 @pytest.mark.parametrize("bits", [4, 9])
 def test_words_that_share_their_ids_bits(spark, docs, rows, target, bits):
     other = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string")
